@@ -28,10 +28,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The DataFrame computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """The DataFrame computed once, as a table written in the shared folder: later reads do not compute it again,
+    also when an executor is lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, bytes_each: int = 16 << 20) -> int:

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing
+from . import dac, exact, mixing, packing
 from .env import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op3_token_output": lambda s, d: dac.round_trip(docs(s, d)),
+        "op6_best_fit_packing": lambda s, d: packing.pack(docs(s, d)),
         "op9_exact_dedup": lambda s, d: exact.exact_duplicates(docs(s, d)),
         "op10_source_mixing": lambda s, d: mixing.mixed(docs(s, d)),
     }
