@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .env import cut, scratch, small_batches
+from .env import cut, scratch, ready
 
 MAGIC = b"DAC1"
 SEGMENT = 8 << 20
@@ -114,7 +114,7 @@ def to_bytes(doc_ids: list[int | None], texts_ids: list[bytes]) -> bytes:
 
 def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Writes the files below ``folder``; the manifest: (part, seq, file, first, tokens, docs)."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     path = path or tokens.default_path()
 
     def task(batches: Iterator) -> Iterator:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +49,17 @@ def spread(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(least, min(math.ceil(size / bytes_each), 1 << 20))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows that one Arrow batch hands to Python; texts can be long."""
+def ready(spark: SparkSession, rows: int = 1000) -> None:
+    """Gives the Python workers this package, and bounds the rows that one Arrow batch hands them; texts can be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    context = spark.sparkContext
+    if getattr(context, "_sylvaframe_sent", False):
+        return
+    top = Path(__file__).resolve().parents[2]
+    box = Path(tempfile.mkdtemp(prefix="sylvaframe-")) / "sylvaframe-workers.zip"
+    with zipfile.ZipFile(box, "w") as z:
+        for f in sorted((top / "sylvaframe").rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    context.addPyFile(str(box))
+    context._sylvaframe_sent = True

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .env import cut, small_batches, spread
+from .env import cut, ready, spread
 
 CAPACITY, NODES = 1024, 20_000
 
@@ -160,7 +160,7 @@ def places(bins: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of the pieces of every document."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     path = path or tokens.default_path()
 
     def task(batches: Iterator) -> Iterator:
