@@ -42,7 +42,7 @@ class Encoder:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            new = list(set(words) - known.keys())
+            new = [word for word in set(words) if word not in known]
             for word, got in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
                 known[word] = np.array(got.ids, "<u4").tobytes()
             ids = b"".join(map(known.__getitem__, words))
