@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, exact, media, mixing, packing, urls
+from . import dac, exact, langid, media, mixing, packing, urls
 from .env import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op1_language_id": lambda s, d: langid.identify(docs(s, d)),
         "op3_token_output": lambda s, d: dac.round_trip(docs(s, d)),
         "op4_url_filter": lambda s, d: urls.judge(table(s, d, "pages"), urls.rule_table(s)),
         "op6_best_fit_packing": lambda s, d: packing.pack(docs(s, d)),
