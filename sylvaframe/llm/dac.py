@@ -98,8 +98,33 @@ class Codes:
             place = rank
         return out
 
+    def rank(self, level: int, place: int) -> int:
+        """How many ids of a level before ``place`` continue."""
+        _, words, directory = self.levels[level]
+        block, word = place >> 9, place >> 6
+        if block == len(directory):
+            block -= 1
+        inner = np.bitwise_count(words[block << 3 : word]).sum()
+        if place & 63:
+            inner += np.bitwise_count(words[word] & ((np.uint64(1) << np.uint64(place & 63)) - np.uint64(1)))
+        return int(directory[block]) + int(inner)
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        """The ids at places a..b-1: what continues of them lies side by side on the next level, from the rank of a."""
+        out = np.zeros(b - a, np.uint32)
+        live = np.arange(b - a)
+        for k, (chunks, words, _) in enumerate(self.levels):
+            out[live] |= chunks[a:b].astype(np.uint32) << np.uint32(8 * k)
+            bits = np.unpackbits(words[a >> 6 : -(-b // 64)].view(np.uint8), bitorder="little")[a & 63 : (a & 63) + b - a]
+            live = live[bits == 1]
+            if not len(live):
+                break
+            a = self.rank(k, a)
+            b = a + len(live)
+        return out
+
     def doc(self, k: int) -> np.ndarray:
-        return self.at(np.arange(int(self.starts[k]), int(self.starts[k + 1])))
+        return self.between(int(self.starts[k]), int(self.starts[k + 1]))
 
 
 def to_bytes(doc_ids: list[int | None], texts_ids: list[bytes]) -> bytes:
@@ -174,7 +199,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 while k < len(lengths):  # about a million ids at a time
                     to = max(k + 1, int(np.searchsorted(codes.starts, codes.starts[k] + np.uint64(1 << 20), "right")) - 1)
                     base = int(codes.starts[k])
-                    raw = memoryview(codes.at(np.arange(base, int(codes.starts[to]))).astype("<u4")).cast("B")
+                    raw = memoryview(codes.between(base, int(codes.starts[to])).astype("<u4")).cast("B")
                     for j in range(k, to):
                         crcs[j] = zlib.crc32(raw[(int(codes.starts[j]) - base) * 4 : (int(codes.starts[j + 1]) - base) * 4])
                     k = to
