@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, exact, langid, media, mixing, packing, urls
+from . import dac, exact, factors, langid, media, mixing, packing, suffixes, urls
 from .env import table
 
 
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: table(s, d, "documents")
     return {
         "op1_language_id": lambda s, d: langid.identify(docs(s, d)),
+        "op2_suffix_dedup": lambda s, d: suffixes.deduplicate(docs(s, d)),
         "op3_token_output": lambda s, d: dac.round_trip(docs(s, d)),
         "op4_url_filter": lambda s, d: urls.judge(table(s, d, "pages"), urls.rule_table(s)),
         "op6_best_fit_packing": lambda s, d: packing.pack(docs(s, d)),
         "op7_media_columns": lambda s, d: media.round_trip(docs(s, d)),
+        "op8_substring_dedup": lambda s, d: factors.deduplicate(docs(s, d)),
         "op9_exact_dedup": lambda s, d: exact.exact_duplicates(docs(s, d)),
         "op10_source_mixing": lambda s, d: mixing.mixed(docs(s, d)),
     }
