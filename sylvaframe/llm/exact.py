@@ -91,6 +91,21 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "do
     stays = many.groupBy("_sha").agg(F.max(F.struct("_id", "_row")).alias("_stays")).select(F.col("_stays._row").alias("_row"))
     return rows.filter(~F.col("_maybe")).select(*docs.columns).unionByName(many.join(stays, "_row", "left_semi").select(*docs.columns))
 
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, node) for every row: the node is the same for equal texts. ``docs``: doc_id, text."""
+    rows = _keyed(docs, "text", "doc_id", LOG2_BITS, HOT_ROWS, SALTS)
+    many = rows.filter("_maybe").select("_id", "_row", "_sha", "_hot", "_salt")
+    found = many.drop("_hot").join(_groups(many, SALTS), ["_sha", "_salt"])
+    return rows.filter(~F.col("_maybe")).select("doc_id", F.col("_row").alias("node")).unionByName(found.select(F.col("_id").alias("doc_id"), F.col("_stays._row").alias("node")))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(node, text) for every different text, with the nodes of ``members``."""
+    rows = _keyed(docs, "text", "doc_id", LOG2_BITS, HOT_ROWS, 1)
+    many = rows.filter("_maybe")
+    stays = many.groupBy("_sha").agg(F.max(F.struct("_id", "_row")).alias("_stays")).select(F.col("_stays._row").alias("_row"))
+    return rows.filter(~F.col("_maybe")).select(F.col("_row").alias("node"), "text").unionByName(many.join(stays, "_row", "left_semi").select(F.col("_row").alias("node"), "text"))
+
 
 SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

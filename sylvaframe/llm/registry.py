@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, exact, factors, langid, media, mixing, packing, suffixes, urls
+from . import dac, exact, factors, jaccard, langid, media, mixing, packing, suffixes, urls
 from .env import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": lambda s, d: suffixes.deduplicate(docs(s, d)),
         "op3_token_output": lambda s, d: dac.round_trip(docs(s, d)),
         "op4_url_filter": lambda s, d: urls.judge(table(s, d, "pages"), urls.rule_table(s)),
+        "op5_ngram_jaccard": lambda s, d: jaccard.components_of(docs(s, d)),
         "op6_best_fit_packing": lambda s, d: packing.pack(docs(s, d)),
         "op7_media_columns": lambda s, d: media.round_trip(docs(s, d)),
         "op8_substring_dedup": lambda s, d: factors.deduplicate(docs(s, d)),
