@@ -71,8 +71,8 @@ def read_weekly_text(spark: SparkSession, path: str, columns: list[str], first_y
 def read_sites(raw: DataFrame, key: str = "site") -> DataFrame:
     """A site list: -9999 is NULL; a missing or repeated key is an error, raised when the result is computed."""
     clean = raw.withColumns({c: F.nullif(F.col(c), F.lit(-9999).cast(t)) for c, t in raw.dtypes if t in ("double", "int", "bigint", "float") and c != key})
-    bad = clean.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_n", F.when(F.col(key).isNull() | (F.col("_n") > 1), F.raise_error(F.concat(F.lit("missing or repeated site: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("long")).otherwise(F.col("_n")))
-    return clean.join(bad, clean[key].eqNullSafe(bad[key])).drop(bad[key]).filter("_n = 1").drop("_n")
+    bad = clean.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_n", F.when(F.col("_key").isNull() | (F.col("_n") > 1), F.raise_error(F.concat(F.lit("missing or repeated site: "), F.coalesce(F.col("_key").cast("string"), F.lit("null")))).cast("long")).otherwise(F.col("_n")))
+    return clean.join(bad, F.col(key).eqNullSafe(F.col("_key"))).filter("_n = 1").drop("_key", "_n")
 
 
 def read_site_text(spark: SparkSession, path: str) -> DataFrame:
