@@ -19,6 +19,7 @@ add = book.add
 JOINED = """bins AS (SELECT fid, variable, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, avg(value) AS value FROM model GROUP BY 1, 2, 3),
 obins AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS ts, avg(value) AS value FROM obs GROUP BY 1),
 j AS (SELECT b.fid, b.variable, b.ts, b.value AS m, o.value AS o FROM bins b JOIN obins o USING (ts))"""
+CORR = "(CASE WHEN isfinite(corr(m, o)) THEN corr(m, o) END)"  # one row has none
 RMSE = "sqrt(avg((m - o) * (m - o)))"
 
 
@@ -59,7 +60,7 @@ def _(s, d):
     return r_all(M.rmse_scaled(joined(s, d), KEYS, FACTORS))
 
 
-@add("m06_corr_r2", f"WITH {JOINED} SELECT fid, variable, round(corr(m, o), 6) AS r, round(corr(m, o) * corr(m, o), 6) AS r2 FROM j GROUP BY 1, 2", "model obs")
+@add("m06_corr_r2", f"WITH {JOINED} SELECT fid, variable, round({CORR}, 6) AS r, round({CORR} * {CORR}, 6) AS r2 FROM j GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(joined(s, d).groupBy(*KEYS).agg(M.corr().alias("r"), (M.corr() * M.corr()).alias("r2")))
 
@@ -67,17 +68,17 @@ def _(s, d):
 SPREAD = "d AS (SELECT *, avg({0}) OVER (PARTITION BY fid, variable) AS mean FROM j)"
 
 
-@add("m07_nse", f"WITH {JOINED}, {SPREAD.format('o')} SELECT fid, variable, round(1 - sum((m - o) * (m - o)) / sum((o - mean) * (o - mean)), 6) AS nse FROM d GROUP BY 1, 2", "model obs")
+@add("m07_nse", f"WITH {JOINED}, {SPREAD.format('o')} SELECT fid, variable, round(1 - sum((m - o) * (m - o)) / nullif(sum((o - mean) * (o - mean)), 0), 6) AS nse FROM d GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(M.efficiency(joined(s, d), KEYS).select(*KEYS, "nse"))
 
 
-@add("m07_nse_reference_variant", f"WITH {JOINED}, {SPREAD.format('m')} SELECT fid, variable, round(1 - sum((m - o) * (m - o)) / sum((o - mean) * (o - mean)), 6) AS nse FROM d GROUP BY 1, 2", "model obs")
+@add("m07_nse_reference_variant", f"WITH {JOINED}, {SPREAD.format('m')} SELECT fid, variable, round(1 - sum((m - o) * (m - o)) / nullif(sum((o - mean) * (o - mean)), 0), 6) AS nse FROM d GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(M.efficiency(joined(s, d), KEYS, "reference").select(*KEYS, "nse"))
 
 
-@add("m08_rsr", f"WITH {JOINED}, {SPREAD.format('o')} SELECT fid, variable, round(sqrt(sum((m - o) * (m - o))) / sqrt(sum((o - mean) * (o - mean))), 6) AS rsr FROM d GROUP BY 1, 2", "model obs")
+@add("m08_rsr", f"WITH {JOINED}, {SPREAD.format('o')} SELECT fid, variable, round(sqrt(sum((m - o) * (m - o))) / nullif(sqrt(sum((o - mean) * (o - mean))), 0), 6) AS rsr FROM d GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(M.efficiency(joined(s, d), KEYS).select(*KEYS, "rsr"))
 
@@ -88,8 +89,8 @@ def _(s, d):
 
 
 @add("m10_metric_table", f"""WITH {JOINED}, {SPREAD.format('o')}
-SELECT fid, variable, round(round({RMSE}, 3), 6) AS rmse, round(round(corr(m, o) * corr(m, o), 3), 6) AS r2, round(round(1 - sum((m - o) * (m - o)) / sum((o - mean) * (o - mean)), 3), 6) AS nse,
-  round(round(sqrt(sum((m - o) * (m - o))) / sqrt(sum((o - mean) * (o - mean))), 3), 6) AS rsr, round(round(100 * sum(m - o) / sum(o), 3), 6) AS pbias FROM d GROUP BY 1, 2""", "model obs")
+SELECT fid, variable, round(round({RMSE}, 3), 6) AS rmse, round(round({CORR} * {CORR}, 3), 6) AS r2, round(round(1 - sum((m - o) * (m - o)) / nullif(sum((o - mean) * (o - mean)), 0), 3), 6) AS nse,
+  round(round(sqrt(sum((m - o) * (m - o))) / nullif(sqrt(sum((o - mean) * (o - mean))), 0), 3), 6) AS rsr, round(round(100 * sum(m - o) / sum(o), 3), 6) AS pbias FROM d GROUP BY 1, 2""", "model obs")
 def _(s, d):
     return r_all(M.metric_table(joined(s, d), KEYS))
 

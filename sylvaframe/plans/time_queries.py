@@ -175,18 +175,19 @@ def _(s, d):
 @add("f13_convert_units", "SELECT event_id, round(value * (1e6 / 0.01201), 3) AS flux, value * 0.1 AS mpa, round(value - 273.15, 6) AS celsius FROM events")
 def _(s, d):
     v = F.col("value")
-    return T.table(s, d, "events").select("event_id", F.round(S.convert(v, "kg C m-2 s-1", "micro mol m-2 s-1"), 3).alias("flux"), S.convert(v, "bar", "MPa").alias("mpa"), F.round(S.convert(v, "K", "deg C"), 6).alias("celsius"))
+    out = T.table(s, d, "events").select("event_id", S.convert(v, "kg C m-2 s-1", "micro mol m-2 s-1").alias("flux"), S.convert(v, "bar", "MPa").alias("mpa"), S.convert(v, "K", "deg C").alias("celsius"))
+    return r(r(out, "flux", digits=3), "celsius")
 
 
 @add("f14_vpd", """
 SELECT l_orderkey, l_linenumber, round(greatest(0.0, 0.61078 * exp(17.27 * l_quantity / (l_quantity + 237.3)) - (l_tax * 100 / 1000.0) * (1013.0 / 10.0) / (0.622 + 0.378 * (l_tax * 100 / 1000.0))), 6) AS vpd FROM lineitem""")
 def _(s, d):
-    return T.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.vpd(F.col("l_quantity") + 273.15, F.col("l_tax") * 100, F.lit(1013.0)), 6).alias("vpd"))
+    return r(T.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.vpd(F.col("l_quantity") + 273.15, F.col("l_tax") * 100, F.lit(1013.0)).alias("vpd")), "vpd")
 
 
 @add("f15_conductivity", "SELECT p_partkey, round(1e9 * CASE WHEN p_size / 45.4::DOUBLE > 1 THEN 4.6e-7 ELSE 4.6e-7 * pow(p_size / 45.4::DOUBLE, 17.8) END, 6) AS k_nano FROM part")
 def _(s, d):
-    return T.table(s, d, "part").select("p_partkey", F.round(1e9 * S.conductivity(F.col("p_size").cast("double")), 6).alias("k_nano"))
+    return r(T.table(s, d, "part").select("p_partkey", (1e9 * S.conductivity(F.col("p_size").cast("double"))).alias("k_nano")), "k_nano")
 
 
 @add("f17_extract_site_id", "SELECT s_suppkey, 'DE-' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS site FROM supplier")
