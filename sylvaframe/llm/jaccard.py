@@ -5,12 +5,15 @@ at least 80 %. Equal texts are collapsed before (``exact``); the jobs work on di
 
 * Tokens are ordered by how frequent they are, from a table of ``2**SKETCH_BITS`` counters (a fixed size), then by hash. Two
   similar sets share a token among the rarest n - ceil(0.8 n) + 1 of each, so only these go into the matrix.
-* Grouping: tokens that several nodes have propose pairs of neighbours, a number linear in the
-  token's nodes; verified pairs form groups of similar documents.
+* Tokens of the very same nodes are kept once, under a name made of the nodes.
+* A node is dropped when too few of its rare tokens occur in any other node of a fitting size, the bound for the group of
+  all others: the odd members of a large group of half-similar texts are never compared one by one.
+* Grouping: each token's nodes are proposed to a few of them as neighbours, a number of pairs linear in the nodes;
+  verified pairs form groups of similar documents.
 * The matrix: (token, group), the union of its members' tokens. A node is a query against every group but its own: a group
-  qualifies only if the query overlaps its union, its members' sizes fit (each at least 80 % of the other), and the
-  overlap of the two histograms of token hashes, an upper bound, suffices. Only qualifying groups are opened, and only their
-  members that share a token with the query are compared, exactly.
+  qualifies only if the query overlaps its union and its members' sizes fit (each at least 80 % of the other). Where a token
+  has few such pairs they are listed, and those whose histograms of token hashes, an upper bound, suffice are compared
+  exactly. Where it has many, the sets of its nodes are opened for its queries, block by block, and only links leave a task.
 * Links of both steps give the components. As members of a group are connected already, pairs inside a
   group are never listed, however large it is; no link between groups is lost, since every pair of nodes that share a
   rare token lies in one group or is compared.
@@ -23,7 +26,7 @@ id is never a component's id unless there is no other; an empty table gives an e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +39,10 @@ from .windows import U64
 
 SHINGLE, PERCENT = 5, 80
 SKETCH_BITS, SLICES, BINS = 20, 64, 128
+#: Members of each list that all others are proposed to as neighbours.
+CENTRES = 6
+#: A list with more pairs of nodes of different groups than this is opened, in blocks of so many nodes, and not listed by pairs.
+LISTED, OPEN = 512, 1024
 
 
 def shingles(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +105,8 @@ def sketch(nodes: DataFrame) -> np.ndarray:
 
 
 def matrix(nodes: DataFrame, counters: np.ndarray) -> DataFrame:
-    """kind 0: (token, node, size), rare tokens that several nodes have; kind 1: (node, node), proposed neighbours;
-    kind 2: (node, size), all nodes."""
+    """kind 0: (token, node, size), rare tokens that several nodes have, one for each list of nodes; kind 1: (node, node), proposed neighbours;
+    kind 2: (node, size) and histogram, all nodes."""
     parts = 2 * spread(nodes)
 
     def send(batches: Iterator) -> Iterator:
@@ -108,20 +115,22 @@ def matrix(nodes: DataFrame, counters: np.ndarray) -> DataFrame:
         held: list = []
 
         def flush() -> Iterator:
-            token, node, size = (np.concatenate(x) for x in zip(*held))
+            token, node, size = (np.concatenate(x) for x in list(zip(*held))[:3])
+            histograms = np.stack([x[3] for x in held])
             held.clear()
-            rows = [(p, token[i].tobytes(), node[i].tobytes(), size[i].tobytes()) for p, i in windows.by_part(token, parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], ["p", "tokens", "nodes", "sizes"])
+            nth = np.cumsum(size < 0) - 1  # a node's own row is its last
+            rows = [(p, token[i].tobytes(), node[i].tobytes(), size[i].tobytes(), histograms[nth[i[size[i] < 0]]].tobytes()) for p, i in windows.by_part(token, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["p", "tokens", "nodes", "sizes", "histograms"])
 
         for batch in batches:
             found, at = shingles(batch.column("text"))
             for node, a, b in zip(batch.column("node").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 own = np.unique(found[a:b])
-                n = len(own)
+                n, bins = len(own), histogram(own)
                 if n:
                     own = own[np.argsort(counters[(own >> U64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[: prefix_size(n)]]
                 # the node itself is sent like a token, with a negative size: all sizes come back with the matrix
-                held.append((np.append(own, U64(node)), np.full(len(own) + 1, node, np.int64), np.append(np.full(len(own), n, np.int32), np.int32(-1 - n))))
+                held.append((np.append(own, U64(node)), np.full(len(own) + 1, node, np.int64), np.append(np.full(len(own), n, np.int32), np.int32(-1 - n)), bins))
             if sum(len(x[0]) for x in held) >= 1 << 21:
                 yield from flush()
         if held:
@@ -133,6 +142,7 @@ def matrix(nodes: DataFrame, counters: np.ndarray) -> DataFrame:
         token = np.frombuffer(b"".join(windows.blobs(table.column("tokens"))), U64)
         node = np.frombuffer(b"".join(windows.blobs(table.column("nodes"))), np.int64)
         size = np.frombuffer(b"".join(windows.blobs(table.column("sizes"))), np.int32).astype(np.int64)
+        histograms = np.frombuffer(b"".join(windows.blobs(table.column("histograms"))), np.uint16).reshape(-1, BINS)
         all_nodes, all_sizes = node[size < 0], -1 - size[size < 0]
         token, node, size = token[size >= 0], node[size >= 0], size[size >= 0]
         order = np.lexsort((node, size, token))
@@ -142,81 +152,144 @@ def matrix(nodes: DataFrame, counters: np.ndarray) -> DataFrame:
         several = same.copy()
         several[:-1] |= same[1:]
         token, node, size, same = token[several], node[several], size[several], same[several]
-        # neighbours: the one before in the order of sizes, and the first of the token
+        # tokens of the very same nodes say the same: one name for their list, kept once
         begin = np.flatnonzero(~same)
-        first = np.repeat(begin, np.diff(np.append(begin, len(token))))
-        i = np.flatnonzero(same & (windows.mix(token) & U64(3) == 0))
-        a, b = np.concatenate([i - 1, first[i]]), np.concatenate([i, i])
-        fits = 100 * size[a] >= PERCENT * size[b]
-        pairs = np.unique(np.stack([node[a[fits]], node[b[fits]]], axis=1), axis=0)
+        if len(begin):
+            name = np.add.reduceat(windows.mix(node.view(U64) ^ U64(0x2545F4914F6CDD1D)), begin)
+            _, first, weight = np.unique(name, return_index=True, return_counts=True)
+            kept = np.zeros(len(begin), np.int64)
+            kept[first] = weight
+            length = np.diff(np.append(begin, len(token)))
+            token, times = np.repeat(name, length), np.repeat(kept, length)
+            token, node, size, same, times = token[times > 0], node[times > 0], size[times > 0], same[times > 0], times[times > 0]
+        else:
+            times = np.zeros(0, np.int64)
+        # of each entry, the smallest and largest size in its list, not its own, that fits
+        begin = np.flatnonzero(~same)
+        of = np.cumsum(~same) - 1
+        end = np.append(begin[1:], len(token))
+        place, own = (of << 32) + size, np.arange(len(token))
+        low = np.searchsorted(place, (of << 32) - (-size * PERCENT // 100))
+        high = np.searchsorted(place, (of << 32) + size * 100 // PERCENT, "right") - 1
+        low, high = low + (low == own), high - (high == own)
+        fits = (low <= high) & (low < end[of]) & (high >= begin[of]) if len(begin) else np.zeros(0, bool)
+        low, high = np.where(fits, size[np.minimum(low, max(len(size) - 1, 0))], 0) if len(size) else size, np.where(fits, size[np.maximum(high, 0)], 0) if len(size) else size
+        # proposed neighbours: the one before in the order of sizes, and some that a hash chooses for all lists alike, so
+        # that the members of a large group of similar texts mostly meet the same few
+        i = np.flatnonzero(same)
+        a, b = [i - 1], [i]
+        for seed in range(CENTRES if len(begin) else 0):
+            rank = windows.mix(node.view(U64) ^ windows.mix(np.array([seed + 1], U64)))
+            least = np.minimum.reduceat(rank, begin)
+            centre = np.zeros(len(begin), np.int64)
+            hit = np.flatnonzero(rank == least[of])
+            centre[of[hit]] = hit
+            a.append(centre[of])
+            b.append(np.arange(len(node)))
+        a, b = np.concatenate(a), np.concatenate(b)
+        close = (a != b) & (100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b]))
+        a, b = node[a[close]], node[b[close]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        # entries without a partner of a fitting size are left out
+        token, node, size, times, low, high = token[fits], node[fits], size[fits], times[fits], low[fits], high[fits]
+        none, bins = np.zeros(len(pairs) + len(all_nodes), np.int64), [None] * (len(token) + len(pairs)) + [x.tobytes() for x in histograms]
         columns = [
             np.concatenate([np.full(len(token), 0, np.int32), np.full(len(pairs), 1, np.int32), np.full(len(all_nodes), 2, np.int32)]),
             np.concatenate([token.view(np.int64), pairs[:, 0], all_nodes]),
             np.concatenate([node, pairs[:, 1], all_sizes]),
-            np.concatenate([size, np.zeros(len(pairs), np.int64), np.zeros(len(all_nodes), np.int64)]),
+            *[np.concatenate([c, none]) for c in (size, times, low, high)],
         ]
-        return pa.table([pa.array(c) for c in columns], names=["kind", "x", "y", "size"])
+        return pa.table([*[pa.array(c) for c in columns], pa.array(bins, pa.binary())], names=["kind", "x", "y", "size", "times", "low", "high", "histogram"])
+
+    sent = nodes.mapInArrow(send, "p int, tokens binary, nodes binary, sizes binary, histograms binary")
+    return cut(sent.groupBy("p").applyInArrow(group, "kind int, x long, y long, size long, times long, low long, high long, histogram binary"), "matrix")
+
+
+def possible(found: DataFrame) -> DataFrame:
+    """The entries (token, node, size) of nodes that can have a link at all. Two similar sets of sizes a and b have more than
+    80 (a + b) / 180 - 0.8 max(a, b) tokens that are among the rare ones of both; as a function of b this is least at an
+    end of the range of sizes that a node meets. A node is dropped if fewer of its rare tokens have any other node to go with."""
+    raw = found.filter("kind = 0")
+    need = "floor({p} * (size + {s}) / {q} - {p} * greatest(size, {s}) / 100)"
+    least = F.least(*[F.expr(need.format(p=PERCENT, q=100 + PERCENT, s=s)) for s in ("low", "high")])
+    met = raw.groupBy(F.col("y").alias("node"), "size").agg(F.sum("times").alias("met"), F.min("low").alias("low"), F.max("high").alias("high"))
+    able = lookup(met.filter(F.col("met") >= least).select("node"), "able")
+    return raw.select(F.col("x").alias("token"), F.col("y").alias("node"), "size").distinct().join(able, "node", "left_semi")
+
+
+def histogram(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens fall in each bin of hashes; of a set too large for the counters, all of them are at their end."""
+    found = np.bincount((tokens >> U64(57)).astype(np.int64), minlength=BINS)
+    return found.astype(np.uint16) if found.max() < 0xFFFF else np.full(BINS, 0xFFFF, np.uint16)
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """At least as many tokens as two sets with these histograms share."""
+    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+    return 1 << 40 if x[0] == 0xFFFF or y[0] == 0xFFFF else int(np.minimum(x, y).sum(dtype=np.int64))
 
-    sent = nodes.mapInArrow(send, "p int, tokens binary, nodes binary, sizes binary")
-    return cut(sent.groupBy("p").applyInArrow(group, "kind int, x long, y long, size long"), "matrix")
+
+def overlap(a: bytes, b: bytes) -> int:
+    return len(np.intersect1d(np.frombuffer(a, U64), np.frombuffer(b, U64), assume_unique=True))
 
 
 def sets(nodes: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, size, histogram, tokens) of the needed nodes. A filter of fixed size keeps most other texts from the shuffle."""
+    """(node, tokens) of the needed nodes, and of a few more that a filter of a fixed size lets pass: no text is shuffled."""
     slot = F.xxhash64("node").bitwiseAND(F.lit((1 << 24) - 1))
     bits = needed.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS INT)))").alias("bits"))
     rows = nodes.withColumn("slot", slot).join(F.broadcast(bits), F.shiftright("slot", 6) == F.col("word")).filter("shiftright(bits, cast(slot & 63 AS INT)) & 1L = 1L")
-    rows = rows.select("node", "text").join(needed, "node", "left_semi")
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             found, at = shingles(batch.column("text"))
-            size, histogram, tokens = [], [], []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                own = np.unique(found[a:b])
-                size.append(len(own))
-                histogram.append(np.bincount((own >> U64(57)).astype(np.int64), minlength=BINS).astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes())
-                tokens.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int64()), pa.array(histogram, pa.binary()), pa.array(tokens, pa.binary())], ["node", "size", "histogram", "tokens"])
+            tokens = [np.unique(found[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(tokens, pa.binary())], ["node", "tokens"])
 
-    return cut(rows.mapInArrow(task, "node long, size long, histogram binary, tokens binary"), "sets")
+    return rows.select("node", "text").mapInArrow(task, "node long, tokens binary")
 
 
-def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that link: first by the histograms' bound, then by the sets themselves."""
+def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that link: first by the histograms' bound, then by the sets themselves. ``nodes``: node, size, histogram."""
 
-    def compare(column: str, overlap):
+    def keep(column: str, shared) -> Callable:
         def task(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             for batch in batches:
                 n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b"))
-                both = np.array([overlap(x.as_py(), y.as_py()) for x, y in zip(batch.column(f"{column}_a"), batch.column(f"{column}_b"))], np.int64)
-                keep = pa.array(similar(both, n_a, n_b))
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+                both = np.array([shared(x.as_py(), y.as_py()) for x, y in zip(batch.column(f"{column}_a"), batch.column(f"{column}_b"))], np.int64)
+                ok = pa.array(similar(both, n_a, n_b))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b", "size_a", "size_b")], ["a", "b", "size_a", "size_b"])
 
         return task
 
-    def bins(x: bytes) -> np.ndarray:
-        return np.frombuffer(x, np.uint16 if len(x) == 2 * BINS else np.uint32).astype(np.int64)
+    schema = "a long, b long, size_a long, size_b long"
+    rows = pairs.distinct()
+    for side in "ab":
+        rows = rows.join(nodes.select(*[F.col(c).alias(f"{c}_{side}" if c != "node" else side) for c in ("node", "size", "histogram")]), side)
+    maybe = cut(rows.select("a", "b", "size_a", "size_b", "histogram_a", "histogram_b").mapInArrow(keep("histogram", overlap_bound), schema), "maybe")
+    known = cut(sets(texts, maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    rows = maybe
+    for side in "ab":
+        rows = rows.join(known.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+    return cut(rows.select("a", "b", "size_a", "size_b", "tokens_a", "tokens_b").mapInArrow(keep("tokens", overlap), schema).select("a", "b"), "links")
 
-    def with_column(df: DataFrame, column: str) -> DataFrame:
-        for side in "ab":
-            df = df.join(known.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col(column).alias(f"{column}_{side}")), side)
-        return df.select("a", "b", "size_a", "size_b", f"{column}_a", f"{column}_b")
 
-    maybe = with_column(pairs.distinct(), "histogram").mapInArrow(compare("histogram", lambda x, y: int(np.minimum(bins(x), bins(y)).sum())), "a long, b long")
-    maybe = cut(maybe, "maybe")
-    return cut(with_column(maybe, "tokens").mapInArrow(compare("tokens", lambda x, y: len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True))), "a long, b long"), "links")
+def labelled(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """The matrix: entries with their groups, of the tokens that several groups have, with the token's nodes ``n``, its largest
+    group ``top`` and how many pairs of nodes of different groups it has."""
+    rows = entries.join(groups, F.col("node") == F.col("member"), "left").select("token", "node", "size", F.coalesce("component", "node").alias("grp"))
+    rows = cut(rows, "labelled")
+    each = rows.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("k"))
+    lists = each.groupBy("token").agg(F.sum("k").alias("n"), F.max_by("grp", F.struct("k", "grp")).alias("top"), F.max("k").alias("most"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
+    return rows.join(lookup(lists.filter("pairs > 0"), "lists"), "token")
 
 
-def across(entries: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
-    """Pairs of nodes of different groups that share a rare token and whose sizes fit."""
-    labelled = entries.join(groups, F.col("node") == F.col("member"), "left").select("token", "node", "size", F.coalesce("component", "node").alias("grp"))
-    mixed = labelled.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
-    labelled = labelled.join(cut(mixed, "mixed"), "token", "left_semi").withColumn("p", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
+def across(matrix_rows: DataFrame, parts: int) -> DataFrame:
+    """Pairs of nodes of different groups that share a rare token and whose sizes fit, of short lists."""
+    rows = matrix_rows.select("token", "node", "size", "grp").withColumn("p", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
 
     def task(table):
         import pyarrow as pa
@@ -239,7 +312,47 @@ def across(entries: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return labelled.groupBy("p").applyInArrow(task, "a long, b long")
+    return rows.groupBy("p").applyInArrow(task, "a long, b long")
+
+
+def opened(matrix_rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of the long lists: the nodes outside a list's largest group are its queries, and its nodes' sets are opened for
+    them, in blocks of at most about ``OPEN`` nodes on each side. A query gives one link for each group that it reaches."""
+    rows = matrix_rows.select("token", "node", "size", "grp", (F.col("grp") != F.col("top")).alias("asks"), F.ceil(F.col("n") / OPEN).cast("int").alias("m"), F.greatest(F.ceil((F.col("n") - F.col("most")) / OPEN), F.lit(1)).cast("int").alias("q"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.withColumn("mb", block("m")).withColumn("qb", every("q")).withColumn("asks", F.lit(False))
+    queries = rows.filter("asks").withColumn("qb", block("q")).withColumn("mb", every("m"))
+    columns = ("token", "qb", "mb", "node", "size", "grp", "asks")
+    both = members.select(*columns).unionByName(queries.select(*columns))
+    known = cut(sets(texts, rows.select("node").distinct()), "sets")
+
+    def task(table):
+        import pyarrow as pa
+
+        node, size, grp, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "grp", "asks"))
+        bodies = [np.frombuffer(x, U64) for x in windows.blobs(table.column("tokens"))]
+        lengths = np.array([len(x) for x in bodies])
+        names, at = np.unique(np.concatenate(bodies), return_inverse=True)
+        row = np.repeat(np.arange(len(bodies)), lengths)
+        wide = np.bincount(at, minlength=len(names)) > 1
+        place = np.cumsum(wide) - 1
+        row, at = row[wide[at]], place[at[wide[at]]]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        ask, have = np.flatnonzero(asks), np.flatnonzero(~asks)
+        shared = np.zeros((len(ask), len(have)), np.float32)  # counts below 2**24 are exact
+        for first in range(0, int(wide.sum()), 2048):
+            lo, hi = np.searchsorted(at, [first, first + 2048])
+            part = np.zeros((len(bodies), 2048), np.float32)
+            part[row[lo:hi], at[lo:hi] - first] = 1
+            shared += part[ask] @ part[have].T
+        x, y = np.nonzero(similar(shared.astype(np.int64), size[ask][:, None], size[have][None, :]) & (grp[ask][:, None] != grp[have][None, :]))
+        a, b = ask[x], have[y]
+        _, one = np.unique(np.stack([node[a], grp[b]], axis=1), axis=0, return_index=True)
+        return pa.table([pa.array(node[a[one]]), pa.array(node[b[one]])], names=["a", "b"])
+
+    return cut(both.join(known, "node").groupBy("token", "qb", "mb").applyInArrow(task, "a long, b long"), "links")
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -249,14 +362,19 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[D
     texts = cut(exact.distinct_texts(rows), "texts")
     members = cut(exact.members(rows), "members")
     found = matrix(texts, sketch(texts))
-    entries = found.filter("kind = 0").select(F.col("x").alias("token"), F.col("y").alias("node"), "size")
-    known = sets(texts, entries.select("node").distinct())
-    near = verify(found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")), known)
+    entries = cut(possible(found), "entries")
+    nodes = found.filter("kind = 2").select(F.col("x").alias("node"), F.col("y").alias("size"), "histogram")
+    able = lookup(entries.select(F.col("node").alias("able")).distinct(), "able")
+    near = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    for side in "ab":
+        near = near.join(able, F.col(side) == F.col("able"), "left_semi")
+    near = verify(near, nodes, texts)
     groups = lookup(components(near).withColumnRenamed("node", "member"), "groups")
-    far = verify(across(entries, groups, 2 * spread(texts)), known)
-    linked = lookup(components(near.unionByName(far)), "components")
-    nodes = found.filter("kind = 2").select(F.col("x").alias("node"), F.col("y").alias("n_shingles"))
-    return members, nodes.join(linked, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    rows = cut(labelled(entries, groups), "rows")
+    far = verify(across(rows.filter(F.col("pairs") <= LISTED), 2 * spread(texts)), nodes, texts)
+    wide = opened(rows.filter(F.col("pairs") > LISTED), texts)
+    linked = lookup(components(near.unionByName(far).unionByName(wide)), "components")
+    return members, nodes.join(linked, "node", "left").select("node", F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
 
 def components_of(docs: DataFrame) -> DataFrame:
