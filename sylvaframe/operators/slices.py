@@ -116,5 +116,5 @@ def snap_coordinate(x: Column, resolution: float, offset: float, low: float, hig
 
 
 def site_of_path(path: Column) -> Column:
-    """``.../AT-Neu_forcing.dat`` -> ``AT-Neu``."""
+    """``.../AA-Bbb_forcing.dat`` -> ``AA-Bbb``."""
     return F.regexp_extract(path, r"([A-Z]{2}-[A-Za-z0-9]{3})[^/]*$", 1)

@@ -194,10 +194,10 @@ def _(s, d):
     return J.common_sites(T.sites(s, d), a, b, "site")
 
 
-@add("j14_cross_design", "SELECT r_name AS model, n_name AS pathway, s_suppkey AS site FROM region CROSS JOIN nation CROSS JOIN supplier WHERE s_suppkey <= 20")
+@add("j14_cross_design", "SELECT r_name AS model, n_name AS pathway, s_suppkey AS site FROM region CROSS JOIN nation CROSS JOIN supplier")
 def _(s, d):
     name = lambda t, c, n: T.table(s, d, t).select(F.col(c).alias(n))
-    return J.cross_design(name("region", "r_name", "model"), name("nation", "n_name", "pathway"), name("supplier", "s_suppkey", "site").filter("site <= 20"))
+    return J.cross_design(name("region", "r_name", "model"), name("nation", "n_name", "pathway"), name("supplier", "s_suppkey", "site"))
 
 
 CODES = ["TrBE", "TeBE", "TrBR", "TeBS", "BBS", "BNE", "TeNE", "BNS", "TeH", "TeC", "TrH", "TrC"]

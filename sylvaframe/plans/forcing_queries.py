@@ -16,13 +16,13 @@ from .ensemble_queries import CODES, NEAREST
 book = Book()
 add = book.add
 DOY = "days AS (SELECT CAST(i + 1 AS INTEGER) AS doy, CAST(month(DATE '2001-01-01' + CAST(i AS INTEGER)) AS INTEGER) AS month FROM range(0, 365) t(i))"
-DEP = "dep AS (SELECT s.site, f.family, m.year, m.month, m.value * s.site * f.k / 1e15 AS value FROM monthly m CROSS JOIN (SELECT site FROM sites WHERE site <= 3) s CROSS JOIN (VALUES ('historic', 1.0), ('rcp85', 2.0)) f(family, k))"
+DEP = "dep AS (SELECT s.site, f.family, m.year, m.month, m.value * s.site * f.k / 1e15 AS value FROM monthly m CROSS JOIN sites s CROSS JOIN (VALUES ('historic', 1.0), ('rcp85', 2.0)) f(family, k))"
 
 
 def deposition(s, d):
-    sites = T.sites(s, d).filter("site <= 3").select("site")
+    sites = T.sites(s, d).select("site")
     families = s.createDataFrame([("historic", 1.0), ("rcp85", 2.0)], "family STRING, k DOUBLE")
-    return T.monthly(s, d).crossJoin(F.broadcast(sites)).crossJoin(F.broadcast(families)).select("site", "family", "year", "month", (F.col("value") * F.col("site") * F.col("k") / 1e15).alias("value"))
+    return T.monthly(s, d).crossJoin(sites).crossJoin(F.broadcast(families)).select("site", "family", "year", "month", (F.col("value") * F.col("site") * F.col("k") / 1e15).alias("value"))
 
 
 @add("g01_n_deposition", f"WITH {DOY}, {DEP} SELECT site, year, doy, round(value * 86400 * 1e6, 6) AS value FROM dep JOIN days USING (month) WHERE family = CASE WHEN year < 1996 THEN 'historic' ELSE 'rcp85' END", "monthly sites")
@@ -69,7 +69,7 @@ def _(s, d):
     return r_all(G.add_c14(T.sites(s, d).select("site", "lat").crossJoin(a.select("year")), bands).select("site", "lat", "year", "co2DC14"), 4)
 
 
-MET = "met AS (SELECT 1 + l_suppkey % 3 AS site, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(dayofyear(l_shipdate) AS INTEGER) AS doy, avg(l_quantity) AS t_air, avg(l_tax) AS wind_air FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2000 AND dayofyear(l_shipdate) <= 365 GROUP BY 1, 2, 3)"
+MET = "met AS (SELECT l_suppkey AS site, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(dayofyear(l_shipdate) AS INTEGER) AS doy, avg(l_quantity) AS t_air, avg(l_tax) AS wind_air FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2000 AND dayofyear(l_shipdate) <= 365 GROUP BY 1, 2, 3)"
 ASSEMBLED = ("site", "year", "doy", "t_air", "wind_air", "co2_mixing_ratio", "co2_dC13", "co2DC14", "nhx_srf_down", "noy_srf_down", "p_srf_down")
 
 
@@ -79,7 +79,7 @@ SELECT met.site, met.year, met.doy, round(t_air, 6) AS t_air, round(greatest(win
   round(CASE WHEN s.lat > 30 THEN a.value WHEN s.lat > -30 THEN a.value * 2 ELSE a.value * 3 END, 4) AS "co2DC14", round(n.value, 6) AS nhx_srf_down, round(n.value * 2, 6) AS noy_srf_down, met.site / 365.0::DOUBLE AS p_srf_down
 FROM met JOIN sites s USING (site) JOIN annual a USING (year) JOIN n ON n.site = met.site AND n.year = met.year AND n.doy = met.doy""", "monthly sites annual")
 def _(s, d):
-    rows = T.table(s, d, "lineitem").groupBy((1 + F.col("l_suppkey") % 3).alias("site"), F.year("l_shipdate").alias("year"), F.dayofyear("l_shipdate").alias("day"))
+    rows = T.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("site"), F.year("l_shipdate").alias("year"), F.dayofyear("l_shipdate").alias("day"))
     met = rows.agg(F.avg("l_quantity").alias("t_air"), F.avg("l_tax").alias("wind_air")).filter("year BETWEEN 1995 AND 2000 AND day <= 365").join(T.sites(s, d).select("site", "lat"), "site")
     a = T.annual(s, d)
     times = lambda k: a.withColumn("value", F.col("value") * k)
@@ -143,7 +143,7 @@ def _(s, d):
 
 @add("d01_monthly_to_daily_clamped", f"""WITH {LINE},
 lo AS (SELECT *, CASE WHEN y < 51000 THEN 51000.0 ELSE y - (y - 51000) * (CASE WHEN sum(greatest(y - 51000, 0)) OVER w > 0 THEN sum(greatest(51000 - y, 0)) OVER w / sum(greatest(y - 51000, 0)) OVER w ELSE 0 END) END AS z FROM o WINDOW w AS (PARTITION BY year, month))
-SELECT year, month, CAST(dayofyear(make_date(2001, month, 1)) + i2 AS INTEGER) AS doy, round(greatest(z, 51000.0), 4) AS value FROM lo WHERE month <= 12""", "monthly")
+SELECT year, month, CAST(dayofyear(make_date(2001, month, 1)) + i2 AS INTEGER) AS doy, round(greatest(z, 51000.0), 4) AS value FROM lo""", "monthly")
 def _(s, d):
     # the minimum is below every monthly mean only where the data allow it: months whose mean is lower keep the minimum
     return r_all(D.monthly_to_daily(T.monthly(s, d), [], low=51000.0), 4)

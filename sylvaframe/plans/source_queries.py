@@ -32,12 +32,12 @@ def wide_output(s, d) -> DataFrame:
     return T.table(s, d, "lineitem").select((F.col("l_suppkey") % 10).cast("int").alias("fid"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("gpp"), F.col("l_discount").alias("npp"), F.col("l_tax").alias("qle"))
 
 
-@add("s01_run_catalog", "SELECT CAST(site AS VARCHAR) AS fid, v.* FROM sites CROSS JOIN (VALUES ('Q_ASSIMI', 'fluxnetdata', 'timestep'), ('VEG', 'transient', 'daily'), ('SPQ', 'spinup', 'yearly')) v(cat, sim_type, time_res) WHERE site <= 50", "sites")
+@add("s01_run_catalog", "SELECT CAST(site AS VARCHAR) AS fid, v.* FROM sites CROSS JOIN (VALUES ('Q_ASSIMI', 'fluxnetdata', 'timestep'), ('VEG', 'transient', 'daily'), ('SPQ', 'spinup', 'yearly')) v(cat, sim_type, time_res)", "sites")
 def _(s, d):
     # one small file for each supplier and kind of output; the run is the folder above
     root = scratch(s)
     kinds = s.createDataFrame([("Q_ASSIMI_fluxnetdata_timestep.txt",), ("VEG_transient_daily.txt",), ("SPQ_spinup_yearly.txt",)], "f STRING")
-    rows = T.sites(s, d).filter("site <= 50").crossJoin(F.broadcast(kinds)).select("site", "f", F.col("lon").cast("string").alias("value"))
+    rows = T.sites(s, d).crossJoin(F.broadcast(kinds)).select("site", "f", F.col("lon").cast("string").alias("value"))
     rows.write.partitionBy("site", "f").text(root)
     # Spark names the files itself, so the folders stand for names: site=7/f=NAME/part-... -> 7/NAME
     files = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")

@@ -160,9 +160,9 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "7" / "forcing.dat").write_text("year doy hour\n-  -  h\n 2000 1   0.5\n2000 1 1.0\n")
     assert [(r.year, r.hour) for r in readers.read_forcing(spark, str(tmp_path / "7"), ["year", "doy", "hour"]).orderBy("hour").collect()] == [(2000.0, 0.5), (2000.0, 1.0)]
     assert readers.whole_texts(spark, str(tmp_path)).first().fid == 7
-    (tmp_path / "sites.dat").write_text("Site-ID lon lat\nDE-Hai 10.4 51.1\nFR-Pue 3.6 -9999\n")
+    (tmp_path / "sites.dat").write_text("Site-ID lon lat\nDE-Abc 10.4 51.1\nFR-Xyz 3.6 -9999\n")
     sites = readers.read_site_text(spark, str(tmp_path / "sites.dat")).select(F.col("Site-ID").alias("site"), F.col("lat").cast("double").alias("lat"))
-    assert sorted(one(readers.read_sites(sites))) == [("DE-Hai", 51.1), ("FR-Pue", None)]
+    assert sorted(one(readers.read_sites(sites))) == [("DE-Abc", 51.1), ("FR-Xyz", None)]
     lines = writers.forcing_lines(spark.createDataFrame([("a", 2000, 1, 0.5)], "site STRING, year INT, doy INT, hour DOUBLE"), ["year", "hour"], ["-", "h"])
     assert [r.value for r in lines.orderBy("at").collect()] == ["year hour", "- h", "2000 0.5"]
 
