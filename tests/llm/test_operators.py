@@ -158,6 +158,22 @@ def test_jaccard_join_finds_every_link(spark, tmp_path):
     assert sorted(tuples(join.components_of(on_disk(spark, tmp_path, rows)))) == jaccard(rows)
 
 
+@pytest.mark.parametrize("listed, size", [(-1, 1024), (-1, 3), (4, 2), (1 << 40, 1024)])
+def test_long_lists_give_the_same_links(spark, tmp_path, monkeypatch, listed, size):
+    monkeypatch.setattr(join, "LISTED", listed)
+    monkeypatch.setattr(join, "OPEN", size)
+    rng = np.random.default_rng(4)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for k in range(60):  # one large group of half-similar texts
+        words = list(base)
+        for i in rng.choice(100, int(rng.integers(0, 5)), replace=False):
+            words[i] = f"m{k}x{i}"
+        rows.append((k, " ".join(words)))
+    want = jaccard(rows)
+    assert 1 < len({c for _, _, c in want}) < 60
+    assert sorted(tuples(join.components_of(on_disk(spark, tmp_path, rows)))) == want
+
+
 def test_keeping_one_of_each_group(spark, tmp_path):
     df = on_disk(spark, tmp_path)
     kept = join.keep_one(df)
@@ -168,7 +184,9 @@ def test_keeping_one_of_each_group(spark, tmp_path):
     assert got[None] == 2 and got[2] == got[3] == got[4] == 1
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("each", [1_000_000, 40])
+def test_components_of_a_long_chain(spark, monkeypatch, each):
+    monkeypatch.setattr(components, "CONTRACTED", each)
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a LONG, b LONG")
     got = dict(tuples(components.components(links)))
     assert {got[i] for i in range(201)} == {0} and got[501] == 500
