@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .env import cut, ready, spread
 
-CAPACITY, NODES = 1024, 20_000
+CAPACITY, NODES = 1024, 2_000
 
 
 def lower_bound(counts: np.ndarray) -> int:
