@@ -9,11 +9,13 @@ tokenizer's model. ``tests/llm`` compares the ids with those of whole-text encod
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 END = 2
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
+MARKS = frozenset(".,!?;:")
 #: Texts of other characters than these are split with the full pattern: here letters, digits and spaces are the classes below.
 PLAIN = re.compile("[^\t\n\r -~À-ſ]")
 SPLIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\t\n\r 0-9A-Za-zÀ-ÖØ-öø-ſ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
@@ -45,10 +47,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         # special tokens' strings in a text are ordinary text, as only the model itself is asked
-        model, letters = Tokenizer.from_file(path).model, byte_letters()
+        self.model, self.letters = Tokenizer.from_file(path).model, byte_letters()
         self.any = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.words = Known(lambda word: b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]))
-        self.pieces = Known(lambda piece: self.plain(" " + piece))
+        self.words, self.pieces = Known(self.word), Known(self.piece)
+
+    def word(self, word: str) -> bytes:
+        """The ids of one pre-token."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of what stands after a space: mostly a word, or a word and a mark."""
+        if piece.isalpha() and (piece.isascii() or not PLAIN.search(piece)):
+            return self.word(" " + piece)
+        if piece[-1:] in MARKS and piece[:-1].isalpha() and not PLAIN.search(piece):
+            return self.pieces[piece[:-1]] + self.words[piece[-1]]
+        return self.plain(" " + piece)
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, (self.any if PLAIN.search(text) else SPLIT).findall(text)))
