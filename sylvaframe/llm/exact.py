@@ -12,6 +12,9 @@ shuffled, and the result stays the same.
 Groups that are hot in the filter are salted: their rows are dealt over ``salts`` keys, and the group's single
 result row is repeated for each of them.
 
+Rows are told apart by Spark's row numbers, so the input must give the same rows in the same partitions whenever it is
+read, as files do; write a shuffled result to a table before (``env.cut``).
+
 Defined cases: a null text counts as empty; a null id is the smallest id; of rows that share text *and* id
 exactly one stays; an empty table gives an empty result; extra columns are carried by ``drop_exact_duplicates``
 and ignored by ``exact_duplicates``.

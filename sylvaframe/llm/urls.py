@@ -18,12 +18,14 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .env import cut, ready, spread
+from .env import ready, spread
 
 #: Fixed rules of the registered query: (verdict, host, path).
 RULES = [
@@ -88,6 +90,26 @@ def sweep(batches: Iterator, default: str) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["page_id", "host", "path", "rule", "verdict"])
 
 
+def deal(batches: Iterator, bounds: list[str]) -> Iterator:
+    """The part of each url, and each rule once for every part that its interval touches. A key's parts are those from the
+    boundaries below it to the ones not above it."""
+    import pyarrow as pa
+
+    for batch in batches:
+        take, parts = [], []
+        for i, (key, is_url, page_id, path) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_key", "_is_url", "page_id", "path")))):
+            first = bisect_left(bounds, key)
+            if is_url:
+                last = bisect_right(bounds, key)
+                parts.append(first if first == last else first + crc32(f"{page_id}{path}".encode()) % (last - first + 1))
+                take.append(i)
+            else:
+                span = range(first, bisect_right(bounds, key + "\U0010ffff") + 1)
+                parts += span
+                take += [i] * len(span)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *batch.take(pa.array(take, pa.int64())).columns], ["_part", *batch.schema.names])
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", page_id: str = "page_id", parts: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages``; ``rules``: (verdict, host, path)."""
     ready(pages.sparkSession, 5000)
@@ -99,16 +121,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     share = min(1.0, SAMPLE * parts / max(n, 1))
     seen = sorted(r[0] for r in urls.select("_key").sample(share, 7).limit(2 * SAMPLE * parts).collect())  # bounded by the number of parts
     bounds = [seen[len(seen) * k // parts] for k in range(1, parts)] if seen else []
-    fences = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<string>")
-    # a key's first and last part: the boundaries below it, and those not above it
-    first = lambda key: F.size(F.filter(fences, lambda b: b < key))
-    last = lambda key: F.size(F.filter(fences, lambda b: b <= key))
-    dealt = urls.withColumn("_part", first(F.col("_key")) + F.pmod(F.xxhash64("page_id", "path"), last(F.col("_key")) - first(F.col("_key")) + 1).cast("int"))
+    columns = "_part int, _key string, _is_url boolean, page_id long, host string, path string, _verdict string"
     rules = rules.select(F.col("verdict").alias("_verdict"), F.translate("host", *LOWER).alias("host"), "path").withColumn("_key", host_key(F.col("host")))
-    rules = rules.withColumn("_part", F.explode(F.sequence(first(F.col("_key")), last(F.concat("_key", F.lit("\U0010ffff"))))))
-    rows = dealt.select("_part", "_key", F.lit(True).alias("_is_url"), "page_id", "host", "path", F.lit(None).cast("string").alias("_verdict")).unionByName(
-        rules.select("_part", "_key", F.lit(False).alias("_is_url"), F.lit(None).cast("long").alias("page_id"), "host", "path", "_verdict")
+    rows = urls.select("_key", F.lit(True).alias("_is_url"), "page_id", "host", "path", F.lit(None).cast("string").alias("_verdict")).unionByName(
+        rules.select("_key", F.lit(False).alias("_is_url"), F.lit(None).cast("long").alias("page_id"), "host", "path", "_verdict")
     )
+    rows = rows.mapInArrow(lambda batches: deal(batches, bounds), columns)
     rows = rows.repartition(parts, "_part").sortWithinPartitions("_part", "_key", "_is_url", "path", "_verdict")
     return rows.mapInArrow(lambda b: sweep(b, default), "page_id long, host string, path string, rule string, verdict string")
 
