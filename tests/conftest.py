@@ -7,7 +7,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
-DATA = os.environ.get("TEST_DATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")

@@ -1,8 +1,7 @@
 """Every registered query of the library against its SQL, on the smallest tables."""
 
 import pytest
-from compare import connect, same
-from conftest import DATA
+from compare import DATA, connect, same
 
 from sylvaframe.plans import registry
 
