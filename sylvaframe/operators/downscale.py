@@ -75,20 +75,24 @@ def solar_geometry(lat: Column, lon: Column, doy: Column) -> Column:
     return slots(lambda hour: S.cos_zenith(lat, lon, doy, hour))
 
 
-def diurnal_par(par_day: Column, cosines: Column, doy: Column) -> Column:
-    """Light of the 48 slots: the beam's part follows the light that a clear sky lets through, the diffuse part the sun's height."""
-    above = SOLAR * (1.0 + 0.033 * F.cos(doy / 365.0 * 2 * math.pi))
-    sky = total(F.transform(cosines, lambda c: c * above * SLOT_SECONDS * TO_MJ))
-    diffuse = S.diffuse_fraction(F.coalesce(F.try_divide(par_day / PAR_PER_SW, sky), F.lit(1.0)))
+def diurnal_par(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, slot, par, par_mean) from (keys, par_day, doy, cz): the beam's part of the light follows what a clear sky lets
+    through, the diffuse part the sun's height. Sums of a day are columns of the day, so that slots only multiply."""
     beam_of = lambda c: F.when((c > 0) & (F.acos(c) < math.radians(80)), c * F.pow(F.lit(CLEAR), F.try_divide(F.lit(1.0), c))).otherwise(0.0)
-    beams = F.transform(cosines, beam_of)
-    sum_beam, sum_sky = total(beams), total(cosines)
-    beam, spread = F.when(sum_beam > 0, F.try_divide(par_day * (1 - diffuse), sum_beam)).otherwise(0.0), F.when(sum_sky > 0, F.try_divide(par_day * diffuse, sum_sky)).otherwise(0.0)
-    return F.zip_with(beams, cosines, lambda b, c: b * beam + c * spread)
+    days = df.withColumn("_beams", F.transform("cz", beam_of)).withColumns({"_sum_beam": total(F.col("_beams")), "_sum_sky": total(F.col("cz"))})
+    rows = days.select(*keys, "par_day", "doy", "_sum_beam", "_sum_sky", F.posexplode(F.arrays_zip("_beams", "cz")).alias("slot", "_z"))
+    sky = F.col("_sum_sky") * SOLAR * (1.0 + 0.033 * F.cos(F.col("doy") / 365.0 * 2 * math.pi)) * SLOT_SECONDS * TO_MJ
+    diffuse = S.diffuse_fraction(F.coalesce(F.try_divide(F.col("par_day") / PAR_PER_SW, sky), F.lit(1.0)))
+    beam = F.when(F.col("_sum_beam") > 0, F.col("par_day") * (1 - diffuse)).otherwise(0.0)
+    spread = F.when(F.col("_sum_sky") > 0, F.col("par_day") * diffuse).otherwise(0.0)
+    rows = rows.withColumns({"_beam": beam, "_spread": spread})
+    share = lambda part, whole, light: F.coalesce(F.try_divide(F.col(part) * F.col(light), F.col(whole)), F.lit(0.0))
+    return rows.select(*keys, "slot", (share("_z._beams", "_sum_beam", "_beam") + share("_z.cz", "_sum_sky", "_spread")).alias("par"), ((F.col("_beam") + F.col("_spread")) / float(SLOTS)).alias("par_mean"))
 
 
-def diurnal_temperature(t_min: Column, t_max: Column, lat: Column, doy: Column) -> Column:
-    return slots(lambda hour: S.diurnal_temperature(t_min, t_max, S.day_length(lat, doy), hour))
+def diurnal_temperature(t_min: Column, t_max: Column, length: Column) -> Column:
+    """The 48 temperatures of a day; ``length`` is a column of the day (``S.day_length``)."""
+    return slots(lambda hour: S.diurnal_temperature(t_min, t_max, length, hour))
 
 
 def diurnal_humidity(temperature: Column, pressure: Column, rh: Column) -> Column:
@@ -99,18 +103,19 @@ def diurnal_vpd(temperature: Column, rh: Column) -> Column:
     return F.transform(temperature, lambda t: S.saturation_pressure(t) * (1.0 - rh))
 
 
-def diurnal_shortwave(sw_day: Column, par: Column) -> Column:
-    """The day's mean in the shape of the light; nothing on a dark day."""
-    mean = total(par) / float(SLOTS)
-    return F.transform(par, lambda x: F.when(mean > 0.0001, F.try_divide(sw_day * x, mean)).otherwise(0.0))
+def diurnal_shortwave(sw_day: Column, par: Column, par_mean: Column) -> Column:
+    """A slot's share of the day's mean in the shape of the light; nothing on a dark day."""
+    return F.when(par_mean > 0.0001, F.try_divide(sw_day * par, par_mean)).otherwise(0.0)
 
 
-def diurnal_longwave(low: Column, high: Column, mean: Column, temperature: Column) -> Column:
-    """Linear in temperature between the day's bounds, scaled to the day's mean; the mean on a day of one temperature."""
-    t0, t1 = F.array_min(temperature), F.array_max(temperature)
-    raw = F.transform(temperature, lambda t: F.when(t1 > t0, F.try_divide((high - low) * t - (high * t0 - low * t1), t1 - t0)).otherwise(mean))
-    average = total(raw) / float(SLOTS)
-    return F.transform(raw, lambda x: F.when(average < 0.0001, 0.0).otherwise(F.try_divide(x * mean, average)))
+def diurnal_longwave(df: DataFrame, keys: list[str], low: Column, high: Column, mean: Column) -> DataFrame:
+    """(keys, slot, lw) from (keys, t): linear in temperature between the day's bounds, scaled to the day's mean; the mean on a
+    day of one temperature (within 1e-6). The mean of a linear function is the function of the mean, so a slot needs no sum."""
+    days = df.withColumns({"_low": low, "_high": high, "_mean": mean, "_t0": F.array_min("t"), "_t1": F.array_max("t"), "_avg": total(F.col("t")) / float(SLOTS)})
+    rows = days.select(*keys, "_low", "_high", "_mean", "_t0", "_t1", "_avg", F.posexplode("t").alias("slot", "_t"))
+    line = lambda t: F.when(F.col("_t1") - F.col("_t0") > 1e-6, F.try_divide((F.col("_high") - F.col("_low")) * F.col(t) - (F.col("_high") * F.col("_t0") - F.col("_low") * F.col("_t1")), F.col("_t1") - F.col("_t0"))).otherwise(F.col("_mean"))
+    rows = rows.withColumns({"_raw": line("_t"), "_whole": line("_avg")})
+    return rows.select(*keys, "slot", F.when(F.col("_whole") < 0.0001, 0.0).otherwise(F.try_divide(F.col("_raw") * F.col("_mean"), F.col("_whole"))).alias("lw"))
 
 
 def explode_slots(df: DataFrame, arrays: list[str], keys: list[str]) -> DataFrame:

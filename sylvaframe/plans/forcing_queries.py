@@ -181,11 +181,11 @@ def sun(s, d):
 
 
 def par(s, d):
-    return sun(s, d).withColumn("par", D.diurnal_par(F.col("par_day"), F.col("cz"), F.col("doy")))
+    return D.diurnal_par(sun(s, d), ["site", "doy"])
 
 
 def temperature(s, d):
-    return days(s, d).withColumn("t", D.diurnal_temperature(F.col("t_min"), F.col("t_max"), F.col("lat"), F.col("doy")))
+    return days(s, d).withColumn("length", S.day_length(F.col("lat"), F.col("doy"))).withColumn("t", D.diurnal_temperature(F.col("t_min"), F.col("t_max"), F.col("length")))
 
 
 @add("d03_solar_geometry", f"WITH {SUN} SELECT site, doy, slot, round(cz, 6) AS cz FROM sun", "sites")
@@ -195,7 +195,7 @@ def _(s, d):
 
 @add("d04_diurnal_par", f"WITH {PAR} SELECT site, doy, slot, round(par, 6) AS par FROM par", "sites")
 def _(s, d):
-    return r_all(D.explode_slots(par(s, d), ["par"], ["site", "doy"]))
+    return r_all(par(s, d).drop("par_mean"))
 
 
 @add("d05_diurnal_temperature", f"WITH {TEMP} SELECT site, doy, slot, round(t, 6) AS t FROM temp", "sites")
@@ -214,14 +214,13 @@ def _(s, d):
 
 @add("d07_diurnal_shortwave", f"WITH {PAR} SELECT site, doy, slot, round(CASE WHEN avg(par) OVER (PARTITION BY site, doy) > 0.0001 THEN 180.0 * par / avg(par) OVER (PARTITION BY site, doy) ELSE 0 END, 5) AS sw FROM par", "sites")
 def _(s, d):
-    return r_all(D.explode_slots(par(s, d).withColumn("sw", D.diurnal_shortwave(F.lit(180.0), F.col("par"))), ["sw"], ["site", "doy"]), 5)
+    return r_all(par(s, d).select("site", "doy", "slot", D.diurnal_shortwave(F.lit(180.0), F.col("par"), F.col("par_mean")).alias("sw")), 5)
 
 
-@add("d08_diurnal_longwave", f"""WITH {TEMP}, raw AS (SELECT *, CASE WHEN max(t) OVER w = min(t) OVER w THEN 300 ELSE (360.0 - 240) / (max(t) OVER w - min(t) OVER w) * t - (360.0 * min(t) OVER w - 240.0 * max(t) OVER w) / (max(t) OVER w - min(t) OVER w) END AS x FROM temp WINDOW w AS (PARTITION BY site, doy))
+@add("d08_diurnal_longwave", f"""WITH {TEMP}, raw AS (SELECT *, CASE WHEN max(t) OVER w - min(t) OVER w <= 1e-6 THEN 300 ELSE (360.0 - 240) / (max(t) OVER w - min(t) OVER w) * t - (360.0 * min(t) OVER w - 240.0 * max(t) OVER w) / (max(t) OVER w - min(t) OVER w) END AS x FROM temp WINDOW w AS (PARTITION BY site, doy))
 SELECT site, doy, slot, round(CASE WHEN avg(x) OVER (PARTITION BY site, doy) < 0.0001 THEN 0 ELSE x * 300 / avg(x) OVER (PARTITION BY site, doy) END, 5) AS lw FROM raw""", "sites")
 def _(s, d):
-    lw = D.diurnal_longwave(F.lit(240.0), F.lit(360.0), F.lit(300.0), F.col("t"))
-    return r_all(D.explode_slots(temperature(s, d).withColumn("lw", lw), ["lw"], ["site", "doy"]), 5)
+    return r_all(D.diurnal_longwave(temperature(s, d), ["site", "doy"], F.lit(240.0), F.lit(360.0), F.lit(300.0)), 5)
 
 
 # X: designs
