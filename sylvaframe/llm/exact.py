@@ -12,8 +12,9 @@ shuffled, and the result stays the same.
 Groups that are hot in the filter are salted: their rows are dealt over ``salts`` keys, and the group's single
 result row is repeated for each of them.
 
-Rows are told apart by Spark's row numbers, so the input must give the same rows in the same partitions whenever it is
-read, as files do; write a shuffled result to a table before (``env.cut``).
+Nothing depends on how a scan cuts or orders the input, which changes when executors come or go: rows are joined by their
+digests. Where rows that share text and id have to be told apart (``exact_duplicates``) they are numbered once, in a
+table of ids and digests (``env.cut``); a text's node is numbered once, with the text.
 
 Defined cases: a null text counts as empty; a null id is the smallest id; of rows that share text *and* id
 exactly one stays; an empty table gives an empty result; extra columns are carried by ``drop_exact_duplicates``
@@ -25,17 +26,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .env import cut
+
 LOG2_BITS, HOT_ROWS, SALTS = 26, 64, 64
 
 
-def _slots(text: Column, log2_bits: int) -> tuple[Column, Column]:
-    h, mask = F.xxhash64(text), F.lit((1 << log2_bits) - 1)
+def _slots(h: Column, log2_bits: int) -> tuple[Column, Column]:
+    mask = F.lit((1 << log2_bits) - 1)
     return h.bitwiseAND(mask), F.shiftrightunsigned(h, 64 - log2_bits)
 
 
-def repeated_slots(docs: DataFrame, text: Column, log2_bits: int = LOG2_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Pass 1: (word, repeated, hot), the 64-bit words of the filter that have a repeated slot."""
-    slot = F.explode(F.array(*_slots(text, log2_bits))).alias("slot")
+def repeated_slots(docs: DataFrame, h: Column, log2_bits: int = LOG2_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pass 1: (word, repeated, hot), the 64-bit words of the filter that have a repeated slot. ``h``: the texts' 64-bit hash."""
+    slot = F.explode(F.array(*_slots(h, log2_bits))).alias("slot")
     counts = docs.select(slot).groupBy("slot").count()
     bit = F.expr("shiftleft(1L, cast(slot & 63 AS INT))")
     return (
@@ -45,69 +48,70 @@ def repeated_slots(docs: DataFrame, text: Column, log2_bits: int = LOG2_BITS, ho
     )
 
 
-def flag_repeated(docs: DataFrame, text: Column, log2_bits: int = LOG2_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def flag_repeated(docs: DataFrame, h: Column, log2_bits: int = LOG2_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pass 2: ``docs`` with ``_maybe`` (the text may occur again) and ``_hot`` (it may occur very often)."""
-    words = F.broadcast(repeated_slots(docs, text, log2_bits, hot_rows))
+    words = F.broadcast(repeated_slots(docs, h, log2_bits, hot_rows))
     out = docs
-    for k, slot in enumerate(_slots(text, log2_bits)):
+    for k, slot in enumerate(_slots(h, log2_bits)):
         own = words.select(F.col("word").alias(f"_w{k}"), F.col("repeated").alias(f"_r{k}"), F.col("hot").alias(f"_h{k}"))
         out = out.withColumn(f"_s{k}", slot).join(own, F.shiftright(F.col(f"_s{k}"), 6) == F.col(f"_w{k}"), "left")
     hit = lambda kind: F.expr(" AND ".join(f"coalesce(shiftright(_{kind}{k}, cast(_s{k} & 63 AS INT)) & 1L, 0L) = 1L" for k in (0, 1)))
     return out.withColumn("_maybe", hit("r")).withColumn("_hot", hit("h")).drop(*(f"_{c}{k}" for c in "wrhs" for k in (0, 1)))
 
 
-def _groups(many: DataFrame, salts: int) -> DataFrame:
-    """For each digest the row that stays and the size, once for each salt that its rows use."""
-    return (
-        many.groupBy("_sha", "_hot")
-        .agg(F.max(F.struct("_id", "_row")).alias("_stays"), F.count(F.lit(1)).alias("_size"))
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
+def _salted(groups: DataFrame, salts: int) -> DataFrame:
+    """``groups`` once for each salt that its rows use."""
+    return groups.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+
 
+def _salt(salts: int) -> Column:
+    """Deals hot rows over the salts; which row gets which makes no difference."""
+    return F.when(F.col("_hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")).otherwise(F.lit(0))
 
-def _keyed(docs: DataFrame, text: str, doc_id: str, log2_bits: int, hot_rows: int, salts: int) -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = flag_repeated(rows, body, log2_bits, hot_rows)
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    return rows.withColumn("_sha", F.sha2(body, 256)).withColumn("_id", F.col(doc_id)).withColumn("_salt", salt)
+
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit(""))
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", log2_bits: int = LOG2_BITS, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """One row per row of ``docs``: (doc_id, keep_id, group_size, kept, text_sha256)."""
-    rows = _keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id", log2_bits, hot_rows, salts)
-    once = rows.filter(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
-    many = rows.filter("_maybe").select("_id", "_row", "_sha", "_hot", "_salt")
-    found = many.drop("_hot").join(_groups(many, salts), ["_sha", "_salt"])
-    return once.unionByName(
-        found.select(F.col("_id").alias("doc_id"), F.col("_stays._id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_stays._row")).alias("kept"), F.col("_sha").alias("text_sha256"))
-    )
+    body = _body(text)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.unhex(F.sha2(body, 256)).alias("_sha"), F.xxhash64(body).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    rows = flag_repeated(cut(rows, "digests"), F.col("_hash"), log2_bits, hot_rows)
+    digest = F.lower(F.hex("_sha")).alias("text_sha256")
+    once = rows.filter(~F.col("_maybe")).select(F.col("_id").alias("doc_id"), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
+    many = rows.filter("_maybe").select("_id", "_row", "_sha", "_hot")
+    groups = many.groupBy("_sha", "_hot").agg(F.max(F.struct("_id", "_row")).alias("_stays"), F.count(F.lit(1)).alias("_size"))
+    found = many.withColumn("_salt", _salt(salts)).drop("_hot").join(_salted(groups, salts), ["_sha", "_salt"])
+    return once.unionByName(found.select(F.col("_id").alias("doc_id"), F.col("_stays._id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_stays._row")).alias("kept"), digest))
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", log2_bits: int = LOG2_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts, the row with the largest id.
     Rows whose text is surely unique are not shuffled. Columns of ``docs`` must not begin with an underscore
     followed by this module's names; others, also clashing ones such as ``word`` or ``count``, are kept."""
-    rows = _keyed(docs, text, doc_id, log2_bits, hot_rows, 1)
-    many = rows.filter("_maybe")
-    stays = many.groupBy("_sha").agg(F.max(F.struct("_id", "_row")).alias("_stays")).select(F.col("_stays._row").alias("_row"))
-    return rows.filter(~F.col("_maybe")).select(*docs.columns).unionByName(many.join(stays, "_row", "left_semi").select(*docs.columns))
-
-def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, node) for every row: the node is the same for equal texts. ``docs``: doc_id, text."""
-    rows = _keyed(docs, "text", "doc_id", LOG2_BITS, HOT_ROWS, SALTS)
-    many = rows.filter("_maybe").select("_id", "_row", "_sha", "_hot", "_salt")
-    found = many.drop("_hot").join(_groups(many, SALTS), ["_sha", "_salt"])
-    return rows.filter(~F.col("_maybe")).select("doc_id", F.col("_row").alias("node")).unionByName(found.select(F.col("_id").alias("doc_id"), F.col("_stays._row").alias("node")))
+    rows = flag_repeated(docs, F.xxhash64(_body(text)), log2_bits, hot_rows)
+    stays = F.max_by(F.struct(*docs.columns), F.struct(F.col(doc_id))).alias("_stays")  # a struct is not null where the id is
+    many = rows.filter("_maybe").groupBy(F.unhex(F.sha2(_body(text), 256)).alias("_sha")).agg(stays)
+    return rows.filter(~F.col("_maybe")).select(*docs.columns).unionByName(many.select("_stays.*"))
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(node, text) for every different text, with the nodes of ``members``."""
-    rows = _keyed(docs, "text", "doc_id", LOG2_BITS, HOT_ROWS, 1)
-    many = rows.filter("_maybe")
-    stays = many.groupBy("_sha").agg(F.max(F.struct("_id", "_row")).alias("_stays")).select(F.col("_stays._row").alias("_row"))
-    return rows.filter(~F.col("_maybe")).select(F.col("_row").alias("node"), "text").unionByName(many.join(stays, "_row", "left_semi").select(F.col("_row").alias("node"), "text"))
+    """(node, text, doc_id, _sha, _hot) for every different text of ``docs``: doc_id, text. The digest is null where the text
+    has one row only, whose id is ``doc_id``. To be written before it is used, as the nodes are numbered anew each time."""
+    rows = flag_repeated(docs.select("doc_id", "text"), F.xxhash64(_body("text")))
+    once = rows.filter(~F.col("_maybe")).select("text", "doc_id", F.lit(None).cast("binary").alias("_sha"), F.lit(False).alias("_hot"))
+    many = rows.filter("_maybe").groupBy(F.unhex(F.sha2(_body("text"), 256)).alias("_sha"), "_hot").agg(F.first(_body("text")).alias("text"))
+    many = many.select("text", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "_sha", "_hot")
+    return once.unionByName(many).select(F.monotonically_increasing_id().alias("node"), "text", "doc_id", "_sha", "_hot")
+
+
+def members(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, node) for every row of ``docs``: the node is the same for equal texts. ``texts``: ``distinct_texts(docs)`` as written."""
+    rows = flag_repeated(docs.select("doc_id", "text"), F.xxhash64(_body("text")))
+    many = rows.filter("_maybe").select("doc_id", F.unhex(F.sha2(_body("text"), 256)).alias("_sha"), _salt(SALTS).alias("_salt"))
+    named = _salted(texts.filter("_sha IS NOT NULL").select("node", "_sha", "_hot"), SALTS)
+    return texts.filter("_sha IS NULL").select("doc_id", "node").unionByName(many.join(named, ["_sha", "_salt"]).select("doc_id", "node"))
 
 
 SQL = """

@@ -360,7 +360,8 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[D
     ready(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     texts = cut(exact.distinct_texts(rows), "texts")
-    members = cut(exact.members(rows), "members")
+    members = cut(exact.members(rows, texts), "members")
+    texts = texts.select("node", "text")
     found = matrix(texts, sketch(texts))
     entries = cut(possible(found), "entries")
     nodes = found.filter("kind = 2").select(F.col("x").alias("node"), F.col("y").alias("size"), "histogram")

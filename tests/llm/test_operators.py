@@ -316,6 +316,29 @@ def test_exact_dedup(spark, tmp_path):
         assert kept.columns == frame(spark).columns
 
 
+def test_deduplication_of_rows_in_another_order_at_each_scan(spark, tmp_path):
+    rows = own_ids(awkward()) + [(200 + i, f"copy {i % 40} of a text that is long enough to count") for i in range(200)] + [(500, "tie")] * 3
+
+    def stirred(batches):  # as a scan that is cut into other parts
+        import os
+
+        import pyarrow as pa
+
+        table = pa.Table.from_batches(list(batches))
+        yield from table.take(pa.array(np.random.default_rng(int.from_bytes(os.urandom(8))).permutation(len(table)))).to_batches()
+
+    plain = on_disk(spark, tmp_path, rows, 1)
+    df = plain.mapInArrow(stirred, plain.schema)
+    groups = Counter(t or "" for _, t in rows)
+    top = {t: max(d for d, x in rows if (x or "") == t) for t in groups}
+    assert sorted((d, k, n) for d, k, n, _, _ in tuples(exact.exact_duplicates(df))) == sorted((d, top[t or ""], groups[t or ""]) for d, t in rows)
+    assert sorted(r[0] for r in tuples(exact.exact_duplicates(df)) if r[3]) == sorted(top.values())
+    assert sorted((r.doc_id, r.text or "") for r in exact.drop_exact_duplicates(df).collect()) == sorted((d, t) for t, d in top.items())
+    single = [r for r in rows if r[0] != 500]
+    df = plain.filter("doc_id != 500").mapInArrow(stirred, plain.schema)
+    assert sorted(tuples(join.components_of(df))) == jaccard(single)
+
+
 # 10
 
 
