@@ -5,10 +5,11 @@ most ``capacity`` rows reach the driver, whatever the input), bin completion pla
 pieces to the planned places.
 
 The plan: take the largest length that is left; enumerate the undominated fillings of what remains of its
-bin (if one piece fills it exactly, every other filling is dominated by that one); order them by waste; use a
-filling for as many bins as its lengths last; go on. This is a depth-first branch and bound over fillings: a branch ends
-when its waste so far already costs as many bins as the best plan known (at first best-fit decreasing), and the
-search ends when a plan meets the lower bound or after ``nodes`` steps.
+bin (if one piece fills it exactly, every other filling is dominated by that one), exact ones first; use a
+filling for as many bins as its lengths last, or for fewer when all that has been tried; go on. This is a depth-first branch
+and bound over fillings, all of which it would reach: a branch ends when its waste so far already costs as many bins as the best
+plan known (at first best-fit decreasing). The search ends when a plan meets the lower bound, or after ``nodes`` steps for each
+different length (counted as 1000 at least) without a better plan; that is its only limit.
 
 The deal: a piece is the r-th of its length, counted over hash buckets so that no length gathers in one task; the plan,
 a table of runs (length, from rank -> bin, offset), tells its bin and offset.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .env import cut, ready, spread
 
-CAPACITY, NODES = 1024, 2_000
+CAPACITY, NODES = 1024, 20
 
 
 def lower_bound(counts: np.ndarray) -> int:
@@ -70,46 +71,98 @@ def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return [x for same in opened.values() for x in same]
 
 
-def fillings(counts: np.ndarray, first: int, most: int = 24) -> list[tuple[int, ...]]:
-    """Undominated ways to fill the bin that holds ``first``, by waste; ``counts`` still has that piece."""
-    cap = len(counts) - 1
-    room = cap - first
+def greedy(have: np.ndarray, x: int, room: int) -> tuple[tuple[int, ...], int]:
+    """A filling with a piece of length ``x``, then the largest pieces until two fill it exactly or nothing fits: (lengths, room left)."""
+    mine, parts, rest = have.copy(), [x], room - x
+    mine[x] -= 1
+    while rest > 0:
+        rests = np.flatnonzero(mine[1 : rest + 1]) + 1
+        if not len(rests):
+            break
+        y = int(rests[-1])
+        if y < rest <= 2 * y:  # two pieces that end the bin exactly, if there are
+            pair = rests[(mine[rest - rests] > (rests * 2 == rest)) & (rests * 2 >= rest)]
+            if len(pair):
+                return (*parts, int(pair[-1]), rest - int(pair[-1])), 0
+        n = max(1, min(int(mine[y]), rest // y - 1))
+        mine[y] -= n
+        parts += [y] * n
+        rest -= y * n
+    return tuple(parts), rest
+
+
+def maximal(have: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """All fillings to which no piece that is left can be added, and None for each step that found none."""
+    sizes = np.flatnonzero(have[: room + 1])[::-1]
+    many = have[sizes]
+    left = [*np.cumsum((sizes * many)[::-1])[::-1].tolist(), 0]
+    sizes, many = sizes.tolist(), many.tolist()
+    stack = [(0, room, (), room + 1)]  # next length, room, lengths so far, the smallest length that some were left out of
+    while stack:
+        i, rest, parts, least = stack.pop()
+        while i < len(sizes) and sizes[i] > rest:
+            i += 1
+        if rest - left[i] >= least:  # a piece that was left out will fit
+            yield None
+        elif i == len(sizes):
+            yield parts
+        else:
+            for n in range(min(many[i], rest // sizes[i]) + 1):
+                stack.append((i + 1, rest - n * sizes[i], parts + (sizes[i],) * n, least if n == many[i] else sizes[i]))
+            yield None
+
+
+def fillings(counts: np.ndarray, first: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill the bin that holds ``first``, found one by one: exact pairs, a greedy one from each length
+    (exact ones at once, the others by waste), then the rest. ``counts`` still has that piece; None is a step that found none."""
+    room = len(counts) - 1 - first
     have = counts.copy()
     have[first] -= 1
-    if room == 0 or not have[1 : room + 1].any():
-        return [()]
-    if have[room]:
-        return [(room,)]
-    upto = np.maximum.accumulate(np.where(have > 0, np.arange(cap + 1), 0))  # the largest length there is, up to each
-    single = int(upto[room])
-    found = {(single,): room - single}
-    a = np.flatnonzero(have[: room + 1])[::-1]
-    b = np.minimum(upto[np.minimum(room - a, a)], a)
-    clash = (b == a) & (have[a] < 2)
-    b[clash] = upto[np.maximum(a[clash] - 1, 0)]
-    for x, y in zip(a[b > 0].tolist(), b[b > 0].tolist()):
-        if x + y > single:  # else one piece of length ``single`` dominates the pair
-            found[(x, y)] = room - x - y
-    for x in a[:40].tolist():  # deeper fillings, largest pieces first
-        mine, parts, rest = have.copy(), [x], room - x
-        mine[x] -= 1
-        while rest > 0 and len(parts) < 8:
-            rests = np.flatnonzero(mine[1 : rest + 1]) + 1
-            if not len(rests):
-                break
-            if len(parts) > 1 and len(rests) > 1:  # two pieces that end the bin exactly, if there are
-                pair = rests[(mine[rest - rests] > (rests * 2 == rest)) & (rests * 2 >= rest) & (rests < rest)]
-                if len(pair):
-                    parts += [int(pair[-1]), rest - int(pair[-1])]
-                    rest = 0
-                    break
-            y = int(rests[-1])
-            mine[y] -= 1
-            parts.append(y)
-            rest -= y
-        if rest >= 0 and sum(parts) > single:
-            found[tuple(sorted(parts, reverse=True))] = rest
-    return sorted(found, key=lambda f: (found[f], len(f), tuple(-x for x in f)))[:most]
+    given = set()
+    x = np.flatnonzero(have[: room + 1])[::-1]
+    for y in x[(x * 2 >= room) & (have[room - x] > (x * 2 == room))].tolist():
+        given.add((y, room - y))
+        yield y, room - y
+    later = []
+    for y in x.tolist():
+        parts, rest = greedy(have, y, room)
+        parts = tuple(sorted(parts, reverse=True))
+        if parts in given:
+            continue
+        given.add(parts)
+        if rest:
+            later.append((rest, len(parts), tuple(-z for z in parts), parts))
+        yield None if rest else parts
+    for *_, parts in sorted(later):
+        yield parts
+    for parts in maximal(have, room):
+        yield None if parts in given else parts
+
+
+def steps_of(counts: np.ndarray) -> Iterator[tuple[tuple[int, ...], int] | None]:
+    """What can be done with the largest length that is left: (lengths of a bin, number of bins), as many bins as its lengths last
+    first; None is a step that found nothing."""
+    first = int(np.flatnonzero(counts)[-1])
+    room = len(counts) - 1 - first
+
+    def times(filling: tuple[int, ...]) -> int:
+        size, need = np.unique((first, *filling), return_counts=True)
+        return int((counts[size] // need).min())
+
+    own = counts[first] - 1 if room >= first else 0
+    if not counts[1 : room + 1].any() or (room == first and not own and not counts[1:room].any()):
+        yield (first,), int(counts[first])
+        return
+    if room and (own if room == first else counts[room]):  # dominates every other filling
+        yield (first, room), times((room,))
+        return
+    for f in fillings(counts, first):
+        yield f if f is None else ((first, *f), times(f))
+    for f in fillings(counts, first):
+        yield None
+        if f is not None:
+            for n in range(times(f) - 1, 0, -1):
+                yield (first, *f), n
 
 
 def plan(counts: np.ndarray, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
@@ -118,29 +171,34 @@ def plan(counts: np.ndarray, nodes: int = NODES) -> list[tuple[tuple[int, ...],
     cap, bound, total = len(counts) - 1, lower_bound(counts), int((counts * np.arange(len(counts))).sum())
     best = best_fit(counts)
     used = sum(n for _, n in best)
-    # a node: (histogram, bins so far, waste so far, the steps that led here, fillings not yet tried)
+    quota = left = nodes * max(1000, np.count_nonzero(counts))
+    # a node: (histogram, bins so far, waste so far, the steps that led here, what can be done next)
     stack = [(counts.copy(), 0, 0, None, None)]
-    while stack and used > bound and nodes > 0:
-        have, bins, waste, steps, options = stack.pop()
+    while stack and used > bound and left > 0:
+        have, bins, waste, steps, options = stack[-1]
         if -(-(total + waste) // cap) >= used:
+            stack.pop()
             continue
         if options is None:
-            nodes -= 1
-            left = np.flatnonzero(have)
-            if not len(left):
-                best, used = [], bins
+            if not have.any():
+                best, used, left = [], bins, quota
                 while steps:
                     best.append(steps[0])
                     steps = steps[1]
+                stack.pop()
                 continue
-            options = [(int(left[-1]), *f) for f in fillings(have, int(left[-1]))]
-        if len(options) > 1:
-            stack.append((have, bins, waste, steps, options[1:]))
-        size, need = np.unique(options[0], return_counts=True)
-        times = int((have[size] // need).min())
-        after = have.copy()
-        after[size] -= need * times
-        stack.append((after, bins + times, waste + times * (cap - sum(options[0])), ((options[0], times), steps), None))
+            options = steps_of(have)
+            stack[-1] = (have, bins, waste, steps, options)
+        left -= 1
+        step = next(options, stack)
+        if step is stack:
+            stack.pop()
+        elif step is not None:
+            lengths, times = step
+            after = have.copy()
+            size, need = np.unique(lengths, return_counts=True)
+            after[size] -= need * times
+            stack.append((after, bins + times, waste + times * (cap - sum(lengths)), (step, steps), None))
     return best
 
 

@@ -240,6 +240,32 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert packing.lower_bound(counts) <= best(sizes, cap)
 
 
+def test_bin_completion_of_short_pieces_is_better_than_best_fit():
+    counts = np.zeros(1025, np.int64)
+    counts[30:101] = np.random.default_rng(0).integers(1, 2000, 71)
+    plan = packing.plan(counts)
+    used = sum(n for _, n in plan)
+    assert used == packing.lower_bound(counts) < sum(n for _, n in packing.best_fit(counts))
+    assert (sum(n * np.bincount(f, minlength=1025) for f, n in plan) == counts).all() and max(sum(f) for f, _ in plan) <= 1024
+
+
+def test_fillings_are_all_the_maximal_ones():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        counts = np.bincount(rng.integers(1, 31, 9), minlength=31)
+        first = int(np.flatnonzero(counts)[-1])
+        pieces = np.repeat(np.arange(31), counts).tolist()
+        pieces.remove(first)
+        want, room = set(), 30 - first
+        for chosen in range(1 << len(pieces)):
+            inside = tuple(sorted((x for k, x in enumerate(pieces) if chosen >> k & 1), reverse=True))
+            outside = [x for k, x in enumerate(pieces) if not chosen >> k & 1]
+            if sum(inside) <= room and all(x > room - sum(inside) for x in outside):
+                want.add(inside)
+        got = [f for f in packing.fillings(counts, first) if f is not None]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 # 7
 
 
