@@ -2,17 +2,19 @@
 
 Every window has a minimizer: the k-gram inside it with the smallest hash. Windows with equal content have the same
 minimizer, so runs of windows that share one ("contexts") can be compared by minimizer, and a context whose minimizer occurs
-only once in the table holds no repeated window. The jobs:
+only once in the table holds no repeated window. A minimizer that ``HOT`` different places have is split: each of its windows
+is a context by itself, found by its own hash, so that equal windows still meet and no part has all of them. The jobs:
 
 1. Each task takes the minimizers' fingerprints of its documents and sends them, 8 bytes each, to their part.
-2. Each part finds the fingerprints that occur more than once and tells the blocks of documents that have them.
+2. Each part finds the fingerprints that occur more than once, and those to be split, and tells the blocks of documents that
+   have them.
 3. Each block sends the contexts of those fingerprints to their part, each different one once, so that copies within
    a block do not travel and a hot context reaches its part at most once from each block.
 4. Each part compares its contexts with the operator's own method and answers, for every window asked about, whether it
    is repeated.
 5. Each block applies the answers to its documents.
 
-A block is a hash range of document ids; blocks and parts grow in number with the input, and no step holds more than
+A block is a hash range of document ids, and for words of ids and texts; blocks and parts grow in number with the input, and no step holds more than
 one of them. Long documents are handled in overlapping segments. The text is shuffled once (3 and 5 share the exchange).
 """
 
@@ -31,6 +33,8 @@ U64 = np.uint64
 CHUNK = 1 << 20
 #: Held fingerprints after which a task of step 1 sends them on.
 HELD = 1 << 22
+#: Fingerprints sent to a part (of each block two at most from each task of step 1) from which a minimizer is split.
+HOT = 1 << 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,6 +113,25 @@ def contexts(values: np.ndarray, bounds: np.ndarray, K: int, k: int) -> Contexts
     return Contexts(first, last, gram[least[at]], run_hash(prefix, first, last + K))
 
 
+def split(c: Contexts, hot: np.ndarray, values: np.ndarray, K: int) -> Contexts:
+    """``c`` in which each window of the fingerprints ``hot``, sorted, is a context by itself, under two hashes of its own."""
+    of = member(c.fp, hot)
+    if not of.any():
+        return c
+    n = (c.last - c.first + 1)[of]
+    at = np.repeat(c.first[of] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    fp, whole = (run_hash(sums(v), at, at + K) for v in (mix(values ^ U64(0xA24BAED4963EE407)), values))
+    parts = zip((c.first[~of], c.last[~of], c.fp[~of], c.whole[~of]), (at, at, fp, whole))
+    first, last, fp, whole = (np.concatenate(x) for x in parts)
+    order = np.argsort(first, kind="stable")
+    return Contexts(first[order], last[order], fp[order], whole[order])
+
+
+def member(fp: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of ``fp`` are in ``of``, which is sorted."""
+    return of[np.minimum(np.searchsorted(of, fp), len(of) - 1)] == fp if len(of) else np.zeros(len(fp), bool)
+
+
 class Block:
     """Documents of one table as units, in ascending (id, text) order. ``kind``: 'bytes' or 'words'."""
 
@@ -118,6 +141,7 @@ class Block:
 
         table = table.select(["doc_id", "text"])
         order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+        self.order = order.to_numpy()
         table = table.take(order).combine_chunks()
         text = pc.fill_null(table.column("text"), "").cast(pa.large_binary()).combine_chunks()
         text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
@@ -156,16 +180,18 @@ class Block:
                 a = b - K + 1
             k += 1
 
-    def contexts(self, K: int, k: int, only: np.ndarray | None = None) -> Contexts:
-        """Over all documents, in order; of the fingerprints ``only``, sorted, if given."""
+    def contexts(self, K: int, k: int, only: np.ndarray | None = None, hot: np.ndarray | None = None) -> Contexts:
+        """Over all documents, in order; of the fingerprints ``only``, sorted, if given, of which ``hot`` are split."""
         parts = []
         for a, bounds in self.chunks(K):
-            c = contexts(self.values(a, a + int(bounds[-1])), bounds, K, k)
-            keep = slice(None)
+            values = self.values(a, a + int(bounds[-1]))
+            c = contexts(values, bounds, K, k)
             if only is not None:
-                at = np.searchsorted(only, c.fp)
-                keep = only[np.minimum(at, len(only) - 1)] == c.fp if len(only) else np.zeros(len(c.fp), bool)
-            parts.append((c.first[keep] + a, c.last[keep] + a, c.fp[keep], c.whole[keep]))
+                keep = member(c.fp, only)
+                c = Contexts(c.first[keep], c.last[keep], c.fp[keep], c.whole[keep])
+            if hot is not None:
+                c = split(c, hot, values, K)
+            parts.append((c.first + a, c.last + a, c.fp, c.whole))
         return Contexts(*(np.concatenate(x) for x in zip(*parts))) if parts else Contexts(*(np.zeros(0, t) for t in (np.int64, np.int64, U64, U64)))
 
 
@@ -236,8 +262,10 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
     spark = docs.sparkSession
     ready(spark)
     n = spread(docs)
-    n_blocks, parts = 4 * n, 2 * n
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
+    n_blocks, parts, hot_from = 4 * n, 2 * n, HOT
+    # for bytes, rows that share an id stay together, as their order by text counts
+    dealt = ("doc_id", "text") if kind == "words" else ("doc_id",)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("_b", F.pmod(F.xxhash64(*dealt), F.lit(n_blocks)).cast("int"))
 
     def send(batches: Iterator) -> Iterator:  # step 1
         held: list = []
@@ -257,10 +285,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
             table = pa.Table.from_batches([batch])
             block = Block(table, kind)
             c = block.contexts(K, k)
-            ids, of = np.unique(block.doc_ids, return_inverse=True)
-            # the block of a document, in the block's own order of rows
-            raw, where = np.unique(table.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(), return_index=True)
-            b = table.column("_b").to_numpy()[where].astype(np.int32)[of]
+            b = table.column("_b").to_numpy()[block.order].astype(np.int32)
             doc = np.searchsorted(block.at, c.first, "right") - 1
             held.append((c.fp, b[doc]))
             if sum(len(x) for x, _ in held) >= HELD:
@@ -277,21 +302,27 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
         same[1:] = fp[1:] == fp[:-1]
         same[:-1] |= same[1:]
         fp, b = fp[same], b[same]
-        order = np.lexsort((fp, b))
-        fp, b = fp[order], b[order]
-        cuts = np.flatnonzero(np.diff(b, prepend=-1))
-        rows = [(int(b[i]), np.unique(fp[i:j]).tobytes()) for i, j in zip(cuts, np.append(cuts[1:], len(b)))]
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["_b", "data"])
-
-    def only(table) -> np.ndarray:
-        masks = [x for x, p in zip(blobs(table.column("data")), table.column("_p").to_pylist()) if p < 0]
+        new = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])) if len(fp) else np.zeros(0, np.int64)
+        many = np.diff(np.append(new, len(fp)))
+        hot = np.repeat(many >= hot_from, many)
+        rows = []
+        for mark, these in ((-1, slice(None)), (-2, hot)):  # all of them, and those to be split
+            f, o = fp[these], b[these]
+            order = np.lexsort((f, o))
+            f, o = f[order], o[order]
+            cuts = np.flatnonzero(np.diff(o, prepend=-1))
+            rows += [(int(o[i]), mark, np.unique(f[i:j]).tobytes()) for i, j in zip(cuts, np.append(cuts[1:], len(o)))]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["_b", "_p", "data"])
+
+    def marked(table, mark: int) -> np.ndarray:
+        masks = [x for x, p in zip(blobs(table.column("data")), table.column("_p").to_pylist()) if p == mark]
         return np.sort(np.frombuffer(b"".join(masks), U64))
 
     def request(left, right):  # step 3
         rows = []
         if len(right):
             block = Block(left, kind)
-            c = block.contexts(K, k, only(right))
+            c = block.contexts(K, k, marked(right, -1), marked(right, -2))
             first, _, count = unique(c)
             for p, i in by_part(c.fp[first], parts):
                 rows.append((p, int(left.column("_b")[0].as_py()), *ask(block, c, first[i], count[i])))
@@ -308,7 +339,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
         block = Block(left, kind)
         c, flags = None, None
         if len(right):
-            c = block.contexts(K, k, only(right))
+            c = block.contexts(K, k, marked(right, -1), marked(right, -2))
             first, kind_of, count = unique(c)
             windows = c.last[first] - c.first[first] + 1
             begin = np.cumsum(windows) - windows
@@ -323,7 +354,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
 
     out_schema = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in schema.split(", ")])
     sent = docs.mapInArrow(send, "_p int, fps binary, blocks binary")
-    masks = cut(sent.groupBy("_p").applyInArrow(repeated, "_b int, data binary"), "masks").select("_b", F.lit(-1).alias("_p"), "data")
+    masks = cut(sent.groupBy("_p").applyInArrow(repeated, "_b int, _p int, data binary"), "masks")
     asked = docs.groupBy("_b").cogroup(masks.groupBy("_b")).applyInArrow(request, "_p int, _b int, keys binary, sizes binary, units binary, more binary")
     answers = asked.groupBy("_p").applyInArrow(reply, "_b int, _p int, data binary")
     return docs.groupBy("_b").cogroup(masks.unionByName(answers).groupBy("_b")).applyInArrow(finish, schema)

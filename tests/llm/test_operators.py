@@ -324,6 +324,43 @@ def test_substring_dedup(spark, tmp_path):
     assert keyed(got) == keyed(windows(awkward()))
 
 
+def around_a_phrase(kind):
+    """Texts with a common phrase, whose hash is small enough to be their windows' minimizer, between words of their own, some of which are repeated."""
+    from sylvaframe.llm import windows as jobs
+
+    def small(phrase):
+        data = np.frombuffer(phrase.encode(), np.uint8)
+        units = jobs.BYTE_CODE[data] if kind == "bytes" else jobs.words(data, np.array([0, len(data)]))[0]
+        return int(jobs.run_hash(jobs.sums(units), np.array([0]), np.array([len(units)]))[0])
+
+    shape = "common phrase number {:011d}" if kind == "bytes" else "common{} b c d e f g h"  # one minimizer long
+    phrase = min(map(shape.format, range(2000)), key=small)
+    own = lambda k, side: " ".join(f"{side}{x}" for x in np.random.default_rng(k).integers(0, 10**6, 40))
+    rng = np.random.default_rng(8)
+    return [(int(i), f"{own(k, 'a')} {phrase} {own(k + 1000 * int(rng.integers(0, 2)), 'b')}") for i, k in enumerate(rng.integers(0, 2000, 400))]
+
+
+@pytest.mark.parametrize("module, brute", [(suffixes, substrings), (factors, windows)])
+def test_a_common_minimizer_is_split(spark, tmp_path, monkeypatch, module, brute):
+    from sylvaframe.llm import windows as jobs
+
+    monkeypatch.setattr(jobs, "HOT", 20)
+    plain, log = module.answer, str(tmp_path / "parts")
+
+    def answer(asked):
+        with open(log, "a") as f:
+            f.write(f"{sum(len(x) for a in asked for x in a[:1])}\n")
+        return plain(asked)
+
+    monkeypatch.setattr(module, "answer", answer)
+    rows = around_a_phrase("bytes" if module is suffixes else "words")
+    assert keyed(tuples(module.deduplicate(on_disk(spark, tmp_path, rows)))) == keyed(brute(rows))
+    sizes = [int(x) for x in open(log)]
+    assert max(sizes) < sum(sizes) / 4  # 8 parts
+    monkeypatch.setattr(jobs, "HOT", 2)
+    assert keyed(tuples(module.deduplicate(on_disk(spark, tmp_path)))) == keyed(brute(awkward()))
+
+
 # 9
 
 
