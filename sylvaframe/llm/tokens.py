@@ -3,7 +3,8 @@
 A byte-level BPE encodes each pre-token (a word with its leading space, a run of digits, of marks, of white space)
 by itself. A worker therefore cuts a text at single spaces, where pre-tokens always begin, and remembers the ids of
 what lies between; what it has not met it splits with the tokenizer's own pattern and hands each pre-token to the
-tokenizer's model. ``tests/llm`` compares the ids with those of whole-text encoding.
+tokenizer's model. A text that holds the string of an added token goes to the tokenizer as it is. ``tests/llm`` compares
+the ids with those of whole-text encoding.
 """
 
 from __future__ import annotations
@@ -46,8 +47,9 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        # special tokens' strings in a text are ordinary text, as only the model itself is asked
-        self.model, self.letters = Tokenizer.from_file(path).model, byte_letters()
+        self.whole, self.letters = Tokenizer.from_file(path), byte_letters()
+        self.model = self.whole.model
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.any = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.words, self.pieces = Known(self.word), Known(self.piece)
 
@@ -69,7 +71,9 @@ class Encoder:
     def encode(self, text: str | None, end: int | None = END) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; null is an empty text."""
         text = text or ""
-        if "  " in text or text[-1:].isspace():  # runs of white space reach over a cut
+        if any(t in text for t in self.added):
+            ids = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        elif "  " in text or text[-1:].isspace():  # runs of white space reach over a cut
             ids = self.plain(text)
         else:
             first, *rest = text.split(" ")

@@ -20,7 +20,7 @@ def awkward():
     texts = [
         (1, BASE), (2, None), (3, ""), (4, " \t\n "), (5, BASE), (6, " ".join(near)), (7, "Héllo wörld"), (8, "hÉLLO wörld"), (9, "one"), (10, "One"), (11, OTHER + " " + passage),
         (12, passage + " " + OTHER[:40]), (13, BASE.upper()), (14, " ".join(far)), (15, "a" * 400), (16, ("ab " * 90).strip()), (17, "\u00a0".join(["x", "y"]) + "\x1cz"), (18, "🙂 " + "ß" * 120), (19, "tie tie"), (19, "tie tie"), (19, "other text"), (None, "no id"), (None, None),
-        (20, (OTHER + "  ") * 3), (21, "<|endoftext|> it's 12 don't   x"), (22, " ".join(f"l{i * 7919 % 5003}" for i in range(30000))), (23, "1234 5678 !!"),
+        (20, (OTHER + "  ") * 3), (21, "<|endoftext|> it's 12 don't   x"), (22, " ".join(f"l{i * 7919 % 5003}" for i in range(30000))), (23, "1234 5678 !!"), (24, "<|endoftext|>"), (25, "a<|endoftext|> b <|endoftext|>"),
     ]
     return texts
 
@@ -107,7 +107,6 @@ def reference_tokens(rows):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     return [(d, [*model.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in rows]
 
 

@@ -107,6 +107,8 @@ def test_encoding_equals_whole_text_encoding():
     rng = np.random.default_rng(0)
     bits = [" ", "  ", "   ", "\n", "\t", "a", "B", "The", "'s", "'re", "'", "1", "²", "é", "ß", "×", "—", "\xa0", "\x1c", "中", "🙂", "_", "-", ".", "<|endoftext|>", "ſ", "\x00", "½"]
     rows = [(i, "".join(rng.choice(bits, rng.integers(0, 12)))) for i in range(3000)]
+    rows += [(k, f"{a}<|endoftext|>{b}") for k, (a, b) in enumerate((a, b) for a in ("", "a", "a ", "don't ", "  ", "é.") for b in ("", "b", " b", "  b c ", "'s", "|>", "<|endoftext|>", " <|endoftext"))]
+    assert 50256 in dict(reference_tokens([(0, "a <|endoftext|> b")]))[0]
     encode = tokens.encoder(tokens.default_path()).encode
     for (_, t), (_, ids) in zip(rows, reference_tokens(rows)):
         assert np.frombuffer(encode(t), "<u4").tolist() == ids
