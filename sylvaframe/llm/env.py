@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, the checkpoint folder of the context.
+    A local session may do without both; on a cluster that is an error, as a local folder is not shared."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sylvaframe-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -38,6 +43,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as one column ``row``, beside which any name is free; ``select("row.*")`` gives them back."""
+    return df.select(F.struct("*").alias("row"))
+
+
 def spread(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """How many parts to deal ``df`` into: one for each ``bytes_each`` of estimated input, and no fewer than
     ``spark.sql.shuffle.partitions``. The estimate comes from file sizes, so it costs no job."""

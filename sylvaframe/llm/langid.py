@@ -8,8 +8,9 @@ The score is the margin, 1 - smallest / second smallest. A text is rejected when
 below ``margin``: it is too short or too odd to tell. The prediction itself is given in any case where there is
 a letter, since a caller may have another use for it.
 
-The fit reads a bounded sample: of the languages (at most ``LANGUAGES``, the most frequent), texts of at most
-``TEXT_BYTES``, chosen by a hash of their id, up to ``DICTIONARY_BYTES`` each. A language is only learned from rows that have a
+The fit reads a bounded sample: of each language (at most ``LANGUAGES``, the most frequent), the first ``TEXT_CHARS``
+characters of different texts, in the order of a hash of the text, while they come to less than ``DICTIONARY_BYTES``; so much
+and one text more is what reaches the driver for a language. A language is only learned from rows that have a
 label and, for the registered query, are not held out.
 
 Defined cases: null text, or text without a letter: ``und``, score 0, rejected; equal sizes: the more frequent
@@ -19,22 +20,23 @@ table gives an empty result; extra columns are kept by ``keep_identified`` and i
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .env import ready
+from .env import packed, ready
 
 LEVEL, PIECE = 6, 4096
 #: Equal sizes are told apart by the strongest encoding, which also finds matches of three bytes.
 FINE_LEVEL = 19
-LANGUAGES, DICTIONARY_BYTES, TEXT_BYTES = 100, 250_000, 20_000
+LANGUAGES, DICTIONARY_BYTES, TEXT_CHARS = 100, 250_000, 10_000
 #: Margins below this are too narrow.
 MARGIN = 0.002
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,26 +45,19 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, bytes]]:
     """[(language, dictionary)], the most frequent language first, from a bounded sample of the labelled rows."""
-    ok = rows.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("l IS NOT NULL AND t IS NOT NULL AND octet_length(t) BETWEEN 1 AND {}".format(TEXT_BYTES))
-    seen = ok.groupBy("l").agg(F.sum(F.octet_length("t")).alias("b")).orderBy(F.desc("b"), "l").limit(LANGUAGES).collect()
+    ok = rows.select(F.substring(text, 1, TEXT_CHARS).alias("t"), F.col(lang).alias("l")).filter("l IS NOT NULL AND t <> ''")
+    ok = ok.select("l", "t", F.octet_length("t").alias("n"))
+    seen = ok.groupBy("l").agg(F.sum("n").alias("b")).orderBy(F.desc("b"), "l").limit(LANGUAGES).collect()
     share = F.lit(0.0)
-    for r in seen:
-        share = F.when(F.col("l") == r.l, min(1.0, 1.5 * DICTIONARY_BYTES / r.b + 20 * TEXT_BYTES / r.b)).otherwise(share)
-    draw = F.pmod(F.xxhash64("i", F.lit("langid")), F.lit(1 << 40))
-    sample: dict[str, list] = {}
-    for r in ok.withColumn("d", draw).filter(F.col("d") < share * float(1 << 40)).select("l", "d", "i", "t").collect():
-        sample.setdefault(r.l, []).append((r.d, str(r.i), r.t))
-    out = []
-    for r in seen:
-        texts, size = [], 0
-        for *_, t in sorted(sample.get(r.l, [])):
-            if size >= DICTIONARY_BYTES:
-                break
-            texts.append(t.lower().encode())
-            size += len(texts[-1]) + 1
-        if texts:
-            out.append((r.l, b"\n".join(reversed(texts))))
-    return out
+    for r in seen:  # about so many bytes as are needed if half of the texts are copies, and some long texts more
+        share = F.when(F.col("l") == r.l, min(1.0, 2.0 * DICTIONARY_BYTES / r.b + 20.0 * TEXT_CHARS / r.b)).otherwise(share)
+    draw = F.pmod(F.xxhash64("t", F.lit("langid")), F.lit(1 << 40))
+    sample = ok.withColumn("d", draw).filter(F.col("d") < share * float(1 << 40)).dropDuplicates(["l", "d", "t"])
+    before = F.coalesce(F.sum("n").over(W.partitionBy("l").orderBy("d", "t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    texts: dict[str, list] = {}
+    for r in sample.withColumn("before", before).filter(F.col("before") < DICTIONARY_BYTES).select("l", "d", "t").collect():
+        texts.setdefault(r.l, []).append((r.d, r.t))
+    return [(r.l, b"\n".join(t.lower().encode() for _, t in sorted(texts[r.l], reverse=True))) for r in seen if r.l in texts]
 
 
 @lru_cache(4)
@@ -117,4 +112,5 @@ def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is told and not narrowly."""
     ready(docs.sparkSession, 500)
     model = fit(docs.filter(~held_out(F.col("doc_id"))))
-    return docs.withColumn("_f", predictor(model)(F.col("text"))).filter((F.col("_f.lang") != "und") & (F.col("_f.score") >= margin)).drop("_f")
+    rows = packed(docs).withColumn("found", predictor(model)(F.col("row.text")))
+    return rows.filter((F.col("found.lang") != "und") & (F.col("found.score") >= margin)).select("row.*")
