@@ -1,6 +1,6 @@
 """URL filters as a sort-merge range join.
 
-A host is turned around, label by label, each label ended by ``\\x01``: the hosts below a rule's host are then exactly the
+A host is turned around, label by label, each label ended by ``\\x01`` (a byte 0 or 1 of a label is escaped): the hosts below a rule's host are then exactly the
 keys that begin with the rule's key, an interval. Urls and rules are dealt to the same ranges of keys, sorted, and
 swept once: a rule's host is pushed on a stack when the sweep enters its interval and popped when it leaves; as prefix
 intervals are nested or disjoint, the stack holds exactly the rule hosts that a url's host lies below. Their path
@@ -49,7 +49,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def host_key(host: Column) -> Column:
     """``www.example.org`` -> ``org\\x01example\\x01www\\x01``; an empty host has an empty key."""
-    return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01")))
+    plain = F.replace(F.replace(host, F.lit("\x00"), F.lit("\x000")), F.lit("\x01"), F.lit("\x001"))
+    return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), "\x01"), F.lit("\x01")))
 
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -104,7 +105,8 @@ def deal(batches: Iterator, bounds: list[str]) -> Iterator:
                 parts.append(first if first == last else first + crc32(f"{page_id}{path}".encode()) % (last - first + 1))
                 take.append(i)
             else:
-                span = range(first, bisect_right(bounds, key + "\U0010ffff") + 1)
+                beyond = bisect_left(bounds, key[:-1] + "\x02") if key else len(bounds)  # keys end with a 1
+                span = range(first, beyond + 1)
                 parts += span
                 take += [i] * len(span)
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *batch.take(pa.array(take, pa.int64())).columns], ["_part", *batch.schema.names])
