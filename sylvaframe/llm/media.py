@@ -2,9 +2,11 @@
 
 Format ``media_archive`` (a Python data source). Writing: each task streams its rows into ZIP archives of its own, one
 member a row: an 8-bit mono WAV file whose samples are the payload, deflated. A commit names the archives of the tasks that
-succeeded in a manifest, so what a lost or repeated task left behind is never read.
+succeeded in a manifest of its own, so what a lost or repeated task left behind is never read, and a folder can be appended to; a reader takes all
+manifests of the folder. An abort deletes what the job's tasks have reported.
 
-Reading: the driver plans ranges of bytes over the archives from their names and sizes alone. A task opens its archive,
+Reading: the driver plans ranges of bytes over the archives from their names and sizes alone, several archives to a task where there would
+be more than ``MOST_TASKS`` otherwise. A task opens its archives one by one,
 reads the archive's directory and takes the members that begin in its range. Members are read one by one by offset;
 one that fails (a short read, a wrong checksum) is retried from its offset by itself, and payloads are handed to Spark in
 Arrow batches of bounded bytes.
@@ -36,7 +38,9 @@ from .env import scratch, ready
 
 UNIT, RATE = 64, 8000
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 32 << 20, 8 << 20, 4 << 20, 3
+MOST_TASKS = 100_000
 SCHEMA = "doc_id long, n_bytes long, media binary"
+MANIFEST = "_manifest-"
 
 
 def to_payload(text: bytes) -> bytes:
@@ -67,10 +71,8 @@ class Written(WriterCommitMessage):
 
 
 @dataclass
-class Range(InputPartition):
-    archive: str
-    start: int
-    end: int
+class Ranges(InputPartition):
+    spans: list  # of (archive, first byte, end)
 
 
 def _store(uri: str):
@@ -116,46 +118,62 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages: list) -> None:
+        import uuid
+
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/_manifest.json") as f:
+        with store.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([a for m in messages if m is not None for a in m.archives]).encode())
 
     def abort(self, messages: list) -> None:
-        pass  # no manifest, so nothing of it is read
+        store, root = _store(self.path)
+        for name, _ in (a for m in messages if m is not None for a in m.archives):
+            store.delete_file(f"{root}/{name}")
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, range_bytes: int):
         self.path, self.range_bytes = path, range_bytes
 
-    def partitions(self) -> list[Range]:
-        store, root = _store(self.path)
-        with store.open_input_stream(f"{root}/_manifest.json") as f:
-            archives = json.loads(f.read())
-        return [Range(name, at, at + self.range_bytes) for name, size in archives for at in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        from pyarrow import fs
 
-    def read(self, partition: Range) -> Iterator:
+        store, root = _store(self.path)
+        archives = []
+        for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda i: i.base_name):
+            if info.base_name.startswith(MANIFEST):
+                with store.open_input_stream(info.path) as f:
+                    archives += json.loads(f.read())
+        each = max(self.range_bytes, -(-sum(size for _, size in archives) // MOST_TASKS))
+        out, held = [], 0
+        for name, size in archives:
+            for at in range(0, size, each):
+                if not out or held + min(each, size - at) > each:
+                    out.append(Ranges([]))
+                    held = 0
+                out[-1].spans.append((name, at, at + each))
+                held += min(each, size - at)
+        return out or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator:
         import pyarrow as pa
 
         kinds = (pa.int64(), pa.int64(), pa.binary())
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, kinds)], ["doc_id", "n_bytes", "media"])
-        if not partition.archive:
-            yield batch([])
-            return
         store, root = _store(self.path)
         rows, size = [], 0
-        with store.open_input_file(f"{root}/{partition.archive}") as f:
-            with zipfile.ZipFile(f) as box:
-                members = sorted((m.header_offset, m.filename, m.compress_size, m.file_size, m.CRC) for m in box.infolist() if partition.start <= m.header_offset < partition.end)
-            for offset, name, packed, plain, crc in members:
-                media = self.member(f, offset, packed, plain, crc)
-                doc_id, n = name.removesuffix(".wav").split("/")
-                rows.append((int(doc_id) if doc_id else None, int(n), media))
-                size += len(media)
-                if size >= BATCH_BYTES:
-                    yield batch(rows)
-                    rows, size = [], 0
+        for archive, start, end in partition.spans:
+            with store.open_input_file(f"{root}/{archive}") as f:
+                with zipfile.ZipFile(f) as box:
+                    members = sorted((m.header_offset, m.filename, m.compress_size, m.file_size, m.CRC) for m in box.infolist() if start <= m.header_offset < end)
+                for offset, name, packed, plain, crc in members:
+                    media = self.member(f, offset, packed, plain, crc)
+                    doc_id, n = name.removesuffix(".wav").split("/")
+                    rows.append((int(doc_id) if doc_id else None, int(n), media))
+                    size += len(media)
+                    if size >= BATCH_BYTES:
+                        yield batch(rows)
+                        rows, size = [], 0
         yield batch(rows)
 
     @staticmethod
