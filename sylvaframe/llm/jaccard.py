@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import exact, windows
 from .components import components, lookup
-from .env import cut, ready, spread
+from .env import cut, packed, ready, spread
 from .windows import U64
 
 SHINGLE, PERCENT = 5, 80
@@ -359,8 +359,9 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[D
     """(members, nodes): (doc_id, node) for every row of ``docs``; (node, n_shingles, component) for every different text."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    texts = cut(exact.distinct_texts(rows), "texts")
-    members = cut(exact.members(rows, texts), "members")
+    filter_of = exact.text_filter(rows)
+    texts = cut(exact.distinct_texts(rows, filter_of), "texts")
+    members = cut(exact.members(rows, texts, filter_of), "members")
     texts = texts.select("node", "text")
     found = matrix(texts, sketch(texts))
     entries = cut(possible(found), "entries")
@@ -393,4 +394,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, that stay when of each component only the smallest id stays. Of rows that
     share that id, all with its text stay; documents without a word all stay."""
     found = components_of(docs.select("doc_id", "text")).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(lookup(found.withColumnRenamed("doc_id", "_kept"), "kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = packed(docs).join(lookup(found.withColumnRenamed("doc_id", "kept"), "kept"), F.col("row.doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    return rows.select("row.*")

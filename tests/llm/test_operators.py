@@ -49,6 +49,49 @@ def test_language_id_learns_from_training_rows_only(spark):
     assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"}
 
 
+def test_language_id_equals_a_plain_version(spark):
+    """Each prediction again, with one dictionary and one whole compression at a time."""
+    import unicodedata
+
+    import zstandard
+
+    odd = [(2000, "½ ² Ⅷ ①", "en"), (2001, "ª", None), (2002, "中文", None), (2003, "a", None), (2004, "the le " * 3000, None)]
+    rows = labelled() + odd
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    model = langid.fit(df.filter(~langid.held_out(F.col("doc_id"))))
+    assert {lang for lang, _ in model} == {"en", "fr"} and all(len(d) < langid.DICTIONARY_BYTES + 4 * langid.TEXT_CHARS for _, d in model)
+
+    def encoded(dictionary, text, level):
+        body, n = text.lower().encode(), 0
+        for at in range(0, len(body), langid.PIECE):
+            how = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            n += len(how.compress(body[at : at + langid.PIECE]))
+        return n
+
+    def plain(text):
+        if not any(unicodedata.category(c)[0] == "L" for c in text):
+            return "und", 0.0
+        for level in (langid.LEVEL, langid.FINE_LEVEL):
+            n = [encoded(d, text, level) for _, d in model]
+            if len(set(n)) == len(n):
+                break
+        least, second = sorted(n)[:2]
+        return model[n.index(least)][0], 1 - least / second
+
+    got = {r.doc_id: (r.lang_pred, round(r.score, 12)) for r in langid.identify(df).collect()}
+    for d, text, _ in rows[::7] + odd:
+        want = plain(text)
+        assert got[d][1] == round(want[1], 12), (d, text)
+        assert got[d][0] == want[0], (d, text)
+    assert got[2000] == ("und", 0.0) and got[2001][0] != "und" and got[2002][0] != "und"
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    rows = [(i, " ".join(["haus", "fluss", "über", "nicht"] * 6000), "de") for i in range(6)] + [r for r in labelled()]
+    df = spark.createDataFrame(rows + [(500, "nicht über haus", None)], "doc_id LONG, text STRING, lang STRING")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}[500] == "de"
+
+
 # 2
 
 
@@ -118,7 +161,7 @@ def test_encoding_equals_whole_text_encoding():
 
 
 def test_url_filter(spark):
-    hosts = ["example.org", "a.example.org", "org", "xorg", "com", "b.com", "net", "", "EXAMPLE.ORG", "example.org.net"]
+    hosts = ["example\x01foo.org", "\x01org", "a\x00.example.org", "example\x00.org", "a.\U0010ffffb.org", "foo\x01", "example.org\x01", "example.org", "a.example.org", "org", "xorg", "com", "b.com", "net", "", "EXAMPLE.ORG", "example.org.net"]
     paths = ["", "/", "/es/", "/es/x", "/en/1", "/en/12", "/en/2", "/fr/", "/de/a", "/de", "/fr/?q", "/de/#f", "?x=/de/"]
     rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)] + [(900, None), (901, ""), (902, "no scheme/de/"), (903, "http://b.com/de/"), (903, "http://b.com/de/"), (None, "x://org/a://b")]
     df = spark.createDataFrame(rows, "page_id LONG, url STRING").withColumn("path", F.lit(0))
@@ -289,7 +332,7 @@ def test_media_members_are_retried_by_themselves(spark, tmp_path, monkeypatch):
     path = scratch(spark, "retry")
     media.write(on_disk(spark, tmp_path), path)
     reader = media.ArchiveReader(path, 1 << 30)
-    part = next(p for p in reader.partitions() if p.start == 0)
+    part = next(p for p in reader.partitions() if p.spans[0][1] == 0)
     whole = [b.to_pydict() for b in reader.read(part)]
 
     class Flaky:
@@ -308,7 +351,7 @@ def test_media_members_are_retried_by_themselves(spark, tmp_path, monkeypatch):
     import zipfile
 
     store, root = media._store(path)
-    with store.open_input_file(f"{root}/{part.archive}") as f:
+    with store.open_input_file(f"{root}/{part.spans[0][0]}") as f:
         m = sorted(zipfile.ZipFile(f).infolist(), key=lambda m: m.header_offset)[0]
         got = media.ArchiveReader.member(Flaky(f), m.header_offset, m.compress_size, m.file_size, m.CRC, wait=0)
         assert got == whole[0]["media"][0]
@@ -316,6 +359,37 @@ def test_media_members_are_retried_by_themselves(spark, tmp_path, monkeypatch):
             media.ArchiveReader.member(f, m.header_offset, m.compress_size, m.file_size, m.CRC ^ 1, wait=0)
     small = media.ArchiveReader(path, 256)
     assert sum(len(b) for p in small.partitions() for b in small.read(p)) == len(awkward())
+    parts = len(small.partitions())
+    monkeypatch.setattr(media, "MOST_TASKS", 3)
+    few = small.partitions()
+    assert len(few) < parts and sum(len(b) for p in few for b in small.read(p)) == len(awkward())
+
+
+def test_media_appends(spark, tmp_path):
+    path = scratch(spark, "appends")
+    for rows in ([(1, "first")], [(2, "second"), (3, None)], []):
+        media.write(on_disk(spark, tmp_path, rows), path)
+    assert sorted(r.doc_id for r in media.read(spark, path).collect()) == [1, 2, 3]
+    store, root = media._store(path)
+    from pyarrow import fs
+
+    before = {i.base_name for i in store.get_file_info(fs.FileSelector(root))}
+    writer = media.ArchiveWriter(path)
+    with store.open_output_stream(f"{root}/left.zip") as f:
+        f.write(b"x")
+    writer.abort([media.Written([["left.zip", 1]]), None])
+    assert {i.base_name for i in store.get_file_info(fs.FileSelector(root))} == before
+
+
+def test_media_features_by_hand():
+    assert media.features(bytes([128] * 64)) == "n=64;mean=0.000000;rms=0.000000;zcr=0.000000;hist=0,0,64,0"
+    assert media.features(bytes([0, 255] * 32)) == "n=64;mean=-0.500000;rms=127.500980;zcr=1.000000;hist=32,0,0,32"
+    assert media.to_wav(b"ab")[:4] == b"RIFF" and media.to_wav(b"ab")[20:24] == b"\x01\x00\x01\x00" and media.to_wav(b"ab")[34:36] == b"\x08\x00" and media.to_wav(b"ab")[44:] == b"ab"
+    import io
+    import wave
+
+    with wave.open(io.BytesIO(media.to_wav(b"abcd"))) as w:
+        assert (w.getnchannels(), w.getsampwidth(), w.getnframes(), w.readframes(4)) == (1, 1, 4, b"abcd")
 
 
 # 8
@@ -435,8 +509,7 @@ def test_mixing(spark, tmp_path):
         assert r.source_size == size[by[r.doc_id]] and abs(r.target - target[by[r.doc_id]]) < 1e-6 and r.taken <= 3 * r.size
         taken[by[r.doc_id]] += r.taken
     for s in names:
-        if size[s] > 3000:
-            assert abs(taken[s] - target[s]) <= 0.1 * target[s]
+        assert abs(taken[s] - target[s]) <= 0.02 * target[s]
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mixed(df.repartition(7)).collect()))
     copies = Counter(r.doc_id for r in mixing.emit(df).collect())
     assert all(copies[r.doc_id] * r.size == r.taken for r in got) and mixing.emit(df).columns == df.columns
@@ -445,6 +518,20 @@ def test_mixing(spark, tmp_path):
 # all
 
 
+NAMES = "row kept found _f _row _sha _hash _maybe _hot _s0 _w0 _r0 _h0 _size _source_size _source _target _copies _copy _kept col mixed_source whole part pick source_size target slot node".split()
+
+
+@pytest.mark.parametrize("stage", [langid.keep_identified, exact.drop_exact_duplicates, join.keep_one, mixing.emit])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, stage):
+    plain = on_disk(spark, tmp_path).drop("node")
+    df = plain.select("*", *(F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in NAMES))
+    got = stage(df)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert rows and all(r[n] == f"{n} {'none' if r.doc_id is None else r.doc_id}" for r in rows for n in NAMES)
+    assert sorted((r.doc_id or 0, r.text or "") for r in rows) == sorted((r.doc_id or 0, r.text or "") for r in stage(plain).collect())
+
+
 def test_empty_tables(spark, tmp_path):
     none = on_disk(spark, tmp_path, [])
     for f in (langid.identify, suffixes.deduplicate, dac.round_trip, join.components_of, packing.pack, media.round_trip, factors.deduplicate, exact.exact_duplicates, mixing.mixed, exact.drop_exact_duplicates, join.keep_one, mixing.emit, langid.keep_identified):
