@@ -7,7 +7,7 @@ if there is none. Factors of ``LENGTH`` words and more are duplicate spans. Afte
 first window that reaches over its end, so that a span that straddles two factors is found as well.
 
 Every copy goes: a word is removed if a window over it has the same words as one that starts anywhere else. Words are
-compared by 64-bit hashes of their bytes.
+compared by 64-bit hashes of their bytes (``windows.byte_hash``), one by one over a factor's whole length.
 
 Defined cases: a null, empty or blank text has no words; windows never reach over documents; texts of fewer than
 ``LENGTH`` words keep all; rows that share an id, and repeated rows, count as separate documents; an empty
@@ -41,7 +41,7 @@ def parse(words: np.ndarray, begin: np.ndarray, windows_of: np.ndarray) -> np.nd
     n = windows_of
     end = begin + n + LENGTH - 1
     at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))  # where each window starts
-    print_of = windows.run_hash(windows.sums(words), at, at + LENGTH)
+    print_of = windows.rolled(words, LENGTH)[at] if len(at) else np.zeros(0, U64)
     ctx = np.repeat(np.arange(len(n)), n)
     # the index: windows by fingerprint, then by the words after them, so that neighbours match longest
     after = np.stack([words[np.minimum(at + LENGTH + j, len(words) - 1)] * (at + LENGTH + j < end[ctx]) for j in (1, 0)])

@@ -3,7 +3,14 @@
 Every window has a minimizer: the k-gram inside it with the smallest hash. Windows with equal content have the same
 minimizer, so runs of windows that share one ("contexts") can be compared by minimizer, and a context whose minimizer occurs
 only once in the table holds no repeated window. A minimizer that ``HOT`` different places have is split: each of its windows
-is a context by itself, found by its own hash, so that equal windows still meet and no part has all of them. The jobs:
+is a context by itself and goes to one of as many parts as the places need, told by the window's own hash, so that equal windows still
+meet and no part has all of them.
+
+Two kinds of hash are used. Sums of powers (``run_hash``) are quick to roll over a text but may be equal for texts that are made for it, so
+they only choose minimizers and parts: two grams with one sum meet in a part and are compared there. What decides that two words or two
+contexts are the same are ``byte_hash`` and ``chained``, which pass the content itself, 8 bytes or a word at a time, through a bijection that scatters it.
+
+The jobs:
 
 1. Each task takes the minimizers' fingerprints of its documents and sends them, 8 bytes each, to their part.
 2. Each part finds the fingerprints that occur more than once, and those to be split, and tells the blocks of documents that
@@ -20,6 +27,7 @@ one of them. Long documents are handled in overlapping segments. The text is shu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -33,7 +41,9 @@ U64 = np.uint64
 CHUNK = 1 << 20
 #: Held fingerprints after which a task of step 1 sends them on.
 HELD = 1 << 22
-#: Fingerprints sent to a part (of each block two at most from each task of step 1) from which a minimizer is split.
+#: Times that a task of step 1 tells a fingerprint of one block, at most.
+TOLD = 2
+#: Fingerprints told from which a minimizer is split, into two parts for each so many.
 HOT = 1 << 12
 
 
@@ -73,19 +83,68 @@ def run_hash(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((prefix[b] - prefix[a]) * back[a])
 
 
+def chained(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of values[first : first + n], for arrays of both; each value scatters what came before it."""
+    out = mix(n.astype(U64) + U64(0x8CB92BA72F3D8DD7))
+    live, shortest = np.arange(len(n)), int(n.min()) if len(n) else 0
+    for j in range(int(n.max()) if len(n) else 0):
+        if j < shortest:
+            out = mix(out ^ values[first + j])
+        else:
+            live = live[n[live] > j]
+            out[live] = mix(out[live] ^ values[first[live] + j])
+    return out
+
+
+def rolled(values: np.ndarray, K: int) -> np.ndarray:
+    """A hash of each K values that follow one another, made of those of halves."""
+    out, size = mix(values ^ U64(0xA54FF53A5F1D36F1)), 1
+    while size < K:
+        step = min(size, K - size)
+        out = mix((out[:-step] * U64(0x9FB21C651E98DF25)) ^ out[step:])
+        size += step
+    return out
+
+
+#: Runs of more bytes are hashed one by one.
+LONG_RUN = 1024
+
+
+def byte_hash(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of data[first:last], for arrays of both: eight bytes at a time, each of which scatters what came before."""
+    n = last - first
+    eights = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    out = mix(n.astype(U64) + U64(0x3C6EF372FE94F82B))
+    live = np.flatnonzero((n > 0) & (n <= LONG_RUN))
+    for j in range(0, LONG_RUN, 8):
+        if not len(live):
+            break
+        rest = n[live] - j
+        x = eights[first[live] + j]
+        short = rest < 8
+        if short.any():
+            x = np.where(short, x & ((U64(1) << (U64(8) * np.minimum(rest, 7).astype(U64))) - U64(1)), x)
+        out[live] = mix(out[live] ^ x)
+        live = live[rest > 8]
+    for i in np.flatnonzero(n > LONG_RUN):
+        out[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]], digest_size=8).digest(), "little")
+    return out
+
+
 class Contexts:
-    """Runs of windows by minimizer: of unit positions [first, last + K) with windows starting at first..last."""
+    """Runs of windows by minimizer: of unit positions [first, last + K) with windows starting at first..last. ``fp``: the minimizer's
+    fingerprint; ``whole``: a hash of the content."""
 
     def __init__(self, first, last, fp, whole):
         self.first, self.last, self.fp, self.whole = first, last, fp, whole
 
 
-def contexts(values: np.ndarray, bounds: np.ndarray, K: int, k: int) -> Contexts:
-    """Of a chunk of units in which documents (or segments) lie between ``bounds``."""
+def contexts(values: np.ndarray, bounds: np.ndarray, K: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, fp) of a chunk of units in which documents (or segments) lie between ``bounds``."""
     n, w = len(values), K - k + 1
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     if n < K:
-        return Contexts(none, none, none.astype(U64), none.astype(U64))
+        return none
     prefix = sums(values)
     a = np.arange(n - k + 1)
     gram = run_hash(prefix, a, a + k)
@@ -103,28 +162,13 @@ def contexts(values: np.ndarray, bounds: np.ndarray, K: int, k: int) -> Contexts
     ok[hi] -= 1
     valid = np.flatnonzero(np.cumsum(ok[:-1]) > 0)
     if not len(valid):
-        return Contexts(none, none, none.astype(U64), none.astype(U64))
+        return none
     least = least[valid].astype(np.int64)
     new = np.ones(len(valid), bool)
     new[1:] = (valid[1:] != valid[:-1] + 1) | (least[1:] != least[:-1])
     new |= np.isin(valid, lo)
     at = np.flatnonzero(new)
-    first, last = valid[at], valid[np.append(at[1:], len(valid)) - 1]
-    return Contexts(first, last, gram[least[at]], run_hash(prefix, first, last + K))
-
-
-def split(c: Contexts, hot: np.ndarray, values: np.ndarray, K: int) -> Contexts:
-    """``c`` in which each window of the fingerprints ``hot``, sorted, is a context by itself, under two hashes of its own."""
-    of = member(c.fp, hot)
-    if not of.any():
-        return c
-    n = (c.last - c.first + 1)[of]
-    at = np.repeat(c.first[of] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    fp, whole = (run_hash(sums(v), at, at + K) for v in (mix(values ^ U64(0xA24BAED4963EE407)), values))
-    parts = zip((c.first[~of], c.last[~of], c.fp[~of], c.whole[~of]), (at, at, fp, whole))
-    first, last, fp, whole = (np.concatenate(x) for x in parts)
-    order = np.argsort(first, kind="stable")
-    return Contexts(first[order], last[order], fp[order], whole[order])
+    return valid[at], valid[np.append(at[1:], len(valid)) - 1], gram[least[at]]
 
 
 def member(fp: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -180,19 +224,37 @@ class Block:
                 a = b - K + 1
             k += 1
 
-    def contexts(self, K: int, k: int, only: np.ndarray | None = None, hot: np.ndarray | None = None) -> Contexts:
-        """Over all documents, in order; of the fingerprints ``only``, sorted, if given, of which ``hot`` are split."""
-        parts = []
+    def content(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash of the units first..last-1."""
+        return chained(self.hashes, first, last - first) if self.kind == "words" else byte_hash(self.data, first, last)
+
+    def contexts(self, K: int, k: int, only: np.ndarray | None = None, hot: tuple[np.ndarray, np.ndarray] | None = None) -> Contexts:
+        """Over all documents, in order. Of the fingerprints ``only``, sorted, if given, and then with the hash of the content; of these the
+        fingerprints in ``hot`` (sorted, with the number of parts of each) are split."""
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))
+        parts = [none]
         for a, bounds in self.chunks(K):
-            values = self.values(a, a + int(bounds[-1]))
-            c = contexts(values, bounds, K, k)
+            first, last, fp = contexts(self.values(a, a + int(bounds[-1])), bounds, K, k)
             if only is not None:
-                keep = member(c.fp, only)
-                c = Contexts(c.first[keep], c.last[keep], c.fp[keep], c.whole[keep])
-            if hot is not None:
-                c = split(c, hot, values, K)
-            parts.append((c.first + a, c.last + a, c.fp, c.whole))
-        return Contexts(*(np.concatenate(x) for x in zip(*parts))) if parts else Contexts(*(np.zeros(0, t) for t in (np.int64, np.int64, U64, U64)))
+                keep = member(fp, only)
+                first, last, fp = first[keep], last[keep], fp[keep]
+            parts.append((first + a, last + a, fp))
+        first, last, fp = (np.concatenate(x) for x in zip(*parts))
+        if only is None:
+            return Contexts(first, last, fp, fp)
+        c = Contexts(first, last, fp, self.content(first, last + K))
+        of = member(fp, hot[0])
+        if not of.any():
+            return c
+        n = (last - first + 1)[of]
+        at = np.repeat(first[of] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        whole = self.content(at, at + K)
+        own = np.repeat(fp[of], n)
+        own = mix(own ^ mix(whole % hot[1][np.searchsorted(hot[0], own)] + U64(1)))
+        columns = zip((first[~of], last[~of], fp[~of], c.whole[~of]), (at, at, own, whole))
+        first, last, fp, whole = (np.concatenate(x) for x in columns)
+        order = np.argsort(first, kind="stable")
+        return Contexts(first[order], last[order], fp[order], whole[order])
 
 
 def words(data: np.ndarray, byte_at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +278,7 @@ def words(data: np.ndarray, byte_at: np.ndarray, lower: bool = False) -> tuple[n
         if len(cuts):
             first, last = np.sort(np.concatenate([first, cuts])), np.sort(np.concatenate([last, cuts]))
         if len(first):
-            hashes.append(run_hash(sums(BYTE_CODE[d]), first, last))
+            hashes.append(byte_hash(d, first, last))
         at[k + 1 : to + 1] = total + np.searchsorted(first, byte_at[k + 1 : to + 1] - a, "left")
         total += len(first)
         k = to
@@ -275,9 +337,9 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
             held.clear()
             order = np.lexsort((b, fp))
             fp, b = fp[order], b[order]
-            third = np.zeros(len(fp), bool)  # two of a kind tell as much as more
-            third[2:] = (fp[2:] == fp[:-2]) & (b[2:] == b[:-2])
-            fp, b = fp[~third], b[~third]
+            more = np.zeros(len(fp), bool)
+            more[TOLD:] = (fp[TOLD:] == fp[:-TOLD]) & (b[TOLD:] == b[:-TOLD])
+            fp, b = fp[~more], b[~more]
             rows = [(p, fp[i].tobytes(), b[i].tobytes()) for p, i in by_part(fp, parts)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], ["_p", "fps", "blocks"])
 
@@ -304,25 +366,31 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
         fp, b = fp[same], b[same]
         new = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])) if len(fp) else np.zeros(0, np.int64)
         many = np.diff(np.append(new, len(fp)))
+        among = np.full(len(fp), np.iinfo(np.uint64).max, U64)  # to how many parts a minimizer goes: every window to its own
         hot = np.repeat(many >= hot_from, many)
         rows = []
         for mark, these in ((-1, slice(None)), (-2, hot)):  # all of them, and those to be split
-            f, o = fp[these], b[these]
+            f, o, s = fp[these], b[these], among[these]
             order = np.lexsort((f, o))
-            f, o = f[order], o[order]
+            f, o, s = f[order], o[order], s[order]
+            once = np.append(True, (f[1:] != f[:-1]) | (o[1:] != o[:-1])) if len(f) else np.zeros(0, bool)
+            f, o, s = f[once], o[once], s[once]
             cuts = np.flatnonzero(np.diff(o, prepend=-1))
-            rows += [(int(o[i]), mark, np.unique(f[i:j]).tobytes()) for i, j in zip(cuts, np.append(cuts[1:], len(o)))]
+            rows += [(int(o[i]), mark, (f[i:j] if mark == -1 else np.stack([f[i:j], s[i:j]], axis=1)).tobytes()) for i, j in zip(cuts, np.append(cuts[1:], len(o)))]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["_b", "_p", "data"])
 
-    def marked(table, mark: int) -> np.ndarray:
-        masks = [x for x, p in zip(blobs(table.column("data")), table.column("_p").to_pylist()) if p == mark]
-        return np.sort(np.frombuffer(b"".join(masks), U64))
+    def marked(table) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The block's fingerprints, sorted, and those to be split, sorted, with the number of their parts."""
+        masks = [b"".join(x for x, p in zip(blobs(table.column("data")), table.column("_p").to_pylist()) if p == mark) for mark in (-1, -2)]
+        hot = np.frombuffer(masks[1], U64).reshape(-1, 2)
+        hot = hot[np.argsort(hot[:, 0])]
+        return np.sort(np.frombuffer(masks[0], U64)), (hot[:, 0], hot[:, 1])
 
     def request(left, right):  # step 3
         rows = []
         if len(right):
             block = Block(left, kind)
-            c = block.contexts(K, k, marked(right, -1), marked(right, -2))
+            c = block.contexts(K, k, *marked(right))
             first, _, count = unique(c)
             for p, i in by_part(c.fp[first], parts):
                 rows.append((p, int(left.column("_b")[0].as_py()), *ask(block, c, first[i], count[i])))
@@ -339,7 +407,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
         block = Block(left, kind)
         c, flags = None, None
         if len(right):
-            c = block.contexts(K, k, marked(right, -1), marked(right, -2))
+            c = block.contexts(K, k, *marked(right))
             first, kind_of, count = unique(c)
             windows = c.last[first] - c.first[first] + 1
             begin = np.cumsum(windows) - windows

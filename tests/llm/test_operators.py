@@ -400,6 +400,42 @@ def test_substring_dedup(spark, tmp_path):
     assert keyed(got) == keyed(windows(awkward()))
 
 
+def twins(letters):
+    """A Thue-Morse word over a and b, and its complement: their sums of powers are equal whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(letters)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_with_equal_sums_are_different(spark, tmp_path):
+    a, b = twins(1024)
+    left, right = " ".join(f"l{i}" for i in range(20)), " ".join(f"r{i}" for i in range(20))
+    rows = [(1, f"{left} {a} {right}"), (2, f"{left} {b} {right}"), (3, a), (4, b), (5, " ".join(twins(2048)[0])), (6, " ".join(twins(2048)[1])), (7, twins(4096)[0]), (8, twins(4096)[1])]
+    want = windows(rows)
+    assert want[0][2] == want[1][2] == 0
+    df = on_disk(spark, tmp_path, rows)
+    assert keyed(tuples(factors.deduplicate(df))) == keyed(want)
+    assert sorted(tuples(join.components_of(df))) == jaccard(rows)
+    assert keyed(tuples(suffixes.deduplicate(df))) == keyed(substrings(rows))
+
+
+def test_hashes_tell_contents_apart():
+    from sylvaframe.llm import windows as jobs
+
+    rng = np.random.default_rng(2)
+    runs = sorted({bytes(rng.integers(0, 3, int(n)).astype(np.uint8)) for n in rng.integers(0, 40, 3000)} | {bytes(n) for n in range(0, 2100, 7)})
+    data, last = np.frombuffer(b"".join(runs), np.uint8), np.cumsum([len(r) for r in runs])
+    first = last - [len(r) for r in runs]
+    assert len(set(jobs.byte_hash(data, first, last).tolist())) == len(runs)
+    again = np.append(np.frombuffer(b"zzz", np.uint8), data)
+    assert (jobs.byte_hash(again, first + 3, last + 3) == jobs.byte_hash(data, first, last)).all()
+    values = rng.integers(0, 2, 3000).astype(np.uint64)
+    for n in (1, 2, 5, 8, 35):
+        runs = [values[i : i + n].tobytes() for i in range(len(values) - n + 1)]
+        at = np.arange(len(runs))
+        for found in (jobs.chained(values, at, np.full(len(at), n)), jobs.rolled(values, n)):
+            assert len(set(zip(runs, found.tolist()))) == len(set(runs)) == len(set(found.tolist()))
+
+
 def around_a_phrase(kind):
     """Texts with a common phrase, whose hash is small enough to be their windows' minimizer, between words of their own, some of which are repeated."""
     from sylvaframe.llm import windows as jobs
