@@ -42,7 +42,7 @@ CHUNK = 1 << 20
 #: Held fingerprints after which a task of step 1 sends them on.
 HELD = 1 << 22
 #: Times that a task of step 1 tells a fingerprint of one block, at most.
-TOLD = 2
+TOLD = 16
 #: Fingerprints told from which a minimizer is split, into two parts for each so many.
 HOT = 1 << 12
 
@@ -366,7 +366,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
         fp, b = fp[same], b[same]
         new = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])) if len(fp) else np.zeros(0, np.int64)
         many = np.diff(np.append(new, len(fp)))
-        among = np.full(len(fp), np.iinfo(np.uint64).max, U64)  # to how many parts a minimizer goes: every window to its own
+        among = np.repeat(2 * -(-many // hot_from), many).astype(U64)  # to how many parts a minimizer goes
         hot = np.repeat(many >= hot_from, many)
         rows = []
         for mark, these in ((-1, slice(None)), (-2, hot)):  # all of them, and those to be split
