@@ -54,14 +54,15 @@ def contract(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b): the component is its smallest node."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``links`` (a, b): the component is its smallest node. The steps go on until nothing changes;
+    their number grows with the logarithm of the longest chain of stars."""
     ready(links.sparkSession)
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     tasks = math.ceil(edges.count() / CONTRACTED)
     edges = cut(edges.coalesce(max(tasks, 1)).mapInArrow(contract, "u long, v long"), "edges")
     seen = None
-    for _ in range(rounds if tasks > 1 else 0):
+    while tasks > 1:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = lookup(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -74,7 +75,4 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        if tasks > 1:
-            raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -10,11 +10,14 @@ at least 80 %. Equal texts are collapsed before (``exact``); the jobs work on di
   all others: the odd members of a large group of half-similar texts are never compared one by one.
 * Grouping: each token's nodes are proposed to a few of them as neighbours, a number of pairs linear in the nodes;
   verified pairs form groups of similar documents.
-* The matrix: (token, group), the union of its members' tokens. A node is a query against every group but its own: a group
-  qualifies only if the query overlaps its union and its members' sizes fit (each at least 80 % of the other). Where a token
-  has few such pairs they are listed, and those whose histograms of token hashes, an upper bound, suffice are compared
-  exactly. Where it has many, the sets of its nodes are opened for its queries, block by block, and only links leave a task.
-* Links of both steps give the components. As members of a group are connected already, pairs inside a
+* The matrix: (token, group), the union of its members' rare tokens, cut to the members whose sizes fit the query's (each at least
+  80 % of the other). A node is a query against every group but its own. Its overlap with a group's union, added up over the matrix, bounds its
+  overlap with each member, and the group is opened only if that reaches what the sizes ask for. Tokens whose lists are
+  long (``LISTED``) are not added up by group: all that a query has of them counts for each group.
+* An opened group's members that share a listed token with the query are compared by histograms of token hashes, an upper bound, and then exactly.
+  Pairs that share only tokens of long lists meet in blocks of those lists, if both have enough of such tokens: there the full
+  unions of the groups are compared first, and only links leave a task.
+* Links of all steps give the components. As members of a group are connected already, pairs inside a
   group are never listed, however large it is; no link between groups is lost, since every pair of nodes that share a
   rare token lies in one group or is compared.
 
@@ -29,7 +32,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exact, windows
@@ -205,16 +208,20 @@ def matrix(nodes: DataFrame, counters: np.ndarray) -> DataFrame:
     return cut(sent.groupBy("p").applyInArrow(group, "kind int, x long, y long, size long, times long, low long, high long, histogram binary"), "matrix")
 
 
+def least_shared(size: str, *others: str) -> Column:
+    """Two similar sets of sizes a and b have more than 80 (a + b) / 180 - 0.8 max(a, b) tokens that are among the rare ones of both;
+    as a function of b this is least at an end of the range of sizes that a set can meet: ``others``."""
+    return F.least(*[F.expr(f"cast(floor({PERCENT} * ({size} + {s}) / {100 + PERCENT} - {PERCENT} * greatest({size}, {s}) / 100 - 1e-9D) + 1 AS LONG)") for s in others])
+
+
 def possible(found: DataFrame) -> DataFrame:
-    """The entries (token, node, size) of nodes that can have a link at all. Two similar sets of sizes a and b have more than
-    80 (a + b) / 180 - 0.8 max(a, b) tokens that are among the rare ones of both; as a function of b this is least at an
-    end of the range of sizes that a node meets. A node is dropped if fewer of its rare tokens have any other node to go with."""
+    """The entries (token, node, size, times, low, high) of nodes that can have a link at all. A node is dropped if fewer of its rare tokens
+    than it needs have any other node to go with. ``times``: how many tokens the name stands for; ``low``, ``high``: the sizes of the others that fit."""
     raw = found.filter("kind = 0")
-    need = "floor({p} * (size + {s}) / {q} - {p} * greatest(size, {s}) / 100)"
-    least = F.least(*[F.expr(need.format(p=PERCENT, q=100 + PERCENT, s=s)) for s in ("low", "high")])
     met = raw.groupBy(F.col("y").alias("node"), "size").agg(F.sum("times").alias("met"), F.min("low").alias("low"), F.max("high").alias("high"))
-    able = lookup(met.filter(F.col("met") >= least).select("node"), "able")
-    return raw.select(F.col("x").alias("token"), F.col("y").alias("node"), "size").distinct().join(able, "node", "left_semi")
+    able = lookup(met.filter(F.col("met") >= least_shared("size", "low", "high")).select("node"), "able")
+    entries = raw.groupBy(F.col("x").alias("token"), F.col("y").alias("node"), "size").agg(F.sum("times").alias("times"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return entries.join(able, "node", "left_semi")
 
 
 def histogram(tokens: np.ndarray) -> np.ndarray:
@@ -280,43 +287,60 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 def labelled(entries: DataFrame, groups: DataFrame) -> DataFrame:
     """The matrix: entries with their groups, of the tokens that several groups have, with the token's nodes ``n``, its largest
     group ``top`` and how many pairs of nodes of different groups it has."""
-    rows = entries.join(groups, F.col("node") == F.col("member"), "left").select("token", "node", "size", F.coalesce("component", "node").alias("grp"))
+    rows = entries.join(groups, F.col("node") == F.col("member"), "left").select("token", "node", "size", "times", "low", "high", F.coalesce("component", "node").alias("grp"))
     rows = cut(rows, "labelled")
     each = rows.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("k"))
     lists = each.groupBy("token").agg(F.sum("k").alias("n"), F.max_by("grp", F.struct("k", "grp")).alias("top"), F.max("k").alias("most"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
     return rows.join(lookup(lists.filter("pairs > 0"), "lists"), "token")
 
 
-def across(matrix_rows: DataFrame, parts: int) -> DataFrame:
-    """Pairs of nodes of different groups that share a rare token and whose sizes fit, of short lists."""
-    rows = matrix_rows.select("token", "node", "size", "grp").withColumn("p", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
+def across(matrix_rows: DataFrame, long: DataFrame, parts: int) -> DataFrame:
+    """(a, b) of different groups that share a token of a short list, whose sizes fit, and of which a, the smaller one, qualifies as a query for the
+    group of b. ``long``: (query, more), the number of each node's tokens in long lists."""
+    rows = matrix_rows.select("token", "node", "size", "times", "grp").withColumn("p", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
 
     def task(table):
         import pyarrow as pa
 
-        token, node, size, grp = (table.column(c).to_numpy() for c in ("token", "node", "size", "grp"))
+        token, node, size, times, grp = (table.column(c).to_numpy() for c in ("token", "node", "size", "times", "grp"))
         order = np.lexsort((node, size, token))
-        token, node, size, grp = token[order], node[order], size[order], grp[order]
+        token, node, size, times, grp = token[order], node[order], size[order], times[order], grp[order]
         ends = np.searchsorted(token, token, "right")
-        found = []
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         # each entry meets, step by step, the next ones of its token that are not too large
         live, step = np.arange(len(token)), 1
         while len(live):
             live = live[live + step < ends[live]]
             live = live[100 * size[live] >= PERCENT * size[live + step]]
             apart = live[grp[live] != grp[live + step]]
-            if len(apart):
-                x, y = node[apart], node[apart + step]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            x.append(apart)
+            y.append(apart + step)
             step += 1
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return rows.groupBy("p").applyInArrow(task, "a long, b long")
+        x, y = np.concatenate(x), np.concatenate(y)
+        # the unions: a token counts once for a query and a group
+        order = np.lexsort((size[y], grp[y], x))
+        x, y = x[order], y[order]
+        one = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (grp[y[1:]] != grp[y[:-1]]))) if len(x) else np.zeros(0, np.int64)
+        last = np.append(one[1:], len(x)) - 1
+        met = np.stack([node[x[one]], grp[y[one]], size[x[one]], times[x[one]], size[y[one]], size[y[last]]], axis=1)
+        met = met[np.lexsort((met[:, 1], met[:, 0]))]
+        new = np.flatnonzero(np.append(True, np.any(met[1:, :2] != met[:-1, :2], axis=1))) if len(met) else np.zeros(0, np.int64)
+        if len(new):
+            met = np.stack([met[new, 0], met[new, 1], met[new, 2], np.add.reduceat(met[:, 3], new), np.minimum.reduceat(met[:, 4], new), np.maximum.reduceat(met[:, 5], new)], axis=1)
+        pairs = np.unique(np.stack([node[x], grp[y], node[y]], axis=1), axis=0) if len(x) else np.zeros((0, 3), np.int64)
+        none = np.zeros(len(pairs), np.int64)
+        columns = [np.concatenate([met[:, 0], pairs[:, 0]]), np.concatenate([met[:, 1], pairs[:, 1]]), np.concatenate([np.full(len(met), -1), pairs[:, 2]]), *[np.concatenate([met[:, k], none]) for k in range(2, 6)]]
+        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["query", "grp", "member", "size", "shared", "low", "high"])
+
+    found = cut(rows.groupBy("p").applyInArrow(task, "query long, grp long, member long, size long, shared long, low long, high long"), "across")
+    bound = found.filter("member < 0").groupBy("query", "grp", "size").agg(F.sum("shared").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high")).join(long, "query", "left")
+    opens = bound.filter(F.col("shared") + F.coalesce("more", F.lit(0)) >= least_shared("size", "low", "high"))
+    pairs = found.filter("member >= 0").join(lookup(opens.select("query", "grp"), "opens"), ["query", "grp"], "left_semi")
+    return pairs.select(F.least("query", "member").alias("a"), F.greatest("query", "member").alias("b"))
 
 
 def opened(matrix_rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of the long lists: the nodes outside a list's largest group are its queries, and its nodes' sets are opened for
+    """Links of the long lists: the nodes outside a list's largest group are its queries, and its groups are opened for
     them, in blocks of at most about ``OPEN`` nodes on each side. A query gives one link for each group that it reaches."""
     rows = matrix_rows.select("token", "node", "size", "grp", (F.col("grp") != F.col("top")).alias("asks"), F.ceil(F.col("n") / OPEN).cast("int").alias("m"), F.greatest(F.ceil((F.col("n") - F.col("most")) / OPEN), F.lit(1)).cast("int").alias("q"))
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -341,13 +365,28 @@ def opened(matrix_rows: DataFrame, texts: DataFrame) -> DataFrame:
         order = np.argsort(at, kind="stable")
         row, at = row[order], at[order]
         ask, have = np.flatnonzero(asks), np.flatnonzero(~asks)
-        shared = np.zeros((len(ask), len(have)), np.float32)  # counts below 2**24 are exact
-        for first in range(0, int(wide.sum()), 2048):
-            lo, hi = np.searchsorted(at, [first, first + 2048])
-            part = np.zeros((len(bodies), 2048), np.float32)
-            part[row[lo:hi], at[lo:hi] - first] = 1
-            shared += part[ask] @ part[have].T
-        x, y = np.nonzero(similar(shared.astype(np.int64), size[ask][:, None], size[have][None, :]) & (grp[ask][:, None] != grp[have][None, :]))
+        have = have[np.argsort(grp[have], kind="stable")]
+        found, begin = np.unique(grp[have], return_index=True)
+
+        def shared(of: np.ndarray, with_: np.ndarray, unions: np.ndarray | None = None) -> np.ndarray:
+            """How many tokens each of some rows shares with each of others, or with the unions of others that begin at ``unions``."""
+            out = np.zeros((len(of), len(with_ if unions is None else unions)), np.float32)  # counts below 2**24 are exact
+            for first in range(0, int(wide.sum()), 2048):
+                lo, hi = np.searchsorted(at, [first, first + 2048])
+                part = np.zeros((len(bodies), 2048), np.float32)
+                part[row[lo:hi], at[lo:hi] - first] = 1
+                right = part[with_] if unions is None else np.maximum.reduceat(part[with_], unions, axis=0)
+                out += part[of] @ right.T
+            return out.astype(np.int64)
+
+        if not len(ask) or not len(have):
+            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        least = np.minimum.reduceat(size[have], begin)
+        smallest = np.maximum(least[None, :], -(-PERCENT * size[ask][:, None] // 100))  # the smallest member that a query can link with
+        reach = (100 + PERCENT) * shared(ask, have, begin) >= PERCENT * (size[ask][:, None] + smallest)
+        reach &= grp[ask][:, None] != found[None, :]
+        have = have[reach.any(axis=0)[np.searchsorted(found, grp[have])]]
+        x, y = np.nonzero(similar(shared(ask, have), size[ask][:, None], size[have][None, :]) & reach[:, np.searchsorted(found, grp[have])])
         a, b = ask[x], have[y]
         _, one = np.unique(np.stack([node[a], grp[b]], axis=1), axis=0, return_index=True)
         return pa.table([pa.array(node[a[one]]), pa.array(node[b[one]])], names=["a", "b"])
@@ -373,8 +412,11 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[D
     near = verify(near, nodes, texts)
     groups = lookup(components(near).withColumnRenamed("node", "member"), "groups")
     rows = cut(labelled(entries, groups), "rows")
-    far = verify(across(rows.filter(F.col("pairs") <= LISTED), 2 * spread(texts)), nodes, texts)
-    wide = opened(rows.filter(F.col("pairs") > LISTED), texts)
+    wide = rows.filter(F.col("pairs") > LISTED)
+    long = lookup(wide.groupBy("node", "size").agg(F.sum("times").alias("more"), F.min("low").alias("low"), F.max("high").alias("high")), "long")
+    far = verify(across(rows.filter(F.col("pairs") <= LISTED), long.select(F.col("node").alias("query"), "more"), 2 * spread(texts)), nodes, texts)
+    enough = long.filter(F.col("more") >= least_shared("size", "low", "high")).select("node")
+    wide = opened(wide.join(enough, "node", "left_semi"), texts)
     linked = lookup(components(near.unionByName(far).unionByName(wide)), "components")
     return members, nodes.join(linked, "node", "left").select("node", F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
