@@ -41,6 +41,8 @@ U64 = np.uint64
 CHUNK = 1 << 20
 #: Held fingerprints after which a task of step 1 sends them on.
 HELD = 1 << 22
+#: Bytes of input for each block and each part; small tables have as many of both as there are shuffle partitions.
+BLOCK_BYTES, PART_BYTES = 2 << 20, 4 << 20
 #: Times that a task of step 1 tells a fingerprint of one block, at most.
 TOLD = 16
 #: Fingerprints told from which a minimizer is split, into two parts for each so many.
@@ -323,8 +325,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
 
     spark = docs.sparkSession
     ready(spark)
-    n = spread(docs)
-    n_blocks, parts, hot_from = 4 * n, 2 * n, HOT
+    n_blocks, parts, hot_from = spread(docs, BLOCK_BYTES), spread(docs, PART_BYTES), HOT
     # for bytes, rows that share an id stay together, as their order by text counts
     dealt = ("doc_id", "text") if kind == "words" else ("doc_id",)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("_b", F.pmod(F.xxhash64(*dealt), F.lit(n_blocks)).cast("int"))
