@@ -6,20 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import RANGES, before_ranges
+
+
+def hashed(seed: int, *parts: Column) -> Column:
+    """A number below 2**52 that depends on the seed and the parts only: the first 13 hexadecimal digits of an MD5 digest."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
 
 def uniform(seed: int, *parts: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the parts only."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    return hashed(seed, *parts).cast("double") / float(1 << 52)
 
 
 def latin_hypercube(ids: DataFrame, dims: list[str], seed: int, key: str = "id") -> DataFrame:
-    """(key, a column in [0, 1) for each dimension): each of n strata of a dimension holds one point. A window for each
-    dimension ranks the points by a hash; dimensions are separate partitions."""
-    long = ids.select(key).withColumn("dim", F.explode(F.array(*map(F.lit, dims))))
-    w = W.partitionBy("dim")
-    stratum = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "dim", key), key)) - 1
-    point = (stratum + uniform(seed + 1, F.col("dim"), F.col(key))) / F.count(F.lit(1)).over(w)
-    return long.withColumn("x", point).groupBy(key).pivot("dim", dims).agg(F.first("x"))
+    """(key, a column in [0, 1) for each dimension): each of n strata of a dimension holds one point. The points of a dimension are ranked
+    by a hash: in ``RANGES`` even ranges of the hash, put one after the other by their counts."""
+    long = ids.select(key).withColumn("dim", F.explode(F.array(*map(F.lit, dims)))).withColumn("_h", hashed(seed, F.col("dim"), F.col(key)))
+    long = long.withColumn("_range", F.floor(F.col("_h") / float(1 << 52) * RANGES))
+    counts = long.groupBy("dim", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = before_ranges(counts, "_n", ["dim"]).join(counts.groupBy("dim").agg(F.sum("_n").alias("_total")), "dim")
+    stratum = F.col("_before") + F.row_number().over(W.partitionBy("dim", "_range").orderBy("_h", key)) - 1
+    point = (stratum + uniform(seed + 1, F.col("dim"), F.col(key))) / F.col("_total")
+    return long.join(ranges, ["dim", "_range"]).withColumn("x", point).groupBy(key).pivot("dim", dims).agg(F.first("x"))
 
 
 def rescale(x: Column, low: float, high: float) -> Column:

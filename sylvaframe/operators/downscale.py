@@ -1,5 +1,6 @@
 """Monthly to daily to half-hourly values, for all cells and years at once. Arrays of a month (28 to 31 values) or a day (48)
-are rows' own values, so nothing is shuffled after the months are brought together."""
+are rows' own values, so nothing is shuffled after the months are brought together. They are exploded by the outer form: for the
+other one the optimizer adds a filter on the array's size, which computes the array twice."""
 
 from __future__ import annotations
 
@@ -58,7 +59,7 @@ def monthly_to_daily(df: DataFrame, keys: list[str], low: float | None = None, h
     if high is not None:
         rows = rows.withColumn("_line", squeeze(F.col("_line"), F.lit(high), False))
     first = F.dayofyear(F.make_date(F.lit(2001), "month", F.lit(1)))
-    out = rows.select(*keys, "year", "month", first.alias("_first"), F.posexplode("_line").alias("_i", "value"))
+    out = rows.select(*keys, "year", "month", first.alias("_first"), F.posexplode_outer("_line").alias("_i", "value"))
     return out.select(*keys, "year", "month", (F.col("_first") + F.col("_i")).alias("doy"), "value")
 
 
@@ -80,7 +81,7 @@ def diurnal_par(df: DataFrame, keys: list[str]) -> DataFrame:
     through, the diffuse part the sun's height. Sums of a day are columns of the day, so that slots only multiply."""
     beam_of = lambda c: F.when((c > 0) & (F.acos(c) < math.radians(80)), c * F.pow(F.lit(CLEAR), F.try_divide(F.lit(1.0), c))).otherwise(0.0)
     days = df.withColumn("_beams", F.transform("cz", beam_of)).withColumns({"_sum_beam": total(F.col("_beams")), "_sum_sky": total(F.col("cz"))})
-    rows = days.select(*keys, "par_day", "doy", "_sum_beam", "_sum_sky", F.posexplode(F.arrays_zip("_beams", "cz")).alias("slot", "_z"))
+    rows = days.select(*keys, "par_day", "doy", "_sum_beam", "_sum_sky", F.posexplode_outer(F.arrays_zip("_beams", "cz")).alias("slot", "_z"))
     sky = F.col("_sum_sky") * SOLAR * (1.0 + 0.033 * F.cos(F.col("doy") / 365.0 * 2 * math.pi)) * SLOT_SECONDS * TO_MJ
     diffuse = S.diffuse_fraction(F.coalesce(F.try_divide(F.col("par_day") / PAR_PER_SW, sky), F.lit(1.0)))
     beam = F.when(F.col("_sum_beam") > 0, F.col("par_day") * (1 - diffuse)).otherwise(0.0)
@@ -112,7 +113,7 @@ def diurnal_longwave(df: DataFrame, keys: list[str], low: Column, high: Column,
     """(keys, slot, lw) from (keys, t): linear in temperature between the day's bounds, scaled to the day's mean; the mean on a
     day of one temperature (within 1e-6). The mean of a linear function is the function of the mean, so a slot needs no sum."""
     days = df.withColumns({"_low": low, "_high": high, "_mean": mean, "_t0": F.array_min("t"), "_t1": F.array_max("t"), "_avg": total(F.col("t")) / float(SLOTS)})
-    rows = days.select(*keys, "_low", "_high", "_mean", "_t0", "_t1", "_avg", F.posexplode("t").alias("slot", "_t"))
+    rows = days.select(*keys, "_low", "_high", "_mean", "_t0", "_t1", "_avg", F.posexplode_outer("t").alias("slot", "_t"))
     line = lambda t: F.when(F.col("_t1") - F.col("_t0") > 1e-6, F.try_divide((F.col("_high") - F.col("_low")) * F.col(t) - (F.col("_high") * F.col("_t0") - F.col("_low") * F.col("_t1")), F.col("_t1") - F.col("_t0"))).otherwise(F.col("_mean"))
     rows = rows.withColumns({"_raw": line("_t"), "_whole": line("_avg")})
     return rows.select(*keys, "slot", F.when(F.col("_whole") < 0.0001, 0.0).otherwise(F.try_divide(F.col("_raw") * F.col("_mean"), F.col("_whole"))).alias("lw"))
@@ -120,4 +121,4 @@ def diurnal_longwave(df: DataFrame, keys: list[str], low: Column, high: Column,
 
 def explode_slots(df: DataFrame, arrays: list[str], keys: list[str]) -> DataFrame:
     """A row for each half hour: keys, slot (from 0), a column for each array."""
-    return df.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("slot", "_z")).select(*keys, "slot", *[F.col(f"_z.{a}").alias(a) for a in arrays])
+    return df.select(*keys, F.posexplode_outer(F.arrays_zip(*arrays)).alias("slot", "_z")).select(*keys, "slot", *[F.col(f"_z.{a}").alias(a) for a in arrays])

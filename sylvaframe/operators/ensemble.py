@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import summary
 from ..schema import Kind
+from .order import exact_quantiles
 from .reduce import bucket, reduce_time
 from .slices import select_layer, slice_dates
 
@@ -64,7 +65,8 @@ def scenario_stack(parts: list[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
 
 def compare_ensembles(old: DataFrame, new: DataFrame, kind: Kind) -> DataFrame:
     both = old.withColumn("ensemble", F.lit("old")).unionByName(new.withColumn("ensemble", F.lit("new")))
-    return both.groupBy("ensemble", bucket(kind, F.col("ts")).alias("bucket")).agg(F.avg("value").alias("mean"), F.median("value").alias("median"))
+    out = exact_quantiles(both, [0.5], ["ensemble", bucket(kind, F.col("ts")).alias("bucket")])
+    return out.select("ensemble", "bucket", "mean", F.col("_q")[0].alias("median"))
 
 
 def change_split(df: DataFrame, year: int, keys: list, ts: str = "ts") -> DataFrame:

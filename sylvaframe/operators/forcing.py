@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .design import hashed
 from .joins import common_sites, map_codes, nearest_cell, update_join
 
 #: Fixed values.
@@ -71,7 +72,7 @@ def fill_years(df: DataFrame, value: str, keys: tuple[str, ...] = ("doy", "hour"
     value is carried forward. The donor of a year is chosen by a hash of seed, site and year."""
     years = df.groupBy(site, "year").agg(F.count(value).alias("n"), F.count(F.lit(1)).alias("rows"))
     have = years.filter("n > 0").groupBy(site).agg(F.sort_array(F.collect_list("year")).alias("have"))  # calendar years of a site
-    pick = F.pmod(F.xxhash64(F.lit(seed), F.col(site).cast("string"), F.col("year").cast("long")), F.size("have").cast("long")).cast("int")
+    pick = (hashed(seed, F.col(site), F.col("year")) % F.size("have")).cast("int")
     donors = years.filter("n < rows").join(have, site).select(site, "year", F.element_at("have", pick + 1).alias("donor"))
     source = df.select(site, F.col("year").alias("donor"), *keys, value)
     given = donors.join(source, [site, "donor"]).drop("donor")

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.calendar import snap_half_hour
 from .ensemble import ensemble_band
 from .joins import overlap_or_full
+from .order import exact_quantiles
 
 
 def diurnal_obs(df: DataFrame, keys: list[str], q_low: float = 0.2, q_up: float = 0.8) -> DataFrame:
     """mean, qlow, qup by half-hour slot; a single value stands for all three."""
     slot = F.pmod(snap_half_hour(F.col("ts")), F.lit(24.0)).alias("slot")
-    return df.groupBy(*keys, slot).agg(F.avg("value").alias("mean"), F.percentile("value", q_low).alias("qlow"), F.percentile("value", q_up).alias("qup"))
+    out = exact_quantiles(df, [q_low, q_up], [*keys, slot])
+    return out.select(*keys, "slot", "mean", F.col("_q")[0].alias("qlow"), F.col("_q")[1].alias("qup"))
 
 
 def diurnal_model(df: DataFrame, obs: DataFrame | None = None) -> DataFrame:

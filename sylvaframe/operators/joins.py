@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import nearest_values
+
 
 def join_model_obs(model: DataFrame, obs: DataFrame, on: list[str]) -> DataFrame:
     """Inner join on time: columns ``m`` and ``o``; rows without both are left out."""
@@ -47,12 +49,8 @@ def wrap_lon(lon: Column, to_360: bool = False) -> Column:
 
 
 def nearest_on_axis(points: DataFrame, grid: DataFrame, axis: str) -> DataFrame:
-    """For each distinct coordinate of the points, the nearest of the grid's axis, ties to the smaller. The pairs are distinct
-    coordinates of one axis on both sides, hundreds at most for a grid, not points by cells."""
-    have = grid.select(F.col(axis).alias(f"g_{axis}")).distinct()
-    want = points.select(axis).distinct()
-    pairs = want.join(F.broadcast(have), F.lit(True))  # an axis of a grid is small by nature
-    return pairs.groupBy(axis).agg(F.min_by(f"g_{axis}", F.struct(F.abs(F.col(f"g_{axis}") - F.col(axis)), F.col(f"g_{axis}"))).alias(f"g_{axis}"))
+    """For each distinct coordinate of the points, the nearest of the grid's axis, ties to the smaller: its neighbours in the order of both."""
+    return nearest_values(points, grid, axis, f"g_{axis}")
 
 
 def nearest_cell(points: DataFrame, grid: DataFrame) -> DataFrame:
@@ -62,19 +60,19 @@ def nearest_cell(points: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def nearest_point(points: DataFrame, cells: DataFrame, key: str, size: float = 30.0) -> DataFrame:
-    """The nearest cell by squared distance in degrees, ties to the smaller lon, then lat. Points look in their bucket
-    of ``size`` degrees and the 8 around; a point whose best there is farther than the buckets reach, or that has none,
-    looks everywhere."""
+    """The nearest cell by squared distance in degrees, ties to the smaller lon, then lat. Cells lie in tiles of ``size`` degrees, of which
+    a globe has (360 / size) * (180 / size) at most; a point looks only in tiles that can be as near as the tile which is surely nearest."""
     b = lambda c: F.floor(F.col(c) / size)
     have = cells.select(F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"), F.col("value").alias("c_value"), b("lon").alias("bx"), b("lat").alias("by"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    want = points.select(key, "lon", "lat").withColumn("o", F.explode(around)).select(key, "lon", "lat", (b("lon") + F.col("o.i")).alias("bx"), (b("lat") + F.col("o.j")).alias("by"))
-    d2 = (F.col("c_lon") - F.col("lon")) ** 2 + (F.col("c_lat") - F.col("lat")) ** 2
-    best = F.min(F.struct(d2.alias("d2"), "c_lon", "c_lat", "c_value")).alias("best")
-    near = want.join(have, ["bx", "by"]).groupBy(key).agg(best).filter(F.col("best.d2") <= size * size)
-    rest = points.join(near.select(key), key, "left_anti")
-    far = rest.crossJoin(have.drop("bx", "by")).groupBy(key).agg(best)
-    found = near.unionByName(far)
+    tiles = have.groupBy("bx", "by").agg(F.min("c_lon").alias("x0"), F.max("c_lon").alias("x1"), F.min("c_lat").alias("y0"), F.max("c_lat").alias("y1"))
+    tiles = tiles.agg(F.collect_list(F.struct("bx", "by", "x0", "x1", "y0", "y1")).alias("tiles"))  # one row of a bounded number of tiles
+    x, y = F.col("lon"), F.col("lat")
+    least = lambda t: F.greatest(t["x0"] - x, x - t["x1"], F.lit(0.0)) ** 2 + F.greatest(t["y0"] - y, y - t["y1"], F.lit(0.0)) ** 2
+    most = lambda t: F.greatest(F.abs(x - t["x0"]), F.abs(x - t["x1"])) ** 2 + F.greatest(F.abs(y - t["y0"]), F.abs(y - t["y1"])) ** 2
+    want = points.select(key, "lon", "lat").crossJoin(F.broadcast(tiles)).withColumn("reach", F.array_min(F.transform("tiles", most)))
+    want = want.select(key, "lon", "lat", F.explode(F.filter("tiles", lambda t: least(t) <= F.col("reach") * (1 + 1e-12))).alias("t")).select(key, "lon", "lat", "t.bx", "t.by")
+    d2 = (F.col("c_lon") - x) ** 2 + (F.col("c_lat") - y) ** 2
+    found = want.join(have, ["bx", "by"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "c_lon", "c_lat", "c_value")).alias("best"))
     return found.select(key, "best.c_lon", "best.c_lat", "best.d2", "best.c_value")
 
 

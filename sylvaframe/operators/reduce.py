@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as C
 from ..functions.stats import summary
 from ..schema import Kind
+from .order import exact_quantiles
 from .slices import season_filter
 
 
@@ -52,8 +53,9 @@ def dummy_date(kind: Kind, at: Column) -> Column:
 
 
 def day_quantiles(df: DataFrame, q: list[float], keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
-    """Quantiles of each half-hour slot of the day."""
-    return df.groupBy(*keys, bucket(Kind.THIRTY_MIN_AVG, F.col(ts)).alias("bucket")).agg(*[F.percentile(value, x).alias(f"q{round(x * 100)}") for x in q])
+    """Quantiles of each half-hour slot of the day, over all runs and days."""
+    out = exact_quantiles(df, q, [*keys, bucket(Kind.THIRTY_MIN_AVG, F.col(ts)).alias("bucket")], value)
+    return out.select(*keys, "bucket", *[F.col("_q")[k].alias(f"q{round(x * 100)}") for k, x in enumerate(q)])
 
 
 def seasonal_yearly(df: DataFrame, months: list[int], keys: list[str], columns: list[str], hours: list[int] | None = None, ts: str = "ts") -> DataFrame:
@@ -107,9 +109,9 @@ def replicate_mean(df: DataFrame, columns: list[str], keys: list, factor: float
 
 
 def group_quantiles(df: DataFrame, q: list[float], keys: list, value: str = "value", prefix: str = "J") -> DataFrame:
-    """Several quantiles of each key, a column each; the values are sorted once."""
-    out = df.groupBy(*keys).agg(F.percentile(value, q).alias("_q"))
-    return out.select(*[c for c in out.columns if c != "_q"], *[F.col("_q")[k].alias(f"{prefix}{x:g}".replace(".", "_")) for k, x in enumerate(q)])
+    """Several quantiles of each key, a column each."""
+    out = exact_quantiles(df, q, keys, value)
+    return out.select(*[c for c in out.columns if c not in ("mean", "_q")], *[F.col("_q")[k].alias(f"{prefix}{x:g}".replace(".", "_")) for k, x in enumerate(q)])
 
 
 def resample_30min(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:

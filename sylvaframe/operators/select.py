@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import average_ranks, numbered
 from .slices import bounds
 
 
@@ -24,11 +22,10 @@ def best_per_group(df: DataFrame, group: str, metric: str, limits: dict, key: st
 
 
 def evenly_spaced(df: DataFrame, n: int, order: str, key: str = "fid") -> DataFrame:
-    """n rows at the positions round(range from 1 to N), ties to even, of the order. For tables of a row for each run."""
-    ranked = df.withColumn("position", F.row_number().over(W.orderBy(order, key)))
+    """n rows at the positions round(range from 1 to N), ties to even, of the order."""
     total = df.count()
     at = sorted({round(1 + i * (total - 1) / (n - 1)) for i in range(n)}) if n > 1 else [1]
-    return ranked.filter(F.col("position").isin(*at))
+    return numbered(df, order, key).filter(F.col("position").isin(*at))
 
 
 def nested_sets(df: DataFrame, sets: list[tuple[str, dict]], key: str = "fid") -> DataFrame:
@@ -54,21 +51,14 @@ def pearson_matrix(df: DataFrame, columns: list[str], weak: float = 0.15, strong
     return out.filter(F.abs("r") >= weak).withColumn("class", F.when(F.abs("r") >= strong, "strong").otherwise("weak"))
 
 
-def average_ranks(df: DataFrame, column: str, key: str = "fid") -> DataFrame:
-    """(key, rank): ranks with ties averaged. Counts of distinct values are summed, not rows sorted in one window."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, -1))
-    ranks = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2.0).drop("_n")
-    return df.select(key, column).join(ranks, column).select(key, "rank")
-
-
 def spearman_matrix(df: DataFrame, columns: list[str], key: str = "fid") -> DataFrame:
-    """(a, b, r): Pearson's correlation of average ranks, over complete rows."""
-    rows = df.dropna(subset=columns).select(key, *columns)
-    ranked = reduce(lambda x, c: x.join(average_ranks(rows, c, key).withColumnRenamed("rank", f"_{c}"), key), columns, rows.select(key))
+    """(a, b, r): Pearson's correlation of average ranks, over complete rows. All columns are ranked together, as one long table."""
+    rows = df.dropna(subset=columns).select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    long = rows.unpivot(key, columns, "column", "value")
+    ranked = long.join(average_ranks(long, "value", ["column"]), ["column", "value"]).groupBy(key).pivot("column", columns).agg(F.first("rank"))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    long = ranked.agg(*[F.corr(f"_{a}", f"_{b}").alias(f"{a}|{b}") for a, b in pairs]).unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
-    return long.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
+    out = ranked.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
+    return out.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:

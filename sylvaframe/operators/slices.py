@@ -71,7 +71,7 @@ def constrain(df: DataFrame, limits: dict) -> DataFrame:
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Without the columns that have no value in any row (NULL or NaN); one aggregation finds them."""
-    has = lambda c, t: F.count(F.when(~F.isnan(c), 1)) if t in ("double", "float") else F.count(c)
+    has = lambda c, t: F.count(F.when(c.isNotNull() & ~F.isnan(c), 1)) if t in ("double", "float") else F.count(c)
     found = df.agg(*[has(F.col(c), t).alias(c) for c, t in df.dtypes]).first()
     return df.select(*[c for c in df.columns if found[c]])
 

@@ -116,7 +116,7 @@ def numbered_lines(texts: DataFrame) -> DataFrame:
 def parse_namelists(texts: DataFrame) -> DataFrame:
     """(fid, group, key, type, value) of ``&GROUP`` / ``key=value`` / ``/`` texts; ``!`` begins a comment."""
     rows = numbered_lines(texts).withColumn("raw", F.trim(F.regexp_replace("raw", r"""!(?=([^"]*"[^"]*")*[^"]*$).*""", "")))
-    group = F.when(F.col("raw").startswith("&"), F.upper(F.trim(F.substring("raw", 2, 1000)))).when(F.col("raw") == "/", "")
+    group = F.when(F.col("raw").startswith("&"), F.upper(F.trim(F.expr("substring(raw, 2)")))).when(F.col("raw") == "/", "")
     rows = rows.withColumn("group", F.last(group, ignorenulls=True).over(W.partitionBy("fid").orderBy("line")))
     pair = r"^([A-Za-z_]\w*)\s*=\s*(.*?)\s*,?$"
     rows = rows.filter(F.col("raw").rlike(pair) & (F.col("group") != ""))
