@@ -1,5 +1,5 @@
 """Structured Streaming twins of batch operators: each is a transformation of a streaming DataFrame, so the same code runs on
-a batch. Watermarks need time-zone timestamps: stamps are cast, the session's zone is to be UTC."""
+a batch. They run in update mode, so that only what changed is written, and results go to files. Watermarks need time-zone timestamps: stamps are cast, the session's zone is to be UTC."""
 
 from __future__ import annotations
 
@@ -19,10 +19,15 @@ def stream_scores(model: DataFrame, obs: DataFrame, threshold: float) -> DataFra
     return sums.select("fid", "n", rmse.alias("rmse"), (rmse > threshold).alias("rejected"))
 
 
-def stream_monitor(model: DataFrame, unit: str = "month", late: str = "30 days") -> DataFrame:
-    """Means by calendar unit of growing output, with the latest stamp; rows later than ``late`` are left out."""
-    rows = model.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return rows.groupBy("fid", "variable", F.date_trunc(unit, "ts").alias("bucket")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))
+def stream_monitor(model: DataFrame, unit: str = "month", late_days: int = 30) -> DataFrame:
+    """Means by calendar unit of growing output, with the latest stamp. A row whose whole unit ended more than ``late_days`` before the latest
+    stamp is left out, from the batch after the next on, and the state of such units is dropped (in update or append mode)."""
+    rows = model.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{late_days} days")
+    # only time windows of a fixed length keep the watermark by themselves; a unit is known by its end, which the watermark has to pass
+    mark = {"spark.watermarkDelayMs": late_days * 86_400_000}
+    end = (F.date_trunc(unit, "ts") + F.expr(f"INTERVAL 1 {unit}")).alias("_end", metadata=mark)
+    sums = rows.select("*", end).groupBy("fid", "variable", "_end").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))
+    return sums.select("fid", "variable", F.date_trunc(unit, F.col("_end") - F.expr("INTERVAL 1 SECOND")).alias("bucket"), "mean", "n", "latest")
 
 
 def stream_progress(log: DataFrame) -> DataFrame:
@@ -31,9 +36,25 @@ def stream_progress(log: DataFrame) -> DataFrame:
     return log.groupBy("job", "node").agg(F.count(F.lit(1)).alias("done"), F.sum(F.when(F.col("rc") != 0, 1).otherwise(0)).alias("failed"), F.sum("duration_s").alias("duration_s"), (F.max(end) - F.min(end - F.col("duration_s"))).alias("elapsed_s"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "update", checkpoint: str | None = None) -> DataFrame:
-    """Runs a streaming query over what is there and gives its last result: the table of a memory sink, for small results."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def to_files(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Starts a streaming query in update mode: each batch's changed rows become Parquet files below ``path/batch=N``, written by the
+    executors; a batch that is repeated after a failure replaces its own. Nothing passes through the driver."""
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def latest(files: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that ``to_files`` has written, of each key the one of the last batch."""
+    rest = [c for c in files.columns if c not in (*keys, "batch")]
+    return files.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+
+
+def drain(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Runs a streaming query over what is there, into files; its last result."""
+    to_files(stream, path, checkpoint).awaitTermination()
+    return latest(stream.sparkSession.read.parquet(path), keys)
