@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +10,6 @@ from pyspark.sql import functions as F
 from ..sources import testbed
 
 
-#: Added before rounding, here and in the SQL: means of prices often end exactly between two numbers, and which of them they
-#: come to would depend on the order of a sum.
-TIE = 1e-8
-
-
 class Book:
     def __init__(self):
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +21,7 @@ class Book:
         def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
             self.queries[key] = f
             if sql is not None:
-                text = re.sub(r", (\d)\) AS", rf" + {TIE}, \1) AS", sql.strip())
+                text = sql.strip()
                 head = ", ".join(testbed.SQL[u] for u in uses.split())
                 self.sql[key] = f"WITH {head}, {text[5:]}" if head and text.startswith("WITH ") else f"WITH {head} {text}" if head else text
             return f
@@ -36,8 +30,9 @@ class Book:
 
 
 def r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """The columns rounded, as sums of floats depend on their order."""
-    return df.withColumns({c: F.round(F.col(c) + TIE, digits) for c in columns})
+    """The columns rounded, as sums of floats depend on their order: by way of a decimal number of three digits more, so that a mean
+    that ends exactly between two numbers is rounded up whatever the order of its sum was. The SQL twins say the same."""
+    return df.withColumns({c: F.round(F.col(c).cast(f"decimal(38, {digits + 3})"), digits).cast("double") for c in columns})
 
 
 def r_all(df: DataFrame, digits: int = 6) -> DataFrame:

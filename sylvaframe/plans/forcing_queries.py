@@ -10,7 +10,7 @@ from ..operators import downscale as D
 from ..operators import forcing as G
 from ..operators import joins as J
 from ..sources import testbed as T
-from .book import Book, r_all
+from .book import Book, r, r_all
 from .ensemble_queries import CODES, NEAREST
 
 book = Book()
@@ -25,17 +25,17 @@ def deposition(s, d):
     return T.monthly(s, d).crossJoin(sites).crossJoin(F.broadcast(families)).select("site", "family", "year", "month", (F.col("value") * F.col("site") * F.col("k") / 1e15).alias("value"))
 
 
-@add("g01_n_deposition", f"WITH {DOY}, {DEP} SELECT site, year, doy, round(value * 86400 * 1e6, 6) AS value FROM dep JOIN days USING (month) WHERE family = CASE WHEN year < 1996 THEN 'historic' ELSE 'rcp85' END", "monthly sites")
+@add("g01_n_deposition", f"WITH {DOY}, {DEP} SELECT site, year, doy, round(CAST(value * 86400 * 1e6 AS DECIMAL(38, 9)), 6)::DOUBLE AS value FROM dep JOIN days USING (month) WHERE family = CASE WHEN year < 1996 THEN 'historic' ELSE 'rcp85' END", "monthly sites")
 def _(s, d):
     return r_all(G.n_deposition(deposition(s, d), "rcp85"))
 
 
-@add("g02_p_deposition", f"WITH {NEAREST} SELECT site, round(g.value / 365, 6) AS p_srf_down FROM pt LEFT JOIN grid g ON pt.g_lon = g.lon AND pt.g_lat = g.lat", "grid sites")
+@add("g02_p_deposition", f"WITH {NEAREST} SELECT site, round(CAST(g.value / 365 AS DECIMAL(38, 9)), 6)::DOUBLE AS p_srf_down FROM pt LEFT JOIN grid g ON pt.g_lon = g.lon AND pt.g_lat = g.lat", "grid sites")
 def _(s, d):
     return r_all(G.p_deposition(T.sites(s, d), T.grid(s, d)).select("site", "p_srf_down"))
 
 
-@add("g03_map_lookup", f"WITH {NEAREST} SELECT site, round(g.value / 100, 6) AS value FROM pt LEFT JOIN grid g ON pt.g_lon = g.lon AND pt.g_lat = g.lat", "grid sites")
+@add("g03_map_lookup", f"WITH {NEAREST} SELECT site, round(CAST(g.value / 100 AS DECIMAL(38, 9)), 6)::DOUBLE AS value FROM pt LEFT JOIN grid g ON pt.g_lon = g.lon AND pt.g_lat = g.lat", "grid sites")
 def _(s, d):
     return r_all(G.map_lookup(T.sites(s, d), T.grid(s, d), 0.01).select("site", "value"))
 
@@ -46,7 +46,7 @@ pt AS (SELECT site, CAST(site % 36 AS INTEGER) AS ix, CAST(site % 18 AS INTEGER)
 steps AS (SELECT 0 AS dx, 0 AS dy, 0 AS priority UNION ALL SELECT r * x, r * y, (r - 1) * 8 + k FROM range(1, 37) t(r), (VALUES (0, -1, 1), (0, 1, 2), (-1, 0, 3), (1, 0, 4), (-1, -1, 5), (1, -1, 6), (-1, 1, 7), (1, 1, 8)) v(x, y, k)),
 found AS (SELECT a.site, g.map, g.value, row_number() OVER (PARTITION BY a.site, g.map ORDER BY priority) AS n
   FROM pt a CROSS JOIN steps JOIN g ON g.ix = greatest(a.ix + dx, 0) AND g.iy = greatest(a.iy + dy, 0) AND g.value IS NOT NULL)
-SELECT site, round(max(CASE map WHEN 'labile' THEN value END), 6) AS labile, round(max(CASE map WHEN 'slow' THEN value END), 6) AS slow, round(max(CASE map WHEN 'occluded' THEN value END), 6) AS occluded, round(max(CASE map WHEN 'primary' THEN value END), 6) AS "primary", 0.5::DOUBLE AS depth FROM found WHERE n = 1 GROUP BY 1""", "grid sites")
+SELECT site, round(CAST(max(CASE map WHEN 'labile' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS labile, round(CAST(max(CASE map WHEN 'slow' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS slow, round(CAST(max(CASE map WHEN 'occluded' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS occluded, round(CAST(max(CASE map WHEN 'primary' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS "primary", 0.5::DOUBLE AS depth FROM found WHERE n = 1 GROUP BY 1""", "grid sites")
 def _(s, d):
     g = T.grid(s, d).select(((F.col("lon") + 175) / 10).cast("int").alias("ix"), ((F.col("lat") + 85) / 10).cast("int").alias("iy"), "value")
     at = T.sites(s, d).select("site", (F.col("site") % 36).cast("int").alias("ix"), (F.col("site") % 18).cast("int").alias("iy"))
@@ -57,12 +57,12 @@ def _(s, d):
     return r_all(out).withColumn("depth", F.lit(0.5))
 
 
-@add("g05_add_co2", "SELECT m.year, m.month, round(m.value, 4) AS value, round(a.value, 4) AS co2 FROM monthly m JOIN annual a USING (year)", "monthly annual")
+@add("g05_add_co2", "SELECT m.year, m.month, round(CAST(m.value AS DECIMAL(38, 7)), 4)::DOUBLE AS value, round(CAST(a.value AS DECIMAL(38, 7)), 4)::DOUBLE AS co2 FROM monthly m JOIN annual a USING (year)", "monthly annual")
 def _(s, d):
     return r_all(G.add_annual(T.monthly(s, d), T.annual(s, d), "co2"), 4)
 
 
-@add("g06_add_c14", "SELECT s.site, s.lat, a.year, round(CASE WHEN lat > 30 THEN value WHEN lat > -30 THEN value * 2 ELSE value * 3 END, 4) AS \"co2DC14\" FROM sites s CROSS JOIN annual a", "sites annual")
+@add("g06_add_c14", "SELECT s.site, s.lat, a.year, round(CAST(CASE WHEN lat > 30 THEN value WHEN lat > -30 THEN value * 2 ELSE value * 3 END AS DECIMAL(38, 7)), 4)::DOUBLE AS \"co2DC14\" FROM sites s CROSS JOIN annual a", "sites annual")
 def _(s, d):
     a = T.annual(s, d)
     bands = a.select("year", F.col("value").alias("north"), (F.col("value") * 2).alias("tropics"), (F.col("value") * 3).alias("south"))
@@ -75,8 +75,8 @@ ASSEMBLED = ("site", "year", "doy", "t_air", "wind_air", "co2_mixing_ratio", "co
 
 @add("g07_assemble_forcing", f"""
 WITH {DOY}, {DEP}, {MET}, n AS (SELECT site, year, doy, value * 86400 * 1e6 AS value FROM dep JOIN days USING (month) WHERE family = CASE WHEN year < 1996 THEN 'historic' ELSE 'rcp85' END)
-SELECT met.site, met.year, met.doy, round(t_air, 6) AS t_air, round(greatest(wind_air, 0.1), 6) AS wind_air, round(a.value, 4) AS co2_mixing_ratio, round(a.value / 10, 4) AS "co2_dC13",
-  round(CASE WHEN s.lat > 30 THEN a.value WHEN s.lat > -30 THEN a.value * 2 ELSE a.value * 3 END, 4) AS "co2DC14", round(n.value, 6) AS nhx_srf_down, round(n.value * 2, 6) AS noy_srf_down, met.site / 365.0::DOUBLE AS p_srf_down
+SELECT met.site, met.year, met.doy, round(CAST(t_air AS DECIMAL(38, 9)), 6)::DOUBLE AS t_air, round(CAST(greatest(wind_air, 0.1) AS DECIMAL(38, 9)), 6)::DOUBLE AS wind_air, round(CAST(a.value AS DECIMAL(38, 7)), 4)::DOUBLE AS co2_mixing_ratio, round(CAST(a.value / 10 AS DECIMAL(38, 7)), 4)::DOUBLE AS "co2_dC13",
+  round(CAST(CASE WHEN s.lat > 30 THEN a.value WHEN s.lat > -30 THEN a.value * 2 ELSE a.value * 3 END AS DECIMAL(38, 7)), 4)::DOUBLE AS "co2DC14", round(CAST(n.value AS DECIMAL(38, 9)), 6)::DOUBLE AS nhx_srf_down, round(CAST(n.value * 2 AS DECIMAL(38, 9)), 6)::DOUBLE AS noy_srf_down, met.site / 365.0::DOUBLE AS p_srf_down
 FROM met JOIN sites s USING (site) JOIN annual a USING (year) JOIN n ON n.site = met.site AND n.year = met.year AND n.doy = met.doy""", "monthly sites annual")
 def _(s, d):
     rows = T.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("site"), F.year("l_shipdate").alias("year"), F.dayofyear("l_shipdate").alias("day"))
@@ -87,21 +87,32 @@ def _(s, d):
     n = G.n_deposition(deposition(s, d), "rcp85")
     p = T.sites(s, d).select("site", (F.col("site") / 365.0).alias("p_srf_down"))
     out = G.assemble(met, a, times(0.1), c14, n, n.withColumn("value", F.col("value") * 2), p, ASSEMBLED[1:])
-    rounded = {c: F.round(F.col(c) + 1e-8, 4 if c.startswith("co2") else 6) for c in ASSEMBLED[3:-1]}
-    return out.withColumns(rounded)
+    co2 = [c for c in ASSEMBLED if c.startswith("co2")]
+    return r(r(out, *co2, digits=4), *[c for c in ASSEMBLED[3:-1] if c not in co2])
 
 
-@add("g08_assert_complete", "SELECT l_suppkey AS site, CAST(sum(CASE WHEN l_discount = 0 OR l_tax = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing, sum(CASE WHEN l_discount = 0 OR l_tax = 0 THEN 1 ELSE 0 END) = 0 AS ok FROM lineitem WHERE l_quantity > 45 GROUP BY 1")
+@add("g08_assert_complete", "SELECT l_suppkey AS site, CAST(sum(CASE WHEN l_discount = 0 OR l_tax = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing, sum(CASE WHEN l_discount = 0 OR l_tax = 0 THEN 1 ELSE 0 END) = 0 AS ok FROM lineitem GROUP BY 1")
 def _(s, d):
-    x = T.table(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("site"), F.nullif(F.col("l_discount"), F.lit(0.0)).alias("a"), F.when(F.col("l_tax") == 0, float("nan")).otherwise(F.col("l_tax")).alias("b"))
+    x = T.table(s, d, "lineitem").select(F.col("l_suppkey").alias("site"), F.nullif(F.col("l_discount"), F.lit(0.0)).alias("a"), F.when(F.col("l_tax") == 0, float("nan")).otherwise(F.col("l_tax")).alias("b"))
     return G.complete_sites(x, ["a", "b"])
 
 
-@add("g09_fill_lai")
+DIGITS = "CAST('0x' || substr(md5({0}), 1, 13) AS BIGINT)"  # as operators.design.hashed
+
+
+@add("g09_fill_lai", f"""
+WITH gaps AS (SELECT l_suppkey % 3 AS site, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(dayofyear(l_shipdate) AS INTEGER) AS doy, CASE WHEN year(l_shipdate) % 3 = 0 AND dayofyear(l_shipdate) % 2 = 0 THEN NULL ELSE avg(l_quantity) END AS lai, 0.0::DOUBLE AS hour
+  FROM lineitem GROUP BY l_suppkey % 3, year(l_shipdate), dayofyear(l_shipdate)),
+years AS (SELECT site, year, count(lai) AS n, count(*) AS total FROM gaps GROUP BY 1, 2),
+have AS (SELECT site, list(year ORDER BY year) AS have FROM years WHERE n > 0 GROUP BY 1),
+donors AS (SELECT y.site, y.year, have[{DIGITS.format("'42|' || y.site || '|' || y.year")} % len(have) + 1] AS donor FROM years y JOIN have USING (site) WHERE n < total),
+given AS (SELECT d.site, d.year, g.doy, g.hour, g.lai FROM donors d JOIN gaps g ON g.site = d.site AND g.year = d.donor),
+filled AS (SELECT g.site, g.year, g.doy, g.hour, coalesce(v.lai, g.lai) AS lai FROM gaps g LEFT JOIN given v USING (site, year, doy, hour))
+SELECT site, year, doy, hour, round(CAST(last_value(lai IGNORE NULLS) OVER (PARTITION BY site ORDER BY year, doy, hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(38, 9)), 6)::DOUBLE AS lai FROM filled""")
 def _(s, d):
     x = T.table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 3).alias("site"), F.year("l_shipdate").alias("year"), F.dayofyear("l_shipdate").alias("doy")).agg(F.avg("l_quantity").alias("lai"))
     gaps = x.withColumn("lai", F.when((F.col("year") % 3 == 0) & (F.col("doy") % 2 == 0), F.lit(None)).otherwise(F.col("lai"))).withColumn("hour", F.lit(0.0))
-    return G.fill_years(gaps, "lai")
+    return r_all(G.fill_years(gaps, "lai"))
 
 
 @add("g10_site_settings", f"""
@@ -120,7 +131,7 @@ def _(s, d):
 
 @add("g13_grid_monthly_series", """
 SELECT CAST(l_suppkey % 36 * 10 - 175 AS DOUBLE) AS lon, CAST(l_suppkey % 18 * 10 - 85 AS DOUBLE) AS lat, CAST(DATE '1981-01-01' + to_months(CAST(l_partkey % 24 AS INTEGER)) AS DATE) AS date,
-  round(avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 6) AS "A", round(avg(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 6) AS "N", round(avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 6) AS "R" FROM lineitem GROUP BY 1, 2, 3""")
+  round(CAST(avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS DECIMAL(38, 9)), 6)::DOUBLE AS "A", round(CAST(avg(CASE WHEN l_returnflag = 'N' THEN l_quantity END) AS DECIMAL(38, 9)), 6)::DOUBLE AS "N", round(CAST(avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS DECIMAL(38, 9)), 6)::DOUBLE AS "R" FROM lineitem GROUP BY 1, 2, 3""")
 def _(s, d):
     x = T.table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 36 * 10 - 175).cast("double").alias("lon"), (F.col("l_suppkey") % 18 * 10 - 85).cast("double").alias("lat"), F.col("l_returnflag").alias("variable"), (F.col("l_partkey") % 24).alias("step")).agg(F.avg("l_quantity").alias("value"))
     return r_all(G.grid_monthly_series(x, ["A", "N", "R"]))
@@ -136,20 +147,28 @@ v AS (SELECT *, CASE WHEN i2 + 0.5::DOUBLE < days / 2.0::DOUBLE THEN f + (mid -
 o AS (SELECT *, CASE WHEN centre THEN days * value - sum(CASE WHEN centre THEN 0 ELSE x END) OVER (PARTITION BY year, month) ELSE x END AS y FROM v)"""
 
 
-@add("d01_monthly_to_daily", f"WITH {LINE} SELECT year, month, CAST(dayofyear(make_date(2001, month, 1)) + i2 AS INTEGER) AS doy, round(y, 4) AS value FROM o", "monthly")
+@add("d01_monthly_to_daily", f"WITH {LINE} SELECT year, month, CAST(dayofyear(make_date(2001, month, 1)) + i2 AS INTEGER) AS doy, round(CAST(y AS DECIMAL(38, 7)), 4)::DOUBLE AS value FROM o", "monthly")
 def _(s, d):
     return r_all(D.monthly_to_daily(T.monthly(s, d), []), 4)
 
 
 @add("d01_monthly_to_daily_clamped", f"""WITH {LINE},
 lo AS (SELECT *, CASE WHEN y < 51000 THEN 51000.0 ELSE y - (y - 51000) * (CASE WHEN sum(greatest(y - 51000, 0)) OVER w > 0 THEN sum(greatest(51000 - y, 0)) OVER w / sum(greatest(y - 51000, 0)) OVER w ELSE 0 END) END AS z FROM o WINDOW w AS (PARTITION BY year, month))
-SELECT year, month, CAST(dayofyear(make_date(2001, month, 1)) + i2 AS INTEGER) AS doy, round(greatest(z, 51000.0), 4) AS value FROM lo""", "monthly")
+SELECT year, month, CAST(dayofyear(make_date(2001, month, 1)) + i2 AS INTEGER) AS doy, round(CAST(greatest(z, 51000.0) AS DECIMAL(38, 7)), 4)::DOUBLE AS value FROM lo""", "monthly")
 def _(s, d):
     # the minimum is below every monthly mean only where the data allow it: months whose mean is lower keep the minimum
     return r_all(D.monthly_to_daily(T.monthly(s, d), [], low=51000.0), 4)
 
 
-@add("d02_longwave_bounds", "SELECT year, month, round(value, 4) AS lw, round(value * 0.8, 4) AS lw_min, round(value * 1.2, 4) AS lw_max FROM monthly", "monthly")
+@add("d01_monthly_to_daily_below", f"""WITH {LINE},
+hi AS (SELECT *, CASE WHEN y >= 51500 THEN 51500.0 ELSE least(51500.0, y + (51500 - y) * (CASE WHEN sum(greatest(51500 - y, 0)) OVER w > 0 THEN sum(greatest(y - 51500, 0)) OVER w / sum(greatest(51500 - y, 0)) OVER w ELSE 0 END)) END AS z FROM o WINDOW w AS (PARTITION BY year, month))
+SELECT year, month, CAST(dayofyear(make_date(2001, month, 1)) + i2 AS INTEGER) AS doy, round(CAST(z AS DECIMAL(38, 7)), 4)::DOUBLE AS value FROM hi""", "monthly")
+def _(s, d):
+    # as for the minimum: months whose mean is higher keep the maximum
+    return r_all(D.monthly_to_daily(T.monthly(s, d), [], high=51500.0), 4)
+
+
+@add("d02_longwave_bounds", "SELECT year, month, round(CAST(value AS DECIMAL(38, 7)), 4)::DOUBLE AS lw, round(CAST(value * 0.8 AS DECIMAL(38, 7)), 4)::DOUBLE AS lw_min, round(CAST(value * 1.2 AS DECIMAL(38, 7)), 4)::DOUBLE AS lw_max FROM monthly", "monthly")
 def _(s, d):
     return r_all(D.longwave_bounds(T.monthly(s, d).withColumnRenamed("value", "lw")), 4)
 
@@ -188,17 +207,17 @@ def temperature(s, d):
     return days(s, d).withColumn("length", S.day_length(F.col("lat"), F.col("doy"))).withColumn("t", D.diurnal_temperature(F.col("t_min"), F.col("t_max"), F.col("length")))
 
 
-@add("d03_solar_geometry", f"WITH {SUN} SELECT site, doy, slot, round(cz, 6) AS cz FROM sun", "sites")
+@add("d03_solar_geometry", f"WITH {SUN} SELECT site, doy, slot, round(CAST(cz AS DECIMAL(38, 9)), 6)::DOUBLE AS cz FROM sun", "sites")
 def _(s, d):
     return r_all(D.explode_slots(sun(s, d), ["cz"], ["site", "doy"]))
 
 
-@add("d04_diurnal_par", f"WITH {PAR} SELECT site, doy, slot, round(par, 6) AS par FROM par", "sites")
+@add("d04_diurnal_par", f"WITH {PAR} SELECT site, doy, slot, round(CAST(par AS DECIMAL(38, 9)), 6)::DOUBLE AS par FROM par", "sites")
 def _(s, d):
     return r_all(par(s, d).drop("par_mean"))
 
 
-@add("d05_diurnal_temperature", f"WITH {TEMP} SELECT site, doy, slot, round(t, 6) AS t FROM temp", "sites")
+@add("d05_diurnal_temperature", f"WITH {TEMP} SELECT site, doy, slot, round(CAST(t AS DECIMAL(38, 9)), 6)::DOUBLE AS t FROM temp", "sites")
 def _(s, d):
     return r_all(D.explode_slots(temperature(s, d), ["t"], ["site", "doy"]))
 
@@ -209,16 +228,16 @@ def _(s, d):
     x = temperature(s, d).withColumn("rh", S.relative_humidity((F.col("t_min") + F.col("t_max")) / 2, F.lit(101300.0), F.lit(0.007)))
     x = x.withColumns({"q": D.diurnal_humidity(F.col("t"), F.lit(101300.0), F.col("rh")), "vpd": D.diurnal_vpd(F.col("t"), F.col("rh"))})
     out = D.explode_slots(x, ["q", "vpd"], ["site", "doy"])
-    return out.withColumns({"q": F.round(F.col("q") + 1e-8, 8), "vpd": F.round(F.col("vpd") + 1e-8, 6)})
+    return out.withColumns({"q": F.round(F.col("q"), 8), "vpd": F.round(F.col("vpd"), 6)})
 
 
-@add("d07_diurnal_shortwave", f"WITH {PAR} SELECT site, doy, slot, round(CASE WHEN avg(par) OVER (PARTITION BY site, doy) > 0.0001 THEN 180.0 * par / avg(par) OVER (PARTITION BY site, doy) ELSE 0 END, 5) AS sw FROM par", "sites")
+@add("d07_diurnal_shortwave", f"WITH {PAR} SELECT site, doy, slot, round(CAST(CASE WHEN avg(par) OVER (PARTITION BY site, doy) > 0.0001 THEN 180.0 * par / avg(par) OVER (PARTITION BY site, doy) ELSE 0 END AS DECIMAL(38, 8)), 5)::DOUBLE AS sw FROM par", "sites")
 def _(s, d):
     return r_all(par(s, d).select("site", "doy", "slot", D.diurnal_shortwave(F.lit(180.0), F.col("par"), F.col("par_mean")).alias("sw")), 5)
 
 
 @add("d08_diurnal_longwave", f"""WITH {TEMP}, raw AS (SELECT *, CASE WHEN max(t) OVER w - min(t) OVER w <= 1e-6 THEN 300 ELSE (360.0 - 240) / (max(t) OVER w - min(t) OVER w) * t - (360.0 * min(t) OVER w - 240.0 * max(t) OVER w) / (max(t) OVER w - min(t) OVER w) END AS x FROM temp WINDOW w AS (PARTITION BY site, doy))
-SELECT site, doy, slot, round(CASE WHEN avg(x) OVER (PARTITION BY site, doy) < 0.0001 THEN 0 ELSE x * 300 / avg(x) OVER (PARTITION BY site, doy) END, 5) AS lw FROM raw""", "sites")
+SELECT site, doy, slot, round(CAST(CASE WHEN avg(x) OVER (PARTITION BY site, doy) < 0.0001 THEN 0 ELSE x * 300 / avg(x) OVER (PARTITION BY site, doy) END AS DECIMAL(38, 8)), 5)::DOUBLE AS lw FROM raw""", "sites")
 def _(s, d):
     return r_all(D.diurnal_longwave(temperature(s, d), ["site", "doy"], F.lit(240.0), F.lit(360.0), F.lit(300.0)), 5)
 
@@ -226,23 +245,26 @@ def _(s, d):
 # X: designs
 
 
-@add("x01_latin_hypercube")
+X01 = ", ".join(f"(row_number() OVER (ORDER BY {DIGITS.format(f"'7|{c}|' || fid")}, fid) - 1 + {DIGITS.format(f"'8|{c}|' || fid")} / 4503599627370496.0::DOUBLE) / count(*) OVER () AS {c}" for c in ("k_xylem", "g0", "g1"))
+
+
+@add("x01_latin_hypercube", f"SELECT fid AS id, {X01} FROM params", "params")
 def _(s, d):
     return X.latin_hypercube(T.params(s, d).select(F.col("fid").alias("id")), ["k_xylem", "g0", "g1"], 7)
 
 
-@add("x02_rescale", "SELECT fid, round(0.1 + size / 50.0::DOUBLE * 0.4, 6) AS plain, round(16.0 + size / 50.0::DOUBLE * 8.0, 6) AS around_mean FROM params", "params")
+@add("x02_rescale", "SELECT fid, round(CAST(0.1 + size / 50.0::DOUBLE * 0.4 AS DECIMAL(38, 9)), 6)::DOUBLE AS plain, round(CAST(16.0 + size / 50.0::DOUBLE * 8.0 AS DECIMAL(38, 9)), 6)::DOUBLE AS around_mean FROM params", "params")
 def _(s, d):
     u = F.col("size") / 50.0
     return r_all(T.params(s, d).select("fid", X.rescale(u, 0.1, 0.5).alias("plain"), X.rescale_mean(u, 20.0, 20.0).alias("around_mean")))
 
 
-@add("x03_rescale_log", "SELECT fid, round(pow(10.0, -3 + size / 50.0::DOUBLE * 5), 6) AS x FROM params", "params")
+@add("x03_rescale_log", "SELECT fid, round(CAST(pow(10.0, -3 + size / 50.0::DOUBLE * 5) AS DECIMAL(38, 9)), 6)::DOUBLE AS x FROM params", "params")
 def _(s, d):
     return r_all(T.params(s, d).select("fid", X.rescale_log(F.col("size") / 50.0, -3.0, 2.0).alias("x")))
 
 
-@add("x04_one_at_a_time", "SELECT CAST(i AS INTEGER) AS fid, 'price' AS parameter, round(lo + i * ((hi - lo) / 24), 6) AS value FROM range(0, 25) t(i), (SELECT min(price) AS lo, max(price) AS hi FROM params)", "params")
+@add("x04_one_at_a_time", "SELECT CAST(i AS INTEGER) AS fid, 'price' AS parameter, round(CAST(lo + i * ((hi - lo) / 24) AS DECIMAL(38, 9)), 6)::DOUBLE AS value FROM range(0, 25) t(i), (SELECT min(price) AS lo, max(price) AS hi FROM params)", "params")
 def _(s, d):
     lo, hi = T.params(s, d).agg(F.min("price"), F.max("price")).first()
     return r_all(X.one_at_a_time(s, "price", lo, hi, 25))
@@ -251,7 +273,7 @@ def _(s, d):
 @add("x05_soil_closure", "SELECT l_orderkey, l_linenumber, l_discount + 0.2 AS silt, l_tax + 0.3 AS sand, round(1.0 - (l_discount + 0.2) - (l_tax + 0.3), 6) AS clay FROM lineitem")
 def _(s, d):
     x = T.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") + 0.2).alias("silt"), (F.col("l_tax") + 0.3).alias("sand"))
-    return X.soil_closure(x).withColumn("clay", F.round(F.col("clay") + 1e-8, 6))
+    return X.soil_closure(x).withColumn("clay", F.round(F.col("clay"), 6))
 
 
 @add("x06_tile_categories", "SELECT p.fid AS run, p.size, o.soil, CAST(o.k * (SELECT count(*) FROM params) + p.fid AS INTEGER) AS fid FROM params p CROSS JOIN (VALUES (0, 'campbell'), (1, 'saxton'), (2, 'genuchten')) o(k, soil)", "params")

@@ -30,29 +30,29 @@ def joined(s, d):
 KEYS = ["fid", "variable"]
 
 
-@add("m01_rmse", f"WITH {JOINED} SELECT fid, variable, round({RMSE}, 6) AS rmse FROM j GROUP BY 1, 2", "model obs")
+@add("m01_rmse", f"WITH {JOINED} SELECT fid, variable, round(CAST({RMSE} AS DECIMAL(38, 9)), 6)::DOUBLE AS rmse FROM j GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(joined(s, d).groupBy(*KEYS).agg(M.rmse().alias("rmse")))
 
 
-@add("m02_rmse_abs", f"WITH {JOINED} SELECT fid, variable, round(sqrt(avg((abs(20 - m) - abs(o)) * (abs(20 - m) - abs(o)))), 6) AS rmse FROM j GROUP BY 1, 2", "model obs")
+@add("m02_rmse_abs", f"WITH {JOINED} SELECT fid, variable, round(CAST(sqrt(avg((abs(20 - m) - abs(o)) * (abs(20 - m) - abs(o)))) AS DECIMAL(38, 9)), 6)::DOUBLE AS rmse FROM j GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(joined(s, d).withColumn("m", 20 - F.col("m")).groupBy(*KEYS).agg(M.rmse_abs().alias("rmse")))
 
 
-@add("m03_rmse_by_flag", f"WITH {JOINED} SELECT j.fid, variable, round(sqrt(avg((CASE WHEN p.size / 50.0::DOUBLE > 0.5 THEN m ELSE -m END - o) * (CASE WHEN p.size / 50.0::DOUBLE > 0.5 THEN m ELSE -m END - o))), 6) AS rmse FROM j JOIN params p ON p.fid = j.fid GROUP BY 1, 2", "model obs params")
+@add("m03_rmse_by_flag", f"WITH {JOINED} SELECT j.fid, variable, round(CAST(sqrt(avg((CASE WHEN p.size / 50.0::DOUBLE > 0.5 THEN m ELSE -m END - o) * (CASE WHEN p.size / 50.0::DOUBLE > 0.5 THEN m ELSE -m END - o))) AS DECIMAL(38, 9)), 6)::DOUBLE AS rmse FROM j JOIN params p ON p.fid = j.fid GROUP BY 1, 2", "model obs params")
 def _(s, d):
     flags = T.params(s, d).select("fid", (F.col("size") / 50.0).alias("use_physics"))
     return r_all(J.attach_params(joined(s, d), flags).groupBy(*KEYS).agg(M.rmse_by_flag(F.col("use_physics") > 0.5).alias("rmse")))
 
 
-@add("m04_rmse_norm", f"WITH {JOINED}, n AS (SELECT fid, variable, m / max(m) OVER w AS m, o / max(o) OVER w AS o FROM j WINDOW w AS (PARTITION BY fid, variable)) SELECT fid, variable, round({RMSE}, 6) AS rmse FROM n GROUP BY 1, 2", "model obs")
+@add("m04_rmse_norm", f"WITH {JOINED}, n AS (SELECT fid, variable, m / max(m) OVER w AS m, o / max(o) OVER w AS o FROM j WINDOW w AS (PARTITION BY fid, variable)) SELECT fid, variable, round(CAST({RMSE} AS DECIMAL(38, 9)), 6)::DOUBLE AS rmse FROM n GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(M.normalized(joined(s, d), KEYS).groupBy(*KEYS).agg(M.rmse().alias("rmse")))
 
 
 FACTORS = [("", 1.0), ("_05", 0.5), ("_025", 0.25), ("_2", 2.0)]
-SCALED = " UNION ALL ".join(f"SELECT fid, variable, '{x}' AS suffix, round(sqrt(avg((m * {f} - o) * (m * {f} - o))), 6) AS rmse FROM j GROUP BY 1, 2" for x, f in FACTORS)
+SCALED = " UNION ALL ".join(f"SELECT fid, variable, '{x}' AS suffix, round(CAST(sqrt(avg((m * {f} - o) * (m * {f} - o))) AS DECIMAL(38, 9)), 6)::DOUBLE AS rmse FROM j GROUP BY 1, 2" for x, f in FACTORS)
 
 
 @add("m05_rmse_scaled", f"WITH {JOINED} {SCALED}", "model obs")
@@ -60,7 +60,7 @@ def _(s, d):
     return r_all(M.rmse_scaled(joined(s, d), KEYS, FACTORS))
 
 
-@add("m06_corr_r2", f"WITH {JOINED} SELECT fid, variable, round({CORR}, 6) AS r, round({CORR} * {CORR}, 6) AS r2 FROM j GROUP BY 1, 2", "model obs")
+@add("m06_corr_r2", f"WITH {JOINED} SELECT fid, variable, round(CAST({CORR} AS DECIMAL(38, 9)), 6)::DOUBLE AS r, round(CAST({CORR} * {CORR} AS DECIMAL(38, 9)), 6)::DOUBLE AS r2 FROM j GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(joined(s, d).groupBy(*KEYS).agg(M.corr().alias("r"), (M.corr() * M.corr()).alias("r2")))
 
@@ -68,29 +68,29 @@ def _(s, d):
 SPREAD = "d AS (SELECT *, avg({0}) OVER (PARTITION BY fid, variable) AS mean FROM j)"
 
 
-@add("m07_nse", f"WITH {JOINED}, {SPREAD.format('o')} SELECT fid, variable, round(1 - sum((m - o) * (m - o)) / nullif(sum((o - mean) * (o - mean)), 0), 6) AS nse FROM d GROUP BY 1, 2", "model obs")
+@add("m07_nse", f"WITH {JOINED}, {SPREAD.format('o')} SELECT fid, variable, round(CAST(1 - sum((m - o) * (m - o)) / nullif(sum((o - mean) * (o - mean)), 0) AS DECIMAL(38, 9)), 6)::DOUBLE AS nse FROM d GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(M.efficiency(joined(s, d), KEYS).select(*KEYS, "nse"))
 
 
-@add("m07_nse_reference_variant", f"WITH {JOINED}, {SPREAD.format('m')} SELECT fid, variable, round(1 - sum((m - o) * (m - o)) / nullif(sum((o - mean) * (o - mean)), 0), 6) AS nse FROM d GROUP BY 1, 2", "model obs")
+@add("m07_nse_reference_variant", f"WITH {JOINED}, {SPREAD.format('m')} SELECT fid, variable, round(CAST(1 - sum((m - o) * (m - o)) / nullif(sum((o - mean) * (o - mean)), 0) AS DECIMAL(38, 9)), 6)::DOUBLE AS nse FROM d GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(M.efficiency(joined(s, d), KEYS, "reference").select(*KEYS, "nse"))
 
 
-@add("m08_rsr", f"WITH {JOINED}, {SPREAD.format('o')} SELECT fid, variable, round(sqrt(sum((m - o) * (m - o))) / nullif(sqrt(sum((o - mean) * (o - mean))), 0), 6) AS rsr FROM d GROUP BY 1, 2", "model obs")
+@add("m08_rsr", f"WITH {JOINED}, {SPREAD.format('o')} SELECT fid, variable, round(CAST(sqrt(sum((m - o) * (m - o))) / nullif(sqrt(sum((o - mean) * (o - mean))), 0) AS DECIMAL(38, 9)), 6)::DOUBLE AS rsr FROM d GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(M.efficiency(joined(s, d), KEYS).select(*KEYS, "rsr"))
 
 
-@add("m09_pbias", f"WITH {JOINED} SELECT fid, variable, round(100 * sum(m - o) / sum(o), 6) AS pbias FROM j GROUP BY 1, 2", "model obs")
+@add("m09_pbias", f"WITH {JOINED} SELECT fid, variable, round(CAST(100 * sum(m - o) / sum(o) AS DECIMAL(38, 9)), 6)::DOUBLE AS pbias FROM j GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(joined(s, d).groupBy(*KEYS).agg(M.pbias().alias("pbias")))
 
 
 @add("m10_metric_table", f"""WITH {JOINED}, {SPREAD.format('o')}
-SELECT fid, variable, round(round({RMSE}, 3), 6) AS rmse, round(round({CORR} * {CORR}, 3), 6) AS r2, round(round(1 - sum((m - o) * (m - o)) / nullif(sum((o - mean) * (o - mean)), 0), 3), 6) AS nse,
-  round(round(sqrt(sum((m - o) * (m - o))) / nullif(sqrt(sum((o - mean) * (o - mean))), 0), 3), 6) AS rsr, round(round(100 * sum(m - o) / sum(o), 3), 6) AS pbias FROM d GROUP BY 1, 2""", "model obs")
+SELECT fid, variable, round(CAST(round({RMSE}, 3) AS DECIMAL(38, 9)), 6)::DOUBLE AS rmse, round(CAST(round({CORR} * {CORR}, 3) AS DECIMAL(38, 9)), 6)::DOUBLE AS r2, round(CAST(round(1 - sum((m - o) * (m - o)) / nullif(sum((o - mean) * (o - mean)), 0), 3) AS DECIMAL(38, 9)), 6)::DOUBLE AS nse,
+  round(CAST(round(sqrt(sum((m - o) * (m - o))) / nullif(sqrt(sum((o - mean) * (o - mean))), 0), 3) AS DECIMAL(38, 9)), 6)::DOUBLE AS rsr, round(CAST(round(100 * sum(m - o) / sum(o), 3) AS DECIMAL(38, 9)), 6)::DOUBLE AS pbias FROM d GROUP BY 1, 2""", "model obs")
 def _(s, d):
     return r_all(M.metric_table(joined(s, d), KEYS))
 
@@ -101,34 +101,35 @@ SCORECARD = f"""WITH {JOINED}, eras(era, a, b) AS (VALUES {ERA_ROWS}), f(suffix,
 card AS (SELECT fid, variable || '_rmse' || suffix AS metric, era, sqrt(avg((m * factor - o) * (m * factor - o))) AS value FROM j JOIN eras ON ts >= a AND ts < b CROSS JOIN f GROUP BY 1, 2, 3)"""
 
 
-@add("m11_scorecard", f"{SCORECARD} SELECT fid, metric, era, round(value, 6) AS value FROM card", "model obs")
+@add("m11_scorecard", f"{SCORECARD} SELECT fid, metric, era, round(CAST(value AS DECIMAL(38, 9)), 6)::DOUBLE AS value FROM card", "model obs")
 def _(s, d):
     return r_all(M.scorecard(bins(s, d), obs_bins(s, d), ERAS, FACTORS))
 
 
-@add("s16_score_table", f"{SCORECARD} SELECT fid, " + ", ".join(f"round(max(CASE WHEN metric = '{v}_rmse' AND era = '{e[0]}' THEN value END), 6) AS {v}_rmse_{e[0]}" for v in ("click", "signup") for e in ERAS) + " FROM card GROUP BY fid", "model obs")
+@add("s16_score_table", f"{SCORECARD} SELECT fid, " + ", ".join(f"round(CAST(max(CASE WHEN metric = '{v}_rmse' AND era = '{e[0]}' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS {v}_rmse_{e[0]}" for v in ("click", "signup") for e in ERAS) + " FROM card GROUP BY fid", "model obs")
 def _(s, d):
     card = M.scorecard(bins(s, d), obs_bins(s, d), ERAS, FACTORS)
     return r_all(M.score_table(card, ["click_rmse", "signup_rmse"], [e[0] for e in ERAS]))
 
 
 @add("m12_merge_partials", """
-WITH parts AS (SELECT fid, disc AS value, 0 AS part FROM scores WHERE fid % 2 = 0 UNION ALL SELECT fid, CASE WHEN fid % 5 = 0 THEN NULL ELSE tax END, 1 FROM scores WHERE fid % 3 = 0 UNION ALL SELECT fid, qty_sd, 2 FROM scores WHERE fid % 7 = 0)
+WITH parts AS (SELECT fid, disc AS value, 0 AS part FROM scores UNION ALL SELECT fid, CASE WHEN tax >= 0.04 THEN tax END, 1 FROM scores UNION ALL SELECT fid, CASE WHEN qty_sd < 14 THEN qty_sd END, 2 FROM scores)
 SELECT fid, arg_max(value, part) AS value FROM parts WHERE value IS NOT NULL GROUP BY 1""", "scores")
 def _(s, d):
     x = T.scores(s, d)
-    one = lambda k, c: x.filter(F.col("fid") % k == 0).select("fid", c.alias("value"))
-    return M.merge_partials([one(2, F.col("disc")), one(3, F.when(F.col("fid") % 5 == 0, float("nan")).otherwise(F.col("tax"))), one(7, F.col("qty_sd"))], ["fid"])
+    # each part has a row for every run, some without a value
+    parts = F.col("disc"), F.when(F.col("tax") < 0.04, float("nan")).otherwise(F.col("tax")), F.when(F.col("qty_sd") < 14, F.col("qty_sd"))
+    return M.merge_partials([x.select("fid", c.alias("value")) for c in parts], ["fid"])
 
 
-@add("m13_reject_runs", f"WITH {JOINED} SELECT fid, round({RMSE}, 6) AS rmse, {RMSE} > 75 AS rejected FROM j WHERE variable = 'click' GROUP BY 1", "model obs")
+@add("m13_reject_runs", f"WITH {JOINED} SELECT fid, round(CAST({RMSE} AS DECIMAL(38, 9)), 6)::DOUBLE AS rmse, {RMSE} > 75 AS rejected FROM j WHERE variable = 'click' GROUP BY 1", "model obs")
 def _(s, d):
     return r_all(M.reject_runs(joined(s, d).filter("variable = 'click'"), 75.0))
 
 
 @add("m14_daily_metric", """
 WITH m AS (SELECT fid, variable, date_trunc('day', ts) AS day, avg(value) AS m FROM model GROUP BY 1, 2, 3), o AS (SELECT date_trunc('day', ts) AS day, avg(value) AS o FROM obs GROUP BY 1)
-SELECT fid, variable, round(sqrt(avg((m - o) * (m - o))), 6) AS rmse FROM m JOIN o USING (day) GROUP BY 1, 2""", "model obs")
+SELECT fid, variable, round(CAST(sqrt(avg((m - o) * (m - o))) AS DECIMAL(38, 9)), 6)::DOUBLE AS rmse FROM m JOIN o USING (day) GROUP BY 1, 2""", "model obs")
 def _(s, d):
     day = bucket(Kind.DAILY_SERIES, F.col("ts")).alias("day")
     m = T.model(s, d).groupBy("fid", "variable", day).agg(F.avg("value").alias("value"))
@@ -136,20 +137,20 @@ def _(s, d):
     return r_all(J.join_model_obs(m, o, ["day"]).groupBy(*KEYS).agg(M.rmse().alias("rmse")))
 
 
-@add("m15_diurnal_pair", f"WITH {JOINED} SELECT variable, CAST(hour(ts) AS INTEGER) AS hour, round(avg(m), 6) AS m, round(avg(o), 6) AS o FROM j GROUP BY 1, 2", "model obs")
+@add("m15_diurnal_pair", f"WITH {JOINED} SELECT variable, CAST(hour(ts) AS INTEGER) AS hour, round(CAST(avg(m) AS DECIMAL(38, 9)), 6)::DOUBLE AS m, round(CAST(avg(o) AS DECIMAL(38, 9)), 6)::DOUBLE AS o FROM j GROUP BY 1, 2", "model obs")
 def _(s, d):
     return r_all(joined(s, d).groupBy("variable", F.hour("ts").alias("hour")).agg(F.avg("m").alias("m"), F.avg("o").alias("o")))
 
 
 @add("m16_diff_runs", f"""WITH {JOINED}, a AS (SELECT ts, value AS m FROM bins WHERE fid = 1 AND variable = 'click'), b AS (SELECT ts, value AS o FROM bins WHERE fid = 2 AND variable = 'click')
-SELECT round(min(m - o), 6) AS min_diff, round(max(m - o), 6) AS max_diff, CAST(sum(CASE WHEN m IS NULL OR o IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unmatched,
+SELECT round(CAST(min(m - o) AS DECIMAL(38, 9)), 6)::DOUBLE AS min_diff, round(CAST(max(m - o) AS DECIMAL(38, 9)), 6)::DOUBLE AS max_diff, CAST(sum(CASE WHEN m IS NULL OR o IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unmatched,
   (SELECT min(ts) FROM a) = (SELECT min(ts) FROM b) AS same_first, (SELECT max(ts) FROM a) = (SELECT max(ts) FROM b) AS same_last FROM a FULL JOIN b USING (ts)""", "model obs")
 def _(s, d):
     one = lambda k: bins(s, d).filter((F.col("variable") == "click") & (F.col("fid") == k)).select("ts", "value")
     return r_all(M.diff_runs(one(1), one(2), ["ts"]))
 
 
-@add("m17_per_run_list", f"WITH {JOINED} SELECT fid, " + ", ".join(f"round(sqrt(avg(CASE WHEN variable = '{v}' THEN (m - o) * (m - o) END)), 6) AS {v}_rmse" for v in T.MODEL_TYPES) + " FROM j GROUP BY 1", "model obs")
+@add("m17_per_run_list", f"WITH {JOINED} SELECT fid, " + ", ".join(f"round(CAST(sqrt(avg(CASE WHEN variable = '{v}' THEN (m - o) * (m - o) END)) AS DECIMAL(38, 9)), 6)::DOUBLE AS {v}_rmse" for v in T.MODEL_TYPES) + " FROM j GROUP BY 1", "model obs")
 def _(s, d):
     each = joined(s, d).groupBy(*KEYS).agg(M.rmse().alias("rmse"))
     wide = each.groupBy("fid").pivot("variable", list(T.MODEL_TYPES)).agg(F.first("rmse"))
@@ -159,7 +160,7 @@ def _(s, d):
 # K: selection
 
 
-@add("k01_rank_runs", f"WITH {JOINED} SELECT fid, round({RMSE}, 6) AS rmse, count(*) AS n FROM j WHERE variable = 'click' AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-21' GROUP BY 1 ORDER BY 2, 1 LIMIT 5", "model obs")
+@add("k01_rank_runs", f"WITH {JOINED} SELECT fid, round(CAST({RMSE} AS DECIMAL(38, 9)), 6)::DOUBLE AS rmse, count(*) AS n FROM j WHERE variable = 'click' AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-21' GROUP BY 1 ORDER BY 2, 1 LIMIT 5", "model obs")
 def _(s, d):
     rows = M.scored_bins(T.model(s, d).filter("variable = 'click'"), T.obs(s, d).select("ts", "value"), "2024-01-01", "2024-01-21")
     return K.rank_runs(r_all(rows.groupBy("fid").agg(M.rmse().alias("rmse"), F.count("*").alias("n"))), "rmse", 5)
@@ -188,7 +189,7 @@ def _(s, d):
     return K.nested_sets(T.scores(s, d), NESTED)
 
 
-@add("k05_set_summary", f"WITH {SETS} SELECT \"set\", round(avg(qty_sd), 6) AS mean, round(quantile_cont(qty_sd, 0.2), 6) AS q20, round(quantile_cont(qty_sd, 0.5), 6) AS q50, round(quantile_cont(qty_sd, 0.8), 6) AS q80, count(*) AS n FROM sets JOIN scores USING (fid) GROUP BY 1", "scores")
+@add("k05_set_summary", f"WITH {SETS} SELECT \"set\", round(CAST(avg(qty_sd) AS DECIMAL(38, 9)), 6)::DOUBLE AS mean, round(CAST(quantile_cont(qty_sd, 0.2) AS DECIMAL(38, 9)), 6)::DOUBLE AS q20, round(CAST(quantile_cont(qty_sd, 0.5) AS DECIMAL(38, 9)), 6)::DOUBLE AS q50, round(CAST(quantile_cont(qty_sd, 0.8) AS DECIMAL(38, 9)), 6)::DOUBLE AS q80, count(*) AS n FROM sets JOIN scores USING (fid) GROUP BY 1", "scores")
 def _(s, d):
     return r_all(K.set_summary(K.nested_sets(T.scores(s, d), NESTED).join(T.scores(s, d), "fid"), "qty_sd"))
 
@@ -198,7 +199,7 @@ NAMES = ["disc", "tax", "qty_sd", "size", "price"]
 PAIRS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]]
 
 
-@add("k06_pearson_matrix", f"WITH {COMPLETE}, r AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM c" for a, b in PAIRS) + ") SELECT a, b, round(r, 6) AS r, CASE WHEN abs(r) >= 0.05 THEN 'strong' ELSE 'weak' END AS class FROM r WHERE abs(r) >= 0.01", "scores params")
+@add("k06_pearson_matrix", f"WITH {COMPLETE}, r AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM c" for a, b in PAIRS) + ") SELECT a, b, round(CAST(r AS DECIMAL(38, 9)), 6)::DOUBLE AS r, CASE WHEN abs(r) >= 0.05 THEN 'strong' ELSE 'weak' END AS class FROM r WHERE abs(r) >= 0.01", "scores params")
 def _(s, d):
     return r_all(K.pearson_matrix(J.attach_params(T.scores(s, d), T.params(s, d)), NAMES, 0.01, 0.05))
 
@@ -206,7 +207,7 @@ def _(s, d):
 RANKS = "k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in NAMES) + " FROM c)"
 
 
-@add("k07_spearman_matrix", f"WITH {COMPLETE}, {RANKS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM k" for a, b in PAIRS), "scores params")
+@add("k07_spearman_matrix", f"WITH {COMPLETE}, {RANKS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(CAST(corr({a}, {b}) AS DECIMAL(38, 9)), 6)::DOUBLE AS r FROM k" for a, b in PAIRS), "scores params")
 def _(s, d):
     return r_all(K.spearman_matrix(J.attach_params(T.scores(s, d), T.params(s, d)), NAMES))
 
@@ -232,4 +233,4 @@ def _(s, d):
 @add("k11_feature_importance")
 def _(s, d):
     x = J.attach_params(T.scores(s, d), T.params(s, d)).select(*[F.col(c).cast("double").alias(c) for c in NAMES])
-    return K.feature_importance(x, ["disc", "tax", "size", "qty_sd"], "price", trees=30)
+    return K.feature_importance(x, ["disc", "tax", "size", "qty_sd"], "price")

@@ -23,8 +23,11 @@ add = book.add
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all workers share: below ``spark.checkpoint.dir`` where that is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sylvaframe-")
+    """A new folder that all workers share: below ``spark.checkpoint.dir``. Only a local session may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or tempfile.mkdtemp(prefix="sylvaframe-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -34,15 +37,23 @@ def wide_output(s, d) -> DataFrame:
 
 @add("s01_run_catalog", "SELECT CAST(site AS VARCHAR) AS fid, v.* FROM sites CROSS JOIN (VALUES ('Q_ASSIMI', 'fluxnetdata', 'timestep'), ('VEG', 'transient', 'daily'), ('SPQ', 'spinup', 'yearly')) v(cat, sim_type, time_res)", "sites")
 def _(s, d):
-    # one small file for each supplier and kind of output; the run is the folder above
+    # one small file for each supplier and kind of output, as a model would leave it; the run is the folder above
     root = scratch(s)
     kinds = s.createDataFrame([("Q_ASSIMI_fluxnetdata_timestep.txt",), ("VEG_transient_daily.txt",), ("SPQ_spinup_yearly.txt",)], "f STRING")
-    rows = T.sites(s, d).crossJoin(F.broadcast(kinds)).select("site", "f", F.col("lon").cast("string").alias("value"))
-    rows.write.partitionBy("site", "f").text(root)
-    # Spark names the files itself, so the folders stand for names: site=7/f=NAME/part-... -> 7/NAME
-    files = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    path = F.regexp_replace("path", r"site=(\d+)/f=([^/]+)/[^/]*$", "$1/$2")
-    return R.catalog(files.withColumn("path", path)).drop("path", "length").distinct()
+
+    def leave(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for site, f in zip(batch.column("site").to_pylist(), batch.column("f").to_pylist()):
+                store.create_dir(f"{base}/{site}", recursive=True)
+                with store.open_output_stream(f"{base}/{site}/{f}") as out:
+                    out.write(f"{site}\n".encode())
+            yield batch
+
+    T.sites(s, d).crossJoin(F.broadcast(kinds)).select("site", "f").mapInArrow(leave, "site long, f string").count()
+    return R.run_catalog(s, root).drop("path", "length")
 
 
 @add("s03_read_model", "SELECT fid, o, n, v.variable, v.value FROM (SELECT CAST(l_suppkey % 10 AS INTEGER) AS fid, l_orderkey AS o, l_linenumber AS n, l_quantity AS gpp, l_discount AS npp FROM lineitem) CROSS JOIN LATERAL (VALUES ('gpp', gpp), ('npp', npp)) v(variable, value)")
@@ -50,7 +61,7 @@ def _(s, d):
     return R.read_model(wide_output(s, d), ["fid", "o", "n"], ["gpp", "npp"])
 
 
-@add("s04_read_layered", "SELECT fid, layer, round(sum(value), 4) AS total, count(*) AS n FROM (SELECT fid, CAST(unnest(range(0, 64)) AS INTEGER) AS layer, CAST(unnest(\"values\") AS DOUBLE) AS value FROM layered) GROUP BY 1, 2", "layered")
+@add("s04_read_layered", "SELECT fid, layer, round(CAST(sum(value) AS DECIMAL(38, 7)), 4)::DOUBLE AS total, count(*) AS n FROM (SELECT fid, CAST(unnest(range(0, 64)) AS INTEGER) AS layer, CAST(unnest(\"values\") AS DOUBLE) AS value FROM layered) GROUP BY 1, 2", "layered")
 def _(s, d):
     long = R.read_layered(T.layered(s, d), ["fid", "step"], "values")
     return r_all(long.groupBy("fid", F.col("layer").cast("int").alias("layer")).agg(F.sum("value").alias("total"), F.count("*").alias("n")), 4)
@@ -99,7 +110,7 @@ def _(s, d):
     return R.read_sites(T.sites(s, d).withColumn("lat", F.when(F.col("site") % 5 == 0, -9999.0).otherwise(F.col("lat"))))
 
 
-@add("s10_read_annual_series", "SELECT year, round(value, 4) AS value FROM annual", "annual")
+@add("s10_read_annual_series", "SELECT year, round(CAST(value AS DECIMAL(38, 7)), 4)::DOUBLE AS value FROM annual", "annual")
 def _(s, d):
     return r_all(R.mid_year(T.annual(s, d).withColumn("year", F.col("year") + 0.5)), 4)
 
@@ -217,23 +228,23 @@ def event_stream(s, d) -> DataFrame:
 @add("r01_stream_scores", """
 WITH o AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS bin, avg(value) AS o FROM obs GROUP BY 1),
 x AS (SELECT fid, value - o AS e FROM (SELECT fid, value, time_bucket(INTERVAL 30 MINUTE, ts) AS bin FROM model WHERE variable = 'click') JOIN o USING (bin))
-SELECT fid, count(*) AS n, round(sqrt(sum(e * e) / count(*)), 6) AS rmse, sqrt(sum(e * e) / count(*)) > 75 AS rejected FROM x GROUP BY 1""", "model obs")
+SELECT fid, count(*) AS n, round(CAST(sqrt(sum(e * e) / count(*)) AS DECIMAL(38, 9)), 6)::DOUBLE AS rmse, sqrt(sum(e * e) / count(*)) > 75 AS rejected FROM x GROUP BY 1""", "model obs")
 def _(s, d):
     rows = event_stream(s, d).filter("event_type = 'click'").select((F.col("user_id") % 8).cast("int").alias("fid"), "ts", "value")
     o = resample_30min(T.obs(s, d), []).withColumnRenamed("value", "o")
-    return r_all(jobs.drain(jobs.stream_scores(rows, o, 75.0), f"r01_{uuid.uuid4().hex}", "complete", scratch(s)))
+    return r_all(jobs.drain(jobs.stream_scores(rows, o, 75.0), ["fid"], scratch(s), scratch(s)))
 
 
-@add("r02_stream_monitor", "SELECT fid, variable, date_trunc('day', ts)::TIMESTAMP AS bucket, round(avg(value), 6) AS mean, count(*) AS n, max(ts) AS latest FROM model GROUP BY 1, 2, 3", "model")
+@add("r02_stream_monitor", "SELECT fid, variable, date_trunc('day', ts)::TIMESTAMP AS bucket, round(CAST(avg(value) AS DECIMAL(38, 9)), 6)::DOUBLE AS mean, count(*) AS n, max(ts) AS latest FROM model GROUP BY 1, 2, 3", "model")
 def _(s, d):
     rows = event_stream(s, d).filter(F.col("event_type").isin(*T.MODEL_TYPES)).select((F.col("user_id") % 8).cast("int").alias("fid"), F.col("event_type").alias("variable"), "ts", "value")
-    out = jobs.drain(jobs.stream_monitor(rows, "day"), f"r02_{uuid.uuid4().hex}", "complete", scratch(s))
+    out = jobs.drain(jobs.stream_monitor(rows, "day"), ["fid", "variable", "bucket"], scratch(s), scratch(s))
     return r_all(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("bucket", "latest")})
 
 
-@add("r03_stream_progress", "SELECT job, node, count(*) AS done, CAST(sum(CASE WHEN task % 13 <> 0 THEN 0 ELSE 1 END) AS BIGINT) AS failed, round(sum(duration_s), 2) AS duration_s, round(max(epoch(ts)) - min(epoch(ts) - duration_s), 2) AS elapsed_s FROM run_log GROUP BY 1, 2", "run_log")
+@add("r03_stream_progress", "SELECT job, node, count(*) AS done, CAST(sum(CASE WHEN task % 13 <> 0 THEN 0 ELSE 1 END) AS BIGINT) AS failed, round(CAST(sum(duration_s) AS DECIMAL(38, 5)), 2)::DOUBLE AS duration_s, round(CAST(max(epoch(ts)) - min(epoch(ts) - duration_s) AS DECIMAL(38, 5)), 2)::DOUBLE AS elapsed_s FROM run_log GROUP BY 1, 2", "run_log")
 def _(s, d):
     schema = T.table(s, d, "orders").schema
     log = s.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
     log = log.select(F.col("o_orderpriority").alias("job"), F.col("o_orderstatus").alias("node"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("duration_s"), F.when(F.col("o_orderkey") % 13 == 0, 1).otherwise(0).alias("rc"))
-    return r_all(jobs.drain(jobs.stream_progress(log), f"r03_{uuid.uuid4().hex}", "complete", scratch(s)), 2)
+    return r_all(jobs.drain(jobs.stream_progress(log), ["job", "node"], scratch(s), scratch(s)), 2)

@@ -25,7 +25,7 @@ WITH s AS (SELECT event_id, event_id * 604793 AS sec FROM events),
 p AS (SELECT event_id, sec, sec // 31536000 AS y, sec % 31536000 AS rest FROM s)
 SELECT event_id, CAST(y AS INTEGER) AS year, CAST(month(DATE '2001-01-01' + CAST(rest // 86400 AS INTEGER)) AS INTEGER) AS month,
   CAST(day(DATE '2001-01-01' + CAST(rest // 86400 AS INTEGER)) AS INTEGER) AS day, CAST(rest % 86400 // 3600 AS INTEGER) AS hour,
-  CAST(rest % 3600 // 60 AS INTEGER) AS minute, CAST(rest % 60 AS INTEGER) AS second, round(rest / 86400.0::DOUBLE + 1, 6) AS doy
+  CAST(rest % 3600 // 60 AS INTEGER) AS minute, CAST(rest % 60 AS INTEGER) AS second, round(CAST(rest / 86400.0::DOUBLE + 1 AS DECIMAL(38, 9)), 6)::DOUBLE AS doy
 FROM p""")
 def _(s, d):
     e = T.table(s, d, "events")
@@ -33,16 +33,17 @@ def _(s, d):
 
 
 @add("t02_decode_model_time", """
-WITH s AS (SELECT event_id, event_id * 604793 AS sec FROM events),
+WITH s AS (SELECT event_id, event_id * 604793 % 252288000000 AS sec FROM events),
 p AS (SELECT event_id, sec, 1900 + sec // 31536000 AS y, DATE '2001-01-01' + CAST(sec % 31536000 // 86400 AS INTEGER) AS d0 FROM s)
 SELECT event_id, make_timestamp(y, month(d0), day(d0), sec % 86400 // 3600, sec % 3600 // 60, CAST(sec % 60 AS DOUBLE)) AS fine,
   TIMESTAMP '1900-01-01' + to_seconds(sec) AS coarse, CAST(y AS INTEGER) AS year
-FROM p WHERE y < 9999""")
+FROM p""")
 def _(s, d):
-    e = T.table(s, d, "events").select("event_id", (F.col("event_id") * 604793).alias("sec"))
+    # 8,000 years of seconds, as time stamps end with the year 9999
+    e = T.table(s, d, "events").select("event_id", (F.col("event_id") * 604793 % (8000 * C.YEAR_365)).alias("sec"))
     fine, year = C.decode_model_time(F.col("sec"), 1900, True)
     coarse, _ = C.decode_model_time(F.col("sec"), 1900, False)
-    return e.select("event_id", fine.alias("fine"), coarse.alias("coarse"), year.alias("year")).filter("year < 9999")
+    return e.select("event_id", fine.alias("fine"), coarse.alias("coarse"), year.alias("year"))
 
 
 @add("t03_parse_time_unit", "SELECT o_orderkey, make_timestamp(year(o_orderdate), month(o_orderdate), day(o_orderdate), o_orderkey % 24, o_orderkey % 60, 0.0) AS start FROM orders")
@@ -76,7 +77,7 @@ def _(s, d):
     return T.table(s, d, "events").select("event_id", C.from_year_doy_hour(F.lit(2024), (k % 366 + 1).cast("int"), (k % 48) / 2.0).alias("ts"))
 
 
-@add("t08_calendar_parts", "SELECT event_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(dayofyear(ts) AS INTEGER) AS doy, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute, round(hour(ts) + minute(ts) / 60.0::DOUBLE, 6) AS hour_dec, CAST(ts AS DATE) AS date FROM events")
+@add("t08_calendar_parts", "SELECT event_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(dayofyear(ts) AS INTEGER) AS doy, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute, round(CAST(hour(ts) + minute(ts) / 60.0::DOUBLE AS DECIMAL(38, 9)), 6)::DOUBLE AS hour_dec, CAST(ts AS DATE) AS date FROM events")
 def _(s, d):
     return r(T.table(s, d, "events").select("event_id", *[c.alias(k) for k, c in C.calendar_parts(F.col("ts")).items()]), "hour_dec")
 
@@ -130,7 +131,7 @@ def _(s, d):
     return L.select_layer(T.layered(s, d), 5)
 
 
-@add("f04_select_runs", "SELECT fid, variable, count(*) AS n, round(sum(value), 4) AS total FROM model WHERE fid IN (1, 4, 6) GROUP BY 1, 2", "model")
+@add("f04_select_runs", "SELECT fid, variable, count(*) AS n, round(CAST(sum(value) AS DECIMAL(38, 7)), 4)::DOUBLE AS total FROM model WHERE fid IN (1, 4, 6) GROUP BY 1, 2", "model")
 def _(s, d):
     return r(L.select_runs(T.model(s, d), [1, 4, 6]).groupBy("fid", "variable").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=4)
 
@@ -145,7 +146,7 @@ def _(s, d):
     return L.constrain(T.scores(s, d), {"disc": 0.05, "tax": 0.045, "qty_sd": (10.0, 16.0)})
 
 
-@add("f07_drop_empty_columns")
+@add("f07_drop_empty_columns", "SELECT fid, size, price, brand FROM params", "params")
 def _(s, d):
     return L.drop_empty_columns(T.params(s, d).withColumns({"nothing": F.lit(None).cast("double"), "nan": F.lit(float("nan"))}))
 
@@ -166,13 +167,13 @@ def _(s, d):
     return L.in_windows(T.model(s, d), [("2024-01-03", "2024-01-06"), ("2024-01-25", None)])
 
 
-@add("f12_combine_terms", "SELECT fid, bin, round(sum(CASE variable WHEN 'click' THEN value ELSE -value END), 6) AS value, 'nee' AS variable FROM bins WHERE variable IN ('click', 'signup') GROUP BY fid, bin HAVING count(DISTINCT variable) = 2".replace("FROM bins", "FROM (SELECT fid, variable, time_bucket(INTERVAL 30 MINUTE, ts) AS bin, avg(value) AS value FROM model GROUP BY 1, 2, 3)"), "model")
+@add("f12_combine_terms", "SELECT fid, bin, round(CAST(sum(CASE variable WHEN 'click' THEN value ELSE -value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS value, 'nee' AS variable FROM bins WHERE variable IN ('click', 'signup') GROUP BY fid, bin HAVING count(DISTINCT variable) = 2".replace("FROM bins", "FROM (SELECT fid, variable, time_bucket(INTERVAL 30 MINUTE, ts) AS bin, avg(value) AS value FROM model GROUP BY 1, 2, 3)"), "model")
 def _(s, d):
     bins = A.resample_30min(T.model(s, d), ["fid", "variable"])
     return r(L.combine_terms(bins, "nee", (("click", 1.0), ("signup", -1.0)), ["fid", "bin"]), "value")
 
 
-@add("f13_convert_units", "SELECT event_id, round(value * (1e6 / 0.01201), 3) AS flux, value * 0.1 AS mpa, round(value - 273.15, 6) AS celsius FROM events")
+@add("f13_convert_units", "SELECT event_id, round(CAST(value * (1e6 / 0.01201) AS DECIMAL(38, 6)), 3)::DOUBLE AS flux, value * 0.1 AS mpa, round(CAST(value - 273.15 AS DECIMAL(38, 9)), 6)::DOUBLE AS celsius FROM events")
 def _(s, d):
     v = F.col("value")
     out = T.table(s, d, "events").select("event_id", S.convert(v, "kg C m-2 s-1", "micro mol m-2 s-1").alias("flux"), S.convert(v, "bar", "MPa").alias("mpa"), S.convert(v, "K", "deg C").alias("celsius"))
@@ -180,12 +181,12 @@ def _(s, d):
 
 
 @add("f14_vpd", """
-SELECT l_orderkey, l_linenumber, round(greatest(0.0, 0.61078 * exp(17.27 * l_quantity / (l_quantity + 237.3)) - (l_tax * 100 / 1000.0) * (1013.0 / 10.0) / (0.622 + 0.378 * (l_tax * 100 / 1000.0))), 6) AS vpd FROM lineitem""")
+SELECT l_orderkey, l_linenumber, round(CAST(greatest(0.0, 0.61078 * exp(17.27 * l_quantity / (l_quantity + 237.3)) - (l_tax * 100 / 1000.0) * (1013.0 / 10.0) / (0.622 + 0.378 * (l_tax * 100 / 1000.0))) AS DECIMAL(38, 9)), 6)::DOUBLE AS vpd FROM lineitem""")
 def _(s, d):
     return r(T.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.vpd(F.col("l_quantity") + 273.15, F.col("l_tax") * 100, F.lit(1013.0)).alias("vpd")), "vpd")
 
 
-@add("f15_conductivity", "SELECT p_partkey, round(1e9 * CASE WHEN p_size / 45.4::DOUBLE > 1 THEN 4.6e-7 ELSE 4.6e-7 * pow(p_size / 45.4::DOUBLE, 17.8) END, 6) AS k_nano FROM part")
+@add("f15_conductivity", "SELECT p_partkey, round(CAST(1e9 * CASE WHEN p_size / 45.4::DOUBLE > 1 THEN 4.6e-7 ELSE 4.6e-7 * pow(p_size / 45.4::DOUBLE, 17.8) END AS DECIMAL(38, 9)), 6)::DOUBLE AS k_nano FROM part")
 def _(s, d):
     return r(T.table(s, d, "part").select("p_partkey", (1e9 * S.conductivity(F.col("p_size").cast("double"))).alias("k_nano")), "k_nano")
 
@@ -196,7 +197,7 @@ def _(s, d):
     return T.table(s, d, "supplier").select("s_suppkey", L.site_of_path(path).alias("site"))
 
 
-@add("f18_ramp_change", "SELECT year, month, round(greatest(value + CASE WHEN year > 1997 THEN ((year - 1998) * 12 + month - 1) / 12.0::DOUBLE / 3 * -50000 ELSE 0 END, 0), 4) AS value FROM monthly", "monthly")
+@add("f18_ramp_change", "SELECT year, month, round(CAST(greatest(value + CASE WHEN year > 1997 THEN ((year - 1998) * 12 + month - 1) / 12.0::DOUBLE / 3 * -50000 ELSE 0 END, 0) AS DECIMAL(38, 7)), 4)::DOUBLE AS value FROM monthly", "monthly")
 def _(s, d):
     return r(L.ramp_change(T.monthly(s, d), -50000.0, 3, 2000, floor=0.0), "value", digits=4)
 
@@ -208,7 +209,7 @@ def _(s, d):
 
 # A: time reductions
 
-STATS = "round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS qlow, round(quantile_cont(value, 0.75), 6) AS qup"
+STATS = "round(CAST(avg(value) AS DECIMAL(38, 9)), 6)::DOUBLE AS mean, round(CAST(stddev_samp(value) AS DECIMAL(38, 9)), 6)::DOUBLE AS std, round(CAST(median(value) AS DECIMAL(38, 9)), 6)::DOUBLE AS median, round(CAST(quantile_cont(value, 0.25) AS DECIMAL(38, 9)), 6)::DOUBLE AS qlow, round(CAST(quantile_cont(value, 0.75) AS DECIMAL(38, 9)), 6)::DOUBLE AS qup"
 BUCKETS = {
     Kind.HOURLY_SERIES: ("a02", "model", "date_trunc('hour', ts)::TIMESTAMP"),
     Kind.DAILY_SERIES: ("a03", "model", "date_trunc('day', ts)::TIMESTAMP"),
@@ -236,14 +237,14 @@ def _(s, d):
     return A.reduce_time(T.model(s, d), Kind.THIRTY_MIN_SERIES, ["fid", "variable"])
 
 
-@add("a13_day_quantiles", "SELECT variable, CAST((hour(ts) * 60 + minute(ts)) // 30 * 30 AS INTEGER) AS bucket, round(quantile_cont(value, 0.2), 6) AS q20, round(quantile_cont(value, 0.8), 6) AS q80 FROM model GROUP BY 1, 2", "model")
+@add("a13_day_quantiles", "SELECT variable, CAST((hour(ts) * 60 + minute(ts)) // 30 * 30 AS INTEGER) AS bucket, round(CAST(quantile_cont(value, 0.2) AS DECIMAL(38, 9)), 6)::DOUBLE AS q20, round(CAST(quantile_cont(value, 0.8) AS DECIMAL(38, 9)), 6)::DOUBLE AS q80 FROM model GROUP BY 1, 2", "model")
 def _(s, d):
     return r_all(A.day_quantiles(T.model(s, d), [0.2, 0.8], ["variable"]))
 
 
 @add("a14_seasonal_yearly", """
 WITH band AS (SELECT variable, ts, median(value) AS median, quantile_cont(value, 0.25) AS qlow, quantile_cont(value, 0.75) AS qup FROM daily GROUP BY 1, 2)
-SELECT variable, CAST(year(ts) AS INTEGER) AS year, round(avg(median), 4) AS median, round(avg(qlow), 4) AS qlow, round(avg(qup), 4) AS qup FROM band WHERE month(ts) BETWEEN 5 AND 9 GROUP BY 1, 2""", "daily")
+SELECT variable, CAST(year(ts) AS INTEGER) AS year, round(CAST(avg(median) AS DECIMAL(38, 7)), 4)::DOUBLE AS median, round(CAST(avg(qlow) AS DECIMAL(38, 7)), 4)::DOUBLE AS qlow, round(CAST(avg(qup) AS DECIMAL(38, 7)), 4)::DOUBLE AS qup FROM band WHERE month(ts) BETWEEN 5 AND 9 GROUP BY 1, 2""", "daily")
 def _(s, d):
     band = T.daily(s, d).groupBy("variable", "ts").agg(F.median("value").alias("median"), F.percentile("value", 0.25).alias("qlow"), F.percentile("value", 0.75).alias("qup"))
     return r_all(A.seasonal_yearly(band, [5, 6, 7, 8, 9], ["variable"], ["median", "qlow", "qup"]), 4)
@@ -251,7 +252,7 @@ def _(s, d):
 
 @add("a15_window_means", """
 WITH w AS (SELECT unnest([1995, 1997, 1999]) AS y)
-SELECT fid, variable, CAST(y AS INTEGER) AS "window", round(avg(value), 4) AS mean FROM daily JOIN w ON ts >= make_timestamp(y, 1, 1, 0, 0, 0) AND ts < make_timestamp(y + 2, 12, 31, 0, 0, 0)
+SELECT fid, variable, CAST(y AS INTEGER) AS "window", round(CAST(avg(value) AS DECIMAL(38, 7)), 4)::DOUBLE AS mean FROM daily JOIN w ON ts >= make_timestamp(y, 1, 1, 0, 0, 0) AND ts < make_timestamp(y + 2, 12, 31, 0, 0, 0)
 WHERE month(ts) = 8 GROUP BY 1, 2, 3""", "daily")
 def _(s, d):
     return r_all(A.window_means(T.daily(s, d), 1995, 1999, 2, 2, 8, ["fid", "variable"]), 4)
@@ -267,57 +268,57 @@ def _(s, d):
     return A.last_rows(T.model(s, d), ["fid"])
 
 
-@add("a18_masked_mean", "SELECT fid, round(avg(CASE WHEN month(ts) = 8 AND day(ts) < 15 THEN value END), 4) AS mean FROM daily GROUP BY 1", "daily")
+@add("a18_masked_mean", "SELECT fid, round(CAST(avg(CASE WHEN month(ts) = 8 AND day(ts) < 15 THEN value END) AS DECIMAL(38, 7)), 4)::DOUBLE AS mean FROM daily GROUP BY 1", "daily")
 def _(s, d):
     return r_all(A.masked_mean(T.daily(s, d), (F.month("ts") == 8) & (F.dayofmonth("ts") < 15), ["fid"]), 4)
 
 
-@add("a19_year_difference", "SELECT fid, variable, round(avg(CASE WHEN year(ts) = 2000 THEN value END) - avg(CASE WHEN year(ts) = 1996 THEN value END), 4) AS difference FROM daily GROUP BY 1, 2", "daily")
+@add("a19_year_difference", "SELECT fid, variable, round(CAST(avg(CASE WHEN year(ts) = 2000 THEN value END) - avg(CASE WHEN year(ts) = 1996 THEN value END) AS DECIMAL(38, 7)), 4)::DOUBLE AS difference FROM daily GROUP BY 1, 2", "daily")
 def _(s, d):
     return r_all(A.year_difference(T.daily(s, d), 1996, 2000, ["fid", "variable"]), 4)
 
 
 @add("a20_period_total", """
 WITH days AS (SELECT fid, variable, date_trunc('day', ts) AS day, avg(value) AS v FROM daily WHERE month(ts) BETWEEN 5 AND 9 GROUP BY 1, 2, 3)
-SELECT fid, variable, CAST(year(day) AS INTEGER) AS year, round(sum(v), 2) AS total, year(any_value(day)) IN (1997, 1999) AS chosen FROM days GROUP BY 1, 2, 3""", "daily")
+SELECT fid, variable, CAST(year(day) AS INTEGER) AS year, round(CAST(sum(v) AS DECIMAL(38, 5)), 2)::DOUBLE AS total, year(any_value(day)) IN (1997, 1999) AS chosen FROM days GROUP BY 1, 2, 3""", "daily")
 def _(s, d):
     return r_all(A.period_total(T.daily(s, d), [5, 6, 7, 8, 9], ["fid", "variable"], [1997, 1999]), 2)
 
 
 @add("a21_subset_means", """
-SELECT 'year' AS part, CAST(year(ts) AS DOUBLE) AS key, round(avg(value), 6) AS mean FROM model GROUP BY 2
-UNION ALL SELECT 'doy', CAST(dayofyear(ts) AS DOUBLE), round(avg(value), 6) FROM model GROUP BY 2
-UNION ALL SELECT 'hour', round(hour(ts) + minute(ts) / 60.0::DOUBLE, 6), round(avg(value), 6) FROM model GROUP BY 2""", "model")
+SELECT 'year' AS part, CAST(year(ts) AS DOUBLE) AS key, round(CAST(avg(value) AS DECIMAL(38, 9)), 6)::DOUBLE AS mean FROM model GROUP BY 2
+UNION ALL SELECT 'doy', CAST(dayofyear(ts) AS DOUBLE), round(CAST(avg(value) AS DECIMAL(38, 9)), 6)::DOUBLE FROM model GROUP BY 2
+UNION ALL SELECT 'hour', round(CAST(hour(ts) + minute(ts) / 60.0::DOUBLE AS DECIMAL(38, 9)), 6)::DOUBLE, round(CAST(avg(value) AS DECIMAL(38, 9)), 6)::DOUBLE FROM model GROUP BY 2""", "model")
 def _(s, d):
     return r_all(A.subset_means(T.model(s, d)))
 
 
 @add("a22_replicate_mean", """
-SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS prefix, round(avg((coalesce(nullif(l_discount, 0.0), 0) + l_tax + l_quantity) / (CASE WHEN l_discount = 0 THEN 2 ELSE 3 END)) * -0.1, 6) AS mean FROM lineitem GROUP BY 1, 2""")
+SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS prefix, round(CAST(avg((coalesce(nullif(l_discount, 0.0), 0) + l_tax + l_quantity) / (CASE WHEN l_discount = 0 THEN 2 ELSE 3 END)) * -0.1 AS DECIMAL(38, 9)), 6)::DOUBLE AS mean FROM lineitem GROUP BY 1, 2""")
 def _(s, d):
     x = T.table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.split_part(F.concat("l_returnflag", F.lit("_1")), F.lit("_"), F.lit(1)).alias("prefix"), F.nullif(F.col("l_discount"), F.lit(0.0)).alias("r1"), F.col("l_tax").alias("r2"), F.col("l_quantity").alias("r3"))
     return r_all(A.replicate_mean(x, ["r1", "r2", "r3"], ["date", "prefix"]))
 
 
-@add("a23_group_quantiles", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS bin, round(quantile_cont(value, 0.1), 6) AS J0_1, round(quantile_cont(value, 0.5), 6) AS J0_5, round(quantile_cont(value, 0.9), 6) AS J0_9 FROM model GROUP BY 1", "model")
+@add("a23_group_quantiles", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS bin, round(CAST(quantile_cont(value, 0.1) AS DECIMAL(38, 9)), 6)::DOUBLE AS J0_1, round(CAST(quantile_cont(value, 0.5) AS DECIMAL(38, 9)), 6)::DOUBLE AS J0_5, round(CAST(quantile_cont(value, 0.9) AS DECIMAL(38, 9)), 6)::DOUBLE AS J0_9 FROM model GROUP BY 1", "model")
 def _(s, d):
     return r_all(A.group_quantiles(T.model(s, d).withColumn("bin", C.half_hour_bin(F.col("ts"))), [0.1, 0.5, 0.9], ["bin"]))
 
 
-@add("a24_resample_30min", "SELECT fid, variable, time_bucket(INTERVAL 30 MINUTE, ts) AS bin, round(avg(value), 6) AS value FROM model GROUP BY 1, 2, 3", "model")
+@add("a24_resample_30min", "SELECT fid, variable, time_bucket(INTERVAL 30 MINUTE, ts) AS bin, round(CAST(avg(value) AS DECIMAL(38, 9)), 6)::DOUBLE AS value FROM model GROUP BY 1, 2, 3", "model")
 def _(s, d):
     return r_all(A.resample_30min(T.model(s, d), ["fid", "variable"]))
 
 
 @add("a25_coarser_band", """
 WITH band AS (SELECT variable, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, avg(value) AS mean, quantile_cont(value, 0.2) AS qlow, quantile_cont(value, 0.8) AS qup FROM model GROUP BY 1, 2)
-SELECT variable, date_trunc('day', ts)::TIMESTAMP AS bucket, round(avg(mean), 6) AS mean, round(avg(qlow), 6) AS qlow, round(avg(qup), 6) AS qup FROM band GROUP BY 1, 2""", "model")
+SELECT variable, date_trunc('day', ts)::TIMESTAMP AS bucket, round(CAST(avg(mean) AS DECIMAL(38, 9)), 6)::DOUBLE AS mean, round(CAST(avg(qlow) AS DECIMAL(38, 9)), 6)::DOUBLE AS qlow, round(CAST(avg(qup) AS DECIMAL(38, 9)), 6)::DOUBLE AS qup FROM band GROUP BY 1, 2""", "model")
 def _(s, d):
     m = T.model(s, d).select("variable", C.half_hour_bin(F.col("ts")).alias("ts"), "value")
     band = m.groupBy("variable", "ts").agg(F.avg("value").alias("mean"), F.percentile("value", 0.2).alias("qlow"), F.percentile("value", 0.8).alias("qup"))
     return r_all(A.coarser_band(band, "day", ["mean", "qlow", "qup"], ["variable"]))
 
 
-@add("a26_long_history_yearly", "SELECT CAST(-500 + event_id * 604793 // 31536000 AS INTEGER) AS year, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@add("a26_long_history_yearly", "SELECT CAST(-500 + event_id * 604793 // 31536000 AS INTEGER) AS year, round(CAST(avg(value) AS DECIMAL(38, 9)), 6)::DOUBLE AS mean FROM events GROUP BY 1")
 def _(s, d):
     return r_all(A.long_history_yearly(T.table(s, d, "events").select((F.col("event_id") * 604793).alias("offset"), "value"), -500))

@@ -97,6 +97,63 @@ def test_nearest_ties_and_rings(spark):
     assert J.nearest_valid_cell(spark.createDataFrame([("p", 1, 1)], "site STRING, ix INT, iy INT"), cells, "site").first().value == 12.0  # -lat is empty, +lat is next
 
 
+def test_exact_quantiles_of_large_and_small_groups(spark, monkeypatch):
+    import numpy as np
+
+    from sylvaframe.operators import order
+
+    rng = np.random.default_rng(0)
+    groups = {"one": [4.0], "pair": [1.0, 2.0], "ties": [3.0] * 400 + [5.0] * 400, "wide": rng.normal(size=3000).tolist(), "steps": rng.integers(0, 9, 2500).astype(float).tolist(), "none": [None], None: [1.0, 5.0, 9.0]}
+    df = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v], "k STRING, value DOUBLE")
+    for accuracy in (10_000, 200):  # below: a group as it is; above: only what lies near a quantile
+        monkeypatch.setattr(order, "ACCURACY", accuracy)
+        got = {r.k: r for r in order.exact_quantiles(df, [0.0, 0.2, 0.5, 0.99, 1.0], ["k"]).collect()}
+        assert set(got) == set(groups)
+        for k, v in groups.items():
+            if k == "none":
+                assert got[k]["mean"] is None and set(got[k]["_q"]) == {None}
+            else:
+                assert np.allclose(got[k]["_q"], np.quantile(v, [0.0, 0.2, 0.5, 0.99, 1.0]), rtol=0, atol=1e-12) and math.isclose(got[k]["mean"], np.mean(v), abs_tol=1e-12)
+        assert np.allclose(order.exact_quantiles(df.filter("k = 'wide'"), [0.3], []).first()["_q"], np.quantile(groups["wide"], 0.3))
+
+
+def test_ranks_and_positions_over_ranges(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = [float(x) for x in rng.integers(0, 300, 2000)]
+    df = spark.createDataFrame([(i, x, -x * (i % 3)) for i, x in enumerate(values)], "fid INT, a DOUBLE, b DOUBLE")
+    rank = lambda v: [sum(y < x for y in v) + (v.count(x) + 1) / 2 for x in v]
+    want = np.corrcoef(rank(values), rank([-x * (i % 3) for i, x in enumerate(values)]))[0, 1]
+    assert math.isclose(K.spearman_matrix(df, ["a", "b"]).first().r, want, abs_tol=1e-12)
+    picked = sorted((r.position, r.fid) for r in K.evenly_spaced(df, 7, "a").collect())
+    in_order = sorted(range(2000), key=lambda i: (values[i], i))
+    assert picked == [(round(1 + i * 1999 / 6), in_order[round(1 + i * 1999 / 6) - 1]) for i in range(7)]
+
+
+def test_nearest_neighbours_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    cells = [(float(x), float(y), float(i)) for i, (x, y) in enumerate({(a, b) for a, b in rng.integers(-40, 40, (150, 2)).tolist()})]
+    at = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-180, 180, (80, 2)).tolist())]
+    grid = spark.createDataFrame(cells, "lon DOUBLE, lat DOUBLE, value DOUBLE")
+    points = spark.createDataFrame(at, "site INT, lon DOUBLE, lat DOUBLE")
+    for size in (30.0, 7.0):
+        got = {r.site: (r.d2, r.c_lon, r.c_lat) for r in J.nearest_point(points, grid, "site", size).collect()}
+        assert got == {s: min(((x - a) ** 2 + (y - b) ** 2, a, b) for a, b, _ in cells) for s, x, y in at}
+    axis = {r.lon: r.g_lon for r in J.nearest_on_axis(points, grid, "lon").collect()}
+    assert axis == {x: min((abs(a - x), a) for a, _, _ in cells)[1] for _, x, _ in at}
+
+
+def test_importance_and_empty_columns(spark):
+    rows = [(float(i % 17), float(i * 7 % 13), float(i % 17) * 3) for i in range(300)]
+    got = K.feature_importance(spark.createDataFrame(rows, "signal DOUBLE, noise DOUBLE, y DOUBLE"), ["noise", "signal"], "y", trees=20).collect()
+    assert [r.feature for r in got] == ["signal", "noise"] and got[0].importance > 0.9 and math.isclose(sum(r.importance for r in got), 1.0)
+    df = spark.createDataFrame([(1, None, float("nan"), "x", None), (2, None, float("nan"), None, None)], "a INT, b STRING, c DOUBLE, d STRING, e DOUBLE")
+    assert L.drop_empty_columns(df).columns == ["a", "d"]
+
+
 def test_window_boundary_years_count_twice(spark):
     df = series(spark, [(1, "a", f"{y}-08-15", float(y)) for y in (2020, 2030, 2031)])
     got = {r.window: r.mean for r in A.window_means(df, 2020, 2030, 10, 10, 8, ["fid"]).collect()}
@@ -180,6 +237,26 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
     obs = A.resample_30min(rows.filter("fid = 0"), []).withColumn("o", F.col("value") + 1).drop("value")
     key = lambda df: sorted(one(df))
-    got = jobs.drain(jobs.stream_scores(stream(), obs, 0.5), "t_scores", "complete", str(tmp_path / "c1"))
+    got = jobs.drain(jobs.stream_scores(stream(), obs, 0.5), ["fid"], str(tmp_path / "o1"), str(tmp_path / "c1"))
     assert key(got) == key(jobs.stream_scores(rows, obs, 0.5))
-    assert key(jobs.drain(jobs.stream_monitor(stream()), "t_monitor", "complete", str(tmp_path / "c2"))) == key(jobs.stream_monitor(rows))
+    assert len(list((tmp_path / "o1").iterdir())) > 2  # several batches
+    keys = ["fid", "variable", "bucket"]
+    assert key(jobs.drain(jobs.stream_monitor(stream()), keys, str(tmp_path / "o2"), str(tmp_path / "c2"))) == key(jobs.stream_monitor(rows))
+    again = jobs.drain(jobs.stream_monitor(stream()), keys, str(tmp_path / "o2"), str(tmp_path / "c2"))  # nothing new
+    assert key(again) == key(jobs.stream_monitor(rows))
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    folder = tmp_path / "in"
+    schema = "fid INT, variable STRING, ts TIMESTAMP_NTZ, value DOUBLE"
+
+    def arrive(rows):
+        series(spark, rows).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(schema).parquet(str(folder))
+        return {(r.fid, r.bucket.month): (r.n, r["mean"]) for r in jobs.drain(jobs.stream_monitor(stream, "month", 30), ["fid", "variable", "bucket"], str(tmp_path / "out"), str(tmp_path / "checkpoint")).collect()}
+
+    arrive([(1, "a", "2024-01-10", 1.0), (1, "a", "2024-06-20", 5.0)])
+    arrive([(1, "a", "2024-06-25", 7.0)])
+    # January ended more than 30 days before the latest stamp, May did not
+    got = arrive([(1, "a", "2024-01-11", 100.0), (2, "a", "2024-05-30", 3.0)])
+    assert got == {(1, 1): (1, 1.0), (1, 6): (2, 6.0), (2, 5): (1, 3.0)}
