@@ -17,7 +17,7 @@ The jobs:
    have them.
 3. Each block sends the contexts of those fingerprints to their part, each different one once, so that copies within
    a block do not travel and a hot context reaches its part at most once from each block.
-4. Each part compares its contexts with the operator's own method and answers, for every window asked about, whether it
+4. Each part compares its contexts with the operator's own method and answers, for every context asked about, what of it
    is repeated.
 5. Each block applies the answers to its documents.
 
@@ -320,7 +320,8 @@ def flags_to_bytes(flags: np.ndarray) -> bytes:
 
 def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Callable, apply: Callable, schema: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Runs the five steps. ``ask(block, contexts, first, count)`` -> columns of bytes to send, one entry a kind;
-    ``answer(list of asked)`` -> list of bool arrays, the flags of all windows asked about; ``apply(block, contexts, flags)`` -> Arrow table of ``schema``."""
+    ``answer(list of asked)`` -> list of bytes, one for each block that has asked; ``apply(block, contexts, replies)`` -> Arrow table of
+    ``schema``, where ``replies`` are None or (list of (kinds, bytes), first, kind of each context, count)."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -399,29 +400,24 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["_p", "_b", "keys", "sizes", "units", "more"])
 
     def reply(table):  # step 4
-        flags = answer(list(zip(*(blobs(table.column(c)) for c in ("keys", "sizes", "units", "more")))))
-        return pa.table([table.column("_b").combine_chunks(), pa.array([int(table.column("_p")[0].as_py())] * len(table), pa.int32()), pa.array([flags_to_bytes(f) for f in flags], pa.binary())], names=["_b", "_p", "data"])
+        table = table.sort_by("_b")  # the same order in each run
+        found = answer(list(zip(*(blobs(table.column(c)) for c in ("keys", "sizes", "units", "more")))))
+        return pa.table([table.column("_b").combine_chunks(), pa.array([int(table.column("_p")[0].as_py())] * len(table), pa.int32()), pa.array(found, pa.binary())], names=["_b", "_p", "data"])
 
     def finish(left, right):  # step 5
         if not len(left):
             return pa.table([[] for _ in out_schema], schema=out_schema)
         block = Block(left, kind)
-        c, flags = None, None
+        c, replies = None, None
         if len(right):
             c = block.contexts(K, k, *marked(right))
             first, kind_of, count = unique(c)
-            windows = c.last[first] - c.first[first] + 1
-            begin = np.cumsum(windows) - windows
-            found = np.zeros(int(windows.sum()), bool)
             got = {p: x for x, p in zip(blobs(right.column("data")), right.column("_p").to_pylist()) if p >= 0}
-            for p, i in by_part(c.fp[first], parts):
-                mine = np.unpackbits(np.frombuffer(got[p], np.uint8), count=int(windows[i].sum())).astype(bool)
-                to = np.repeat(begin[i] - (np.cumsum(windows[i]) - windows[i]), windows[i]) + np.arange(len(mine))
-                found[to] = mine
-            flags = (found, begin, first, kind_of, count)
-        return apply(block, c, flags)
+            replies = [(i, got[p]) for p, i in by_part(c.fp[first], parts)], first, kind_of, count
+        return apply(block, c, replies)
 
-    out_schema = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in schema.split(", ")])
+    kinds_of = {"long": pa.int64(), "string": pa.string(), "array<struct<start:long,words:long,source:long,source_start:long>>": pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "words", "source", "source_start")]))}
+    out_schema = pa.schema([(c.split()[0], kinds_of[c.split()[1]]) for c in schema.split(", ")])
     sent = docs.mapInArrow(send, "_p int, fps binary, blocks binary")
     masks = cut(sent.groupBy("_p").applyInArrow(repeated, "_b int, _p int, data binary"), "masks")
     asked = docs.groupBy("_b").cogroup(masks.groupBy("_b")).applyInArrow(request, "_p int, _b int, keys binary, sizes binary, units binary, more binary")
@@ -429,12 +425,18 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
     return docs.groupBy("_b").cogroup(masks.unionByName(answers).groupBy("_b")).applyInArrow(finish, schema)
 
 
-def flagged(block: Block, c: Contexts | None, flags, all_ones: Callable) -> np.ndarray:
-    """The unit positions at which a repeated window starts. ``all_ones(occurrences, first, kind_of, count)``: contexts whose windows are
-    all repeated, whatever was answered."""
+def flagged(c: Contexts | None, replies, all_ones: Callable) -> np.ndarray:
+    """The unit positions at which a repeated window starts, from replies that are a bit for each window. ``all_ones(occurrences, first, kind_of, count)``:
+    contexts whose windows are all repeated, whatever was answered."""
     if c is None or not len(c.first):
         return np.zeros(0, np.int64)
-    found, begin, first, kind_of, count = flags
+    answers, first, kind_of, count = replies
+    windows = c.last[first] - c.first[first] + 1
+    begin = np.cumsum(windows) - windows
+    found = np.zeros(int(windows.sum()), bool)
+    for i, data in answers:
+        mine = np.unpackbits(np.frombuffer(data, np.uint8), count=int(windows[i].sum())).astype(bool)
+        found[np.repeat(begin[i] - (np.cumsum(windows[i]) - windows[i]), windows[i]) + np.arange(len(mine))] = mine
     every = all_ones(np.arange(len(c.first)), first, kind_of, count)
     n = c.last - c.first + 1
     ctx = np.repeat(np.arange(len(n)), n)

@@ -400,6 +400,23 @@ def test_substring_dedup(spark, tmp_path):
     assert keyed(got) == keyed(windows(awkward()))
 
 
+def test_factors_copy_the_words_of_their_sources(spark, tmp_path):
+    split = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in own_ids(awkward())}
+    passage = " ".join(f"s{i}" for i in range(200)).split()
+    split |= {100 + k: [f"o{k}x{i}" for i in range(20)] + passage[k * 10 :] + [f"e{k}x{i}" for i in range(20)] for k in range(5)} | {200: passage + passage[50:120], 201: passage}
+    rows = [(d, " ".join(w)) for d, w in split.items()]
+    gone = {d: set() for d in split}
+    for r in factors.factorize(on_disk(spark, tmp_path, rows)).collect():
+        assert r.n_words == len(split[r.doc_id])
+        for f in r.factors:
+            assert f.words >= 35 and (f.source, f.source_start) != (r.doc_id, f.start)
+            assert split[r.doc_id][f.start : f.start + f.words] == split[f.source][f.source_start : f.source_start + f.words]
+            gone[r.doc_id] |= set(range(f.start, f.start + f.words))
+        if r.doc_id in (1, 5):  # copies are one factor each
+            assert [(f.start, f.words) for f in r.factors] == [(0, len(split[r.doc_id]))]
+    assert {d: len(x) for d, x in gone.items()} == {d: n for d, _, n, _ in windows(rows)}
+
+
 def twins(letters):
     """A Thue-Morse word over a and b, and its complement: their sums of powers are equal whatever the base."""
     bits = [bin(i).count("1") & 1 for i in range(letters)]
@@ -466,7 +483,9 @@ def test_a_common_minimizer_is_split(spark, tmp_path, monkeypatch, module, brute
 
     monkeypatch.setattr(module, "answer", answer)
     rows = around_a_phrase("bytes" if module is suffixes else "words")
-    assert keyed(tuples(module.deduplicate(on_disk(spark, tmp_path, rows)))) == keyed(brute(rows))
+    df = on_disk(spark, tmp_path, rows)
+    monkeypatch.setattr(jobs, "spread", lambda docs, each: 8 if each == jobs.PART_BYTES else 16)
+    assert keyed(tuples(module.deduplicate(df))) == keyed(brute(rows))
     sizes = [int(x) for x in open(log)]
     assert max(sizes) < sum(sizes) / 4  # 8 parts
     monkeypatch.setattr(jobs, "HOT", 2)
