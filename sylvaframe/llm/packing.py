@@ -8,8 +8,14 @@ The plan: take the largest length that is left; enumerate the undominated fillin
 bin (if one piece fills it exactly, every other filling is dominated by that one), exact ones first; use a
 filling for as many bins as its lengths last, or for fewer when all that has been tried; go on. This is a depth-first branch
 and bound over fillings, all of which it would reach: a branch ends when its waste so far already costs as many bins as the best
-plan known (at first best-fit decreasing). The search ends when a plan meets the lower bound, or after ``nodes`` steps for each
-different length (counted as 1000 at least) without a better plan; that is its only limit.
+plan known (at first best-fit decreasing).
+
+The order of the fillings decides how soon a good plan is found. Exact fillings first is quick and does best where pieces are many. Where they
+are few, it spends several small pieces on bins that one would nearly fill, and later bins lack them: so the search is repeated
+with a price for each piece, in units of waste, and the filling of the least waste and price goes first (a shortest path over the room).
+
+A search ends when a plan meets the lower bound, or after ``nodes`` steps for each different length (counted as 1000 at least; a tenth of
+that for searches with a price) without a better plan; that is its only limit.
 
 The deal: a piece is the r-th of its length, counted over hash buckets so that no length gathers in one task; the plan,
 a table of runs (length, from rank -> bin, offset), tells its bin and offset.
@@ -33,6 +39,8 @@ from . import tokens
 from .env import cut, ready, spread
 
 CAPACITY, NODES = 1024, 20
+#: Prices of a piece, in the order in which searches use them.
+PRICES = (None, 12, 16, 32, 8)
 
 
 def lower_bound(counts: np.ndarray) -> int:
@@ -91,6 +99,35 @@ def greedy(have: np.ndarray, x: int, room: int) -> tuple[tuple[int, ...], int]:
     return tuple(parts), rest
 
 
+def cheapest(have: np.ndarray, room: int, price: float) -> tuple[int, ...]:
+    """The filling with the least waste and price of its pieces, to which no piece that is left can be added."""
+    sizes = np.flatnonzero(have[1 : room + 1])[::-1] + 1
+    cost, taken = np.full(room + 1, np.inf), []
+    cost[0] = 0
+    for x in sizes.tolist():
+        for _ in range(min(int(have[x]), room // x)):
+            other = cost[: room + 1 - x] + price
+            better = other < cost[x:]
+            if not better.any():
+                break
+            cost = np.concatenate([cost[:x], np.where(better, other, cost[x:])])
+            taken.append((x, better))
+    waste = room - np.arange(room + 1)
+    at, parts = int(np.flatnonzero(cost + waste == (cost + waste).min())[-1]), []
+    rest = room - at
+    for x, better in reversed(taken):
+        if at >= x and better[at - x]:
+            parts.append(x)
+            at -= x
+    mine = have.copy()
+    np.subtract.at(mine, parts, 1)
+    while len(more := np.flatnonzero(mine[1 : rest + 1])):
+        parts.append(int(more[-1]) + 1)
+        mine[parts[-1]] -= 1
+        rest -= parts[-1]
+    return tuple(sorted(parts, reverse=True))
+
+
 def maximal(have: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
     """All fillings to which no piece that is left can be added, and None for each step that found none."""
     sizes = np.flatnonzero(have[: room + 1])[::-1]
@@ -112,17 +149,21 @@ def maximal(have: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
             yield None
 
 
-def fillings(counts: np.ndarray, first: int) -> Iterator[tuple[int, ...] | None]:
-    """All undominated ways to fill the bin that holds ``first``, found one by one: exact pairs, a greedy one from each length
-    (exact ones at once, the others by waste), then the rest. ``counts`` still has that piece; None is a step that found none."""
+def fillings(counts: np.ndarray, first: int, price: float | None = None) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill the bin that holds ``first``, found one by one: the cheapest if there is a price, exact pairs, a greedy
+    one from each length (exact ones at once, the others by waste), then the rest. ``counts`` still has that piece; None is a step that found none."""
     room = len(counts) - 1 - first
     have = counts.copy()
     have[first] -= 1
     given = set()
+    if price is not None:
+        given.add(cheapest(have, room, price))
+        yield from given
     x = np.flatnonzero(have[: room + 1])[::-1]
     for y in x[(x * 2 >= room) & (have[room - x] > (x * 2 == room))].tolist():
-        given.add((y, room - y))
-        yield y, room - y
+        if (y, room - y) not in given:
+            given.add((y, room - y))
+            yield y, room - y
     later = []
     for y in x.tolist():
         parts, rest = greedy(have, y, room)
@@ -139,7 +180,7 @@ def fillings(counts: np.ndarray, first: int) -> Iterator[tuple[int, ...] | None]
         yield None if parts in given else parts
 
 
-def steps_of(counts: np.ndarray) -> Iterator[tuple[tuple[int, ...], int] | None]:
+def steps_of(counts: np.ndarray, price: float | None = None) -> Iterator[tuple[tuple[int, ...], int] | None]:
     """What can be done with the largest length that is left: (lengths of a bin, number of bins), as many bins as its lengths last
     first; None is a step that found nothing."""
     first = int(np.flatnonzero(counts)[-1])
@@ -156,22 +197,19 @@ def steps_of(counts: np.ndarray) -> Iterator[tuple[tuple[int, ...], int] | None]
     if room and (own if room == first else counts[room]):  # dominates every other filling
         yield (first, room), times((room,))
         return
-    for f in fillings(counts, first):
+    for f in fillings(counts, first, price):
         yield f if f is None else ((first, *f), times(f))
-    for f in fillings(counts, first):
+    for f in fillings(counts, first, price):
         yield None
         if f is not None:
             for n in range(times(f) - 1, 0, -1):
                 yield (first, *f), n
 
 
-def plan(counts: np.ndarray, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Bins for a histogram (index = length, the last index is the capacity): [(lengths, number of such bins)]."""
-    counts = np.asarray(counts, np.int64)
-    cap, bound, total = len(counts) - 1, lower_bound(counts), int((counts * np.arange(len(counts))).sum())
-    best = best_fit(counts)
-    used = sum(n for _, n in best)
-    quota = left = nodes * max(1000, np.count_nonzero(counts))
+def search(counts: np.ndarray, used: int, bound: int, quota: int, price: float | None) -> tuple[list, int] | None:
+    """The best plan with fewer than ``used`` bins that is found, and its number of bins."""
+    cap, total = len(counts) - 1, int((counts * np.arange(len(counts))).sum())
+    best, left = None, quota
     # a node: (histogram, bins so far, waste so far, the steps that led here, what can be done next)
     stack = [(counts.copy(), 0, 0, None, None)]
     while stack and used > bound and left > 0:
@@ -187,7 +225,7 @@ def plan(counts: np.ndarray, nodes: int = NODES) -> list[tuple[tuple[int, ...],
                     steps = steps[1]
                 stack.pop()
                 continue
-            options = steps_of(have)
+            options = steps_of(have, price)
             stack[-1] = (have, bins, waste, steps, options)
         left -= 1
         step = next(options, stack)
@@ -199,6 +237,17 @@ def plan(counts: np.ndarray, nodes: int = NODES) -> list[tuple[tuple[int, ...],
             size, need = np.unique(lengths, return_counts=True)
             after[size] -= need * times
             stack.append((after, bins + times, waste + times * (cap - sum(lengths)), (step, steps), None))
+    return None if best is None else (best, used)
+
+
+def plan(counts: np.ndarray, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+    """Bins for a histogram (index = length, the last index is the capacity): [(lengths, number of such bins)]."""
+    counts = np.asarray(counts, np.int64)
+    bound, best = lower_bound(counts), best_fit(counts)
+    used, quota = sum(n for _, n in best), nodes * max(1000, np.count_nonzero(counts))
+    for price in PRICES:
+        if used > bound and (found := search(counts, used, bound, quota if price is None else quota // 10, price)):
+            best, used = found
     return best
 
 

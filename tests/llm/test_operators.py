@@ -307,8 +307,20 @@ def test_fillings_are_all_the_maximal_ones():
             outside = [x for k, x in enumerate(pieces) if not chosen >> k & 1]
             if sum(inside) <= room and all(x > room - sum(inside) for x in outside):
                 want.add(inside)
-        got = [f for f in packing.fillings(counts, first) if f is not None]
-        assert len(got) == len(set(got)) and set(got) == want
+        for price in (None, 0.5, 12):
+            got = [f for f in packing.fillings(counts, first, price) if f is not None]
+            assert len(got) == len(set(got)) and set(got) == want
+        least = min((room - sum(f) + 3 * len(f) for f in want))  # among the maximal ones, which a cheaper one may be filled up to
+        found = packing.cheapest(np.bincount(pieces, minlength=31), room, 3)
+        assert found in want and room - sum(found) + 3 * len(found) <= least + 3 * len(found)
+
+
+def test_a_price_for_pieces_keeps_small_ones_for_large_bins():
+    counts = np.zeros(101, np.int64)
+    counts[[90, 89, 72, 11, 9, 5, 4]] = [3, 1, 2, 1, 3, 2, 2]
+    have = counts.copy()
+    have[90] -= 1
+    assert packing.cheapest(have, 10, 0.1) == (5, 5) and packing.cheapest(have, 10, 3) == (9,)
 
 
 # 7
