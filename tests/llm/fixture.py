@@ -110,6 +110,39 @@ def reference_tokens(rows):
     return [(d, [*model.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in rows]
 
 
+def mixed(rows, seeds=64):
+    """How often each of (doc_id, source, text) is taken: plain versions of the shares, rates, draws and the choice among the seeds."""
+    import math
+
+    sizes = [len(WORD.findall(t or "")) for _, _, t in rows]
+    size = Counter()
+    for (_, s, _), n in zip(rows, sizes):
+        size[s] += n
+    names = sorted(s for s in size if s is not None) + [None] * (None in size)
+    weight, target, free, left = {s: k % 3 + 1 for k, s in enumerate(names)}, {}, set(names), sum(size.values())
+    while True:  # share again until none is above
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = {s for s in free if share[s] >= 3 * size[s]}
+        if not above:
+            target |= share
+            break
+        for s in above:
+            target[s] = 3.0 * size[s]
+            left -= 3 * size[s]
+        free -= above
+    copies = [0] * len(rows)
+    for s in names:
+        rate = target[s] / size[s] if size[s] else 1.0
+        whole, part = math.floor(rate), math.floor((rate - math.floor(rate)) * 2**32)
+        mine = [(k, hashlib.md5(f"{'null' if rows[k][0] is None else rows[k][0]}|mix-1".encode()).hexdigest()) for k in range(len(rows)) if rows[k][1] == s]
+        draw = [(k, int(h[:8], 16), int(h[8:16], 16)) for k, h in mine]
+        tried = [[whole + ((a + seed * b) % 2**32 < part) for _, a, b in draw] for seed in range(seeds)]
+        near = min(range(seeds), key=lambda x: (abs(sum(n * sizes[k] for n, (k, _, _) in zip(tried[x], draw)) - target[s]), x))
+        for n, (k, _, _) in zip(tried[near], draw):
+            copies[k] = n
+    return copies, target
+
+
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
 
