@@ -42,6 +42,8 @@ from .windows import U64
 
 SHINGLE, PERCENT = 5, 80
 SKETCH_BITS, SLICES, BINS = 20, 64, 128
+#: Rare tokens that a task holds before it sends them on.
+HELD = 1 << 19
 #: Members of each list that all others are proposed to as neighbours.
 CENTRES = 6
 #: A list with more pairs of nodes of different groups than this is opened, in blocks of so many nodes, and not listed by pairs.
@@ -134,7 +136,7 @@ def matrix(nodes: DataFrame, counters: np.ndarray) -> DataFrame:
                     own = own[np.argsort(counters[(own >> U64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[: prefix_size(n)]]
                 # the node itself is sent like a token, with a negative size: all sizes come back with the matrix
                 held.append((np.append(own, U64(node)), np.full(len(own) + 1, node, np.int64), np.append(np.full(len(own), n, np.int32), np.int32(-1 - n)), bins))
-            if sum(len(x[0]) for x in held) >= 1 << 21:
+            if sum(len(x[0]) for x in held) >= HELD:
                 yield from flush()
         if held:
             yield from flush()

@@ -60,7 +60,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     return [(r.l, b"\n".join(t.lower().encode() for _, t in sorted(texts[r.l], reverse=True))) for r in seen if r.l in texts]
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _encoders(model: tuple[tuple[str, bytes], ...], level: int) -> list:
     import zstandard
 

@@ -14,8 +14,8 @@ from array import array
 from functools import lru_cache
 
 END = 2
-#: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Pieces that a worker remembers newly before it forgets those that it has not met since the last time.
+REMEMBERED = 150_000
 MARKS = frozenset(".,!?;:")
 #: Texts of other characters than these are split with the full pattern: here letters, digits and spaces are the classes below.
 PLAIN = re.compile("[^\t\n\r -~À-ſ]")
@@ -30,15 +30,19 @@ def byte_letters() -> dict[int, int]:
 
 
 class Known(dict):
-    """What a function gave for a key, computed once."""
+    """What a function gave for a key, computed once while the key is met now and then."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        got = self[key] = self.make(key)
+        self[key] = got
         return got
 
 
