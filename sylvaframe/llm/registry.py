@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, exact, factors, jaccard, langid, media, mixing, packing, suffixes, urls
+from . import dac, exact, factors, jaccard, langid, media, merkle, mixing, packing, pieces, search, suffixes, urls
 from .env import table
 
 
@@ -23,8 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": lambda s, d: factors.deduplicate(docs(s, d)),
         "op9_exact_dedup": lambda s, d: exact.exact_duplicates(docs(s, d)),
         "op10_source_mixing": lambda s, d: mixing.mixed(docs(s, d)),
+        "op11_ranked_search": lambda s, d: search.search(docs(s, d), table(s, d, "benchmark")),
+        "op12_merkle_manifest": lambda s, d: merkle.audited(docs(s, d)),
+        "op13_sentencepiece": lambda s, d: pieces.round_trip(docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": urls.SQL, "op9_exact_dedup": exact.SQL, "op10_source_mixing": mixing.SQL}
+    return {"op4_url_filter": urls.SQL, "op9_exact_dedup": exact.SQL, "op10_source_mixing": mixing.SQL, "op11_ranked_search": search.SQL, "op12_merkle_manifest": merkle.SQL}
