@@ -98,8 +98,9 @@ def index(docs: DataFrame, terms: DataFrame, text: str = "text", doc_id: str = "
                 counts = Counter(words)
                 if len(asked) > REMEMBERED:
                     asked.clear()
-                for term in counts.keys() - asked.keys():
-                    asked[term] = mask[slot(term)]
+                for term in counts:
+                    if term not in asked:
+                        asked[term] = mask[slot(term)]
                 held.append((i, len(words), [(term, n) for term, n in counts.items() if asked[term]]))
                 if len(held) == BLOCK:
                     yield rows(block, held)
