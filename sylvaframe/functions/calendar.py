@@ -81,6 +81,11 @@ def is_leap_day(ts: Column) -> Column:
     return (F.month(ts) == 2) & (F.dayofmonth(ts) == 29)
 
 
+def noleap_day(ts: Column) -> Column:
+    """The day of a 365-day year, by the date: 1 March is the 60th in every year. NULL on 29 February."""
+    return F.when(~is_leap_day(ts), F.dayofyear(F.make_date(F.lit(2001), F.month(ts), F.when(~is_leap_day(ts), F.dayofmonth(ts)))))
+
+
 def drop_leap_days(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.filter(~is_leap_day(F.col(ts)))
 

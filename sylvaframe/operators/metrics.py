@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,15 +62,105 @@ def metric_table(df: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:
     return out.select(*keys, *[F.round(c, digits).alias(c) for c in ("rmse", "r2", "nse", "rsr", "pbias")])
 
 
-def scorecard(model: DataFrame, obs: DataFrame, eras: list[tuple[str, str, str]], factors: list[tuple[str, float]]) -> DataFrame:
-    """(fid, metric, era, value): RMSE of every run, variable and factor in every era [begin, end). One join serves all
-    eras; a row knows its eras by its time. ``model``: fid, variable, ts, value; ``obs``: ts, value."""
-    joined = join_model_obs(model, obs, ["ts"])
-    t = F.col("ts")
-    inside = F.array(*[F.when((t >= F.lit(a).cast("timestamp_ntz")) & (t < F.lit(b).cast("timestamp_ntz")), name) for name, a, b in eras])
-    rows = joined.withColumn("era", F.explode(F.array_compact(inside)))
-    out = rmse_scaled(rows, ["fid", "variable", "era"], factors)
-    return out.select("fid", F.concat("variable", F.lit("_rmse"), "suffix").alias("metric"), "era", F.col("rmse").alias("value"))
+@dataclass(frozen=True)
+class Pairing:
+    """A modelled variable and the observed series it is compared with. ``eras``: those it holds for (None: all), so that a variable can have another
+    source in other years; ``begin`` and ``until``: a window of its own, cut with the era's; ``absolute``: magnitudes are compared; ``factors``:
+    (suffix, factor) by which the model is multiplied, each a score of its own; ``metric``: the scores' name, else the variable's."""
+
+    variable: str
+    source: str
+    metric: str | None = None
+    eras: tuple[str, ...] | None = None
+    begin: str | None = None
+    until: str | None = None
+    absolute: bool = False
+    factors: tuple[tuple[str, float], ...] = (("", 1.0),)
+
+
+@dataclass(frozen=True)
+class Score:
+    """One column of a scorecard: what is compared, from when until when."""
+
+    metric: str
+    era: str
+    pairing: Pairing
+    factor: float
+    begin: str
+    until: str
+
+    @property
+    def name(self) -> str:
+        return f"{self.metric}_{self.era}"
+
+    def inside(self, ts: Column) -> Column:
+        return (ts >= F.lit(self.begin).cast("timestamp_ntz")) & (ts < F.lit(self.until).cast("timestamp_ntz"))
+
+
+def pairings_of(table: DataFrame) -> list[Pairing]:
+    """Pairings kept as a table: a column for each field of ``Pairing`` that is used. A configuration: a row for each variable and source."""
+    rows = table.select(*[f.name for f in fields(Pairing) if f.name in table.columns]).collect()
+    tuples = lambda k, v: tuple(map(tuple, v)) if k == "factors" else tuple(v) if k == "eras" else v
+    return [Pairing(**{k: tuples(k, v) for k, v in r.asDict().items() if v is not None}) for r in rows]
+
+
+def scores_of(eras: list[tuple[str, str, str]], pairings: list[Pairing]) -> list[Score]:
+    """The scores that eras (name, begin, end) and pairings ask for. Bounds are compared as ISO texts."""
+    out = []
+    for p in pairings:
+        for era, a, b in eras:
+            begin, until = max(a, p.begin or a), min(b, p.until or b)
+            if begin < until and (p.eras is None or era in p.eras):
+                out += [Score(f"{p.metric or p.variable}_rmse{suffix}", era, p, factor, begin, until) for suffix, factor in p.factors]
+    if len({s.name for s in out}) < len(out):
+        raise ValueError("two pairings give the same metric and era")
+    return out
+
+
+def paired(model: DataFrame, obs: DataFrame, scores: list[Score]) -> DataFrame:
+    """(fid, variable, source, ts, m, o): one equi-join for all scores. A model row goes to the sources that a score compares it with at its time, mostly one;
+    rows that no score needs are left out before, by bounds that reach the scan. ``obs``: source, ts, value."""
+    ts, needs = F.col("ts"), {}
+    for s in scores:
+        needs.setdefault((s.pairing.variable, s.pairing.source), {})[s.begin, s.until] = s.inside(ts)
+    if not scores:
+        needs = {(None, None): {("", ""): F.lit(False)}}
+    to = F.array(*[F.when((F.col("variable") == v) & reduce(or_, spans.values()), F.lit(source)) for (v, source), spans in needs.items()])
+    rows = model
+    if scores:
+        bound = lambda x: F.lit(x).cast("timestamp_ntz")
+        rows = model.filter(F.col("variable").isin(*sorted({v for v, _ in needs})) & (ts >= bound(min(s.begin for s in scores))) & (ts < bound(max(s.until for s in scores))))
+    rows = rows.select("fid", "variable", "ts", "value", F.explode(F.array_compact(to)).alias("source"))
+    return join_model_obs(rows, obs.select("source", "ts", "value"), ["source", "ts"])
+
+
+def score_columns(model: DataFrame, obs: DataFrame, eras: list[tuple[str, str, str]], pairings: list[Pairing]) -> DataFrame:
+    """fid and a column for each metric and era, NULL where nothing is compared: RMSE of every run. Eras may overlap: a row is read once, and each score
+    takes it or not in one aggregation."""
+    scores = scores_of(eras, pairings)
+
+    def value(s: Score) -> Column:
+        side = F.abs if s.pairing.absolute else lambda c: c
+        error = side(F.col("m") * s.factor) - side(F.col("o"))
+        own = (F.col("variable") == s.pairing.variable) & (F.col("source") == s.pairing.source) & s.inside(F.col("ts"))
+        return F.sqrt(F.avg(F.when(own, error * error))).alias(s.name)
+
+    joined = paired(model, obs, scores)
+    return joined.groupBy("fid").agg(*map(value, scores)) if scores else joined.select("fid").distinct()
+
+
+def scorecard(model: DataFrame, obs: DataFrame, eras: list[tuple[str, str, str]], pairings: list[Pairing]) -> DataFrame:
+    """(fid, metric, era, value): ``score_columns`` as rows, without those where nothing was compared. ``model``: fid, variable, ts, value; ``obs``: source, ts,
+    value; eras: (name, begin, end), half open."""
+    rows = [F.struct(F.lit(s.metric).alias("metric"), F.lit(s.era).alias("era"), F.col(s.name).alias("value")) for s in scores_of(eras, pairings)]
+    wide = score_columns(model, obs, eras, pairings)
+    return wide.select("fid", F.explode(F.array(*rows)).alias("s")).select("fid", "s.*").filter("value IS NOT NULL")
+
+
+def per_run_list(model: DataFrame, obs: DataFrame, era: tuple[str, str, str], pairings: list[Pairing]) -> DataFrame:
+    """fid and the metrics of one era, in the order of the runs."""
+    scores = scores_of([era], pairings)
+    return score_columns(model, obs, [era], pairings).select("fid", *[F.col(s.name).alias(s.metric) for s in scores]).orderBy("fid")
 
 
 def score_table(scores: DataFrame, metrics: list[str], eras: list[str]) -> DataFrame:

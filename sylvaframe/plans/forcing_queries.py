@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import calendar as C
 from ..functions import science as S
 from ..operators import design as X
 from ..operators import downscale as D
@@ -16,16 +17,16 @@ from .ensemble_queries import CODES, NEAREST
 book = Book()
 add = book.add
 DOY = "days AS (SELECT CAST(i + 1 AS INTEGER) AS doy, CAST(month(DATE '2001-01-01' + CAST(i AS INTEGER)) AS INTEGER) AS month FROM range(0, 365) t(i))"
-DEP = "dep AS (SELECT s.site, f.family, m.year, m.month, m.value * s.site * f.k / 1e15 AS value FROM monthly m CROSS JOIN sites s CROSS JOIN (VALUES ('historic', 1.0), ('rcp85', 2.0)) f(family, k))"
+DEP = "dep AS (SELECT s.site, f.family, m.year, m.month, m.value * s.site * f.k / 1e15 AS value FROM months m CROSS JOIN sites s CROSS JOIN (VALUES ('historic', 1.0), ('rcp85', 2.0)) f(family, k))"
 
 
 def deposition(s, d):
     sites = T.sites(s, d).select("site")
     families = s.createDataFrame([("historic", 1.0), ("rcp85", 2.0)], "family STRING, k DOUBLE")
-    return T.monthly(s, d).crossJoin(sites).crossJoin(F.broadcast(families)).select("site", "family", "year", "month", (F.col("value") * F.col("site") * F.col("k") / 1e15).alias("value"))
+    return T.months(s, d).crossJoin(sites).crossJoin(F.broadcast(families)).select("site", "family", "year", "month", (F.col("value") * F.col("site") * F.col("k") / 1e15).alias("value"))
 
 
-@add("g01_n_deposition", f"WITH {DOY}, {DEP} SELECT site, year, doy, round(CAST(value * 86400 * 1e6 AS DECIMAL(38, 9)), 6)::DOUBLE AS value FROM dep JOIN days USING (month) WHERE family = CASE WHEN year < 1996 THEN 'historic' ELSE 'rcp85' END", "monthly sites")
+@add("g01_n_deposition", f"WITH {DOY}, {DEP} SELECT site, year, doy, round(CAST(value * 86400 * 1e6 AS DECIMAL(38, 9)), 6)::DOUBLE AS value FROM dep JOIN days USING (month) WHERE family = CASE WHEN year < 1996 THEN 'historic' ELSE 'rcp85' END", "months sites")
 def _(s, d):
     return r_all(G.n_deposition(deposition(s, d), "rcp85"))
 
@@ -43,7 +44,7 @@ def _(s, d):
 @add("g04_p_pools", """
 WITH g AS (SELECT map, CAST((lon + 175) / 10 AS INTEGER) AS ix, CAST((lat + 85) / 10 AS INTEGER) AS iy, value * k AS value FROM grid CROSS JOIN (VALUES ('labile', 1.0), ('slow', 2.0), ('occluded', 3.0), ('primary', 4.0)) m(map, k)),
 pt AS (SELECT site, CAST(site % 36 AS INTEGER) AS ix, CAST(site % 18 AS INTEGER) AS iy FROM sites),
-steps AS (SELECT 0 AS dx, 0 AS dy, 0 AS priority UNION ALL SELECT r * x, r * y, (r - 1) * 8 + k FROM range(1, 37) t(r), (VALUES (0, -1, 1), (0, 1, 2), (-1, 0, 3), (1, 0, 4), (-1, -1, 5), (1, -1, 6), (-1, 1, 7), (1, 1, 8)) v(x, y, k)),
+steps AS (SELECT 0 AS dx, 0 AS dy, 0 AS priority UNION ALL SELECT r * x, r * y, (r - 1) * 8 + k FROM range(1, 80) t(r), (VALUES (0, -1, 1), (0, 1, 2), (-1, 0, 3), (1, 0, 4), (-1, -1, 5), (1, -1, 6), (-1, 1, 7), (1, 1, 8)) v(x, y, k)),
 found AS (SELECT a.site, g.map, g.value, row_number() OVER (PARTITION BY a.site, g.map ORDER BY priority) AS n
   FROM pt a CROSS JOIN steps JOIN g ON g.ix = greatest(a.ix + dx, 0) AND g.iy = greatest(a.iy + dy, 0) AND g.value IS NOT NULL)
 SELECT site, round(CAST(max(CASE map WHEN 'labile' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS labile, round(CAST(max(CASE map WHEN 'slow' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS slow, round(CAST(max(CASE map WHEN 'occluded' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS occluded, round(CAST(max(CASE map WHEN 'primary' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS "primary", 0.5::DOUBLE AS depth FROM found WHERE n = 1 GROUP BY 1""", "grid sites")
@@ -57,9 +58,9 @@ def _(s, d):
     return r_all(out).withColumn("depth", F.lit(0.5))
 
 
-@add("g05_add_co2", "SELECT m.year, m.month, round(CAST(m.value AS DECIMAL(38, 7)), 4)::DOUBLE AS value, round(CAST(a.value AS DECIMAL(38, 7)), 4)::DOUBLE AS co2 FROM monthly m JOIN annual a USING (year)", "monthly annual")
+@add("g05_add_co2", "SELECT m.year, m.month, round(CAST(m.value AS DECIMAL(38, 7)), 4)::DOUBLE AS value, round(CAST(a.value AS DECIMAL(38, 7)), 4)::DOUBLE AS co2 FROM months m JOIN annual a USING (year)", "months annual")
 def _(s, d):
-    return r_all(G.add_annual(T.monthly(s, d), T.annual(s, d), "co2"), 4)
+    return r_all(G.add_annual(T.months(s, d), T.annual(s, d), "co2"), 4)
 
 
 @add("g06_add_c14", "SELECT s.site, s.lat, a.year, round(CAST(CASE WHEN lat > 30 THEN value WHEN lat > -30 THEN value * 2 ELSE value * 3 END AS DECIMAL(38, 7)), 4)::DOUBLE AS \"co2DC14\" FROM sites s CROSS JOIN annual a", "sites annual")
@@ -69,7 +70,8 @@ def _(s, d):
     return r_all(G.add_c14(T.sites(s, d).select("site", "lat").crossJoin(a.select("year")), bands).select("site", "lat", "year", "co2DC14"), 4)
 
 
-MET = "met AS (SELECT l_suppkey AS site, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(dayofyear(l_shipdate) AS INTEGER) AS doy, avg(l_quantity) AS t_air, avg(l_tax) AS wind_air FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2000 AND dayofyear(l_shipdate) <= 365 GROUP BY 1, 2, 3)"
+#: Years of 365 days: 29 February goes, every other day has the number that it has in a common year.
+MET = "met AS (SELECT l_suppkey AS site, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(dayofyear(make_date(2001, month(l_shipdate), day(l_shipdate))) AS INTEGER) AS doy, avg(l_quantity) AS t_air, avg(l_tax) AS wind_air FROM lineitem WHERE NOT (month(l_shipdate) = 2 AND day(l_shipdate) = 29) GROUP BY 1, 2, 3)"
 ASSEMBLED = ("site", "year", "doy", "t_air", "wind_air", "co2_mixing_ratio", "co2_dC13", "co2DC14", "nhx_srf_down", "noy_srf_down", "p_srf_down")
 
 
@@ -77,10 +79,10 @@ ASSEMBLED = ("site", "year", "doy", "t_air", "wind_air", "co2_mixing_ratio", "co
 WITH {DOY}, {DEP}, {MET}, n AS (SELECT site, year, doy, value * 86400 * 1e6 AS value FROM dep JOIN days USING (month) WHERE family = CASE WHEN year < 1996 THEN 'historic' ELSE 'rcp85' END)
 SELECT met.site, met.year, met.doy, round(CAST(t_air AS DECIMAL(38, 9)), 6)::DOUBLE AS t_air, round(CAST(greatest(wind_air, 0.1) AS DECIMAL(38, 9)), 6)::DOUBLE AS wind_air, round(CAST(a.value AS DECIMAL(38, 7)), 4)::DOUBLE AS co2_mixing_ratio, round(CAST(a.value / 10 AS DECIMAL(38, 7)), 4)::DOUBLE AS "co2_dC13",
   round(CAST(CASE WHEN s.lat > 30 THEN a.value WHEN s.lat > -30 THEN a.value * 2 ELSE a.value * 3 END AS DECIMAL(38, 7)), 4)::DOUBLE AS "co2DC14", round(CAST(n.value AS DECIMAL(38, 9)), 6)::DOUBLE AS nhx_srf_down, round(CAST(n.value * 2 AS DECIMAL(38, 9)), 6)::DOUBLE AS noy_srf_down, met.site / 365.0::DOUBLE AS p_srf_down
-FROM met JOIN sites s USING (site) JOIN annual a USING (year) JOIN n ON n.site = met.site AND n.year = met.year AND n.doy = met.doy""", "monthly sites annual")
+FROM met JOIN sites s USING (site) JOIN annual a USING (year) JOIN n ON n.site = met.site AND n.year = met.year AND n.doy = met.doy""", "months sites annual")
 def _(s, d):
-    rows = T.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("site"), F.year("l_shipdate").alias("year"), F.dayofyear("l_shipdate").alias("day"))
-    met = rows.agg(F.avg("l_quantity").alias("t_air"), F.avg("l_tax").alias("wind_air")).filter("year BETWEEN 1995 AND 2000 AND day <= 365").join(T.sites(s, d).select("site", "lat"), "site")
+    rows = C.drop_leap_days(T.table(s, d, "lineitem"), "l_shipdate").groupBy(F.col("l_suppkey").alias("site"), F.year("l_shipdate").alias("year"), C.noleap_day(F.col("l_shipdate")).alias("day"))
+    met = rows.agg(F.avg("l_quantity").alias("t_air"), F.avg("l_tax").alias("wind_air")).join(T.sites(s, d).select("site", "lat"), "site")
     a = T.annual(s, d)
     times = lambda k: a.withColumn("value", F.col("value") * k)
     c14 = a.select("year", F.col("value").alias("north"), (F.col("value") * 2).alias("tropics"), (F.col("value") * 3).alias("south"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import select as K
-from ..operators.reduce import bucket
+from ..operators.reduce import bucket, resample_30min
 from ..schema import Kind
 from ..sources import testbed as T
 from .book import Book, r_all
@@ -96,20 +96,41 @@ def _(s, d):
 
 
 ERAS = [("full", "2024-01-01", "2024-02-01"), ("early", "2024-01-01", "2024-01-11"), ("mid", "2024-01-08", "2024-01-22"), ("late", "2024-01-20", "2024-02-01")]
-ERA_ROWS = ", ".join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, a, b in ERAS)
-SCORECARD = f"""WITH {JOINED}, eras(era, a, b) AS (VALUES {ERA_ROWS}), f(suffix, factor) AS (VALUES {", ".join(f"('{x}', {v}::DOUBLE)" for x, v in FACTORS)}),
-card AS (SELECT fid, variable || '_rmse' || suffix AS metric, era, sqrt(avg((m * factor - o) * (m * factor - o))) AS value FROM j JOIN eras ON ts >= a AND ts < b CROSS JOIN f GROUP BY 1, 2, 3)"""
+#: Another source in later eras, magnitudes, a window of its own with factors: as a comparison of one site's variables needs them.
+PAIRINGS = [
+    M.Pairing("click", "flux_a", eras=("full", "early")),
+    M.Pairing("click", "flux_b", eras=("mid", "late")),
+    M.Pairing("purchase", "flux_b", absolute=True, factors=(("", -1.0),)),
+    M.Pairing("signup", "sap", metric="flow", begin="2024-01-05", until="2024-01-25", factors=tuple((x, f) for x, f in FACTORS)),
+    M.Pairing("click", "sap", metric="click_sap", until="2024-01-15"),
+]
+TARGETS = ", ".join(f"('{x.metric}', '{x.era}', '{x.pairing.variable}', '{x.pairing.source}', {x.factor}::DOUBLE, {str(x.pairing.absolute).lower()}, TIMESTAMP '{x.begin}', TIMESTAMP '{x.until}')" for x in M.scores_of(ERAS, PAIRINGS))
+SCORECARD = f"""WITH bins AS (SELECT fid, variable, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, avg(value) AS value FROM model GROUP BY 1, 2, 3),
+obins AS (SELECT source, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, avg(value) AS value FROM obs_sources GROUP BY 1, 2),
+targets(metric, era, variable, source, factor, magnitude, a, b) AS (VALUES {TARGETS}),
+errors AS (SELECT fid, metric, era, CASE WHEN magnitude THEN abs(m.value * factor) - abs(o.value) ELSE m.value * factor - o.value END AS e
+  FROM bins m JOIN targets t USING (variable) JOIN obins o ON o.source = t.source AND o.ts = m.ts WHERE m.ts >= a AND m.ts < b),
+card AS (SELECT fid, metric, era, sqrt(avg(e * e)) AS value FROM errors GROUP BY 1, 2, 3)"""
 
 
-@add("m11_scorecard", f"{SCORECARD} SELECT fid, metric, era, round(CAST(value AS DECIMAL(38, 9)), 6)::DOUBLE AS value FROM card", "model obs")
+def source_bins(s, d):
+    return resample_30min(T.obs_sources(s, d), ["source"]).withColumnRenamed("bin", "ts")
+
+
+@add("m11_scorecard", f"{SCORECARD} SELECT fid, metric, era, round(CAST(value AS DECIMAL(38, 9)), 6)::DOUBLE AS value FROM card", "model obs_sources")
+def _(s, d):
+    return r_all(M.scorecard(bins(s, d), source_bins(s, d), ERAS, PAIRINGS))
+
+
+@add("s16_score_table", f"{SCORECARD} SELECT fid, " + ", ".join(f"round(CAST(max(CASE WHEN metric = '{x.metric}' AND era = '{x.era}' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS {x.name}" for x in M.scores_of(ERAS, PAIRINGS)) + " FROM card GROUP BY fid", "model obs_sources")
 def _(s, d):
-    return r_all(M.scorecard(bins(s, d), obs_bins(s, d), ERAS, FACTORS))
+    return r_all(M.score_columns(bins(s, d), source_bins(s, d), ERAS, PAIRINGS))
 
 
-@add("s16_score_table", f"{SCORECARD} SELECT fid, " + ", ".join(f"round(CAST(max(CASE WHEN metric = '{v}_rmse' AND era = '{e[0]}' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS {v}_rmse_{e[0]}" for v in ("click", "signup") for e in ERAS) + " FROM card GROUP BY fid", "model obs")
+@add("s16_pivoted_scores", f"{SCORECARD} SELECT fid, " + ", ".join(f"round(CAST(max(CASE WHEN metric = '{v}' AND era = '{e[0]}' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS {v}_{e[0]}" for v in ("click_rmse", "flow_rmse_05") for e in ERAS) + " FROM card GROUP BY fid", "model obs_sources")
 def _(s, d):
-    card = M.scorecard(bins(s, d), obs_bins(s, d), ERAS, FACTORS)
-    return r_all(M.score_table(card, ["click_rmse", "signup_rmse"], [e[0] for e in ERAS]))
+    card = M.scorecard(bins(s, d), source_bins(s, d), ERAS, PAIRINGS)
+    return r_all(M.score_table(card, ["click_rmse", "flow_rmse_05"], [e[0] for e in ERAS]))
 
 
 @add("m12_merge_partials", """
@@ -150,11 +171,9 @@ def _(s, d):
     return r_all(M.diff_runs(one(1), one(2), ["ts"]))
 
 
-@add("m17_per_run_list", f"WITH {JOINED} SELECT fid, " + ", ".join(f"round(CAST(sqrt(avg(CASE WHEN variable = '{v}' THEN (m - o) * (m - o) END)) AS DECIMAL(38, 9)), 6)::DOUBLE AS {v}_rmse" for v in T.MODEL_TYPES) + " FROM j GROUP BY 1", "model obs")
+@add("m17_per_run_list", f"{SCORECARD} SELECT fid, " + ", ".join(f"round(CAST(max(CASE WHEN metric = '{x.metric}' AND era = 'mid' THEN value END) AS DECIMAL(38, 9)), 6)::DOUBLE AS {x.metric}" for x in M.scores_of([ERAS[2]], PAIRINGS)) + " FROM card WHERE era = 'mid' GROUP BY fid", "model obs_sources")
 def _(s, d):
-    each = joined(s, d).groupBy(*KEYS).agg(M.rmse().alias("rmse"))
-    wide = each.groupBy("fid").pivot("variable", list(T.MODEL_TYPES)).agg(F.first("rmse"))
-    return r_all(wide.select("fid", *[F.col(v).alias(f"{v}_rmse") for v in T.MODEL_TYPES]).orderBy("fid"))
+    return r_all(M.per_run_list(bins(s, d), source_bins(s, d), ERAS[2], PAIRINGS))
 
 
 # K: selection

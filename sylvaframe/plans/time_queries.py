@@ -197,9 +197,9 @@ def _(s, d):
     return T.table(s, d, "supplier").select("s_suppkey", L.site_of_path(path).alias("site"))
 
 
-@add("f18_ramp_change", "SELECT year, month, round(CAST(greatest(value + CASE WHEN year > 1997 THEN ((year - 1998) * 12 + month - 1) / 12.0::DOUBLE / 3 * -50000 ELSE 0 END, 0) AS DECIMAL(38, 7)), 4)::DOUBLE AS value FROM monthly", "monthly")
+@add("f18_ramp_change", "SELECT year, month, round(CAST(greatest(value + CASE WHEN year > 1997 THEN ((year - 1998) * 12 + month - 1) / 12.0::DOUBLE / 3 * -50000 ELSE 0 END, 0) AS DECIMAL(38, 7)), 4)::DOUBLE AS value FROM months", "months")
 def _(s, d):
-    return r(L.ramp_change(T.monthly(s, d), -50000.0, 3, 2000, floor=0.0), "value", digits=4)
+    return r(L.ramp_change(T.months(s, d), -50000.0, 3, 2000, floor=0.0), "value", digits=4)
 
 
 @add("f19_snap_coordinate", "SELECT site, least(175.0, greatest(-175.0, round_even((lon + 175) / 10, 0) * 10 - 175)) AS g_lon, least(85.0, greatest(-85.0, round_even((lat + 85) / 10, 0) * 10 - 85)) AS g_lat FROM sites", "sites")
