@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .order import nearest_values
@@ -59,20 +60,43 @@ def nearest_cell(points: DataFrame, grid: DataFrame) -> DataFrame:
     return at.join(grid.withColumnsRenamed({"lon": "g_lon", "lat": "g_lat"}), ["g_lon", "g_lat"], "left")
 
 
-def nearest_point(points: DataFrame, cells: DataFrame, key: str, size: float = 30.0) -> DataFrame:
-    """The nearest cell by squared distance in degrees, ties to the smaller lon, then lat. Cells lie in tiles of ``size`` degrees, of which
-    a globe has (360 / size) * (180 / size) at most; a point looks only in tiles that can be as near as the tile which is surely nearest."""
-    b = lambda c: F.floor(F.col(c) / size)
-    have = cells.select(F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"), F.col("value").alias("c_value"), b("lon").alias("bx"), b("lat").alias("by"))
-    tiles = have.groupBy("bx", "by").agg(F.min("c_lon").alias("x0"), F.max("c_lon").alias("x1"), F.min("c_lat").alias("y0"), F.max("c_lat").alias("y1"))
-    tiles = tiles.agg(F.collect_list(F.struct("bx", "by", "x0", "x1", "y0", "y1")).alias("tiles"))  # one row of a bounded number of tiles
+#: Cells of a tile at most where coordinates allow; a tile is split into 4 x 4; no more splits than these.
+TILE_CELLS, MOST_SPLITS = 64, 12
+
+
+def nearest_point(points: DataFrame, cells: DataFrame, key: str, tile_cells: int = TILE_CELLS) -> DataFrame:
+    """The nearest cell by squared distance in degrees, ties to the smaller lon, then lat.
+
+    The cells' extent is split into 4 x 4 tiles again and again until no tile has more than ``tile_cells`` cells of different places; each tile knows the box around its
+    cells. The points go down this pyramid, all of them one level at a time: of the tiles that a point still looks at, one is surely as near as its
+    farthest corner, and tiles whose nearest corner is farther than that are left. A point ends at a few tiles of few cells, whatever the density.
+    Points or cells without a place are left out."""
     x, y = F.col("lon"), F.col("lat")
-    least = lambda t: F.greatest(t["x0"] - x, x - t["x1"], F.lit(0.0)) ** 2 + F.greatest(t["y0"] - y, y - t["y1"], F.lit(0.0)) ** 2
-    most = lambda t: F.greatest(F.abs(x - t["x0"]), F.abs(x - t["x1"])) ** 2 + F.greatest(F.abs(y - t["y0"]), F.abs(y - t["y1"])) ** 2
-    want = points.select(key, "lon", "lat").crossJoin(F.broadcast(tiles)).withColumn("reach", F.array_min(F.transform("tiles", most)))
-    want = want.select(key, "lon", "lat", F.explode(F.filter("tiles", lambda t: least(t) <= F.col("reach") * (1 + 1e-12))).alias("t")).select(key, "lon", "lat", "t.bx", "t.by")
+    have = cells.filter(x.isNotNull() & y.isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")).groupBy(x.cast("double").alias("c_lon"), y.cast("double").alias("c_lat")).agg(F.min("value").alias("c_value"))
+    ends = have.agg(F.min("c_lon"), F.max("c_lon"), F.min("c_lat"), F.max("c_lat"), F.count("*")).first()
+    west, east, south, north, n = ends if ends[4] else (0.0, 0.0, 0.0, 0.0, 0)
+    span = max(east - west, north - south) or 1.0
+    tile = lambda c, low, level: F.least(F.floor((F.col(c) - low) / span * 4**level), F.lit(4**level - 1)).cast("long")
+    at = lambda level: (tile("c_lon", west, level).alias("bx"), tile("c_lat", south, level).alias("by"))
+    level = 0
+    while level < MOST_SPLITS and 16**level * tile_cells < n:
+        level += 1
+    while 0 < level < MOST_SPLITS and have.groupBy(*at(level)).count().agg(F.max("count")).first()[0] > tile_cells:
+        level += 1
+    box = lambda w, e, s_, n_: (F.min(w).alias("x0"), F.max(e).alias("x1"), F.min(s_).alias("y0"), F.max(n_).alias("y1"))
+    pyramid = [have.groupBy(*at(level)).agg(*box("c_lon", "c_lon", "c_lat", "c_lat"))]
+    for _ in range(level):
+        pyramid.insert(0, pyramid[0].groupBy(F.shiftright("bx", 2).alias("bx"), F.shiftright("by", 2).alias("by")).agg(*box("x0", "x1", "y0", "y1")))
+    least = F.greatest(F.col("x0") - x, x - F.col("x1"), F.lit(0.0)) ** 2 + F.greatest(F.col("y0") - y, y - F.col("y1"), F.lit(0.0)) ** 2
+    most = F.greatest(F.abs(x - F.col("x0")), F.abs(x - F.col("x1"))) ** 2 + F.greatest(F.abs(y - F.col("y0")), F.abs(y - F.col("y1"))) ** 2
+    at_point = points.select(key, x.cast("double").alias("lon"), y.cast("double").alias("lat")).filter(x.isNotNull() & y.isNotNull() & ~F.isnan("lon") & ~F.isnan("lat"))
+    looks = at_point.withColumns({"bx": F.lit(0).cast("long"), "by": F.lit(0).cast("long")})
+    for tiles in pyramid[1:]:
+        inside = tiles.withColumnsRenamed({"bx": "tx", "by": "ty"}).withColumns({"bx": F.shiftright("tx", 2), "by": F.shiftright("ty", 2)})
+        tried = looks.join(inside, ["bx", "by"]).withColumn("reach", F.min(most).over(W.partitionBy(key)))
+        looks = tried.filter(least <= F.col("reach") * (1 + 1e-12)).select(key, "lon", "lat", F.col("tx").alias("bx"), F.col("ty").alias("by"))
     d2 = (F.col("c_lon") - x) ** 2 + (F.col("c_lat") - y) ** 2
-    found = want.join(have, ["bx", "by"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "c_lon", "c_lat", "c_value")).alias("best"))
+    found = looks.join(have.select("*", *at(level)), ["bx", "by"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "c_lon", "c_lat", "c_value")).alias("best"))
     return found.select(key, "best.c_lon", "best.c_lat", "best.d2", "best.c_value")
 
 
@@ -80,15 +104,42 @@ def nearest_point(points: DataFrame, cells: DataFrame, key: str, size: float = 3
 RING = ((0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (1, -1), (-1, 1), (1, 1))
 
 
-def nearest_valid_cell(at: DataFrame, grid: DataFrame, key: str, rings: int = 36) -> DataFrame:
-    """For cells given by axis index (ix, iy): the cell's own value, or the first valid one in rings of growing
-    distance, in the order of RING; indices below 0 are taken as 0, cells beyond the grid do not exist."""
-    steps = [(0, 0, 0)] + [(r * dx, r * dy, (r - 1) * len(RING) + k + 1) for r in range(1, rings + 1) for k, (dx, dy) in enumerate(RING)]
-    offsets = at.sparkSession.createDataFrame(steps, "dx INT, dy INT, priority INT")
-    tried = at.crossJoin(F.broadcast(offsets)).withColumns({"x": F.greatest(F.col("ix") + F.col("dx"), F.lit(0)), "y": F.greatest(F.col("iy") + F.col("dy"), F.lit(0))})
-    valid = grid.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col("ix").alias("x"), F.col("iy").alias("y"), "value")
-    found = tried.join(valid, ["x", "y"]).groupBy(key).agg(F.min(F.struct("priority", "value")).alias("m"))
-    return at.join(found, key, "left").select(*at.columns, F.col("m.priority").alias("priority"), F.col("m.value").alias("value"))
+def nearest_valid_cell(at: DataFrame, grid: DataFrame, key: str) -> DataFrame:
+    """For cells given by axis index (ix, iy), from 0: the cell's own value, or the first valid one in rings of growing
+    distance, in the order of RING, however far; indices below 0 are taken as 0, cells beyond the grid do not exist. NULL where the grid has no such cell.
+
+    A ring's eight cells lie on eight rays, which at index 0 go on along the edge. So the first valid cell of a ray is the next one on a column, a row or a diagonal:
+    every valid cell and every place that looks for one is put on these lines, and a window along each line finds what is next. Places that
+    several rows share look once, so a line holds no more rows than the grid is wide."""
+    valid = grid.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(F.col("ix").cast("long").alias("x"), F.col("iy").cast("long").alias("y")).agg(F.min("value").alias("value"))
+    x, y = F.col("x"), F.col("y")
+    places = at.select(F.greatest(F.col("ix"), F.lit(0)).cast("long").alias("x"), F.greatest(F.col("iy"), F.lit(0)).cast("long").alias("y")).distinct()
+    empty = places.join(valid, ["x", "y"], "left_anti")
+    line = lambda kind, name, place: (F.lit(kind).alias("kind"), name.alias("line"), place.alias("place"))
+    column, row, rising, falling = line("column", x, y), line("row", y, x), line("rising", x - y, x), line("falling", x + y, x)
+    edge_column = lambda place: line("column", F.lit(0).cast("long"), place)
+    edge_row = lambda place: line("row", F.lit(0).cast("long"), place)
+    none = F.lit(0).cast("long")
+    # (line, +1: the next place above, -1: below, distance at which the ray enters the line, order in the ring, whether the ray comes there)
+    rays = [
+        (column, -1, none, 1, None), (column, 1, none, 2, None), (row, -1, none, 3, None), (row, 1, none, 4, None),
+        (rising, -1, none, 5, None), (edge_column(y - x), -1, x, 5, x < y), (edge_row(x - y), -1, y, 5, y < x),
+        (falling, 1, none, 6, None), (edge_row(x + y), 1, y, 6, None), (falling, -1, none, 7, None), (edge_column(x + y), 1, x, 7, None), (rising, 1, none, 8, None),
+    ]
+    asks = F.array(*[F.when(F.lit(True) if comes is None else comes, F.struct(*on, F.lit(side).alias("side"), far.alias("far"), F.lit(k).alias("k"))) for on, side, far, k, comes in rays])
+    asked = empty.select("x", "y", F.explode(F.array_compact(asks)).alias("a")).select("x", "y", "a.*")
+    cells = valid.select("value", F.explode(F.array(*[F.struct(*on) for on in (column, row, rising, falling)])).alias("a")).select("value", "a.*")
+    both = asked.unionByName(cells.withColumn("valid", F.struct("place", "value")), allowMissingColumns=True)
+    along = W.partitionBy("kind", "line")
+    near = both.withColumn("below", F.last("valid", ignorenulls=True).over(along.orderBy("place"))).withColumn("above", F.last("valid", ignorenulls=True).over(along.orderBy(F.desc("place"))))
+    hit = F.when(F.col("side") > 0, F.col("above")).otherwise(F.col("below"))
+    near = near.filter("k IS NOT NULL").select("x", "y", "far", "k", "place", hit.alias("hit")).filter("hit IS NOT NULL")
+    ring = F.col("far") + F.abs(F.col("hit.place") - F.col("place"))
+    first = near.groupBy("x", "y").agg(F.min(F.struct(((ring - 1) * len(RING) + F.col("k")).cast("int").alias("priority"), F.col("hit.value").alias("value"))).alias("m")).select("x", "y", "m.*")
+    own = places.join(valid, ["x", "y"]).select("x", "y", F.lit(0).alias("priority"), "value")
+    found = own.unionByName(first).withColumnsRenamed({"x": "_x", "y": "_y"})
+    on = (F.greatest(F.col("ix"), F.lit(0)) == F.col("_x")) & (F.greatest(F.col("iy"), F.lit(0)) == F.col("_y"))
+    return at.join(found, on, "left").select(*at.columns, "priority", "value")
 
 
 def update_join(left: DataFrame, right: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
