@@ -1,4 +1,4 @@
-"""Structured Streaming twins of batch operators: each is a transformation of a streaming DataFrame, so the same code runs on
+"""Structured Streaming twins of batch operators: each is a transformation of a streaming DataFrame, and gives the same result on
 a batch. They run in update mode, so that only what changed is written, and results go to files. Watermarks need time-zone timestamps: stamps are cast, the session's zone is to be UTC."""
 
 from __future__ import annotations
@@ -7,27 +7,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import half_hour_bin
-
-
-def stream_scores(model: DataFrame, obs: DataFrame, threshold: float) -> DataFrame:
-    """(fid, n, rmse, rejected) as output arrives; the state is a count and a sum of squares for each run, to be emitted in
-    update mode. ``obs``: a static table (bin, o)."""
-    joined = model.withColumn("bin", half_hour_bin(F.col("ts"))).join(obs, "bin")
-    error = F.col("value") - F.col("o")
-    sums = joined.groupBy("fid").agg(F.count(F.lit(1)).alias("n"), F.sum(error * error).alias("sse"))
-    rmse = F.sqrt(F.col("sse") / F.col("n"))
-    return sums.select("fid", "n", rmse.alias("rmse"), (rmse > threshold).alias("rejected"))
+from . import state
+
+
+def stream_scores(model: DataFrame, obs: DataFrame, threshold: float, ends: DataFrame | None = None, timeout: str = "30 days", late: str = "1 day") -> DataFrame:
+    """(fid, n, rmse, rejected, closed_by): one verdict for each run, once it is over. A run is over when the stream's watermark (its latest stamp less ``late``)
+    passes the run's end stamp in ``ends`` (fid, end; rows after it don't count), or ``timeout`` after the run's latest row, which also closes runs
+    that never end. Until then only a count and a sum of squares are kept; what comes for a run that has been judged is left out.
+    ``obs``: a static table (bin, o). On a batch, where nothing is left to come, every run is judged at once."""
+    rows = model.withColumn("bin", half_hour_bin(F.col("ts"))).withColumn("_ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("_ts", late) if model.isStreaming else rows
+    rows = rows.join(obs, "bin").filter(F.col("value").isNotNull() & F.col("o").isNotNull())
+    if ends is None:
+        rows = rows.withColumn("_end", F.lit(None).cast("timestamp"))
+    else:
+        rows = rows.join(ends.select("fid", F.col("end").cast("timestamp").alias("_end")), "fid", "left")
+    rows = rows.select("fid", F.unix_millis("_ts").alias("at"), F.unix_millis("_end").alias("ends_at"), (F.col("value") - F.col("o")).alias("error"))
+    if not model.isStreaming:
+        rmse = F.sqrt(F.avg(F.col("error") * F.col("error")))
+        closed = F.when(F.first("ends_at").isNotNull(), "end").otherwise("timeout").alias("closed_by")
+        return rows.filter("ends_at IS NULL OR at <= ends_at").groupBy("fid").agg(F.count(F.lit(1)).alias("n"), rmse.alias("rmse"), (rmse > threshold).alias("rejected"), closed)
+    state.rocksdb(model.sparkSession)
+    wait = round(model.sparkSession.sql(f"SELECT INTERVAL '0' SECOND + INTERVAL {timeout} AS t").first().t.total_seconds() * 1000)
+    schema = state.VERDICT.format(key=model.schema["fid"].dataType.simpleString())
+    return rows.groupBy("fid").transformWithStateInPandas(state.verdicts(threshold, wait), schema, "Update", "EventTime")
+
+
+#: Units of a fixed length: the window and the offset from the epoch, a Thursday, at which one begins.
+FIXED_UNITS = {"minute": ("1 minute", "0 seconds"), "hour": ("1 hour", "0 seconds"), "day": ("1 day", "0 seconds"), "week": ("7 days", "4 days")}
 
 
 def stream_monitor(model: DataFrame, unit: str = "month", late_days: int = 30) -> DataFrame:
     """Means by calendar unit of growing output, with the latest stamp. A row whose whole unit ended more than ``late_days`` before the latest
-    stamp is left out, from the batch after the next on, and the state of such units is dropped (in update or append mode)."""
-    rows = model.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{late_days} days")
-    # only time windows of a fixed length keep the watermark by themselves; a unit is known by its end, which the watermark has to pass
-    mark = {"spark.watermarkDelayMs": late_days * 86_400_000}
-    end = (F.date_trunc(unit, "ts") + F.expr(f"INTERVAL 1 {unit}")).alias("_end", metadata=mark)
-    sums = rows.select("*", end).groupBy("fid", "variable", "_end").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))
-    return sums.select("fid", "variable", F.date_trunc(unit, F.col("_end") - F.expr("INTERVAL 1 SECOND")).alias("bucket"), "mean", "n", "latest")
+    stamp is left out, from the batch after the next on, and the state of such units is dropped (in update mode). Units of a fixed length are
+    event-time windows; months, quarters and years are kept by a processor with a timer at the unit's end."""
+    rows = model.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", f"{late_days} days") if model.isStreaming else rows
+    sums = F.avg("value").alias("mean"), F.count("value").alias("n"), F.max("ts").alias("latest")
+    if unit in FIXED_UNITS:
+        length, begin = FIXED_UNITS[unit]
+        return rows.groupBy("fid", "variable", F.window("ts", length, startTime=begin)).agg(*sums).select("fid", "variable", F.col("window.start").alias("bucket"), "mean", "n", "latest")
+    bucket = F.date_trunc(unit, "ts").alias("bucket")
+    if not model.isStreaming:
+        return rows.groupBy("fid", "variable", bucket).agg(*sums)
+    state.rocksdb(model.sparkSession)
+    ends = F.date_trunc(unit, "ts") + F.expr({"quarter": "INTERVAL 3 MONTH"}.get(unit, f"INTERVAL 1 {unit}"))
+    rows = rows.select("fid", "variable", bucket, F.unix_micros("ts").alias("at"), F.unix_millis(ends).alias("ends_at"), "value")
+    schema = state.UNIT_MEANS.format(key=model.schema["fid"].dataType.simpleString())
+    return rows.groupBy("fid", "variable", "bucket").transformWithStateInPandas(state.unit_means(), schema, "Update", "EventTime")
 
 
 def stream_progress(log: DataFrame) -> DataFrame:

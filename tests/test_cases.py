@@ -139,8 +139,8 @@ def test_nearest_neighbours_against_brute_force(spark):
     at = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-180, 180, (80, 2)).tolist())]
     grid = spark.createDataFrame(cells, "lon DOUBLE, lat DOUBLE, value DOUBLE")
     points = spark.createDataFrame(at, "site INT, lon DOUBLE, lat DOUBLE")
-    for size in (30.0, 7.0):
-        got = {r.site: (r.d2, r.c_lon, r.c_lat) for r in J.nearest_point(points, grid, "site", size).collect()}
+    for tile_cells in (64, 5, 1):
+        got = {r.site: (r.d2, r.c_lon, r.c_lat) for r in J.nearest_point(points, grid, "site", tile_cells).collect()}
         assert got == {s: min(((x - a) ** 2 + (y - b) ** 2, a, b) for a, b, _ in cells) for s, x, y in at}
     axis = {r.lon: r.g_lon for r in J.nearest_on_axis(points, grid, "lon").collect()}
     assert axis == {x: min((abs(a - x), a) for a, _, _ in cells)[1] for _, x, _ in at}
@@ -231,19 +231,123 @@ def test_catalog_errors(spark):
         catalog.list_variables(v, ["nope"]).collect()
 
 
+def test_nearest_point_where_cells_cluster(spark):
+    """A dense knot, a far single cell, cells at one place, places without coordinates: no point looks at more than a few tiles."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    knot = [(10 + float(x), 20 + float(y)) for x, y in rng.normal(0, 0.001, (400, 2))]
+    places = [*knot, (-170.0, -80.0), (10.0, 20.0), (179.5, 0.0)]
+    cells = [(x, y, float(i)) for i, (x, y) in enumerate(places)] + [(10.0, 20.0, -5.0), (None, 1.0, 0.0), (float("nan"), 1.0, 0.0)]
+    at = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-90, 90, (60, 2)))] + [(90 + i, *knot[i]) for i in range(9)] + [(200, None, 3.0)]
+    grid = spark.createDataFrame(cells, "lon DOUBLE, lat DOUBLE, value DOUBLE")
+    points = spark.createDataFrame(at, "site INT, lon DOUBLE, lat DOUBLE")
+    got = {r.site: (r.d2, r.c_lon, r.c_lat) for r in J.nearest_point(points, grid, "site", 16).collect()}
+    assert got == {s: min(((a - x) ** 2 + (b - y) ** 2, a, b) for a, b in places) for s, x, y in at if x is not None}
+    assert J.nearest_point(points, grid.limit(0), "site").collect() == []
+    assert {r.c_value for r in J.nearest_point(spark.createDataFrame([(1, 10.0, 20.0)], points.schema), grid, "site").collect()} == {-5.0}  # of one place, the smallest
+
+
+def ring_search(valid, ix, iy, most):
+    """The search as it is told: ring by ring, eight steps each, indices below 0 taken as 0."""
+    if (ix, iy) in valid:
+        return 0, valid[ix, iy]
+    for r in range(1, most):
+        for k, (dx, dy) in enumerate(J.RING):
+            cell = max(ix + r * dx, 0), max(iy + r * dy, 0)
+            if cell in valid:
+                return (r - 1) * 8 + k + 1, valid[cell]
+    return None, None
+
+
+def test_nearest_valid_cell_however_far(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    wide = {(int(x), int(y)): float(x * 1000 + y) for x, y in zip(rng.integers(0, 130, 40), rng.integers(0, 90, 40))}
+    for valid in (wide, {(0, 79): 1.0, (120, 0): 2.0, (60, 60): 3.0}, {(99, 3): 9.0}):
+        cells = [(x, y, valid.get((x, y))) for x in range(0, 130, 1) for y in range(90) if (x, y) in valid or (x + y) % 11 == 0]
+        at = [(i, int(x), int(y)) for i, (x, y) in enumerate(zip(rng.integers(0, 130, 150), rng.integers(0, 90, 150)))] + [(900, 5, 5), (901, 5, 5), (902, 0, 0)]
+        got = J.nearest_valid_cell(spark.createDataFrame(at, "site INT, ix INT, iy INT"), spark.createDataFrame(cells, "ix INT, iy INT, value DOUBLE"), "site").collect()
+        assert {r.site: (r.priority, r.value) for r in got} == {s: ring_search(valid, x, y, 140) for s, x, y in at}
+        assert valid is wide or any(r.priority and r.priority > 36 * 8 for r in got)
+
+
+def test_scorecard_pairs_variables_with_their_own_series(spark):
+    """Two sources by era, a window, magnitudes, factors; a pairing kept as a table; overlapping eras; nothing to compare."""
+    model = series(spark, [(f, v, f"2024-01-{d:02d}", sign * (d + f)) for f in (1, 2) for v, sign in (("a", 1.0), ("b", -1.0), ("other", 1.0)) for d in range(1, 21)] + [(3, "a", "2025-01-01", 1.0)])
+    obs = spark.createDataFrame([(s, dt.datetime(2024, 1, d), float(x * d)) for s, x in (("old", 1), ("new", 2), ("flow", 3)) for d in range(1, 21)], "source STRING, ts TIMESTAMP_NTZ, value DOUBLE")
+    eras = [("all", "2024-01-01", "2024-02-01"), ("first", "2024-01-01", "2024-01-11"), ("second", "2024-01-08", "2024-01-21")]
+    pairings = [M.Pairing("a", "old", eras=("first",)), M.Pairing("a", "new", eras=("second", "all")), M.Pairing("b", "flow", "flow", begin="2024-01-05", until="2024-01-10", absolute=True, factors=(("", 1.0), ("_half", 0.5)))]
+    want = {}
+    for f in (1, 2):
+        def put(metric, era, days, k, g):
+            want[f, metric, era] = math.sqrt(sum((g(d) - k * d) ** 2 for d in days) / len(days))
+
+        put("a_rmse", "first", range(1, 11), 1, lambda d: d + f)
+        put("a_rmse", "second", range(8, 21), 2, lambda d: d + f)
+        put("a_rmse", "all", range(1, 21), 2, lambda d: d + f)
+        for suffix, half in (("", 1.0), ("_half", 0.5)):
+            put(f"flow_rmse{suffix}", "first", range(5, 10), 3, lambda d: (d + f) * half)
+            put(f"flow_rmse{suffix}", "all", range(5, 10), 3, lambda d: (d + f) * half)
+            put(f"flow_rmse{suffix}", "second", range(8, 10), 3, lambda d: (d + f) * half)
+    got = {(r.fid, r.metric, r.era): r.value for r in M.scorecard(model, obs, eras, pairings).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    table = spark.createDataFrame([(p.variable, p.source, p.metric, None if p.eras is None else list(p.eras), p.begin, p.until, p.absolute, [list(x) for x in ()] or [(a, b) for a, b in p.factors]) for p in pairings], "variable STRING, source STRING, metric STRING, eras ARRAY<STRING>, begin STRING, until STRING, absolute BOOLEAN, factors ARRAY<STRUCT<suffix: STRING, factor: DOUBLE>>")
+    assert M.pairings_of(table) == pairings
+    listed = M.per_run_list(model, obs, eras[1], pairings)
+    assert listed.columns == ["fid", "a_rmse", "flow_rmse", "flow_rmse_half"] and [r.fid for r in listed.collect()] == [1, 2]
+    assert M.scorecard(model, obs.limit(0), eras, pairings).count() == 0
+    plan = M.score_columns(model, obs, eras, pairings)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Generate") == 1  # one join, a row to its sources, no copy by era
+    with pytest.raises(ValueError):
+        M.scores_of(eras, [M.Pairing("a", "old"), M.Pairing("a", "new")])
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = series(spark, [(k % 2, "a", f"2024-01-{1 + k:02d} 00:10:00", float(k)) for k in range(20)])
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
-    obs = A.resample_30min(rows.filter("fid = 0"), []).withColumn("o", F.col("value") + 1).drop("value")
     key = lambda df: sorted(one(df))
-    got = jobs.drain(jobs.stream_scores(stream(), obs, 0.5), ["fid"], str(tmp_path / "o1"), str(tmp_path / "c1"))
-    assert key(got) == key(jobs.stream_scores(rows, obs, 0.5))
-    assert len(list((tmp_path / "o1").iterdir())) > 2  # several batches
     keys = ["fid", "variable", "bucket"]
-    assert key(jobs.drain(jobs.stream_monitor(stream()), keys, str(tmp_path / "o2"), str(tmp_path / "c2"))) == key(jobs.stream_monitor(rows))
-    again = jobs.drain(jobs.stream_monitor(stream()), keys, str(tmp_path / "o2"), str(tmp_path / "c2"))  # nothing new
+    for k, unit in enumerate(("month", "year", "day", "week")):
+        assert key(jobs.drain(jobs.stream_monitor(stream(), unit), keys, str(tmp_path / f"o{k}"), str(tmp_path / f"c{k}"))) == key(jobs.stream_monitor(rows, unit))
+        assert {r.bucket for r in jobs.stream_monitor(rows, unit).collect()} == {r.bucket for r in rows.select(F.date_trunc(unit, F.col("ts").cast("timestamp")).alias("bucket")).collect()}
+    again = jobs.drain(jobs.stream_monitor(stream()), keys, str(tmp_path / "o0"), str(tmp_path / "c0"))  # nothing new
     assert key(again) == key(jobs.stream_monitor(rows))
+    assert len(list((tmp_path / "o0").iterdir())) > 2  # several batches
+
+
+def test_each_run_is_judged_once(spark, tmp_path):
+    """Runs with an end, a run that never ends, one that goes on after its timeout, a late file, a run without observations."""
+    schema = "fid INT, variable STRING, ts TIMESTAMP_NTZ, value DOUBLE"
+    obs = spark.createDataFrame([(dt.datetime(2024, m, d, h), 0.0) for m in (1, 2, 3, 4, 5) for d in range(1, 29) for h in (0, 12)], "bin TIMESTAMP_NTZ, o DOUBLE")
+    ends = spark.createDataFrame([(1, dt.datetime(2024, 1, 20)), (2, dt.datetime(2024, 2, 10)), (4, dt.datetime(2024, 3, 20))], "fid INT, end TIMESTAMP_NTZ")
+
+    def arrive(rows):
+        series(spark, [(f, "a", t, x) for f, t, x in rows]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.to_files(jobs.stream_scores(stream, obs, 2.5, ends, "20 days", "2 days"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+        found = spark.read.parquet(str(tmp_path / "out")).collect()
+        assert len({r.fid for r in found}) == len(found)  # one row for each run, ever
+        return {r.fid: (r.n, round(r.rmse, 9), r.rejected, r.closed_by) for r in found}
+
+    assert arrive([(1, "2024-01-10", 2.0), (2, "2024-01-10", 4.0), (3, "2024-01-10", 1.0), (4, "2024-01-11", 9.0), (5, "2024-01-11 05:00:00", 1.0)]) == {}
+    # late, but the run is open: it counts; what comes after a run's end does not
+    assert arrive([(1, "2024-01-18", 4.0), (1, "2024-01-12", 2.0), (1, "2024-01-21", 100.0), (3, "2024-01-21", 1.0)]) == {}
+    first = {1: (3, round(math.sqrt((4 + 16 + 4) / 3), 9), True, "end")}
+    assert arrive([(2, "2024-01-25", 2.0)]) == first
+    # late for a run that has been judged
+    assert arrive([(1, "2024-01-15", 50.0), (2, "2024-02-09", 0.0)]) == first | {4: (1, 9.0, True, "timeout")}  # silent for 20 days
+    assert arrive([(2, "2024-02-15", 7.0), (4, "2024-02-14", 1.0), (3, "2024-02-26", 1.0)]) == first | {4: (1, 9.0, True, "timeout"), 2: (3, round(math.sqrt(20 / 3), 9), True, "end")}
+    # the run that was closed by its timeout goes on until its end; the one without an end falls silent
+    last = arrive([(4, "2024-03-19", 1.0), (3, "2024-04-20", 3.0), (2, "2024-05-20", 1.0)])
+    assert last[3] == (4, round(math.sqrt(3), 9), False, "timeout") and last[4] == (1, 9.0, True, "timeout") and set(last) == {1, 2, 3, 4}
+    every = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    batch = {r.fid: (r.n, round(r.rmse, 9), r.rejected) for r in jobs.stream_scores(every, obs, 2.5, ends).collect()}
+    joined = every.withColumn("bin", F.col("ts")).join(obs, "bin").join(ends, "fid", "left").filter("end IS NULL OR ts <= end").select("fid", F.col("value").alias("m"), "o")
+    assert {f: x[1:] for f, x in batch.items()} == {r.fid: (round(r.rmse, 9), r.rejected) for r in M.reject_runs(joined, 2.5).collect()}
+    assert batch[2] == last[2][:3]
 
 
 def test_late_rows_are_left_out(spark, tmp_path):
