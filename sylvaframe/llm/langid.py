@@ -8,10 +8,11 @@ The score is the margin, 1 - smallest / second smallest. A text is rejected when
 below ``margin``: it is too short or too odd to tell. The prediction itself is given in any case where there is
 a letter, since a caller may have another use for it.
 
-The fit reads a bounded sample: of each language (at most ``LANGUAGES``, the most frequent), the first ``TEXT_CHARS``
-characters of different texts, in the order of a hash of the text, while they come to less than ``DICTIONARY_BYTES``; so much
-and one text more is what reaches the driver for a language. A language is only learned from rows that have a
-label and, for the registered query, are not held out.
+The fit reads a bounded sample: of each language the first ``TEXT_CHARS`` characters of different texts, in the order of a hash of the text, while they come to
+less than ``DICTIONARY_BYTES``; so much and one text more is what reaches the driver for a language, and no language is without a text. More than
+``SHARED_BY`` languages share what so many would have, so that the dictionaries together stay within ``SHARED_BY * DICTIONARY_BYTES`` and a text for each. Which
+rows are looked at is estimated from how many different texts there are; where that was too few, more are looked at, so the sample doesn't depend on the
+estimate, nor on how often a text repeats. A language is only learned from rows that have a label and, for the registered query, are not held out.
 
 Defined cases: null text, or text without a letter: ``und``, score 0, rejected; equal sizes: the more frequent
 language, score 0; no labelled row at all: every text is ``und``; rows that share an id are predicted each; an empty
@@ -33,7 +34,9 @@ from .env import packed, ready
 LEVEL, PIECE = 6, 4096
 #: Equal sizes are told apart by the strongest encoding, which also finds matches of three bytes.
 FINE_LEVEL = 19
-LANGUAGES, DICTIONARY_BYTES, TEXT_CHARS = 100, 250_000, 10_000
+SHARED_BY, DICTIONARY_BYTES, TEXT_CHARS = 100, 250_000, 10_000
+#: Bits of the hash by which texts are drawn; how many times the bytes that are needed are looked at.
+DRAW_BITS, AMPLE = 40, 3
 #: Margins below this are too narrow.
 MARGIN = 0.002
 LETTER = regex.compile(r"\p{L}")
@@ -45,19 +48,39 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, bytes]]:
     """[(language, dictionary)], the most frequent language first, from a bounded sample of the labelled rows."""
-    ok = rows.select(F.substring(text, 1, TEXT_CHARS).alias("t"), F.col(lang).alias("l")).filter("l IS NOT NULL AND t <> ''")
-    ok = ok.select("l", "t", F.octet_length("t").alias("n"))
-    seen = ok.groupBy("l").agg(F.sum("n").alias("b")).orderBy(F.desc("b"), "l").limit(LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in seen:  # about so many bytes as are needed if half of the texts are copies, and some long texts more
-        share = F.when(F.col("l") == r.l, min(1.0, 2.0 * DICTIONARY_BYTES / r.b + 20.0 * TEXT_CHARS / r.b)).otherwise(share)
-    draw = F.pmod(F.xxhash64("t", F.lit("langid")), F.lit(1 << 40))
-    sample = ok.withColumn("d", draw).filter(F.col("d") < share * float(1 << 40)).dropDuplicates(["l", "d", "t"])
-    before = F.coalesce(F.sum("n").over(W.partitionBy("l").orderBy("d", "t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    labelled = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("l IS NOT NULL AND t <> ''")
+
+    def cut_at(chars: int) -> DataFrame:
+        ok = labelled.select("l", F.substring("t", 1, chars).alias("t"))
+        return ok.select("l", "t", F.octet_length("t").alias("n"), F.pmod(F.xxhash64("t", F.lit("langid")), F.lit(1 << DRAW_BITS)).alias("d"))
+
+    # different texts by how small their draw is: half of them are at 0, a quarter at 1, and so on
+    level = F.when(F.col("d") > 0, F.lit(DRAW_BITS - 1) - F.floor(F.log2("d"))).otherwise(DRAW_BITS).alias("level")
+    seen: dict[str, list] = {}
+    for r in cut_at(TEXT_CHARS).groupBy("l", level).agg(F.approx_count_distinct("d").alias("texts"), F.avg("n").alias("mean"), F.sum("n").alias("bytes")).collect():
+        seen.setdefault(r.l, []).append(r)
+    order = sorted(seen, key=lambda x: (-sum(r.bytes for r in seen[x]), x))
+    budget = DICTIONARY_BYTES * SHARED_BY // max(SHARED_BY, len(order))
+    ok = cut_at(max(1, min(TEXT_CHARS, budget)))
+    depth = {}  # of each language, the level from which its texts are looked at
+    for one in order:
+        depth[one], found = 0, 0.0
+        for r in sorted(seen[one], key=lambda r: -r.level):
+            found += r.texts * r.mean
+            if found >= AMPLE * budget:
+                depth[one] = r.level
+                break
     texts: dict[str, list] = {}
-    for r in sample.withColumn("before", before).filter(F.col("before") < DICTIONARY_BYTES).select("l", "d", "t").collect():
-        texts.setdefault(r.l, []).append((r.d, r.t))
-    return [(r.l, b"\n".join(t.lower().encode() for _, t in sorted(texts[r.l], reverse=True))) for r in seen if r.l in texts]
+    while depth:
+        reach = rows.sparkSession.createDataFrame([(x, 1 << (DRAW_BITS - k)) for x, k in depth.items()], "l STRING, most LONG")
+        sample = ok.join(reach, "l").filter("d < most").dropDuplicates(["l", "d", "t"])
+        before = F.coalesce(F.sum("n").over(W.partitionBy("l").orderBy("d", "t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        for x in depth:
+            texts[x] = []
+        for r in sample.withColumn("before", before).filter(F.col("before") < budget).select("l", "d", "t", "n").collect():
+            texts[r.l].append((r.d, r.t, r.n))
+        depth = {x: max(0, k - 4) for x, k in depth.items() if k and sum(n for *_, n in texts[x]) < budget}
+    return [(x, b"\n".join(t.lower().encode() for _, t, _ in sorted(texts[x], reverse=True))) for x in order]
 
 
 @lru_cache(2)
