@@ -15,7 +15,7 @@ A context is at most 62 words around a minimizer, and a document's contexts go t
 only those reference blocks that can have one of its windows, not every block.
 
 Every copy goes: a word is removed if a window over it has the same words as one that starts anywhere else. Words are
-compared by 64-bit hashes of their bytes (``windows.byte_hash``), one by one over a factor's whole length.
+compared by 64-bit hashes of their bytes with a secret key of the run (``windows.byte_hash``), one by one over a factor's whole length.
 
 Defined cases: a null, empty or blank text has no words; windows never reach over documents; texts of fewer than
 ``LENGTH`` words keep all; rows that share an id, and repeated rows, count as separate documents; an empty

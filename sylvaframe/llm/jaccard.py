@@ -1,6 +1,6 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set are its distinct 5-word shingles, as 64-bit hashes. Two documents link when their sets' Jaccard similarity is
+A document's set are its distinct 5-word shingles, as 64-bit hashes with a secret key of the run (``windows.keyed``). Two documents link when their sets' Jaccard similarity is
 at least 80 %. Equal texts are collapsed before (``exact``); the jobs work on different texts, "nodes".
 
 * Tokens are ordered by how frequent they are, from a table of ``2**SKETCH_BITS`` counters (a fixed size), then by hash. Two
@@ -50,11 +50,13 @@ CENTRES = 6
 LISTED, OPEN = 512, 1024
 
 
-def shingles(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Of an Arrow array of strings: the shingles' hashes, with repeats, and each text's first."""
+def shingles(texts, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of an Arrow array of strings: the shingles' hashes under the run's key, with repeats, and each text's first."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    windows.seal(key)
+
     body = pc.fill_null(texts, "").cast(pa.large_binary())
     offsets = np.frombuffer(body.buffers()[1], np.int64, len(body) + 1, 8 * body.offset) if len(body) else np.zeros(1, np.int64)
     raw = body.buffers()[2] if len(body) else None
@@ -77,7 +79,7 @@ def similar(both: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return 100 * both >= PERCENT * (n_a + n_b - both)
 
 
-def sketch(nodes: DataFrame) -> np.ndarray:
+def sketch(nodes: DataFrame, key: bytes) -> np.ndarray:
     """How many shingles fall on each counter: at most ``2**SKETCH_BITS`` numbers reach the driver, in ``SLICES`` rows."""
     width = (1 << SKETCH_BITS) // SLICES
 
@@ -88,7 +90,7 @@ def sketch(nodes: DataFrame) -> np.ndarray:
 
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            total += np.bincount((shingles(batch.column("text"))[0] >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+            total += np.bincount((shingles(batch.column("text"), key)[0] >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
         if total.any():
             packed = [zlib.compress(total[k * width : (k + 1) * width].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for k in range(SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], ["k", "counts"])
@@ -109,7 +111,7 @@ def sketch(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def matrix(nodes: DataFrame, counters: np.ndarray) -> DataFrame:
+def matrix(nodes: DataFrame, counters: np.ndarray, key: bytes) -> DataFrame:
     """kind 0: (token, node, size), rare tokens that several nodes have, one for each list of nodes; kind 1: (node, node), proposed neighbours;
     kind 2: (node, size) and histogram, all nodes."""
     parts = 2 * spread(nodes)
@@ -128,7 +130,7 @@ def matrix(nodes: DataFrame, counters: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["p", "tokens", "nodes", "sizes", "histograms"])
 
         for batch in batches:
-            found, at = shingles(batch.column("text"))
+            found, at = shingles(batch.column("text"), key)
             for node, a, b in zip(batch.column("node").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 own = np.unique(found[a:b])
                 n, bins = len(own), histogram(own)
@@ -242,7 +244,7 @@ def overlap(a: bytes, b: bytes) -> int:
     return len(np.intersect1d(np.frombuffer(a, U64), np.frombuffer(b, U64), assume_unique=True))
 
 
-def sets(nodes: DataFrame, needed: DataFrame) -> DataFrame:
+def sets(nodes: DataFrame, needed: DataFrame, key: bytes) -> DataFrame:
     """(node, tokens) of the needed nodes, and of a few more that a filter of a fixed size lets pass: no text is shuffled."""
     slot = F.xxhash64("node").bitwiseAND(F.lit((1 << 24) - 1))
     bits = needed.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS INT)))").alias("bits"))
@@ -252,14 +254,14 @@ def sets(nodes: DataFrame, needed: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found, at = shingles(batch.column("text"))
+            found, at = shingles(batch.column("text"), key)
             tokens = [np.unique(found[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(tokens, pa.binary())], ["node", "tokens"])
 
     return rows.select("node", "text").mapInArrow(task, "node long, tokens binary")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, key: bytes) -> DataFrame:
     """The (a, b) of ``pairs`` that link: first by the histograms' bound, then by the sets themselves. ``nodes``: node, size, histogram."""
 
     def keep(column: str, shared) -> Callable:
@@ -279,7 +281,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     for side in "ab":
         rows = rows.join(nodes.select(*[F.col(c).alias(f"{c}_{side}" if c != "node" else side) for c in ("node", "size", "histogram")]), side)
     maybe = cut(rows.select("a", "b", "size_a", "size_b", "histogram_a", "histogram_b").mapInArrow(keep("histogram", overlap_bound), schema), "maybe")
-    known = cut(sets(texts, maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    known = cut(sets(texts, maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct(), key), "sets")
     rows = maybe
     for side in "ab":
         rows = rows.join(known.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
@@ -341,7 +343,7 @@ def across(matrix_rows: DataFrame, long: DataFrame, parts: int) -> DataFrame:
     return pairs.select(F.least("query", "member").alias("a"), F.greatest("query", "member").alias("b"))
 
 
-def opened(matrix_rows: DataFrame, texts: DataFrame) -> DataFrame:
+def opened(matrix_rows: DataFrame, texts: DataFrame, key: bytes) -> DataFrame:
     """Links of the long lists: the nodes outside a list's largest group are its queries, and its groups are opened for
     them, in blocks of at most about ``OPEN`` nodes on each side. A query gives one link for each group that it reaches."""
     rows = matrix_rows.select("token", "node", "size", "grp", (F.col("grp") != F.col("top")).alias("asks"), F.ceil(F.col("n") / OPEN).cast("int").alias("m"), F.greatest(F.ceil((F.col("n") - F.col("most")) / OPEN), F.lit(1)).cast("int").alias("q"))
@@ -351,7 +353,7 @@ def opened(matrix_rows: DataFrame, texts: DataFrame) -> DataFrame:
     queries = rows.filter("asks").withColumn("qb", block("q")).withColumn("mb", every("m"))
     columns = ("token", "qb", "mb", "node", "size", "grp", "asks")
     both = members.select(*columns).unionByName(queries.select(*columns))
-    known = cut(sets(texts, rows.select("node").distinct()), "sets")
+    known = cut(sets(texts, rows.select("node").distinct(), key), "sets")
 
     def task(table):
         import pyarrow as pa
@@ -404,21 +406,22 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[D
     texts = cut(exact.distinct_texts(rows, filter_of), "texts")
     members = cut(exact.members(rows, texts, filter_of), "members")
     texts = texts.select("node", "text")
-    found = matrix(texts, sketch(texts))
+    key = windows.new_key()
+    found = matrix(texts, sketch(texts, key), key)
     entries = cut(possible(found), "entries")
     nodes = found.filter("kind = 2").select(F.col("x").alias("node"), F.col("y").alias("size"), "histogram")
     able = lookup(entries.select(F.col("node").alias("able")).distinct(), "able")
     near = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
     for side in "ab":
         near = near.join(able, F.col(side) == F.col("able"), "left_semi")
-    near = verify(near, nodes, texts)
+    near = verify(near, nodes, texts, key)
     groups = lookup(components(near).withColumnRenamed("node", "member"), "groups")
     rows = cut(labelled(entries, groups), "rows")
     wide = rows.filter(F.col("pairs") > LISTED)
     long = lookup(wide.groupBy("node", "size").agg(F.sum("times").alias("more"), F.min("low").alias("low"), F.max("high").alias("high")), "long")
-    far = verify(across(rows.filter(F.col("pairs") <= LISTED), long.select(F.col("node").alias("query"), "more"), 2 * spread(texts)), nodes, texts)
+    far = verify(across(rows.filter(F.col("pairs") <= LISTED), long.select(F.col("node").alias("query"), "more"), 2 * spread(texts)), nodes, texts, key)
     enough = long.filter(F.col("more") >= least_shared("size", "low", "high")).select("node")
-    wide = opened(wide.join(enough, "node", "left_semi"), texts)
+    wide = opened(wide.join(enough, "node", "left_semi"), texts, key)
     linked = lookup(components(near.unionByName(far).unionByName(wide)), "components")
     return members, nodes.join(linked, "node", "left").select("node", F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 

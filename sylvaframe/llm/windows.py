@@ -8,7 +8,8 @@ meet and no part has all of them.
 
 Two kinds of hash are used. Sums of powers (``run_hash``) are quick to roll over a text but may be equal for texts that are made for it, so
 they only choose minimizers and parts: two grams with one sum meet in a part and are compared there. What decides that two words or two
-contexts are the same are ``byte_hash`` and ``chained``, which pass the content itself, 8 bytes or a word at a time, through a bijection that scatters it.
+contexts are the same are ``byte_hash`` and ``chained``, which pass the content itself, 8 bytes or a word at a time, through a function with a secret key that
+each run of an operator draws anew (``new_key``): texts can't be made to collide beforehand, and by chance two of n contents do with n * n / 2**65.
 
 The jobs:
 
@@ -28,6 +29,7 @@ one of them. Long documents are handled in overlapping segments. The text is shu
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -56,6 +58,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+#: Offset and multipliers of ``keyed``, set by ``seal``; these are used where no key was given.
+KEY = {"offset": U64(0x8CB92BA72F3D8DD7), "first": U64(0xE7037ED1A0B428DB), "second": U64(0xA0761D6478BD642F), "long": b"long"}
+
+
+def new_key() -> bytes:
+    """A key for one run of an operator: made by the driver, carried by its tasks."""
+    return secrets.token_bytes(32)
+
+
+def seal(key: bytes) -> None:
+    """Every task begins with this: the worker's hashes are those of the run's key."""
+    for name in ("offset", "first", "second"):
+        KEY[name] = U64(int.from_bytes(hashlib.blake2b(name.encode(), key=key, digest_size=8).digest(), "little") | 1)
+    KEY["long"] = key
+
+
+def keyed(x: np.ndarray) -> np.ndarray:
+    """A bijection that scatters, unknown to whoever wrote the texts."""
+    x = (x ^ (x >> U64(32))) * KEY["first"]
+    x = (x ^ (x >> U64(29))) * KEY["second"]
+    return x ^ (x >> U64(32))
+
+
 BYTE_CODE = mix(np.arange(1, 257, dtype=U64))
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -87,23 +112,23 @@ def run_hash(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def chained(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A hash of values[first : first + n], for arrays of both; each value scatters what came before it."""
-    out = mix(n.astype(U64) + U64(0x8CB92BA72F3D8DD7))
+    out = keyed(n.astype(U64) + KEY["offset"])
     live, shortest = np.arange(len(n)), int(n.min()) if len(n) else 0
     for j in range(int(n.max()) if len(n) else 0):
         if j < shortest:
-            out = mix(out ^ values[first + j])
+            out = keyed(out ^ values[first + j])
         else:
             live = live[n[live] > j]
-            out[live] = mix(out[live] ^ values[first[live] + j])
+            out[live] = keyed(out[live] ^ values[first[live] + j])
     return out
 
 
 def rolled(values: np.ndarray, K: int) -> np.ndarray:
     """A hash of each K values that follow one another, made of those of halves."""
-    out, size = mix(values ^ U64(0xA54FF53A5F1D36F1)), 1
+    out, size = keyed(values ^ KEY["offset"]), 1
     while size < K:
         step = min(size, K - size)
-        out = mix((out[:-step] * U64(0x9FB21C651E98DF25)) ^ out[step:])
+        out = keyed((out[:-step] * U64(0x9FB21C651E98DF25)) ^ out[step:])
         size += step
     return out
 
@@ -116,7 +141,7 @@ def byte_hash(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     """A hash of data[first:last], for arrays of both: eight bytes at a time, each of which scatters what came before."""
     n = last - first
     eights = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
-    out = mix(n.astype(U64) + U64(0x3C6EF372FE94F82B))
+    out = keyed(n.astype(U64) * U64(3) + KEY["offset"])
     live = np.flatnonzero((n > 0) & (n <= LONG_RUN))
     for j in range(0, LONG_RUN, 8):
         if not len(live):
@@ -126,10 +151,10 @@ def byte_hash(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
         short = rest < 8
         if short.any():
             x = np.where(short, x & ((U64(1) << (U64(8) * np.minimum(rest, 7).astype(U64))) - U64(1)), x)
-        out[live] = mix(out[live] ^ x)
+        out[live] = keyed(out[live] ^ x)
         live = live[rest > 8]
     for i in np.flatnonzero(n > LONG_RUN):
-        out[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]], digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]], digest_size=8, key=KEY["long"]).digest(), "little")
     return out
 
 
@@ -326,7 +351,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
 
     spark = docs.sparkSession
     ready(spark)
-    n_blocks, parts, hot_from = spread(docs, BLOCK_BYTES), spread(docs, PART_BYTES), HOT
+    n_blocks, parts, hot_from, key = spread(docs, BLOCK_BYTES), spread(docs, PART_BYTES), HOT, new_key()
     # for bytes, rows that share an id stay together, as their order by text counts
     dealt = ("doc_id", "text") if kind == "words" else ("doc_id",)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("_b", F.pmod(F.xxhash64(*dealt), F.lit(n_blocks)).cast("int"))
@@ -345,6 +370,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
             rows = [(p, fp[i].tobytes(), b[i].tobytes()) for p, i in by_part(fp, parts)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], ["_p", "fps", "blocks"])
 
+        seal(key)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             block = Block(table, kind)
@@ -389,6 +415,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
         return np.sort(np.frombuffer(masks[0], U64)), (hot[:, 0], hot[:, 1])
 
     def request(left, right):  # step 3
+        seal(key)
         rows = []
         if len(right):
             block = Block(left, kind)
@@ -400,11 +427,13 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["_p", "_b", "keys", "sizes", "units", "more"])
 
     def reply(table):  # step 4
+        seal(key)
         table = table.sort_by("_b")  # the same order in each run
         found = answer(list(zip(*(blobs(table.column(c)) for c in ("keys", "sizes", "units", "more")))))
         return pa.table([table.column("_b").combine_chunks(), pa.array([int(table.column("_p")[0].as_py())] * len(table), pa.int32()), pa.array(found, pa.binary())], names=["_b", "_p", "data"])
 
     def finish(left, right):  # step 5
+        seal(key)
         if not len(left):
             return pa.table([[] for _ in out_schema], schema=out_schema)
         block = Block(left, kind)
