@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline on awkward cases against brute force, and on empty tables."""
+"""The operators and the pipeline on awkward cases against brute force, and on empty tables."""
 
 import hashlib
 import re
@@ -10,7 +10,7 @@ import pytest
 from fixture import awkward, crc, frame, jaccard, keyed, on_disk, order, own_ids, reference_tokens, substrings, windows
 from pyspark.sql import functions as F
 
-from sylvaframe.llm import components, dac, exact, factors, jaccard as join, langid, media, mixing, packing, suffixes, tokens, urls
+from sylvaframe.llm import components, dac, exact, factors, jaccard as join, langid, media, merkle, mixing, packing, pieces, search, suffixes, tokens, urls
 from sylvaframe.llm.env import scratch
 
 
@@ -49,6 +49,37 @@ def test_language_id_learns_from_training_rows_only(spark):
     assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"}
 
 
+def test_language_id_loses_no_language(spark):
+    """One text in 10**5 rows, few texts repeated very often, more languages than share the dictionaries' room."""
+    often = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "le chat et la maison").otherwise("du pain et une rose").alias("text"), F.lit("fr").alias("lang"))
+    few = spark.createDataFrame([(200_000 + i, f"the house and the river {i}", "en") for i in range(50)] + [(300_001, "das Haus und der Fluss", "de")], often.schema)
+    model = langid.fit(often.unionByName(few))
+    assert [x for x, _ in model] == ["fr", "en", "de"] and sorted(model[0][1].split(b"\n")) == [b"du pain et une rose", b"le chat et la maison"]
+    assert model[1][1].count(b"\n") == 49
+    many = spark.createDataFrame([(i, " ".join(f"{chr(97 + i % 26)}{i % 150}w{i * 7 + j}" for j in range(30)), f"l{i % 150}") for i in range(1500)], often.schema)
+    model = langid.fit(many)
+    assert {x for x, _ in model} == {f"l{i}" for i in range(150)} and all(model)
+    assert langid.predict(tuple(model), many.filter("doc_id = 149").first().text)[0] == "l149"
+
+
+def test_language_id_sample_does_not_depend_on_the_estimate(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, int(rng.integers(1, 60)))), ("en", "fr")[i % 7 == 0]) for i in range(3000)]
+    df = spark.createDataFrame(rows + rows[:500] * 4, "doc_id LONG, text STRING, lang STRING")
+    monkeypatch.setattr(langid, "DICTIONARY_BYTES", 5000)
+    want = {x: [] for x in ("en", "fr")}
+    draws = {r.text: r.d for r in df.select("text", F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 40)).alias("d")).collect()}
+    for x in want:
+        total = 0
+        for d, t in sorted({(draws[t], t) for _, t, y in rows if y == x}):
+            if total < 5000:
+                want[x].append(t)
+            total += len(t)
+    for ample in (3, 0.05):
+        monkeypatch.setattr(langid, "AMPLE", ample)
+        assert dict(langid.fit(df)) == {x: "\n".join(reversed(t)).encode() for x, t in want.items()}
+
+
 def test_language_id_equals_a_plain_version(spark):
     """Each prediction again, with one dictionary and one whole compression at a time."""
     import unicodedata
@@ -465,6 +496,51 @@ def test_hashes_tell_contents_apart():
             assert len(set(zip(runs, found.tolist()))) == len(set(runs)) == len(set(found.tolist()))
 
 
+def solved(head: bytes, total: int, n: int, rng):
+    """Pairs of 16 printable bytes that, after ``head`` (whole eights) in a run of ``total`` bytes, leave the hash alike under the key that this process has."""
+    from sylvaframe.llm import windows as jobs
+
+    U = np.uint64
+    one = np.array([total], U) * U(3) + jobs.KEY["offset"]
+    state = jobs.keyed(one)
+    for j in range(0, len(head), 8):
+        state = jobs.keyed(state ^ np.frombuffer(head[j : j + 8], "<u8"))
+    out = []
+    while len(out) < n:
+        a, b = (rng.integers(33, 127, (200_000, 8)).astype(np.uint8).view("<u8").ravel() for _ in range(2))
+        x = rng.integers(33, 127, (200_000, 8)).astype(np.uint8).view("<u8").ravel()
+        y = x ^ jobs.keyed(state ^ a) ^ jobs.keyed(state ^ b)
+        text = y.view(np.uint8).reshape(-1, 8)
+        for k in np.flatnonzero(((text >= 33) & (text < 127)).all(axis=1) & (a != b)):
+            out.append((bytes(np.array([a[k], x[k]]).view(np.uint8)).decode(), bytes(np.array([b[k], y[k]]).view(np.uint8)).decode()))
+    return out[:n]
+
+
+def test_texts_made_to_collide_are_told_apart(spark, tmp_path):
+    """Collisions solved for one key are none under the key of a run."""
+    from sylvaframe.llm import windows as jobs
+
+    rng = np.random.default_rng(11)
+    words = [("~t-MfF^ge>l)w#{u", 'tA"g~#EE>zclk,Dj'), ('hq"q@^e4}$3;a<)$', "3y(!w&o1+')@.j@5"), *solved(b"", 16, 20, rng)]
+    for a, b in words[2:]:
+        data = np.frombuffer((a + b).encode(), np.uint8)
+        assert len(set(jobs.byte_hash(data, np.array([0, 16]), np.array([16, 32])).tolist())) == 1  # under this process's key
+    rows = []
+    for k, (a, b) in enumerate(words):
+        left, right = (" ".join(f"{side}{k}x{i}" for i in range(20)) for side in "lr")
+        rows += [(10 * k, f"{left} {a} {right}"), (10 * k + 1, f"{left} {b} {right}"), (10 * k + 2, f"{a} b c d"), (10 * k + 3, f"{b} b c d")]
+    df = on_disk(spark, tmp_path, rows)
+    want = windows(rows)
+    assert not any(r[2] for r in want)
+    assert keyed(tuples(factors.deduplicate(df))) == keyed(want)
+    assert sorted(tuples(join.components_of(df))) == jaccard(rows)
+    head, tail = "the same forty bytes before what differs", "and the same forty-four bytes after it, always."[:44]
+    texts = [(k, head + x + tail) for k, x in enumerate(y for pair in solved(head.encode(), 100, 20, rng) for y in pair)]
+    assert {len(t) for _, t in texts} == {100} and len({t for _, t in texts}) == 40
+    want = substrings(texts)
+    assert keyed(tuples(suffixes.deduplicate(on_disk(spark, tmp_path, texts)))) == keyed(want) and not any(r[2] for r in want)
+
+
 def around_a_phrase(kind):
     """Texts with a common phrase, whose hash is small enough to be their windows' minimizer, between words of their own, some of which are repeated."""
     from sylvaframe.llm import windows as jobs
@@ -494,6 +570,8 @@ def test_a_common_minimizer_is_split(spark, tmp_path, monkeypatch, module, brute
         return plain(asked)
 
     monkeypatch.setattr(module, "answer", answer)
+    monkeypatch.setattr(jobs, "new_key", lambda: bytes(32))  # the phrase is small under this key
+    jobs.seal(bytes(32))
     rows = around_a_phrase("bytes" if module is suffixes else "words")
     df = on_disk(spark, tmp_path, rows)
     monkeypatch.setattr(jobs, "spread", lambda docs, each: 8 if each == jobs.PART_BYTES else 16)
@@ -582,6 +660,189 @@ def test_mixing(spark, tmp_path):
     assert all(copies[r.doc_id] * r.size == r.taken for r in got) and mixing.emit(df).columns == df.columns
 
 
+# 11
+
+
+def ranked(rows, items, k=10):
+    """Scores of every document for every item by plain loops."""
+    import math
+
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    low = lambda t: term.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
+    docs = [(d, Counter(low(t))) for d, t in rows]
+    n, total = sum(bool(c) for _, c in docs), sum(c.total() for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for d, c in docs:
+            m = 25 + (75 * c.total() * n) // total if total else 25
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in low(text) if c[t])
+            if score > 0:
+                found.append((-score, d is not None, d or 0))
+        out += [(item, k_ + 1, d if known else None, -s) for k_, (s, known, d) in enumerate(sorted(found)[:k])]
+    return sorted(out, key=str)
+
+
+def test_ranked_search(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"Word{i}" for i in range(60)] + ["the"] * 20 + ["Ünï", "中文", "a1b2"]
+    texts = [" ".join(rng.choice(vocabulary, int(rng.integers(1, 40)))) for _ in range(300)]
+    rows = awkward() + [(100 + i, t) for i, t in enumerate(texts)] + [(900 + i, texts[0]) for i in range(30)]  # ties
+    asked = [(i, " ".join(rng.choice(vocabulary, 8))) for i in range(30)] + [(50, None), (51, ""), (52, " ... "), (53, "nowhere"), (54, "the THE the"), (55, texts[0]), (55, "word1"), (None, "word2 word3"), (56, "w1x1 don t x 中文-ünï")]
+    items = spark.createDataFrame(asked, "item_id LONG, text STRING").withColumn("rank", F.lit(1))
+    df = on_disk(spark, tmp_path, rows)
+    assert sorted(tuples(search.search(df, items)), key=str) == ranked(rows, asked)
+    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "CHUNK", 4)
+    monkeypatch.setattr(search, "REMEMBERED", 5)
+    assert sorted(tuples(search.search(df, items, k=3)), key=str) == ranked(rows, asked, 3)
+    assert search.search(df, items.limit(0)).count() == search.search(df.limit(0), items).count() == 0
+
+
+def test_accumulators_stop(monkeypatch):
+    """Common terms make no accumulators where they can't bring a document among the best; the answer is the same."""
+    rng = np.random.default_rng(6)
+    n = 2000
+    block = search.Search(np.arange(n), np.zeros(n, np.uint8), np.full(n, 50), n, 50 * n)
+    lists = {b"rare": np.arange(40), b"mid": np.sort(rng.choice(n, 300, False)), b"all": np.arange(n)}
+    for k, (t, docs) in enumerate(lists.items()):
+        block.add(t, len(docs), [5000, 1500, 3][k], docs.astype("<u2"), rng.integers(1, 5, len(docs)))
+    made, plain = [], np.partition
+    monkeypatch.setattr(search.np, "partition", lambda x, k: made.append(len(x)) or plain(x, k))
+    at, scores = block.best([(b"all", 1), (b"rare", 2), (b"mid", 1)], 10)
+    total = np.zeros(n, np.int64)
+    for t, times in ((b"all", 1), (b"rare", 2), (b"mid", 1)):
+        total[block.gains[t][1]] += block.gains[t][2] * times
+    want = np.lexsort((np.arange(n), -total))[:10]
+    assert at.tolist() == want.tolist() and scores.tolist() == total[want].tolist()
+    assert max(made[:2]) < 400  # of 2000 documents, all of which have a term
+
+
+# 12
+
+
+def merkle_rows(rows, tampered):
+    """The tree by plain recursion, whole levels at a time."""
+    def h(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(r):
+        return h(*("-" if x is None else f"{len(str(x).encode())}:{x}" for x in r))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h(*out[-1][k : k + 2]) for k in range(0, len(out[-1]), 2)])
+        return out
+
+    by = {}
+    for r in rows:
+        by.setdefault(r[2], []).append((r[0] is not None, r[0] or 0, leaf(r), r))
+    langs = sorted(by, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {x: levels([e[2] for e in sorted(by[x], key=lambda e: e[:3])]) for x in langs}
+    top = levels([trees[x][-1][0] for x in langs])
+    out = []
+    for n, x in enumerate(langs):
+        for k, (_, _, own, r) in enumerate(sorted(by[x], key=lambda e: e[:3])):
+            folded, proof = leaf(tampered(r)), ""
+            for tree, at in ((trees[x], k), (top, n)):
+                for level in tree[:-1]:
+                    other = level[at ^ 1] if at ^ 1 < len(level) else ""
+                    folded = h(other, folded) if at & 1 else h(folded, other)
+                    proof += other
+                    at >>= 1
+            out.append((r[0], own, trees[x][-1][0], top[-1][0], h(proof), folded, folded == top[-1][0]))
+    return sorted(out, key=str)
+
+
+def test_merkle_manifest(spark, tmp_path):
+    rows = awkward() + [(1000 + i, f"text {i}") for i in range(150)] + [(5000, "same")] * 3
+    df = on_disk(spark, tmp_path, rows).withColumn("lang", F.when(F.col("doc_id") == 7, "Ünï").otherwise(F.col("lang")))
+    plain = [tuple(r) for r in df.select("doc_id", "source", "lang", "n_chars", "text").collect()]
+    change = lambda r: r if r[0] is None or r[3] is None or zlib.crc32(str(r[0]).encode()) % 7 else (*r[:3], r[3] + 1, r[4])
+    want = merkle_rows(plain, change)
+    assert sum(not r[-1] for r in want) > 10
+    assert sorted(tuples(merkle.audited(df)), key=str) == want
+    for bits in (1, 2, 3):  # rounds of small blocks, also among the keys' roots
+        got = merkle.manifest(df, F.crc32(F.col("doc_id").cast("string")) % 7 == 0, {"n_chars": F.col("n_chars") + 1}, bits=bits)
+        assert sorted(tuples(got), key=str) == want, bits
+    assert {r.verified for r in merkle.manifest(df).collect()} == {True}
+    many = df.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 37).cast("string")))
+    plain = [tuple(r) for r in many.select("doc_id", "source", "lang", "n_chars", "text").collect()]
+    got = merkle.manifest(many, F.crc32(F.col("doc_id").cast("string")) % 7 == 0, {"n_chars": F.col("n_chars") + 1}, bits=2)
+    assert sorted(tuples(got), key=str) == merkle_rows(plain, change)
+
+
+def test_versions_share_what_is_untouched():
+    digests = [hashlib.sha256(bytes([k])).digest() for k in range(11)]
+    tree = merkle.plant(digests, 4)
+    for place in range(11):
+        version = merkle.put(tree, 4, place, b"x" * 32)
+        old, new, copied = tree, version, 0
+        for k in reversed(range(4)):
+            side, other = ("right", "left") if place >> k & 1 else ("left", "right")
+            assert old is not new and getattr(old, other) is getattr(new, other)
+            old, new, copied = getattr(old, side), getattr(new, side), copied + 1
+        assert copied == 4 and new.digest == b"x" * 32 and old.digest == digests[place]
+        assert merkle.fold(b"x" * 32, merkle.path(tree, 4, place)) == version.digest != tree.digest
+        assert merkle.fold(digests[place], merkle.path(tree, 4, place)) == tree.digest
+
+
+# 13
+
+
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+
+
+def spelled(own, text):
+    return np.frombuffer(own.encode(text), "<i4").tolist()
+
+
+def test_pieces_equal_the_library():
+    own, sp, rng = pieces.Model(pieces.default_path()), library(), np.random.default_rng(1)
+    names = list(own.ids)
+    letters = list("abcdeéß中文🙂́\n\t\x00\x01  ▁..,<>0x12AtheinerΩж")
+    texts = ["", " ", "  ", "▁", "<s>", "</s><unk>", "<0x0A>", " a", "a ", "a  b", "a" * 5000, "ab" * 3000, " " * 3000, "▁t" * 2000]
+    for _ in range(3000):
+        texts.append("".join(rng.choice(names, int(rng.integers(1, 8)))))
+        texts.append("".join(rng.choice(letters, int(rng.integers(1, 30)))))
+        texts.append("".join(rng.choice([" ", "  ", "a", "t", "the", " " * 17], int(rng.integers(1, 9)))))
+    texts += [t.replace("▁", " ") for t in texts]
+    for t in texts:
+        assert spelled(own, t) == sp.encode(t), t
+
+
+def test_backtracking_gives_what_merging_gives():
+    """Also where a longest piece leads into a dead end, and where a worker forgets."""
+    own = pieces.Model(pieces.default_path())
+    rng = np.random.default_rng(2)
+    names = [n for n in own.ids if 2 < len(n) < 7]
+    dead_ends = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(names, 3))
+        got = own.backtrack(text)
+        assert got == own.merge(text)
+        longest = max((n for n in (text[:k] for k in range(1, len(text) + 1)) if n in own.ids), key=len, default=text[0])
+        dead_ends += got[0] != longest
+    assert dead_ends > 50
+
+
+def test_sentencepiece_round_trip(spark, tmp_path):
+    rows, sp = awkward(), library()
+    want = []
+    for d, t in rows:
+        ids = sp.encode(t or "")
+        want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    df = on_disk(spark, tmp_path)
+    assert sorted(tuples(pieces.round_trip(df)), key=str) == sorted(want, key=str)
+    decoded = {r.doc_id: (r.ids, r.text) for r in pieces.decode(pieces.encode(df.filter("doc_id < 19 OR doc_id > 19"))).collect()}
+    assert all(decoded[d] == (sp.encode(t or ""), t or "") for d, t in own_ids(rows))
+
+
 # all
 
 
@@ -601,11 +862,11 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path, stage):
 
 def test_empty_tables(spark, tmp_path):
     none = on_disk(spark, tmp_path, [])
-    for f in (langid.identify, suffixes.deduplicate, dac.round_trip, join.components_of, packing.pack, media.round_trip, factors.deduplicate, exact.exact_duplicates, mixing.mixed, exact.drop_exact_duplicates, join.keep_one, mixing.emit, langid.keep_identified):
+    for f in (langid.identify, suffixes.deduplicate, dac.round_trip, join.components_of, packing.pack, media.round_trip, factors.deduplicate, exact.exact_duplicates, mixing.mixed, exact.drop_exact_duplicates, join.keep_one, mixing.emit, langid.keep_identified, merkle.audited, pieces.round_trip):
         assert f(none).count() == 0, f
 
 
 def test_only_nulls(spark, tmp_path):
     rows = [(None, None)] * 3
-    for f in (langid.identify, suffixes.deduplicate, dac.round_trip, join.components_of, packing.pack, media.round_trip, factors.deduplicate, exact.exact_duplicates, mixing.mixed):
+    for f in (langid.identify, suffixes.deduplicate, dac.round_trip, join.components_of, packing.pack, media.round_trip, factors.deduplicate, exact.exact_duplicates, mixing.mixed, merkle.audited, pieces.round_trip):
         assert f(on_disk(spark, tmp_path, rows)).count() == 3, f

@@ -41,10 +41,22 @@ def test_against_brute_force(spark, docs):
     assert keyed(run("op8_substring_dedup")) == keyed(windows(docs))
     assert sorted(run("op5_ngram_jaccard")) == jaccard(docs)
     assert keyed((d, n, c) for d, _, n, c in run("op3_token_output")) == keyed((d, len(x), crc(x)) for d, x in reference_tokens(docs))
+    check_pieces(run("op13_sentencepiece"), docs)
     check_packing(run("op6_best_fit_packing"), docs)
     check_media(run("op7_media_columns"), docs)
 
 
+def check_pieces(got, docs):
+    import sentencepiece
+
+    from sylvaframe.llm import pieces
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = [(d, sp.encode(t or "")) for d, t in docs]
+    assert sorted(got) == sorted((d, len(x), digest(",".join(map(str, x))), digest(sp.decode(x))) for d, x in ids)
+
+
 def check_packing(got, docs):
     """Pieces are as asked, sequences full from 0 without gaps, and as few as the bound says that any packing needs."""
     want, sequences = [], {}
