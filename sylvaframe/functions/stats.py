@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sketch import quantile
 
-def summary(value: str | Column = "value", q_low: float = 0.25, q_up: float = 0.75, std: bool = True) -> list[Column]:
-    """mean, std (sample; NULL for one row), median, qlow, qup; quantiles are exact and interpolated."""
+
+def summary(value: str | Column = "value", q_low: float = 0.25, q_up: float = 0.75, std: bool = True, approx: bool = False) -> list[Column]:
+    """mean, std (sample; NULL for one row), median, qlow, qup; quantiles are exact and interpolated, or with ``approx`` those of a sketch, for groups whose values
+    are too many to be held."""
     v = F.col(value) if isinstance(value, str) else value
-    out = [F.avg(v).alias("mean"), F.median(v).alias("median"), F.percentile(v, q_low).alias("qlow"), F.percentile(v, q_up).alias("qup")]
+    q = quantile if approx else F.percentile
+    out = [F.avg(v).alias("mean"), q(v, 0.5).alias("median"), q(v, q_low).alias("qlow"), q(v, q_up).alias("qup")]
     return [out[0], F.stddev_samp(v).alias("std"), *out[1:]] if std else out
 
 

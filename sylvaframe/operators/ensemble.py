@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.sketch import quantile
 from ..functions.stats import summary
 from ..schema import Kind
 from .order import exact_quantiles
@@ -23,23 +22,25 @@ def multi_slice_layered(df: DataFrame, layer: int, keys: list[Column | str], val
     return select_layer(df, layer, values).groupBy("fid", *keys).agg(*summary())
 
 
-def multi_slice_avg(df: DataFrame, kind: Kind, keys: list[str], q_low: float = 0.25, q_up: float = 0.75) -> DataFrame:
-    """Means of each run's bucket first, then mean, median and quantiles of these over the runs."""
+def multi_slice_avg(df: DataFrame, kind: Kind, keys: list[str], q_low: float = 0.25, q_up: float = 0.75, approx: bool = False) -> DataFrame:
+    """Means of each run's bucket first, then mean, median and quantiles of these over the runs. ``approx`` here and below: quantiles by sketches (``sketch``)."""
     runs = df.groupBy("fid", *keys, bucket(kind, F.col("ts")).alias("bucket")).agg(F.avg("value").alias("value"))
-    return runs.groupBy(*keys, "bucket").agg(*summary("value", q_low, q_up, std=False))
+    return runs.groupBy(*keys, "bucket").agg(*summary("value", q_low, q_up, std=False, approx=approx))
 
 
-def ensemble_band(df: DataFrame, keys: list[str], q_low: float = 0.2, q_up: float = 0.8, factor: float = 1.0, raw: bool = False) -> DataFrame:
+def ensemble_band(df: DataFrame, keys: list[str], q_low: float = 0.2, q_up: float = 0.8, factor: float = 1.0, raw: bool = False, approx: bool = False) -> DataFrame:
     """mean, qlow, qup over the runs at each key (an outer join on time, as runs that lack it have no row). NaN is
     skipped; a negative factor swaps the quantiles. ``raw`` keeps the values, sorted."""
     v = F.when(~F.isnan("value"), F.col("value") * factor)
-    out = [F.avg(v).alias("mean"), F.percentile(v, q_low).alias("qlow"), F.percentile(v, q_up).alias("qup"), F.count(v).alias("n")]
+    q = quantile if approx else F.percentile
+    out = [F.avg(v).alias("mean"), q(v, q_low).alias("qlow"), q(v, q_up).alias("qup"), F.count(v).alias("n")]
     return df.groupBy(*keys).agg(*out, *([F.sort_array(F.collect_list(v)).alias("raw")] if raw else []))
 
 
-def ensemble_quantiles(df: DataFrame, at: Column, kind: Kind, keys: list[str]) -> DataFrame:
+def ensemble_quantiles(df: DataFrame, at: Column, kind: Kind, keys: list[str], approx: bool = False) -> DataFrame:
     """Median and the 0.1 and 0.9 quantiles over the runs at each time, then their means by a kind of bucket."""
-    each = df.groupBy(*keys, at.alias("ts")).agg(F.median("value").alias("median"), F.percentile("value", 0.1).alias("q10"), F.percentile("value", 0.9).alias("q90"))
+    q = quantile if approx else F.percentile
+    each = df.groupBy(*keys, at.alias("ts")).agg(*[q(F.col("value"), x).alias(name) for x, name in ((0.5, "median"), (0.1, "q10"), (0.9, "q90"))])
     return each.groupBy(*keys, bucket(kind, F.col("ts")).alias("bucket")).agg(*[F.avg(c).alias(c) for c in ("median", "q10", "q90")])
 
 
@@ -48,8 +49,8 @@ def split_baseline(df: DataFrame, baseline: int = 0) -> DataFrame:
 
 
 def values_at(df: DataFrame, targets: DataFrame, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """(rows at the target instants, targets that no row has)."""
-    return df.join(F.broadcast(targets.select(ts).distinct()), ts, "left_semi"), targets.join(df.select(ts).distinct(), ts, "left_anti")
+    """(rows at the target instants, targets that no row has). Spark broadcasts the targets if it finds them small."""
+    return df.join(targets.select(ts).distinct(), ts, "left_semi"), targets.join(df.select(ts).distinct(), ts, "left_anti")
 
 
 def normalize_by_max(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -58,9 +59,14 @@ def normalize_by_max(df: DataFrame, keys: list[str], value: str = "value") -> Da
     return df.join(top, keys).withColumn("normalized", F.try_divide(value, "_max")).drop("_max")
 
 
-def scenario_stack(parts: list[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
-    """Tables under each other with their labels and their place in the list."""
-    return reduce(lambda a, b: a.unionByName(b), [df.withColumns({**{k: F.lit(v) for k, v in labels.items()}, "stack_order": F.lit(i)}) for i, (df, labels) in enumerate(parts)])
+def scenario_stack(df: DataFrame, order: dict[str, list[str]]) -> DataFrame:
+    """Labelled rows (see ``store.read_scenarios``) of the scenarios whose labels are listed, with their place in the fixed order: the first label's list
+    outermost, as nested loops over the lists would go. A column, not a chain of unions."""
+    place = F.lit(0)
+    for label, names in order.items():
+        df = df.filter(F.col(label).isin(*names))
+        place = place * len(names) + F.array_position(F.array(*map(F.lit, names)), F.col(label)) - 1
+    return df.withColumn("stack_order", place.cast("int"))
 
 
 def compare_ensembles(old: DataFrame, new: DataFrame, kind: Kind) -> DataFrame:

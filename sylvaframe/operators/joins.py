@@ -72,8 +72,9 @@ def nearest_point(points: DataFrame, cells: DataFrame, key: str, tile_cells: int
     farthest corner, and tiles whose nearest corner is farther than that are left. A point ends at a few tiles of few cells, whatever the density.
     Points or cells without a place are left out."""
     x, y = F.col("lon"), F.col("lat")
-    have = cells.filter(x.isNotNull() & y.isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")).groupBy(x.cast("double").alias("c_lon"), y.cast("double").alias("c_lat")).agg(F.min("value").alias("c_value"))
-    ends = have.agg(F.min("c_lon"), F.max("c_lon"), F.min("c_lat"), F.max("c_lat"), F.count("*")).first()
+    placed = cells.filter(x.isNotNull() & y.isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")).select(x.cast("double").alias("c_lon"), y.cast("double").alias("c_lat"), F.col("value").alias("c_value"))
+    have = placed.groupBy("c_lon", "c_lat").agg(F.min("c_value").alias("c_value"))
+    ends = placed.agg(F.min("c_lon"), F.max("c_lon"), F.min("c_lat"), F.max("c_lat"), F.count("*")).first()
     west, east, south, north, n = ends if ends[4] else (0.0, 0.0, 0.0, 0.0, 0)
     span = max(east - west, north - south) or 1.0
     tile = lambda c, low, level: F.least(F.floor((F.col(c) - low) / span * 4**level), F.lit(4**level - 1)).cast("long")
@@ -81,7 +82,8 @@ def nearest_point(points: DataFrame, cells: DataFrame, key: str, tile_cells: int
     level = 0
     while level < MOST_SPLITS and 16**level * tile_cells < n:
         level += 1
-    while 0 < level < MOST_SPLITS and have.groupBy(*at(level)).count().agg(F.max("count")).first()[0] > tile_cells:
+    crowded = lambda df: df.groupBy(*at(level)).count().agg(F.max("count")).first()[0] > tile_cells
+    while 0 < level < MOST_SPLITS and crowded(placed) and crowded(have):
         level += 1
     box = lambda w, e, s_, n_: (F.min(w).alias("x0"), F.max(e).alias("x1"), F.min(s_).alias("y0"), F.max(n_).alias("y1"))
     pyramid = [have.groupBy(*at(level)).agg(*box("c_lon", "c_lon", "c_lat", "c_lat"))]

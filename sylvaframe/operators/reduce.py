@@ -30,12 +30,12 @@ def bucket(kind: Kind, ts: Column) -> Column:
     }[kind]()
 
 
-def reduce_time(df: DataFrame, kind: Kind, keys: list[str], q_low: float = 0.25, q_up: float = 0.75, std: bool = True, ts: str = "ts", value: str = "value") -> DataFrame:
-    """keys, bucket, mean, std, median, qlow, qup. The half-hourly series is the identity: its value is its mean."""
+def reduce_time(df: DataFrame, kind: Kind, keys: list[str], q_low: float = 0.25, q_up: float = 0.75, std: bool = True, ts: str = "ts", value: str = "value", approx: bool = False) -> DataFrame:
+    """keys, bucket, mean, std, median, qlow, qup, the quantiles from sketches if ``approx``. The half-hourly series is the identity: its value is its mean."""
     at = bucket(kind, F.col(ts)).alias("bucket")
     if kind is Kind.THIRTY_MIN_SERIES:
         return df.select(*keys, at, F.col(value).alias("mean"))
-    return df.groupBy(*keys, at).agg(*summary(value, q_low, q_up, std))
+    return df.groupBy(*keys, at).agg(*summary(value, q_low, q_up, std, approx))
 
 
 def dummy_date(kind: Kind, at: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .order import average_ranks, numbered
+from ..functions import sketch
+from .design import hashed
+from .order import average_ranks, exact_quantiles, numbered
 from .slices import bounds
 
 
@@ -37,9 +39,16 @@ def nested_sets(df: DataFrame, sets: list[tuple[str, dict]], key: str = "fid") -
     return df.select(F.explode(F.array_compact(F.array(*parts))).alias("set"), key)
 
 
-def set_summary(df: DataFrame, metric: str, group: str = "set") -> DataFrame:
-    q = [F.percentile(metric, x).alias(f"q{round(x * 100)}") for x in (0.2, 0.5, 0.8)]
-    return df.groupBy(group).agg(F.avg(metric).alias("mean"), *q, F.count(F.lit(1)).alias("n"))
+def set_summary(df: DataFrame, metric: str, group: str = "set", approx: bool = False) -> DataFrame:
+    """mean, the quantiles 0.2, 0.5 and 0.8, and the rows of each set. No set is held in one place: exact quantiles order only the values near them, and ``approx`` takes
+    those of a sketch."""
+    q = (0.2, 0.5, 0.8)
+    if approx:
+        found = sketch.quantiles(sketch.sketched(df.select(group, F.col(metric).cast("double").alias("value")), [group]), q).drop("n")
+    else:
+        found = exact_quantiles(df, q, [group], metric).select(group, "mean", *[F.col("_q")[k].alias(f"q{round(x * 100)}") for k, x in enumerate(q)])
+    rows = df.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("n"))
+    return found.join(rows, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def pearson_matrix(df: DataFrame, columns: list[str], weak: float = 0.15, strong: float = 0.25) -> DataFrame:
@@ -80,11 +89,28 @@ def parameter_long(params: DataFrame, sets: DataFrame, columns: list[str], key:
 
 
 def feature_importance(df: DataFrame, features: list[str], outcome: str, trees: int = 500, seed: int = 1) -> DataFrame:
-    """(feature, importance), largest first, of a random forest."""
+    """(feature, importance, permuted, r), largest importance first, of a random forest. ``permuted``: how much the forest's squared error grows, as a share of the
+    outcome's variance, when a feature takes the values of other rows; ``r``: the feature's correlation with the outcome, for its sign.
+
+    All features are permuted in one pass: each row meets a row drawn by position, one of the rows in the order of a digest, and is predicted once as it is and
+    once for each feature; one aggregation gives all errors."""
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
-    rows = df.dropna(subset=[*features, outcome])
+    rows = df.dropna(subset=[*features, outcome]).select(*[F.col(c).cast("double").alias(c) for c in (*features, outcome)])
     model = RandomForestRegressor(featuresCol="_f", labelCol=outcome, numTrees=trees, seed=seed).fit(VectorAssembler(inputCols=features, outputCol="_f").transform(rows))
-    found = [(f, float(x)) for f, x in zip(features, model.featureImportances.toArray())]
-    return df.sparkSession.createDataFrame(found, "feature STRING, importance DOUBLE").orderBy(F.desc("importance"), "feature")
+    told = df.sparkSession.createDataFrame([(f, float(x)) for f, x in zip(features, model.featureImportances.toArray())], "feature STRING, importance DOUBLE")
+    # two orders of the same rows; equal rows may change places
+    own = rows.select(F.col(outcome).alias("_y"), F.array(*features).alias("_own"), *[hashed(seed + k, *[F.col(c) for c in (*features, outcome)]).cast("double").alias(f"_h{k}") for k in (0, 1)])
+    left = numbered(own, "_h0", "_h1", "_at").select("_at", "_y", "_own")
+    right = numbered(own, "_h1", "_h0", "_at").select("_at", F.col("_own").alias("_other"))
+    tried = [F.struct(F.lit(f).alias("feature"), F.array(*[F.col("_other" if j == k else "_own")[j] for j in range(len(features))]).alias("x")) for k, f in enumerate(features)]
+    base = F.struct(F.lit(None).cast("string").alias("feature"), F.col("_own").alias("x"))
+    cases = left.join(right, "_at").select("_y", F.explode(F.array(base, *tried)).alias("c")).select("_y", "c.feature", array_to_vector("c.x").alias("_f"))
+    error = F.col("prediction") - F.col("_y")
+    errors = model.transform(cases).groupBy("feature").agg(F.avg(error * error).alias("mse"), F.var_pop("_y").alias("spread"))
+    plain = F.broadcast(errors.filter("feature IS NULL").select(F.col("mse").alias("plain")))  # one row
+    permuted = errors.filter("feature IS NOT NULL").crossJoin(plain).select("feature", F.try_divide(F.col("mse") - F.col("plain"), "spread").alias("permuted"))
+    signs = rows.agg(*[F.corr(f, outcome).alias(f) for f in features]).unpivot([], features, "feature", "r")
+    return told.join(permuted, "feature").join(signs, "feature").select("feature", "importance", "permuted", "r").orderBy(F.desc("importance"), "feature")

@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators.reduce import resample_30min
 from ..schema import Kind
 from ..sources import testbed as T
+from ..sources.store import read_scenarios, scratch, write_scenarios
 from .book import Book, r_all
 
 book = Book()
@@ -76,11 +77,16 @@ def _(s, d):
 
 
 @add("e09_scenario_stack", """
-SELECT fid, variable, count(*) AS n, 'm1' AS model, 'low' AS pathway, 0 AS stack_order FROM daily WHERE year(ts) = 1996 GROUP BY 1, 2
-UNION ALL SELECT fid, variable, count(*), 'm1', 'high', 1 FROM daily WHERE year(ts) = 1999 GROUP BY 1, 2""", "daily")
-def _(s, d):
-    part = lambda y: T.daily(s, d).filter(F.year("ts") == y).groupBy("fid", "variable").agg(F.count("*").alias("n"))
-    return E.scenario_stack([(part(1996), {"model": "m1", "pathway": "low"}), (part(1999), {"model": "m1", "pathway": "high"})])
+WITH r AS (SELECT fid, ts, value, CASE WHEN fid % 2 = 0 THEN 'gfdl' ELSE 'ukesm' END AS model, CASE variable WHEN 'A' THEN 'ssp126' WHEN 'N' THEN 'ssp370' ELSE 'ssp585' END AS pathway, CASE WHEN year(ts) < 1996 THEN 'wide' ELSE 'narrow' END AS scenario FROM daily)
+SELECT model, pathway, scenario, CAST(CASE model WHEN 'ukesm' THEN 0 ELSE 4 END + CASE pathway WHEN 'ssp370' THEN 0 ELSE 2 END + CASE scenario WHEN 'wide' THEN 0 ELSE 1 END AS INTEGER) AS stack_order, CAST(year(ts) AS INTEGER) AS year, count(*) AS n, round(CAST(avg(value) AS DECIMAL(38, 7)), 4)::DOUBLE AS mean
+FROM r WHERE pathway <> 'ssp585' GROUP BY 1, 2, 3, 4, 5""", "daily")
+def _(s, d):
+    # a folder for each climate model, pathway and constraint set; two of the three pathways are stacked, in an order of their own
+    path = scratch(s)
+    labels = {"model": F.when(F.col("fid") % 2 == 0, "gfdl").otherwise("ukesm"), "pathway": F.when(F.col("variable") == "A", "ssp126").when(F.col("variable") == "N", "ssp370").otherwise("ssp585"), "scenario": F.when(F.year("ts") < 1996, "wide").otherwise("narrow")}
+    write_scenarios(T.daily(s, d).withColumns(labels).select(*labels, "fid", "ts", "value"), path, list(labels))
+    stacked = E.scenario_stack(read_scenarios(s, path, "fid INT, ts TIMESTAMP_NTZ, value DOUBLE"), {"model": ["ukesm", "gfdl"], "pathway": ["ssp370", "ssp126"], "scenario": ["wide", "narrow"]})
+    return r_all(stacked.groupBy("model", "pathway", "scenario", "stack_order", F.year("ts").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")), 4)
 
 
 @add("e10_compare_two_ensembles", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sketch
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import select as K
@@ -213,6 +214,22 @@ def _(s, d):
     return r_all(K.set_summary(K.nested_sets(T.scores(s, d), NESTED).join(T.scores(s, d), "fid"), "qty_sd"))
 
 
+RANKED = "x AS (SELECT variable, date_trunc('month', ts)::TIMESTAMP AS bucket, value FROM daily), q(q) AS (VALUES (0.2::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE))"
+
+
+@add("k05_merged_sketches", f"WITH {RANKED} SELECT variable, CAST(round(q * 100) AS INTEGER) AS percent, count(*) AS n, round(CAST(avg(value) AS DECIMAL(38, 7)), 4)::DOUBLE AS mean, TRUE AS within FROM x CROSS JOIN q GROUP BY 1, 2", "daily")
+def _(s, d):
+    """Sketches of each run and month, merged over runs and months; each quantile's rank is counted in the rows themselves, and is within the error that is stated."""
+    rows = T.daily(s, d).withColumn("bucket", bucket(Kind.MONTHLY_SERIES, F.col("ts")))
+    kept = sketch.merged(sketch.sketched(rows, ["fid", "variable", "bucket"]), ["variable"])
+    wide = sketch.quantiles(kept, [0.2, 0.5, 0.8])
+    long = wide.unpivot(["variable", "n", "mean"], ["q20", "q50", "q80"], "name", "at").withColumn("percent", F.expr("CAST(substring(name, 2) AS INT)"))
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    counted = rows.join(F.broadcast(long), "variable").groupBy("variable", "percent", "n", "mean").agg(share(F.col("value") < F.col("at")).alias("below"), share(F.col("value") <= F.col("at")).alias("upto"))
+    margin = 2 * sketch.RANK_ERROR
+    return r_all(counted.select("variable", "percent", "n", "mean", ((F.col("below") <= F.col("percent") / 100 + margin) & (F.col("upto") >= F.col("percent") / 100 - margin)).alias("within")), 4)
+
+
 COMPLETE = "c AS (SELECT disc, tax, qty_sd, CAST(size AS DOUBLE) AS size, price FROM scores JOIN params USING (fid) WHERE qty_sd IS NOT NULL)"
 NAMES = ["disc", "tax", "qty_sd", "size", "price"]
 PAIRS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]]

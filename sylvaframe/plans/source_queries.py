@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +10,17 @@ from ..operators.ensemble import progress
 from ..operators.reduce import resample_30min
 from ..sources import catalog as C
 from ..sources import readers as R
+from ..sources import store
 from ..sources import testbed as T
 from ..sources import writers as O
 from ..streaming import jobs
+from ..sources.store import scratch
 from .book import Book, r_all
 
 book = Book()
 add = book.add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all workers share: below ``spark.checkpoint.dir``. Only a local session may do without."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or tempfile.mkdtemp(prefix="sylvaframe-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def wide_output(s, d) -> DataFrame:
     return T.table(s, d, "lineitem").select((F.col("l_suppkey") % 10).cast("int").alias("fid"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("gpp"), F.col("l_discount").alias("npp"), F.col("l_tax").alias("qle"))
 
@@ -61,6 +51,18 @@ def _(s, d):
     return R.read_model(wide_output(s, d), ["fid", "o", "n"], ["gpp", "npp"])
 
 
+STORED = "long AS (SELECT CAST(l_suppkey % 10 AS INTEGER) AS fid, CASE WHEN l_suppkey % 3 = 0 THEN 'static' ELSE 'transient' END AS sim_type, 'daily' AS time_res, 'VEG' AS cat, v.variable, CAST(l_linenumber AS INTEGER) AS layer, l_shipdate AS ts, v.value FROM lineitem CROSS JOIN LATERAL (VALUES ('gpp', l_quantity), ('npp', l_discount), ('qle', l_tax)) v(variable, value))"
+
+
+@add("s03_stored_model", f"WITH {STORED} SELECT * FROM long WHERE variable = 'gpp' AND sim_type = 'transient' AND fid IN (3, 4, 5) AND ts >= TIMESTAMP '1996-03-01' AND ts < TIMESTAMP '1998-01-01'")
+def _(s, d):
+    # all variables are written; the rows of one of them, of three runs and of a period are read back
+    wide = T.table(s, d, "lineitem").select((F.col("l_suppkey") % 10).cast("int").alias("fid"), F.when(F.col("l_suppkey") % 3 == 0, "static").otherwise("transient").alias("sim_type"), F.lit("daily").alias("time_res"), F.lit("VEG").alias("cat"), F.col("l_linenumber").cast("int").alias("layer"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("gpp"), F.col("l_discount").alias("npp"), F.col("l_tax").alias("qle"))
+    path = scratch(s)
+    store.write_model(R.read_model(wide, ["fid", "sim_type", "time_res", "cat", "layer", "ts"], ["gpp", "npp", "qle"]), path)
+    return store.read_model(s, path, ["gpp"], "transient", fids=[3, 4, 5], begin="1996-03-01", until="1998-01-01")
+
+
 @add("s04_read_layered", "SELECT fid, layer, round(CAST(sum(value) AS DECIMAL(38, 7)), 4)::DOUBLE AS total, count(*) AS n FROM (SELECT fid, CAST(unnest(range(0, 64)) AS INTEGER) AS layer, CAST(unnest(\"values\") AS DOUBLE) AS value FROM layered) GROUP BY 1, 2", "layered")
 def _(s, d):
     long = R.read_layered(T.layered(s, d), ["fid", "step"], "values")

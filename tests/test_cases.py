@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sylvaframe.functions import calendar as C
 from sylvaframe.functions import science as S
+from sylvaframe.functions import sketch
 from sylvaframe.operators import design as X
 from sylvaframe.operators import downscale as D
 from sylvaframe.operators import ensemble as E
@@ -18,7 +19,7 @@ from sylvaframe.operators import reduce as A
 from sylvaframe.operators import select as K
 from sylvaframe.operators import slices as L
 from sylvaframe.schema import Kind, nan_to_null
-from sylvaframe.sources import catalog, readers, writers
+from sylvaframe.sources import catalog, readers, store, writers
 from sylvaframe.streaming import jobs
 
 
@@ -304,6 +305,98 @@ def test_scorecard_pairs_variables_with_their_own_series(spark):
         M.scores_of(eras, [M.Pairing("a", "old"), M.Pairing("a", "new")])
 
 
+def files_read(df):
+    """(files, rows) that the scan of a collected plan has read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaf = plan.collectLeaves().head()
+    return leaf.metrics().apply("numFiles").value(), leaf.metrics().apply("numOutputRows").value()
+
+
+def test_stored_model_is_pruned(spark, tmp_path):
+    """One variable of all runs opens that variable's files only; one run or period of it, some of their row groups."""
+    at = dt.datetime(2000, 1, 1)
+    rows = spark.range(48_000).select((F.col("id") % 40).cast("int").alias("fid"), F.when(F.col("id") % 2 == 0, "transient").otherwise("static").alias("sim_type"), F.lit("daily").alias("time_res"), F.lit("VEG").alias("cat"), F.concat(F.lit("v"), F.floor(F.col("id") / 40) % 6).alias("variable"), F.lit(None).cast("int").alias("layer"), (F.lit(at).cast("timestamp_ntz") + F.make_dt_interval(F.floor(F.col("id") / 240).cast("int"))).alias("ts"), F.rand(3).alias("value"))
+    path = str(tmp_path / "store")
+    store.write_model(rows, path, rows_a_file=500)
+    every = store.read_model(spark, path)
+    assert sorted(every.columns) == sorted(rows.columns) and every.exceptAll(rows.select(every.columns)).count() == 0 == rows.select(every.columns).exceptAll(every).count()
+    files, n = files_read(every)
+    one = store.read_model(spark, path, ["v3"], "static")
+    plan = one._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "variable#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "sim_type#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    few, some = files_read(one)
+    assert some == 4000 and few <= files / 12 + 1
+    narrow = store.read_model(spark, path, ["v3"], "static", fids=[11, 13], begin="2000-02-01", until="2000-03-01")
+    pushed = narrow._jdf.queryExecution().toString().split("PushedFilters: [")[1]
+    assert "(ts" in pushed and "fid" in pushed
+    _, read = files_read(narrow)
+    assert narrow.count() == rows.filter("variable = 'v3' AND fid IN (11, 13) AND ts >= '2000-02-01' AND ts < '2000-03-01'").count() > 0
+    assert read < some / 2  # other row groups were skipped by their statistics
+    assert store.read_model(spark, path, []).count() == 0
+
+
+def test_scenarios_have_labels_from_their_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(m, p, x) for x, (m, p) in enumerate((m, p) for m in ("b", "a", "c") for p in ("low", "high"))], "model STRING, pathway STRING, x INT")
+    store.write_scenarios(rows, str(tmp_path / "s"), ["model", "pathway"])
+    assert sorted(f.name for f in (tmp_path / "s").iterdir() if f.is_dir()) == ["a", "b", "c"]
+    back = store.read_scenarios(spark, str(tmp_path / "s"), "x INT", ("model", "pathway"))
+    assert sorted(map(tuple, back.select("model", "pathway", "x").collect())) == sorted(map(tuple, rows.collect()))
+    got = E.scenario_stack(back, {"model": ["c", "b"], "pathway": ["low", "high"]}).orderBy("stack_order")
+    assert [tuple(r) for r in got.select("model", "pathway", "stack_order").collect()] == [("c", "low", 0), ("c", "high", 1), ("b", "low", 2), ("b", "high", 3)]
+    only = E.scenario_stack(back, {"model": ["a"]}).select("x")
+    assert only._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1 and files_read(only)[1] == 2
+
+
+def test_sketches_are_merged_within_their_error(spark):
+    """Over runs and buckets of very different sizes, with gaps; the error is measured in the rows themselves."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    values = [(f, b, float(x)) for f in range(30) for b in range(4) for x in rng.gamma(f % 5 + 1, 2.0, int(rng.integers(1, 900)))]
+    df = spark.createDataFrame(values + [(99, 0, None), (99, 0, float("nan")), (98, 9, None)], "fid INT, b INT, value DOUBLE")
+    kept = sketch.sketched(df, ["fid", "b"])
+    for keys in ([], ["b"], ["fid"]):
+        twice = sketch.merged(sketch.merged(kept, [*keys, "fid"] if "fid" not in keys else keys), keys)
+        q = [0.0, 0.05, 0.2, 0.5, 0.8, 0.95, 1.0]
+        for r in sketch.quantiles(twice, q).collect():
+            own = np.sort([x for f, b, x in values if ("b" not in keys or b == r.b) and ("fid" not in keys or f == r.fid)])
+            assert r.n == len(own)
+            for x in q:
+                got = r[f"q{round(x * 100)}"]
+                if not len(own):
+                    assert got is None
+                    continue
+                below, upto = np.searchsorted(own, got, "left") / len(own), np.searchsorted(own, got, "right") / len(own)
+                assert below - 2 * sketch.RANK_ERROR <= x <= upto + 2 * sketch.RANK_ERROR
+    exact = {r.set: r for r in K.set_summary(df.withColumn("set", F.when(F.col("b") < 4, F.col("b"))).filter("NOT isnan(value)"), "value").collect()}
+    near = {r.set: r for r in K.set_summary(df.withColumn("set", F.when(F.col("b") < 4, F.col("b"))), "value", approx=True).collect()}
+    assert set(exact) == set(near) == {0, 1, 2, 3, None} and exact.pop(None).q50 is None and near[None].q50 is None and near[None].n == 1
+    assert all(math.isclose(exact[k].mean, near[k].mean) and abs(exact[k].q50 - near[k].q50) < 0.2 for k in exact)
+    band = E.ensemble_band(df.withColumn("ts", F.col("b")), ["ts"], approx=True).filter("ts < 4").collect()
+    want = {r.ts: r for r in E.ensemble_band(df.withColumn("ts", F.col("b")), ["ts"]).collect()}
+    assert all(abs(r.qlow - want[r.ts].qlow) < 0.3 and abs(r.qup - want[r.ts].qup) < 0.6 and r.n == want[r.ts].n for r in band)
+
+
+def test_registered_importance_finds_what_matters(spark, tmp_path):
+    """The registered query on tables in which the price is made of size and discount: both measures agree on the order, and the signs are right."""
+    from sylvaframe.plans import registry
+
+    n = 1200
+    part = spark.range(n).select(F.col("id").alias("p_partkey"), (F.pmod(F.xxhash64("id"), F.lit(50)) + 1).cast("int").alias("p_size"), F.lit("b").alias("p_brand"))
+    line = part.select(F.col("p_partkey").alias("l_partkey"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).withColumns({"l_discount": F.pmod(F.xxhash64("l_partkey", F.lit(1)), F.lit(100)) / 1000.0, "l_tax": F.pmod(F.xxhash64("l_partkey", F.lit(2)), F.lit(80)) / 1000.0, "l_quantity": F.pmod(F.xxhash64("l_partkey", "k"), F.lit(50)).cast("double")})
+    price = part.withColumn("p_retailprice", 10.0 * F.col("p_size") - 1500.0 * F.pmod(F.xxhash64("p_partkey", F.lit(1)), F.lit(100)) / 1000.0)
+    price.write.parquet(str(tmp_path / "part.parquet"))
+    line.drop("k").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = registry.queries()["k11_feature_importance"](spark, str(tmp_path)).collect()
+    assert [r.feature for r in rows][:2] == ["size", "disc"] and math.isclose(sum(r.importance for r in rows), 1.0)
+    by = {r.feature: r for r in rows}
+    assert sorted(by, key=lambda f: -by[f].permuted)[:2] == ["size", "disc"]
+    assert by["size"].r > 0.5 and by["disc"].r < -0.1 and by["size"].permuted > 0.5
+    assert all(abs(by[f].permuted) < 0.1 and abs(by[f].r) < 0.15 for f in ("tax", "qty_sd"))
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = series(spark, [(k % 2, "a", f"2024-01-{1 + k:02d} 00:10:00", float(k)) for k in range(20)])
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
