@@ -235,16 +235,16 @@ class Block:
 
     def chunks(self, K: int) -> Iterator[tuple[int, np.ndarray]]:
         """(first unit, bounds from there): whole documents, or overlapping segments of one that is long."""
-        k = 0
+        k, most = 0, CHUNK // 2 if self.kind == "bytes" else CHUNK
         while k < len(self):
-            to = int(np.searchsorted(self.at, self.at[k] + CHUNK, "right")) - 1
+            to = int(np.searchsorted(self.at, self.at[k] + most, "right")) - 1
             if to > k:
                 yield int(self.at[k]), self.at[k : to + 1] - self.at[k]
                 k = to
                 continue
             a, end = int(self.at[k]), int(self.at[k + 1])
             while True:
-                b = min(end, a + CHUNK)
+                b = min(end, a + most)
                 yield a, np.array([0, b - a])
                 if b == end:
                     break
@@ -343,7 +343,7 @@ def flags_to_bytes(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Callable, apply: Callable, schema: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Callable, apply: Callable, schema: str, text: str = "text", doc_id: str = "doc_id", part_bytes: int = PART_BYTES) -> DataFrame:
     """Runs the five steps. ``ask(block, contexts, first, count)`` -> columns of bytes to send, one entry a kind;
     ``answer(list of asked)`` -> list of bytes, one for each block that has asked; ``apply(block, contexts, replies)`` -> Arrow table of
     ``schema``, where ``replies`` are None or (list of (kinds, bytes), first, kind of each context, count)."""
@@ -351,7 +351,8 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
 
     spark = docs.sparkSession
     ready(spark)
-    n_blocks, parts, hot_from, key = spread(docs, BLOCK_BYTES), spread(docs, PART_BYTES), HOT, new_key()
+    n_blocks, parts, hot_from, key = spread(docs, BLOCK_BYTES), spread(docs, part_bytes), HOT, new_key()
+    held_most = HELD // 2 if kind == "bytes" else HELD  # a text has several times as many bytes as words
     # for bytes, rows that share an id stay together, as their order by text counts
     dealt = ("doc_id", "text") if kind == "words" else ("doc_id",)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("_b", F.pmod(F.xxhash64(*dealt), F.lit(n_blocks)).cast("int"))
@@ -378,7 +379,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
             b = table.column("_b").to_numpy()[block.order].astype(np.int32)
             doc = np.searchsorted(block.at, c.first, "right") - 1
             held.append((c.fp, b[doc]))
-            if sum(len(x) for x, _ in held) >= HELD:
+            if sum(len(x) for x, _ in held) >= held_most:
                 yield from flush()
         if held:
             yield from flush()
