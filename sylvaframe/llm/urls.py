@@ -6,8 +6,8 @@ swept once: a rule's host is pushed on a stack when the sweep enters its interva
 intervals are nested or disjoint, the stack holds exactly the rule hosts that a url's host lies below. Their path
 rules decide by prefix; the longest rule (host and path together, then host) wins.
 
-Ranges: the driver draws boundaries from a sample of keys, as Spark's own range partitioning does (at most one
-per part). A rule goes to every part that its interval touches. A key that is several boundaries (a hot url or
+Ranges: the driver draws at most ``MOST_RANGES`` boundaries from a sample of keys of a fixed size, as Spark's own range partitioning does. More parts than that share
+the ranges: the rows of a range are dealt over its parts by a hash, and its rules are in all of them. A rule goes to every part that its interval touches. A key that is several boundaries (a hot url or
 host) spans several parts, and its rows are dealt over all of them by a hash; the rules for it are in all of them.
 The boundaries decide only where a row is judged, never how.
 
@@ -36,8 +36,8 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Sampled keys for each boundary.
-SAMPLE = 40
+#: Sampled keys for each boundary, and boundaries at most.
+SAMPLE, MOST_RANGES = 40, 4096
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -91,9 +91,9 @@ def sweep(batches: Iterator, default: str) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["page_id", "host", "path", "rule", "verdict"])
 
 
-def deal(batches: Iterator, bounds: list[str]) -> Iterator:
-    """The part of each url, and each rule once for every part that its interval touches. A key's parts are those from the
-    boundaries below it to the ones not above it."""
+def deal(batches: Iterator, bounds: list[str], fan: int = 1) -> Iterator:
+    """The part of each url, and each rule once for every part that its interval touches. A key's ranges are those from the
+    boundaries below it to the ones not above it; each range has ``fan`` parts."""
     import pyarrow as pa
 
     for batch in batches:
@@ -101,12 +101,13 @@ def deal(batches: Iterator, bounds: list[str]) -> Iterator:
         for i, (key, is_url, page_id, path) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_key", "_is_url", "page_id", "path")))):
             first = bisect_left(bounds, key)
             if is_url:
-                last = bisect_right(bounds, key)
-                parts.append(first if first == last else first + crc32(f"{page_id}{path}".encode()) % (last - first + 1))
+                ranges = bisect_right(bounds, key) - first + 1
+                draw = crc32(f"{page_id}{path}".encode()) if ranges * fan > 1 else 0
+                parts.append((first + draw % ranges) * fan + draw // ranges % fan)
                 take.append(i)
             else:
                 beyond = bisect_left(bounds, key[:-1] + "\x02") if key else len(bounds)  # keys end with a 1
-                span = range(first, beyond + 1)
+                span = range(first * fan, (beyond + 1) * fan)
                 parts += span
                 take += [i] * len(span)
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *batch.take(pa.array(take, pa.int64())).columns], ["_part", *batch.schema.names])
@@ -120,16 +121,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     urls = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("_url")).select("page_id", host.alias("host"), path.alias("path"))
     urls = urls.withColumn("_key", host_key(F.col("host")))
     n = urls.count()
-    share = min(1.0, SAMPLE * parts / max(n, 1))
-    seen = sorted(r[0] for r in urls.select("_key").sample(share, 7).limit(2 * SAMPLE * parts).collect())  # bounded by the number of parts
-    bounds = [seen[len(seen) * k // parts] for k in range(1, parts)] if seen else []
+    ranges = min(parts, MOST_RANGES)
+    fan = -(-parts // ranges)
+    share = min(1.0, SAMPLE * ranges / max(n, 1))
+    seen = sorted(r[0] for r in urls.select("_key").sample(share, 7).limit(2 * SAMPLE * ranges).collect())  # of a fixed size
+    bounds = [seen[len(seen) * k // ranges] for k in range(1, ranges)] if seen else []
     columns = "_part int, _key string, _is_url boolean, page_id long, host string, path string, _verdict string"
     rules = rules.select(F.col("verdict").alias("_verdict"), F.translate("host", *LOWER).alias("host"), "path").withColumn("_key", host_key(F.col("host")))
     rows = urls.select("_key", F.lit(True).alias("_is_url"), "page_id", "host", "path", F.lit(None).cast("string").alias("_verdict")).unionByName(
         rules.select("_key", F.lit(False).alias("_is_url"), F.lit(None).cast("long").alias("page_id"), "host", "path", "_verdict")
     )
-    rows = rows.mapInArrow(lambda batches: deal(batches, bounds), columns)
-    rows = rows.repartition(parts, "_part").sortWithinPartitions("_part", "_key", "_is_url", "path", "_verdict")
+    rows = rows.mapInArrow(lambda batches: deal(batches, bounds, fan), columns)
+    rows = rows.repartition(ranges * fan, "_part").sortWithinPartitions("_part", "_key", "_is_url", "path", "_verdict")
     return rows.mapInArrow(lambda b: sweep(b, default), "page_id long, host string, path string, rule string, verdict string")
 
 
