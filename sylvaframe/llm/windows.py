@@ -13,7 +13,8 @@ each run of an operator draws anew (``new_key``): texts can't be made to collide
 
 The jobs:
 
-1. Each task takes the minimizers' fingerprints of its documents and sends them, 8 bytes each, to their part.
+1. Each task takes the minimizers' fingerprints of its documents and sends them, 8 bytes each, to their part. Those that it has met ``OFTEN`` times are summed up
+   before, in groups of few blocks: of a fingerprint that every document has, a part gets one entry for each block.
 2. Each part finds the fingerprints that occur more than once, and those to be split, and tells the blocks of documents that
    have them.
 3. Each block sends the contexts of those fingerprints to their part, each different one once, so that copies within
@@ -47,6 +48,8 @@ HELD = 1 << 22
 BLOCK_BYTES, PART_BYTES = 2 << 20, 4 << 20
 #: Times that a task of step 1 tells a fingerprint of one block, at most.
 TOLD = 16
+#: Entries of one fingerprint in one message from which they are summed up by blocks first, and the blocks of one such sum.
+OFTEN, SUMMED_BLOCKS = 64, 64
 #: Fingerprints told from which a minimizer is split, into two parts for each so many.
 HOT = 1 << 12
 
@@ -335,6 +338,14 @@ def by_part(fp: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(p[order[a]]), order[a:b]
 
 
+def told(fp: np.ndarray, b: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (fingerprint, block, how many times) with each pair once."""
+    order = np.lexsort((b, fp))
+    fp, b, times = fp[order], b[order], times[order]
+    new = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (b[1:] != b[:-1]))) if len(fp) else np.zeros(0, np.int64)
+    return fp[new], b[new], np.add.reduceat(times, new) if len(new) else times[:0]
+
+
 def blobs(column) -> list[bytes]:
     return [x.as_py() for x in column]
 
@@ -368,8 +379,15 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
             more = np.zeros(len(fp), bool)
             more[TOLD:] = (fp[TOLD:] == fp[:-TOLD]) & (b[TOLD:] == b[:-TOLD])
             fp, b = fp[~more], b[~more]
-            rows = [(p, fp[i].tobytes(), b[i].tobytes()) for p, i in by_part(fp, parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], ["_p", "fps", "blocks"])
+            new = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])) if len(fp) else np.zeros(0, np.int64)
+            run = np.diff(np.append(new, len(fp)))
+            often = np.repeat(run >= OFTEN, run)
+            rows = [(p, -1, fp[i].tobytes(), b[i].tobytes(), None) for these in (np.flatnonzero(~often),) for p, j in by_part(fp[these], parts) for i in (these[j],)]
+            for p, j in by_part(fp[often], parts):
+                i = np.flatnonzero(often)[j]
+                salt = b[i] // SUMMED_BLOCKS
+                rows += [(p, int(x), fp[i[salt == x]].tobytes(), b[i[salt == x]].tobytes(), np.ones(int((salt == x).sum()), np.int32).tobytes()) for x in np.unique(salt)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int32(), pa.int32(), *[pa.binary()] * 3))], ["_p", "_s", "fps", "blocks", "times"])
 
         seal(key)
         for batch in batches:
@@ -384,19 +402,26 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
         if held:
             yield from flush()
 
-    def repeated(table):  # step 2
+    def entries(table):
         fp = np.frombuffer(b"".join(blobs(table.column("fps"))), U64)
-        b = np.frombuffer(b"".join(blobs(table.column("blocks"))), np.int32)
+        times = [np.ones(len(f) // 8, np.int64) if t is None else np.frombuffer(t, np.int32).astype(np.int64) for f, t in zip(blobs(table.column("fps")), blobs(table.column("times")))]
+        return fp, np.frombuffer(b"".join(blobs(table.column("blocks"))), np.int32), np.concatenate(times) if times else np.zeros(0, np.int64)
+
+    def summed(table):  # step 1, what has been sent often
+        fp, b, times = told(*entries(table))
+        return pa.table([pa.array([int(table.column("_p")[0].as_py())], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (fp, b, np.minimum(times, TOLD).astype(np.int32)))], names=["_p", "fps", "blocks", "times"])
+
+    def repeated(table):  # step 2
+        fp, b, times = entries(table)
         order = np.argsort(fp, kind="stable")
-        fp, b = fp[order], b[order]
-        same = np.zeros(len(fp), bool)
-        same[1:] = fp[1:] == fp[:-1]
-        same[:-1] |= same[1:]
-        fp, b = fp[same], b[same]
+        fp, b, times = fp[order], b[order], times[order]
         new = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])) if len(fp) else np.zeros(0, np.int64)
-        many = np.diff(np.append(new, len(fp)))
-        among = np.repeat(2 * -(-many // hot_from), many).astype(U64)  # to how many parts a minimizer goes
-        hot = np.repeat(many >= hot_from, many)
+        run = np.diff(np.append(new, len(fp)))
+        many = np.add.reduceat(times, new) if len(new) else times[:0]
+        same = np.repeat(many > 1, run)
+        fp, b = fp[same], b[same]
+        among = np.repeat(2 * -(-many // hot_from), run)[same].astype(U64)  # to how many parts a minimizer goes
+        hot = np.repeat(many >= hot_from, run)[same]
         rows = []
         for mark, these in ((-1, slice(None)), (-2, hot)):  # all of them, and those to be split
             f, o, s = fp[these], b[these], among[these]
@@ -448,8 +473,10 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
 
     kinds_of = {"long": pa.int64(), "string": pa.string(), "array<struct<start:long,words:long,source:long,source_start:long>>": pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "words", "source", "source_start")]))}
     out_schema = pa.schema([(c.split()[0], kinds_of[c.split()[1]]) for c in schema.split(", ")])
-    sent = docs.mapInArrow(send, "_p int, fps binary, blocks binary")
-    masks = cut(sent.groupBy("_p").applyInArrow(repeated, "_b int, _p int, data binary"), "masks")
+    sent = cut(docs.mapInArrow(send, "_p int, _s int, fps binary, blocks binary, times binary"), "sent")
+    often = sent.filter("_s >= 0").groupBy("_p", "_s").applyInArrow(summed, "_p int, fps binary, blocks binary, times binary")
+    every = sent.filter("_s < 0").drop("_s").unionByName(often)
+    masks = cut(every.groupBy("_p").applyInArrow(repeated, "_b int, _p int, data binary"), "masks")
     asked = docs.groupBy("_b").cogroup(masks.groupBy("_b")).applyInArrow(request, "_p int, _b int, keys binary, sizes binary, units binary, more binary")
     answers = asked.groupBy("_p").applyInArrow(reply, "_b int, _p int, data binary")
     return docs.groupBy("_b").cogroup(masks.unionByName(answers).groupBy("_b")).applyInArrow(finish, schema)
