@@ -191,7 +191,7 @@ def test_encoding_equals_whole_text_encoding():
 # 4
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     hosts = ["example\x01foo.org", "\x01org", "a\x00.example.org", "example\x00.org", "a.\U0010ffffb.org", "foo\x01", "example.org\x01", "example.org", "a.example.org", "org", "xorg", "com", "b.com", "net", "", "EXAMPLE.ORG", "example.org.net"]
     paths = ["", "/", "/es/", "/es/x", "/en/1", "/en/12", "/en/2", "/fr/", "/de/a", "/de", "/fr/?q", "/de/#f", "?x=/de/"]
     rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)] + [(900, None), (901, ""), (902, "no scheme/de/"), (903, "http://b.com/de/"), (903, "http://b.com/de/"), (None, "x://org/a://b")]
@@ -208,6 +208,8 @@ def test_url_filter(spark):
     want = sorted(((i, *judge(u)) for i, u in rows), key=str)
     assert sorted(tuples(urls.judge(df, urls.rule_table(spark))), key=str) == want
     assert sorted(tuples(urls.judge(df, urls.rule_table(spark), parts=17)), key=str) == want
+    monkeypatch.setattr(urls, "MOST_RANGES", 3)  # several parts share a range
+    assert sorted(tuples(urls.judge(df, urls.rule_table(spark), parts=17)), key=str) == want
     assert urls.judge(df.limit(0), urls.rule_table(spark)).count() == 0
 
 
@@ -582,6 +584,33 @@ def test_a_common_minimizer_is_split(spark, tmp_path, monkeypatch, module, brute
     assert keyed(tuples(module.deduplicate(on_disk(spark, tmp_path)))) == keyed(brute(awkward()))
 
 
+@pytest.mark.parametrize("module, brute", [(suffixes, substrings), (factors, windows)])
+def test_a_phrase_of_all_documents_is_summed_up(spark, tmp_path, monkeypatch, module, brute):
+    """A part gets one entry for each block of a minimizer that all documents have, and no sum has more than the entries of its few blocks."""
+    from sylvaframe.llm import windows as jobs
+
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(20)) + " " + " ".join(f"same{j}" for j in range(40)) + " " + " ".join(f"v{i}x{j}" for j in range(20))) for i in range(1500)]
+    df = on_disk(spark, tmp_path, rows)
+    written, plain = [], jobs.cut
+    monkeypatch.setattr(jobs, "cut", lambda df, name: written.append((name, plain(df, name))) or written[-1][1])
+    monkeypatch.setattr(jobs, "spread", lambda docs, each: 96 if each == jobs.BLOCK_BYTES and len(written) == 0 else 8)
+    monkeypatch.setattr(jobs, "SUMMED_BLOCKS", 8)
+    assert keyed(tuples(module.deduplicate(df))) == keyed(brute(rows))
+    sent = dict(written)["sent"]
+    often = sent.filter("_s >= 0").groupBy("_p", "_s").agg(F.sum(F.length("fps") / 8).alias("n")).collect()
+    assert often and max(r.n for r in often) < sum(r.n for r in often) / 4
+    single = sent.filter("_s < 0").groupBy("_p").agg(F.sum(F.length("fps") / 8).alias("n")).collect()
+    assert sum(r.n for r in often) > 1500 and max(r.n for r in single) < 20 * 1500
+
+
+def test_told_sums_entries():
+    from sylvaframe.llm import windows as jobs
+
+    fp, b, times = jobs.told(np.array([5, 5, 3, 5, 3], np.uint64), np.array([1, 0, 2, 1, 2], np.int32), np.array([1, 1, 2, 3, 1]))
+    assert list(zip(fp.tolist(), b.tolist(), times.tolist())) == [(3, 2, 3), (5, 0, 1), (5, 1, 4)]
+    assert [len(x) for x in jobs.told(fp[:0], b[:0], times[:0])] == [0, 0, 0]
+
+
 # 9
 
 
