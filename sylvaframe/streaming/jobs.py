@@ -75,13 +75,44 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def latest(files: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that ``to_files`` has written, of each key the one of the last batch."""
-    rest = [c for c in files.columns if c not in (*keys, "batch")]
-    return files.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+def _numbers(spark, pattern: str) -> list[int]:
+    """The numbers of the folders ``name=number`` that match the pattern and have been written to their end, ascending."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = at.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found or [])
+
+
+def current(spark, path: str, keys: list[str], upto: int | None = None, with_batch: bool = False) -> DataFrame:
+    """The result of ``to_files`` so far (or up to a batch): the newest snapshot, if there is one, and the batches after it."""
+    done = _numbers(spark, f"{path.rstrip('/')}-snapshots/upto=*")
+    rows = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("long"))
+    rows = rows if upto is None else rows.filter(F.col("batch") <= upto)
+    if done:
+        rows = rows.filter(F.col("batch") > done[-1]).unionByName(spark.read.schema(rows.schema).parquet(f"{path.rstrip('/')}-snapshots/upto={done[-1]}"))
+    rest = [c for c in rows.columns if c not in keys and (with_batch or c != "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+
+
+def snapshot(spark, path: str, keys: list[str], forget: bool = False) -> int | None:
+    """Writes the result so far as one table, so that reading it no longer grows with the batches behind it; returns the last batch in it. A snapshot that failed
+    is not complete and is never read. ``forget`` deletes the batches that it replaces; a batch which the stream then repeats is left out,
+    as the snapshot has its rows."""
+    folder = f"{path.rstrip('/')}-snapshots"
+    done, batches = _numbers(spark, f"{folder}/upto=*"), _numbers(spark, f"{path.rstrip('/')}/batch=*")
+    upto = max(batches, default=-1)
+    if upto >= 0 and (not done or upto > done[-1]):
+        current(spark, path, keys, upto, with_batch=True).write.mode("overwrite").parquet(f"{folder}/upto={upto}")
+        done.append(upto)
+    if forget and done:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        gone = [f"{path.rstrip('/')}/batch={n}" for n in batches if 0 <= n <= done[-1]] + [f"{folder}/upto={n}" for n in done[:-1]]
+        for one in map(hadoop.Path, gone):
+            one.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(one, True)
+    return done[-1] if done else None
 
 
 def drain(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
     """Runs a streaming query over what is there, into files; its last result."""
     to_files(stream, path, checkpoint).awaitTermination()
-    return latest(stream.sparkSession.read.parquet(path), keys)
+    return current(stream.sparkSession, path, keys)

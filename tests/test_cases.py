@@ -443,6 +443,29 @@ def test_each_run_is_judged_once(spark, tmp_path):
     assert batch[2] == last[2][:3]
 
 
+def test_snapshots_replace_batches(spark, tmp_path):
+    """The result is the same with and without them, also where batches go on, are deleted, or are repeated."""
+    rows = series(spark, [(k % 3, "a", f"2024-01-{1 + k:02d} 00:10:00", float(k)) for k in range(12)])
+    out, keys = str(tmp_path / "out"), ["fid", "variable", "bucket"]
+
+    def arrive(part):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        return sorted(one(jobs.drain(jobs.stream_monitor(stream), keys, out, str(tmp_path / "checkpoint"))))
+
+    want = lambda n: sorted(one(jobs.stream_monitor(rows.filter(F.dayofmonth("ts") <= n))))
+    assert arrive(rows.filter(F.dayofmonth("ts") <= 4)) == want(4)
+    first = jobs.snapshot(spark, out, keys)
+    assert sorted(one(jobs.current(spark, out, keys))) == want(4) and jobs.snapshot(spark, out, keys) == first
+    assert arrive(rows.filter(F.dayofmonth("ts").between(5, 8))) == want(8)
+    second = jobs.snapshot(spark, out, keys, forget=True)
+    assert second > first and [f.name for f in (tmp_path / "out").glob("batch=*")] == ["batch=-1"] and len(list((tmp_path / "out-snapshots").glob("upto=*"))) == 1
+    assert sorted(one(jobs.current(spark, out, keys))) == want(8)
+    rows.limit(1).groupBy("fid", "variable").agg(F.lit(None).cast("timestamp").alias("bucket"), F.avg("value").alias("mean"), F.count("*").alias("n"), F.max(F.col("ts").cast("timestamp")).alias("latest")).write.parquet(f"{out}/batch={second}")  # as if repeated
+    assert sorted(one(jobs.current(spark, out, keys))) == want(8)
+    assert arrive(rows.filter(F.dayofmonth("ts") > 8)) == want(12)
+
+
 def test_late_rows_are_left_out(spark, tmp_path):
     folder = tmp_path / "in"
     schema = "fid INT, variable STRING, ts TIMESTAMP_NTZ, value DOUBLE"
