@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .design import hashed
-from .joins import common_sites, map_codes, nearest_cell, update_join
+from .joins import common_sites, map_codes, nearest_cell, nearest_valid_cell, update_join
 
 #: Fixed values.
 DAYS_IN_MONTH = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+PHOSPHORUS_POOLS = ("labile", "slow", "occluded", "primary")
 PER_SECOND_TO_DAILY = 86_400 * 1e6
 FORCING_COLUMNS = ("year", "doy", "hour", "swvis_srf_down", "lw_srf_down", "t_air", "q_air", "press_srf", "rain", "snow", "wind_air", "co2_mixing_ratio", "co2_dC13", "co2DC14", "nhx_srf_down", "noy_srf_down", "p_srf_down")
 
@@ -36,6 +37,13 @@ def map_lookup(points: DataFrame, grid: DataFrame, factor: float = 1.0) -> DataF
     return nearest_cell(points, grid).withColumn("value", F.col("value") * factor)
 
 
+def p_pools(at: DataFrame, maps: DataFrame, pools: tuple[str, ...] = PHOSPHORUS_POOLS, key: str = "site", depth: float = 0.5) -> DataFrame:
+    """(key, a column for each pool, depth): the pools' maps at each place, or at the nearest valid cell of that map. ``at``: key, ix, iy; ``maps``: map, ix, iy,
+    value. All maps are searched in one pass."""
+    found = nearest_valid_cell(at, maps, key, list(pools)).groupBy(key).pivot("map", list(pools)).agg(F.first("value"))
+    return found.withColumn("depth", F.lit(depth))
+
+
 def add_annual(df: DataFrame, series: DataFrame, name: str) -> DataFrame:
     """An annual value (year, value) for each row."""
     return df.join(series.select("year", F.col("value").alias(name)), "year")

@@ -106,17 +106,19 @@ def nearest_point(points: DataFrame, cells: DataFrame, key: str, tile_cells: int
 RING = ((0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (1, -1), (-1, 1), (1, 1))
 
 
-def nearest_valid_cell(at: DataFrame, grid: DataFrame, key: str) -> DataFrame:
+def nearest_valid_cell(at: DataFrame, grid: DataFrame, key: str, maps: list[str] | None = None) -> DataFrame:
     """For cells given by axis index (ix, iy), from 0: the cell's own value, or the first valid one in rings of growing
     distance, in the order of RING, however far; indices below 0 are taken as 0, cells beyond the grid do not exist. NULL where the grid has no such cell.
 
     A ring's eight cells lie on eight rays, which at index 0 go on along the edge. So the first valid cell of a ray is the next one on a column, a row or a diagonal:
     every valid cell and every place that looks for one is put on these lines, and a window along each line finds what is next. Places that
-    several rows share look once, so a line holds no more rows than the grid is wide."""
-    valid = grid.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(F.col("ix").cast("long").alias("x"), F.col("iy").cast("long").alias("y")).agg(F.min("value").alias("value"))
+    several rows share look once, so a line holds no more rows than the grid is wide. With ``maps``, the grid's column ``map`` tells several maps apart, and each row
+    looks in all those named, in one pass: the result has a row for each of them."""
+    one, looked = ([], at) if maps is None else (["map"], at.withColumn("map", F.explode(F.array(*map(F.lit, maps)))))
+    valid = grid.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*one, F.col("ix").cast("long").alias("x"), F.col("iy").cast("long").alias("y")).agg(F.min("value").alias("value"))
     x, y = F.col("x"), F.col("y")
-    places = at.select(F.greatest(F.col("ix"), F.lit(0)).cast("long").alias("x"), F.greatest(F.col("iy"), F.lit(0)).cast("long").alias("y")).distinct()
-    empty = places.join(valid, ["x", "y"], "left_anti")
+    places = looked.select(*one, F.greatest(F.col("ix"), F.lit(0)).cast("long").alias("x"), F.greatest(F.col("iy"), F.lit(0)).cast("long").alias("y")).distinct()
+    empty = places.join(valid, [*one, "x", "y"], "left_anti")
     line = lambda kind, name, place: (F.lit(kind).alias("kind"), name.alias("line"), place.alias("place"))
     column, row, rising, falling = line("column", x, y), line("row", y, x), line("rising", x - y, x), line("falling", x + y, x)
     edge_column = lambda place: line("column", F.lit(0).cast("long"), place)
@@ -129,19 +131,20 @@ def nearest_valid_cell(at: DataFrame, grid: DataFrame, key: str) -> DataFrame:
         (falling, 1, none, 6, None), (edge_row(x + y), 1, y, 6, None), (falling, -1, none, 7, None), (edge_column(x + y), 1, x, 7, None), (rising, 1, none, 8, None),
     ]
     asks = F.array(*[F.when(F.lit(True) if comes is None else comes, F.struct(*on, F.lit(side).alias("side"), far.alias("far"), F.lit(k).alias("k"))) for on, side, far, k, comes in rays])
-    asked = empty.select("x", "y", F.explode(F.array_compact(asks)).alias("a")).select("x", "y", "a.*")
-    cells = valid.select("value", F.explode(F.array(*[F.struct(*on) for on in (column, row, rising, falling)])).alias("a")).select("value", "a.*")
+    asked = empty.select(*one, "x", "y", F.explode(F.array_compact(asks)).alias("a")).select(*one, "x", "y", "a.*")
+    cells = valid.select(*one, "value", F.explode(F.array(*[F.struct(*on) for on in (column, row, rising, falling)])).alias("a")).select(*one, "value", "a.*")
     both = asked.unionByName(cells.withColumn("valid", F.struct("place", "value")), allowMissingColumns=True)
-    along = W.partitionBy("kind", "line")
+    along = W.partitionBy(*one, "kind", "line")
     near = both.withColumn("below", F.last("valid", ignorenulls=True).over(along.orderBy("place"))).withColumn("above", F.last("valid", ignorenulls=True).over(along.orderBy(F.desc("place"))))
     hit = F.when(F.col("side") > 0, F.col("above")).otherwise(F.col("below"))
-    near = near.filter("k IS NOT NULL").select("x", "y", "far", "k", "place", hit.alias("hit")).filter("hit IS NOT NULL")
+    near = near.filter("k IS NOT NULL").select(*one, "x", "y", "far", "k", "place", hit.alias("hit")).filter("hit IS NOT NULL")
     ring = F.col("far") + F.abs(F.col("hit.place") - F.col("place"))
-    first = near.groupBy("x", "y").agg(F.min(F.struct(((ring - 1) * len(RING) + F.col("k")).cast("int").alias("priority"), F.col("hit.value").alias("value"))).alias("m")).select("x", "y", "m.*")
-    own = places.join(valid, ["x", "y"]).select("x", "y", F.lit(0).alias("priority"), "value")
-    found = own.unionByName(first).withColumnsRenamed({"x": "_x", "y": "_y"})
+    first = near.groupBy(*one, "x", "y").agg(F.min(F.struct(((ring - 1) * len(RING) + F.col("k")).cast("int").alias("priority"), F.col("hit.value").alias("value"))).alias("m")).select(*one, "x", "y", "m.*")
+    own = places.join(valid, [*one, "x", "y"]).select(*one, "x", "y", F.lit(0).alias("priority"), "value")
+    found = own.unionByName(first).withColumnsRenamed({"x": "_x", "y": "_y", "map": "_map"})
     on = (F.greatest(F.col("ix"), F.lit(0)) == F.col("_x")) & (F.greatest(F.col("iy"), F.lit(0)) == F.col("_y"))
-    return at.join(found, on, "left").select(*at.columns, "priority", "value")
+    on = on & (F.col("map") == F.col("_map")) if one else on
+    return looked.join(found, on, "left").select(*looked.columns, "priority", "value")
 
 
 def update_join(left: DataFrame, right: DataFrame, on: list[str], columns: list[str]) -> DataFrame:

@@ -51,11 +51,8 @@ SELECT site, round(CAST(max(CASE map WHEN 'labile' THEN value END) AS DECIMAL(38
 def _(s, d):
     g = T.grid(s, d).select(((F.col("lon") + 175) / 10).cast("int").alias("ix"), ((F.col("lat") + 85) / 10).cast("int").alias("iy"), "value")
     at = T.sites(s, d).select("site", (F.col("site") % 36).cast("int").alias("ix"), (F.col("site") % 18).cast("int").alias("iy"))
-    out = at.select("site")
-    for k, name in enumerate(("labile", "slow", "occluded", "primary")):
-        pool = g.withColumn("value", F.col("value") * float(k + 1))
-        out = out.join(J.nearest_valid_cell(at, pool, "site").select("site", F.col("value").alias(name)), "site", "left")
-    return r_all(out).withColumn("depth", F.lit(0.5))
+    maps = g.select("ix", "iy", F.explode(F.array(*[F.struct(F.lit(name).alias("map"), (F.col("value") * float(k + 1)).alias("value")) for k, name in enumerate(G.PHOSPHORUS_POOLS)])).alias("m")).select("ix", "iy", "m.*")
+    return r_all(G.p_pools(at, maps))
 
 
 @add("g05_add_co2", "SELECT m.year, m.month, round(CAST(m.value AS DECIMAL(38, 7)), 4)::DOUBLE AS value, round(CAST(a.value AS DECIMAL(38, 7)), 4)::DOUBLE AS co2 FROM months m JOIN annual a USING (year)", "months annual")

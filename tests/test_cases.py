@@ -274,6 +274,13 @@ def test_nearest_valid_cell_however_far(spark):
         assert valid is wide or any(r.priority and r.priority > 36 * 8 for r in got)
 
 
+def test_phosphorus_pools_search_each_map_by_itself(spark):
+    cells = [("labile", 0, 0, 1.0), ("labile", 9, 9, 2.0), ("slow", 9, 0, 3.0), ("occluded", 5, 5, 4.0), ("occluded", 4, 4, float("nan")), ("other", 4, 4, 9.0)]
+    at = spark.createDataFrame([("a", 4, 4), ("b", 9, 9), ("c", 9, 9)], "site STRING, ix INT, iy INT")
+    got = {r.site: tuple(r)[1:] for r in G.p_pools(at, spark.createDataFrame(cells, "map STRING, ix INT, iy INT, value DOUBLE")).collect()}
+    assert got == {"a": (1.0, 3.0, 4.0, None, 0.5), "b": (2.0, 3.0, 4.0, None, 0.5), "c": (2.0, 3.0, 4.0, None, 0.5)}
+
+
 def test_scorecard_pairs_variables_with_their_own_series(spark):
     """Two sources by era, a window, magnitudes, factors; a pairing kept as a table; overlapping eras; nothing to compare."""
     model = series(spark, [(f, v, f"2024-01-{d:02d}", sign * (d + f)) for f in (1, 2) for v, sign in (("a", 1.0), ("b", -1.0), ("other", 1.0)) for d in range(1, 21)] + [(3, "a", "2025-01-01", 1.0)])
