@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .components import FEW
 from .env import packed, ready
 
 LEVEL, PIECE = 6, 4096
@@ -73,6 +74,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     texts: dict[str, list] = {}
     while depth:
         reach = rows.sparkSession.createDataFrame([(x, 1 << (DRAW_BITS - k)) for x, k in depth.items()], "l STRING, most LONG")
+        reach = F.broadcast(reach) if len(depth) <= FEW else reach  # else all texts would be shuffled, by a few languages
         sample = ok.join(reach, "l").filter("d < most").dropDuplicates(["l", "d", "t"])
         before = F.coalesce(F.sum("n").over(W.partitionBy("l").orderBy("d", "t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         for x in depth:
