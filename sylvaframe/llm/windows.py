@@ -407,11 +407,13 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
         times = [np.ones(len(f) // 8, np.int64) if t is None else np.frombuffer(t, np.int32).astype(np.int64) for f, t in zip(blobs(table.column("fps")), blobs(table.column("times")))]
         return fp, np.frombuffer(b"".join(blobs(table.column("blocks"))), np.int32), np.concatenate(times) if times else np.zeros(0, np.int64)
 
-    def summed(table):  # step 1, what has been sent often
+    def summed(table):  # step 1, each part's entries by groups of blocks (those sent often) or at once (the others)
         fp, b, times = told(*entries(table))
-        return pa.table([pa.array([int(table.column("_p")[0].as_py())], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (fp, b, np.minimum(times, TOLD).astype(np.int32)))], names=["_p", "fps", "blocks", "times"])
+        key = [pa.array([int(table.column(c)[0].as_py())], pa.int32()) for c in ("_p", "_s")]
+        return pa.table([*key, *(pa.array([x.tobytes()], pa.binary()) for x in (fp, b, np.minimum(times, TOLD).astype(np.int32)))], names=["_p", "_s", "fps", "blocks", "times"])
 
     def repeated(table):  # step 2
+        table = table.sort_by("_s")  # the same order in each run
         fp, b, times = entries(table)
         order = np.argsort(fp, kind="stable")
         fp, b, times = fp[order], b[order], times[order]
@@ -473,10 +475,9 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
 
     kinds_of = {"long": pa.int64(), "string": pa.string(), "array<struct<start:long,words:long,source:long,source_start:long>>": pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "words", "source", "source_start")]))}
     out_schema = pa.schema([(c.split()[0], kinds_of[c.split()[1]]) for c in schema.split(", ")])
-    sent = cut(docs.mapInArrow(send, "_p int, _s int, fps binary, blocks binary, times binary"), "sent")
-    often = sent.filter("_s >= 0").groupBy("_p", "_s").applyInArrow(summed, "_p int, fps binary, blocks binary, times binary")
-    every = sent.filter("_s < 0").drop("_s").unionByName(often)
-    masks = cut(every.groupBy("_p").applyInArrow(repeated, "_b int, _p int, data binary"), "masks")
+    sent = docs.mapInArrow(send, "_p int, _s int, fps binary, blocks binary, times binary")
+    sums = sent.groupBy("_p", "_s").applyInArrow(summed, "_p int, _s int, fps binary, blocks binary, times binary")
+    masks = cut(sums.groupBy("_p").applyInArrow(repeated, "_b int, _p int, data binary"), "masks")
     asked = docs.groupBy("_b").cogroup(masks.groupBy("_b")).applyInArrow(request, "_p int, _b int, keys binary, sizes binary, units binary, more binary")
     answers = asked.groupBy("_p").applyInArrow(reply, "_b int, _p int, data binary")
     return docs.groupBy("_b").cogroup(masks.unionByName(answers).groupBy("_b")).applyInArrow(finish, schema)
