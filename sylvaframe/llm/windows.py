@@ -338,6 +338,19 @@ def by_part(fp: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(p[order[a]]), order[a:b]
 
 
+def tidy() -> None:
+    """Gives back what the group before has freed: allocators keep it, and a worker lives as long as its executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
 def told(fp: np.ndarray, b: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries (fingerprint, block, how many times) with each pair once."""
     order = np.lexsort((b, fp))
@@ -444,6 +457,7 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
 
     def request(left, right):  # step 3
         seal(key)
+        tidy()
         rows = []
         if len(right):
             block = Block(left, kind)
@@ -456,12 +470,14 @@ def find(docs: DataFrame, kind: str, K: int, k: int, ask: Callable, answer: Call
 
     def reply(table):  # step 4
         seal(key)
+        tidy()
         table = table.sort_by("_b")  # the same order in each run
         found = answer(list(zip(*(blobs(table.column(c)) for c in ("keys", "sizes", "units", "more")))))
         return pa.table([table.column("_b").combine_chunks(), pa.array([int(table.column("_p")[0].as_py())] * len(table), pa.int32()), pa.array(found, pa.binary())], names=["_b", "_p", "data"])
 
     def finish(left, right):  # step 5
         seal(key)
+        tidy()
         if not len(left):
             return pa.table([[] for _ in out_schema], schema=out_schema)
         block = Block(left, kind)
