@@ -54,8 +54,9 @@ def read_model(spark: SparkSession, path: str, variables: list[str] | None = Non
 
 def write_scenarios(rows: DataFrame, root: str, labels: list[str]) -> None:
     """Writes the rows below ``root/<label>/<label>/.../``, in folders named by the labels alone, as runs of scenarios are kept. The folders are written
-    as ``name=value`` and renamed, which copies nothing on a file system; labels are few, as there is a folder for each of them."""
-    rows.repartition(*labels).write.mode("overwrite").partitionBy(*labels).parquet(root)
+    as ``name=value`` and renamed, which copies nothing on a file system; labels are few, as there is a folder for each of them. A folder of any size is
+    shared among as many tasks as its rows need: adaptive execution splits it."""
+    rows.hint("rebalance", *labels).write.mode("overwrite").partitionBy(*labels).parquet(root)
     hadoop = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
     top = hadoop.Path(root)
     files = top.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration())
@@ -74,7 +75,7 @@ def write_scenarios(rows: DataFrame, root: str, labels: list[str]) -> None:
 
 def read_scenarios(spark: SparkSession, root: str, schema: str, labels: tuple[str, ...] = ("model", "pathway", "scenario")) -> DataFrame:
     """The Parquet files of all scenarios below ``root/<label>/<label>/.../``, as one scan: each row has its labels from the folders above its file. A filter on a label
-    is one on the file's path, so other files are not read."""
-    names = "/".join(["([^/]+)"] * len(labels)) + "/[^/]+$"
+    is one on the file's path, so other files are not read. Each row's path is cut at its slashes, from the end: a pattern would be tried anew from each letter of it."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
-    return rows.select("*", *[F.regexp_extract(F.col("_metadata.file_path"), names, k + 1).alias(label) for k, label in enumerate(labels)])
+    above = lambda k: F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", k - len(labels) - 1), "/", 1)
+    return rows.select("*", *[above(k).alias(label) for k, label in enumerate(labels)])

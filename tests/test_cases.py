@@ -356,6 +356,23 @@ def test_scenarios_have_labels_from_their_folders(spark, tmp_path):
     assert only._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1 and files_read(only)[1] == 2
 
 
+def test_scenario_labels_cost_little_for_each_row(spark, tmp_path):
+    """Labels come from the path of each row's file: no pattern is tried along it. A folder's rows are shared among tasks."""
+    rows = spark.range(0, 200_000, 1, 8).select(F.lit("a").alias("model"), F.lit("low").alias("pathway"), (F.xxhash64("id") % 1_000_000_007).alias("x"))
+    with_small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB"}
+    for k, v in with_small.items():
+        spark.conf.set(k, v)
+    try:
+        store.write_scenarios(rows, str(tmp_path / "s"), ["model", "pathway"])
+    finally:
+        for k in with_small:
+            spark.conf.unset(k)
+    back = store.read_scenarios(spark, str(tmp_path / "s"), "x LONG", ("model", "pathway"))
+    plan = E.scenario_stack(back, {"model": ["a"], "pathway": ["low"]})._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and back.filter("model = 'a' AND pathway = 'low'").count() == 200_000
+    assert len(list((tmp_path / "s" / "a" / "low").glob("*.parquet"))) > 2
+
+
 def test_sketches_are_merged_within_their_error(spark):
     """Over runs and buckets of very different sizes, with gaps; the error is measured in the rows themselves."""
     import numpy as np
