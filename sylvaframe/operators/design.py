@@ -27,6 +27,7 @@ def latin_hypercube(ids: DataFrame, dims: list[str], seed: int, key: str = "id")
     long = long.withColumn("_range", F.floor(F.col("_h") / float(1 << 52) * RANGES))
     counts = long.groupBy("dim", "_range").agg(F.count(F.lit(1)).alias("_n"))
     ranges = before_ranges(counts, "_n", ["dim"]).join(counts.groupBy("dim").agg(F.sum("_n").alias("_total")), "dim")
+    ranges = F.broadcast(ranges)  # RANGES rows a dimension; by the sizes of the files Spark would take the points for the smaller side
     stratum = F.col("_before") + F.row_number().over(W.partitionBy("dim", "_range").orderBy("_h", key)) - 1
     point = (stratum + uniform(seed + 1, F.col("dim"), F.col(key))) / F.col("_total")
     return long.join(ranges, ["dim", "_range"]).withColumn("x", point).groupBy(key).pivot("dim", dims).agg(F.first("x"))

@@ -41,7 +41,7 @@ def numbered(df: DataFrame, column: str, key: str, position: str = "position") -
     rows = in_ranges(df, column)
     before = before_ranges(rows.withColumn("_one", F.lit(1)), "_one")
     at = F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(column, key))
-    return rows.join(before, "_range").withColumn(position, at.cast("int")).drop("_range", "_before")
+    return rows.join(F.broadcast(before), "_range").withColumn(position, at.cast("int")).drop("_range", "_before")
 
 
 def nearest_values(want: DataFrame, have: DataFrame, column: str, found: str) -> DataFrame:

@@ -373,6 +373,16 @@ def test_scenario_labels_cost_little_for_each_row(spark, tmp_path):
     assert len(list((tmp_path / "s" / "a" / "low").glob("*.parquet"))) > 2
 
 
+def test_hypercube_never_broadcasts_its_points(spark, tmp_path):
+    """By the size of their file the points look small; the ranges, a row each, are what is sent to all tasks."""
+    spark.range(1, 3001).write.parquet(str(tmp_path / "ids"))
+    cube = X.latin_hypercube(spark.read.parquet(str(tmp_path / "ids")), ["a", "b"], 7)
+    plan = cube._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    for dim in "ab":
+        assert sorted(math.floor(r[dim] * 3000) for r in cube.collect()) == list(range(3000))
+
+
 def test_sketches_are_merged_within_their_error(spark):
     """Over runs and buckets of very different sizes, with gaps; the error is measured in the rows themselves."""
     import numpy as np
