@@ -54,6 +54,11 @@ def nearest_on_axis(points: DataFrame, grid: DataFrame, axis: str) -> DataFrame:
     return nearest_values(points, grid, axis, f"g_{axis}")
 
 
+def spread(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """A small table each row of which makes many, dealt to tasks of about so many rows: they grow in number with the table, not in size."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def nearest_cell(points: DataFrame, grid: DataFrame) -> DataFrame:
     """The points with g_lon, g_lat (each axis by itself) and the cell's columns, NULL where there is no such cell."""
     at = points.join(nearest_on_axis(points, grid, "lon"), "lon").join(nearest_on_axis(points, grid, "lat"), "lat")

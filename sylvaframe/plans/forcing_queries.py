@@ -21,9 +21,9 @@ DEP = "dep AS (SELECT s.site, f.family, m.year, m.month, m.value * s.site * f.k
 
 
 def deposition(s, d):
-    sites = T.sites(s, d).select("site")
+    sites = J.spread(T.sites(s, d).select("site"))
     families = s.createDataFrame([("historic", 1.0), ("rcp85", 2.0)], "family STRING, k DOUBLE")
-    return T.months(s, d).crossJoin(sites).crossJoin(F.broadcast(families)).select("site", "family", "year", "month", (F.col("value") * F.col("site") * F.col("k") / 1e15).alias("value"))
+    return sites.crossJoin(F.broadcast(T.months(s, d))).crossJoin(F.broadcast(families)).select("site", "family", "year", "month", (F.col("value") * F.col("site") * F.col("k") / 1e15).alias("value"))
 
 
 @add("g01_n_deposition", f"WITH {DOY}, {DEP} SELECT site, year, doy, round(CAST(value * 86400 * 1e6 AS DECIMAL(38, 9)), 6)::DOUBLE AS value FROM dep JOIN days USING (month) WHERE family = CASE WHEN year < 1996 THEN 'historic' ELSE 'rcp85' END", "months sites")

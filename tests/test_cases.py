@@ -383,6 +383,16 @@ def test_hypercube_never_broadcasts_its_points(spark, tmp_path):
         assert sorted(math.floor(r[dim] * 3000) for r in cube.collect()) == list(range(3000))
 
 
+def test_deposition_is_shared_among_tasks_by_sites(spark, tmp_path):
+    from sylvaframe.plans import registry
+
+    spark.range(1, 2501).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(dt.datetime(1995, m, 1), 100.0 * m) for m in range(1, 13)], "l_shipdate TIMESTAMP_NTZ, l_extendedprice DOUBLE").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = registry.queries()["g01_n_deposition"](spark, str(tmp_path))
+    each = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == 2500 * 365 and max(each) <= 1000 * 365
+
+
 def test_sketches_are_merged_within_their_error(spark):
     """Over runs and buckets of very different sizes, with gaps; the error is measured in the rows themselves."""
     import numpy as np
