@@ -22,11 +22,17 @@ def days_of_year(spark) -> DataFrame:
     return spark.range(365).select((F.col("id") + 1).cast("int").alias("doy"), F.month(on).alias("month"))
 
 
-def n_deposition(monthly: DataFrame, scenario: str, factor: float = PER_SECOND_TO_DAILY, historic_until: int = 1996) -> DataFrame:
-    """Daily values from monthly means (site, family, year, month, value): constant within a month; the family is
+def monthly_deposition(monthly: DataFrame, scenario: str, factor: float = PER_SECOND_TO_DAILY, historic_until: int = 1996) -> DataFrame:
+    """(site, year, month, value): what each day of the month has, from monthly means (site, family, year, month, value); the family is
     'historic' before ``historic_until``, else the scenario."""
     rows = monthly.filter(F.col("family") == F.when(F.col("year") < historic_until, "historic").otherwise(scenario))
-    return rows.join(F.broadcast(days_of_year(monthly.sparkSession)), "month").select("site", "year", "doy", (F.col("value") * factor).alias("value"))
+    return rows.select("site", "year", "month", (F.col("value") * factor).alias("value"))
+
+
+def n_deposition(monthly: DataFrame, scenario: str, factor: float = PER_SECOND_TO_DAILY, historic_until: int = 1996) -> DataFrame:
+    """Daily values (site, year, doy, value) of ``monthly_deposition``: constant within a month."""
+    rows = monthly_deposition(monthly, scenario, factor, historic_until)
+    return rows.join(F.broadcast(days_of_year(monthly.sparkSession)), "month").select("site", "year", "doy", "value")
 
 
 def p_deposition(points: DataFrame, grid: DataFrame) -> DataFrame:
@@ -57,12 +63,15 @@ def add_c14(df: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def assemble(met: DataFrame, co2: DataFrame, c13: DataFrame, c14: DataFrame, nhx: DataFrame, noy: DataFrame, p: DataFrame, columns: tuple[str, ...] = FORCING_COLUMNS) -> DataFrame:
-    """The forcing table of all sites. ``met``: site, lat, year, day, hour and weather; ``p``: site, p_srf_down."""
+    """The forcing table of all sites. ``met``: site, lat, year, day, hour and weather; ``p``: site, p_srf_down. ``nhx`` and ``noy`` have a value for each
+    day (doy) or each month, which its days share: a month is joined as one row, not as its days."""
     df = met.withColumnRenamed("day", "doy").withColumn("wind_air", F.greatest("wind_air", F.lit(0.1)))
     df = add_annual(add_annual(df, co2, "co2_mixing_ratio"), c13, "co2_dC13")
     df = add_c14(df, c14)
+    df = df.withColumn("month", F.month(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("doy") - 1).cast("int"))))
     for part, name in ((nhx, "nhx_srf_down"), (noy, "noy_srf_down")):
-        df = df.join(part.select("site", "year", "doy", F.col("value").alias(name)), ["site", "year", "doy"])
+        keys = ["site", "year", "month" if "month" in part.columns else "doy"]
+        df = df.join(part.select(*keys, F.col("value").alias(name)), keys)
     return df.join(p.select("site", "p_srf_down"), "site").select("site", *columns)
 
 

@@ -83,7 +83,7 @@ def _(s, d):
     a = T.annual(s, d)
     times = lambda k: a.withColumn("value", F.col("value") * k)
     c14 = a.select("year", F.col("value").alias("north"), (F.col("value") * 2).alias("tropics"), (F.col("value") * 3).alias("south"))
-    n = G.n_deposition(deposition(s, d), "rcp85")
+    n = G.monthly_deposition(deposition(s, d), "rcp85")
     p = T.sites(s, d).select("site", (F.col("site") / 365.0).alias("p_srf_down"))
     out = G.assemble(met, a, times(0.1), c14, n, n.withColumn("value", F.col("value") * 2), p, ASSEMBLED[1:])
     co2 = [c for c in ASSEMBLED if c.startswith("co2")]

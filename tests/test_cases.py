@@ -393,6 +393,18 @@ def test_deposition_is_shared_among_tasks_by_sites(spark, tmp_path):
     assert sum(each) == 2500 * 365 and max(each) <= 1000 * 365
 
 
+def test_monthly_deposition_is_assembled_like_its_days(spark):
+    monthly = spark.createDataFrame([(s, f, y, m, s * y * m * 1e-9) for s in (1, 2) for f in ("historic", "rcp85") for y in (1995, 1996) for m in range(1, 13)], "site INT, family STRING, year INT, month INT, value DOUBLE")
+    met = spark.createDataFrame([(s, 10.0, y, d, 0, 1.0) for s in (1, 2) for y in (1995, 1996) for d in (1, 31, 32, 59, 60, 365)], "site INT, lat DOUBLE, year INT, day INT, hour INT, wind_air DOUBLE")
+    year = spark.createDataFrame([(1995, 1.0), (1996, 2.0)], "year INT, value DOUBLE")
+    c14 = year.select("year", *[F.col("value").alias(c) for c in ("north", "tropics", "south")])
+    p = spark.createDataFrame([(1, 0.1), (2, 0.2)], "site INT, p_srf_down DOUBLE")
+    columns = ("year", "doy", "wind_air", "nhx_srf_down", "noy_srf_down", "p_srf_down")
+    days, months = G.n_deposition(monthly, "rcp85"), G.monthly_deposition(monthly, "rcp85")
+    want, got = (sorted(one(G.assemble(met, year, year, c14, n, n, p, columns))) for n in (days, months))
+    assert len(got) == 24 and got == want
+
+
 def test_sketches_are_merged_within_their_error(spark):
     """Over runs and buckets of very different sizes, with gaps; the error is measured in the rows themselves."""
     import numpy as np
