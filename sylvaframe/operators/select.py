@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sketch
+from ..sources.store import scratch
 from .design import hashed
 from .order import average_ranks, exact_quantiles, numbered
 from .slices import bounds
@@ -92,25 +96,38 @@ def feature_importance(df: DataFrame, features: list[str], outcome: str, trees:
     """(feature, importance, permuted, r), largest importance first, of a random forest. ``permuted``: how much the forest's squared error grows, as a share of the
     outcome's variance, when a feature takes the values of other rows; ``r``: the feature's correlation with the outcome, for its sign.
 
-    All features are permuted in one pass: each row meets a row drawn by position, one of the rows in the order of a digest, and is predicted once as it is and
-    once for each feature; one aggregation gives all errors."""
+    All features are permuted in one pass: each row meets a row drawn by position, one of the rows in the order of a digest. A forest tells rows apart only by
+    its thresholds, so rows that lie between the same ones are a cell, which is predicted once, whatever the rows: a feature has fewer thresholds than bins.
+    The rows' number, mean and variance give each cell's errors. The rows are made once and kept, as they are read many times."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
-    rows = df.dropna(subset=[*features, outcome]).select(*[F.col(c).cast("double").alias(c) for c in (*features, outcome)])
+    spark, kept = df.sparkSession, scratch(df.sparkSession)
+    df.dropna(subset=[*features, outcome]).select(*[F.col(c).cast("double").alias(c) for c in (*features, outcome)]).write.parquet(kept)
+    rows = spark.read.parquet(kept)
     model = RandomForestRegressor(featuresCol="_f", labelCol=outcome, numTrees=trees, seed=seed).fit(VectorAssembler(inputCols=features, outputCol="_f").transform(rows))
-    told = df.sparkSession.createDataFrame([(f, float(x)) for f, x in zip(features, model.featureImportances.toArray())], "feature STRING, importance DOUBLE")
+    told = spark.createDataFrame([(f, float(x)) for f, x in zip(features, model.featureImportances.toArray())], "feature STRING, importance DOUBLE")
+    ends: list[set[float]] = [set() for _ in features]
+    for j, end in re.findall(r"If \(feature (\d+) <= (\S+?)\)", model.toDebugString):
+        ends[int(j)].add(float(end))
+    ends = [sorted(x) for x in ends]
+    # a feature's value is the number of thresholds below it; the threshold itself stands for those up to it
+    place = lambda j: F.size(F.filter(F.array(*map(F.lit, ends[j])), lambda e: e < F.col(features[j]))) if ends[j] else F.lit(0)
+    stands = [F.array(*map(F.lit, [*x, math.nextafter(x[-1], math.inf) if x else 0.0])) for x in ends]
     # two orders of the same rows; equal rows may change places
-    own = rows.select(F.col(outcome).alias("_y"), F.array(*features).alias("_own"), *[hashed(seed + k, *[F.col(c) for c in (*features, outcome)]).cast("double").alias(f"_h{k}") for k in (0, 1)])
+    own = rows.select(F.col(outcome).alias("_y"), F.array(*map(place, range(len(features)))).alias("_own"), *[hashed(seed + k, *[F.col(c) for c in (*features, outcome)]).cast("double").alias(f"_h{k}") for k in (0, 1)])
     left = numbered(own, "_h0", "_h1", "_at").select("_at", "_y", "_own")
     right = numbered(own, "_h1", "_h0", "_at").select("_at", F.col("_own").alias("_other"))
     tried = [F.struct(F.lit(f).alias("feature"), F.array(*[F.col("_other" if j == k else "_own")[j] for j in range(len(features))]).alias("x")) for k, f in enumerate(features)]
-    base = F.struct(F.lit(None).cast("string").alias("feature"), F.col("_own").alias("x"))
-    cases = left.join(right, "_at").select("_y", F.explode(F.array(base, *tried)).alias("c")).select("_y", "c.feature", array_to_vector("c.x").alias("_f"))
-    error = F.col("prediction") - F.col("_y")
-    errors = model.transform(cases).groupBy("feature").agg(F.avg(error * error).alias("mse"), F.var_pop("_y").alias("spread"))
-    plain = F.broadcast(errors.filter("feature IS NULL").select(F.col("mse").alias("plain")))  # one row
-    permuted = errors.filter("feature IS NOT NULL").crossJoin(plain).select("feature", F.try_divide(F.col("mse") - F.col("plain"), "spread").alias("permuted"))
+    base = F.struct(F.lit("").alias("feature"), F.col("_own").alias("x"))
+    cases = left.join(right, "_at").select("_y", F.explode(F.array(base, *tried)).alias("c")).groupBy("c.x", "c.feature").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"), F.var_pop("_y").alias("spread"))
+    cells = cases.groupBy("x").agg(F.collect_list(F.struct("feature", "n", "mean", "spread")).alias("cases"))  # one for each feature, and one, at most
+    cells = cells.select("cases", array_to_vector(F.array(*[stands[j][F.col("x")[j]] for j in range(len(features))])).alias("_f"))
+    each = model.transform(cells).select("prediction", F.inline("cases"))
+    error = F.col("n") * (F.col("spread") + F.pow(F.col("prediction") - F.col("mean"), 2))
+    errors = each.groupBy("feature").agg((F.sum(error) / F.sum("n")).alias("mse"))
+    plain = F.broadcast(errors.filter("feature = ''").select(F.col("mse").alias("plain")).crossJoin(F.broadcast(rows.agg(F.var_pop(outcome).alias("spread")))))  # one row
+    permuted = errors.filter("feature <> ''").crossJoin(plain).select("feature", F.try_divide(F.col("mse") - F.col("plain"), "spread").alias("permuted"))
     signs = rows.agg(*[F.corr(f, outcome).alias(f) for f in features]).unpivot([], features, "feature", "r")
     return told.join(permuted, "feature").join(signs, "feature").select("feature", "importance", "permuted", "r").orderBy(F.desc("importance"), "feature")

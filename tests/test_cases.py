@@ -453,6 +453,22 @@ def test_registered_importance_finds_what_matters(spark, tmp_path):
     assert all(abs(by[f].permuted) < 0.1 and abs(by[f].r) < 0.15 for f in ("tax", "qty_sd"))
 
 
+def test_importance_reads_its_rows_once(spark):
+    """The rows are made once, however many jobs need them; the cells' errors tell what matters."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.floor(F.col("id") / 20) % 2).cast("double").alias("b"), (3.0 * (F.col("id") % 20) + F.col("id") % 3).alias("y"))
+    found = {r.feature: r for r in K.feature_importance(rows.mapInArrow(count, rows.schema), ["a", "b"], "y", trees=5).collect()}
+    assert seen.value == 400
+    assert found["a"].permuted > 1.0 and found["a"].r > 0.9 and found["a"].importance > 0.9
+    assert abs(found["b"].permuted) < 0.1 and found["b"].importance < 0.1
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = series(spark, [(k % 2, "a", f"2024-01-{1 + k:02d} 00:10:00", float(k)) for k in range(20)])
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
