@@ -866,6 +866,38 @@ def test_backtracking_gives_what_merging_gives():
     assert dead_ends > 50
 
 
+@pytest.mark.parametrize("slots, taken, long", [(1 << 20, 4_000_000, 63), (4, 200, 63), (1 << 20, 10, 3)])
+def test_pieces_of_many_texts_equal_the_library(monkeypatch, slots, taken, long):
+    """Also where few answers fit the table, texts are taken by few, and parts are too long to be solved with others."""
+    for name, value in (("SLOTS", slots), ("TAKEN", taken), ("LONG", long)):
+        monkeypatch.setattr(pieces, name, value)
+    own, sp, rng = pieces.Model(pieces.default_path()), library(), np.random.default_rng(3)
+    names = [n.replace("▁", " ") for n in own.ids]
+    letters = list("abcdeéß中文🙂́\n\t\x00\x01  ▁..,<>0x12AtheinerΩж")
+    texts = [None, "", " ", "a", " a", "a ", "a  b", "▁", "a▁b", "\x00", "a\x00b c", "🙂 🙂", "x" * 300, "ab " * 500]
+    for _ in range(300):
+        texts.append("".join(rng.choice(names, int(rng.integers(1, 30)))))
+        texts.append("".join(rng.choice(letters, int(rng.integers(1, 60)))))
+        texts.append(" ".join("".join(rng.choice(names, 3)).strip() or "x" for _ in range(4)))
+    for some in (texts, texts[:1], texts[:2], [], texts[2:3] * 3, texts):
+        ids, counts = own.encode_all(some)
+        want = [sp.encode(t or "") for t in some]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [k for x in want for k in x]
+
+
+def test_each_new_part_is_solved_once_and_with_others(monkeypatch):
+    """A word is one part whatever marks follow it; it is not searched again for each of them, nor by itself."""
+    own, solved = pieces.Model(pieces.default_path()), []
+    inner = own.together
+    monkeypatch.setattr(own, "together", lambda parts: solved.append(parts) or inner(parts))
+    monkeypatch.setattr(own, "backtrack", None)
+    marks = [".", ",", ";", "!", "?", ").", "\n", ":", "..."]
+    texts = [" ".join(w + m for w in ("thandonerwhat", "esenwhor", "Undeiniester")) for m in marks]
+    own.encode_all(texts)
+    own.encode_all(texts[::-1])
+    assert len(solved) == 1 and sorted(solved[0]) == sorted({"▁thandonerwhat", "▁esenwhor", "▁Undeiniester", *marks})
+
+
 def test_sentencepiece_round_trip(spark, tmp_path):
     rows, sp = awkward(), library()
     want = []
