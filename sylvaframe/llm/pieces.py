@@ -35,13 +35,13 @@ from .env import ready
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SPACE = "▁"
 NONE = float("-inf")
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Compatibilities of pairs of pieces that a worker remembers.
 PAIRS = 400_000
 #: Slots of the table that arrays look them up in (a power of two), bits for the number of a piece or character, and the longest part that is solved with others.
 SLOTS, BITS, LONG = 1 << 20, 22, 63
 #: Characters of the texts, and parts, that are taken at once.
-TAKEN, PARTS = 4_000_000, 50_000
+TAKEN, PARTS = 2_000_000, 15_000
 
 
 def default_path() -> str:
