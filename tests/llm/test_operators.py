@@ -150,6 +150,59 @@ def test_suffix_dedup_of_a_long_text(spark, tmp_path):
     assert keyed(tuples(suffixes.deduplicate(on_disk(spark, tmp_path, rows)))) == keyed(substrings(rows))
 
 
+def test_copies_are_not_sent(spark, tmp_path, monkeypatch):
+    """Of copies in other blocks only what lies around their edits is sent, once for each kind."""
+    from sylvaframe.llm import windows as jobs
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"c{x}" for x in rng.integers(0, 10**6, 120)) for _ in range(40)]
+    rows = [(i * 1000 + k, t) for i in range(8) for k, t in enumerate(texts)]
+    edited = [(d, t[:400] + f"!{d}!" + t[400:] if d % 7 == 3 else t) for d, t in rows]
+    log, plain = str(tmp_path / "sent"), suffixes.answer
+
+    def answer(asked):
+        with open(log, "a") as f:
+            f.write(f"{sum(len(a[2]) for a in asked)}\n")
+        return plain(asked)
+
+    monkeypatch.setattr(suffixes, "answer", answer)
+    monkeypatch.setattr(jobs, "spread", lambda docs, each: 8 if each == jobs.PART_BYTES else 16)
+    sent = []
+    for table in (rows, edited):
+        open(log, "w").close()
+        assert keyed(tuples(suffixes.deduplicate(on_disk(spark, tmp_path, table)))) == keyed(substrings(table))
+        sent.append(sum(map(int, open(log))))
+    size = sum(len(t) for _, t in rows)
+    assert sent[0] == 0 < sent[1] < size / 4  # about 4 times the size where every block sends all of its repeated contexts
+
+
+def test_screened_contexts():
+    from sylvaframe.llm import windows as jobs
+
+    tag, whole = np.array([7, 7, 7, 5, 5, 9], np.uint32), np.array([1, 2, 1, 4, 4, 4], np.uint64)
+    ids, docs, starts = np.array([3, 9, 2, 1, 1, 0]), np.zeros(6, np.int32), np.array([0, 0, 0, 8, 6, 0])
+    later, asked = jobs.screened(tag, whole, (ids, docs, starts))
+    assert later.tolist() == [True, False, False, True, False, False] and asked.tolist() == [False, True, True, False, False, False]
+    assert [len(x) for x in jobs.screened(tag[:0], whole[:0], (ids[:0], docs[:0], starts[:0]))] == [0, 0]
+    numbers = np.array([-(2**63), -1, 0, 300, 2**62])
+    assert jobs.from_planes([jobs.planes(numbers[:2]), jobs.planes(numbers[2:])], np.int64).tolist() == numbers.tolist()
+
+
+def test_shuffle_files_are_given_back(spark, tmp_path):
+    import time
+
+    from sylvaframe.llm.env import cut, freeing
+
+    files, name = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files().size(), spark.conf.get(name)
+    with freeing(spark):
+        assert cut(spark.range(1000).groupBy(F.col("id") % 7).count()).count() == 7
+    end = time.time() + 20
+    while files().size() > before and time.time() < end:
+        time.sleep(0.1)
+    assert files().size() <= before and spark.conf.get(name) == was
+
+
 # 3
 
 
